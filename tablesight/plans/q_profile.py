@@ -110,3 +110,62 @@ from (select {O.clean(c, types[c])} as v from {t})""")
 @register("describe_numeric", describe_numeric_sql("lineitem"))
 def describe_numeric(spark, sf):
     return P.describe_numeric(T(spark, sf, "lineitem"), exact=True)
+
+
+def describe_categorical_sql(t: str, cols: list[str]) -> str:
+    pos = {c: i for i, (c, _) in enumerate(O.SCHEMAS[t])}
+    vc = O.union_all([f"select {pos[c]} as ordinal, '{c}' as c, cast({O.q(c)} as varchar) as value, count(*) as n "
+                      f"from {t} where {O.q(c)} is not null group by {O.q(c)}" for c in cols])
+    return f"""{oracle_from(t) if t in O.SCHEMAS and t not in ('documents', 'lineitem', 'orders') else ''}
+with vc as ({vc}),
+r as (select *, row_number() over (partition by c order by n desc, value) as rn from vc)
+select ordinal, c as "column", cast(sum(n) as bigint) as count, count(*) as unique,
+       max(case when rn = 1 then value end) as top, max(case when rn = 1 then n end) as freq
+from r group by ordinal, c"""
+
+
+@register("describe_categorical", describe_categorical_sql("documents", ["text", "lang", "source"]))
+def describe_categorical(spark, sf):
+    return P.describe_categorical(T(spark, sf, "documents"))
+
+
+def describe_datetime_sql(t: str, c: str, ordinal: int) -> str:
+    ts = lambda e: f"make_timestamp(cast(floor({e}) as bigint))"
+    return f"""
+with s as (select epoch_us({O.q(c)}) as v from {t}),
+m as (select min(v) as mn from s)
+select {ordinal} as ordinal, '{c}' as "column", count(v) as count,
+       make_timestamp(cast(min(m.mn) + sum(v - m.mn) // count(v) as bigint)) as mean,
+       {ts('min(v)')} as min, {ts('quantile_cont(v, 0.25)')} as p25, {ts('quantile_cont(v, 0.5)')} as p50,
+       {ts('quantile_cont(v, 0.75)')} as p75, {ts('max(v)')} as max
+from s, m"""
+
+
+@register("describe_datetime", describe_datetime_sql("lineitem", "l_shipdate", 10))
+def describe_datetime(spark, sf):
+    return P.describe_datetime(T(spark, sf, "lineitem"))
+
+
+@register("head_orders", "select * from orders order by o_orderkey limit 5")
+def head_orders(spark, sf):
+    return P.sample_head(T(spark, sf, "orders"), 5, ["o_orderkey"])
+
+
+@register("value_counts_part_brand", """
+select p_brand, count(*) as count from part where p_brand is not null
+group by p_brand order by count desc, p_brand limit 15""")
+def value_counts_part_brand(spark, sf):
+    return P.value_counts(T(spark, sf, "part"), "p_brand", 15)
+
+
+@register("drop_missing_one", oracle_from("dirty_orders")
+          + "select * from dirty_orders where o_totalprice is not null and not isnan(o_totalprice)")
+def drop_missing_one(spark, sf):
+    return P.drop_missing(T(spark, sf, "dirty_orders"), ["o_totalprice"])
+
+
+@register("drop_missing_any", oracle_from("dirty_orders")
+          + "select * from dirty_orders where o_totalprice is not null and not isnan(o_totalprice)"
+            " and o_orderpriority is not null")
+def drop_missing_any(spark, sf):
+    return P.drop_missing(T(spark, sf, "dirty_orders"), ["o_totalprice", "o_orderpriority"])
