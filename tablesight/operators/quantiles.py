@@ -6,22 +6,30 @@ single task, which does not survive a column with billions of distinct
 values. Here the work is spread instead:
 
 1. distinct values with counts per group (partial aggregation, so a hot value
-   costs one row);
-2. ``buckets`` range buckets per group from ``approx_percentile`` over the
-   distinct values (a bounded summary, broadcast);
-3. bucket totals and their running offsets (at most ``buckets`` rows per group);
-4. only buckets holding a wanted rank are ranked with a window, each bucket
-   holding about ``distinct / buckets`` values;
+   costs one row), written once to the checkpoint folder;
+2. per group the total count and the number of distinct values (one small
+   row per group, read on the driver to size the plan);
+3. groups with more than ``max_per_task`` distinct values are cut into range
+   buckets from ``approx_percentile`` over their distinct values (a bounded
+   summary, broadcast), so that no window task sorts more than about
+   ``max_per_task`` values; bucket totals give running offsets;
+4. only buckets holding a wanted rank are ranked with a window;
 5. the two order statistics around each rank are interpolated.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
+MAX_PER_TASK = 2_000_000
+MAX_BUCKETS = 4096
+
 
 def _bucket_of(bounds: str, value: str, nb: int) -> F.Column:
     # Binary search: number of bounds strictly below the value (0..nb).
@@ -36,7 +44,7 @@ def _bucket_of(bounds: str, value: str, nb: int) -> F.Column:
 
 
 def quantiles(long: DataFrame, probs: Sequence[float], keys: Sequence[str] = ("ordinal", "column"),
-              value: str = "value", exact: bool = True, buckets: int = 256,
+              value: str = "value", exact: bool = True, max_per_task: int = MAX_PER_TASK,
               accuracy: int = 10000) -> DataFrame:
     """``(keys..., quantiles array<double>)``, one array entry per prob.
 
@@ -47,17 +55,22 @@ def quantiles(long: DataFrame, probs: Sequence[float], keys: Sequence[str] = ("o
     probs = [float(p) for p in probs]
     v = long.select(*keys, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
     if not exact:
-        return v.groupBy(*keys).agg(
-            F.percentile_approx("v", probs, accuracy).alias("quantiles"))
+        return v.groupBy(*keys).agg(F.percentile_approx("v", probs, accuracy).alias("quantiles"))
+
+    vc = materialize(v.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n")), "quantile-values")
+    meta = vc.groupBy(*keys).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"))
+    widest = meta.agg(F.max("distinct")).first()[0] or 0
+    nb = min(MAX_BUCKETS, max(1, math.ceil(widest / max_per_task)))
 
-    vc = v.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
-    cuts = [i / buckets for i in range(1, buckets)]
-    meta = vc.groupBy(*keys).agg(
-        F.sum("n").alias("total"),
-        F.percentile_approx("v", cuts, accuracy).alias("bounds"))
-    vb = (vc.join(F.broadcast(meta), keys)
-            .select(*keys, "v", "n", _bucket_of("bounds", "v", len(cuts)).alias("bucket")))
+    if nb > 1:
+        cuts = [i / nb for i in range(1, nb)]
+        bounds = vc.groupBy(*keys).agg(F.percentile_approx("v", cuts, max(accuracy, 4 * nb)).alias("bounds"))
+        vb = (vc.join(F.broadcast(bounds), keys)
+                .select(*keys, "v", "n", _bucket_of("bounds", "v", len(cuts)).alias("bucket")))
+    else:
+        vb = vc.withColumn("bucket", F.lit(0))
 
+    # running offsets of the buckets (at most nb rows per group)
     tot = vb.groupBy(*keys, "bucket").agg(F.sum("n").alias("bn"))
     wk = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     tot = tot.withColumn("b_end", F.sum("bn").over(wk)).withColumn("b_start", F.col("b_end") - F.col("bn"))
@@ -69,7 +82,7 @@ def quantiles(long: DataFrame, probs: Sequence[float], keys: Sequence[str] = ("o
               .withColumn("frac", F.col("h") - F.floor("h"))
               .withColumn("r1", F.floor("h").cast("long") + 1)
               .withColumn("r2", F.ceil("h").cast("long") + 1))
-    ranks = (tg.select(*keys, F.explode(F.array("r1", "r2")).alias("r")).distinct())
+    ranks = tg.select(*keys, F.explode(F.array("r1", "r2")).alias("r")).distinct()
     rb = (ranks.join(F.broadcast(tot), keys)
                .filter((F.col("r") > F.col("b_start")) & (F.col("r") <= F.col("b_end")))
                .select(*keys, "r", "bucket", "b_start"))

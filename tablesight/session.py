@@ -3,10 +3,10 @@ shared checkpoint folder that lineage-cutting operators write to."""
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -55,6 +55,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for an intermediate table."""
+    """A fresh path under the shared checkpoint folder for an intermediate table."""
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{os.getpid()}-{id(spark) & 0xFFFF:x}"
+    return f"{base}/tablesight/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder and
+    read it back: later plans that use it several times start from the
+    files instead of recomputing the lineage, and the files survive the loss
+    of executors (unlike a local checkpoint)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
