@@ -39,13 +39,22 @@ def safe_corr(x: Column, y: Column) -> Column:
     return F.when(den > 0, F.covar_samp(xx, yy) / den)
 
 
+def round_half_up(x: Column, digits: int = 4) -> Column:
+    """floor(x * 10^d + 0.5) / 10^d in plain IEEE arithmetic, so any engine
+    computing the same double gets the same rounded double (decimal-based
+    rounding differs between engines on binary ties such as 154.31375).
+    Doubles beyond 2^52 are integers already and are kept."""
+    t = x.cast("double") * float(10 ** digits) + 0.5
+    return F.when(F.abs(t) < 4.0e15, F.floor(t).cast("double")).otherwise(t - 0.5) / float(10 ** digits)
+
+
 def round_doubles(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Round every top-level float/double column (half-up, like SQL round)."""
+    """Round every top-level float/double column with ``round_half_up``."""
     out = []
     for f in df.schema.fields:
         c = col(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), digits)
+            c = round_half_up(c, digits)
         out.append(c.alias(f.name))
     return df.select(out)
 

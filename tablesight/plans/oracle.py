@@ -108,3 +108,37 @@ def str_list(xs: list[str]) -> str:
 
 def union_all(parts: list[str]) -> str:
     return "\nunion all\n".join(parts)
+
+
+def rewrite_round(sql: str, digits: int = 4) -> str:
+    """Rewrite every ``round(<expr>, 4)`` into the engine-independent
+    ``floor((<expr>) * 10000 + 0.5) / 10000`` used on the Spark side."""
+    out, i, key = [], 0, "round("
+    low = sql.lower()
+    while True:
+        j = low.find(key, i)
+        if j < 0 or (j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + len(key)])
+            i = j + len(key)
+            continue
+        depth, k, comma = 1, j + len(key), -1
+        while depth:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 1:
+                comma = k
+            k += 1
+        inner = sql[j + len(key):k - 1]
+        if comma >= 0 and sql[comma + 1:k - 1].strip() == str(digits):
+            expr = rewrite_round(sql[j + len(key):comma], digits)
+            m = 10 ** digits
+            out.append(sql[i:j] + f"(floor(({expr}) * {m}.0 + 0.5) / {m}.0)")
+        else:
+            out.append(sql[i:j] + "round(" + rewrite_round(inner, digits) + ")")
+        i = k

@@ -33,7 +33,7 @@ def register(name: str, sql: str | None = None, digits: int | None = 4):
         run.__doc__ = fn.__doc__
         _QUERIES[name] = run
         if sql is not None:
-            _SQL[name] = sql.strip()
+            _SQL[name] = O.rewrite_round(sql.strip())
         return run
     return deco
 
