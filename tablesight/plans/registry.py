@@ -51,7 +51,7 @@ def oracle_sql() -> dict[str, str]:
 def _load_all() -> None:
     # Importing the plan modules registers their queries.
     from . import (  # noqa: F401
-        q_profile, q_compare, q_charts, q_report, q_health, q_features, q_models, q_chat,
+        q_profile, q_compare, q_charts, q_report, q_health, q_features, q_models, q_chat, q_sources,
     )
 
 
