@@ -87,3 +87,20 @@ for _name, _model, _table, _target, _key in [
     ("train_gaussian_mixture", "Gaussian Mixture", "classification", None, "doc_id"),
 ]:
     register(_name)(_trainer(_model, _table, _target, _key))
+
+
+@register("knn_centroids", """
+with cells as (select label, i, avg(x) as x from
+                 (select label, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as x from embeddings)
+               group by label, i),
+c as (select label, list(x order by i) as v from cells group by label),
+d as (select c.label, e.vec_id as id,
+             sqrt(list_sum(list_transform(list_zip(c.v, e.embedding::double[]), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) as distance
+      from c, embeddings e)
+select * from (select label, row_number() over (partition by label order by distance, id) as rank, id,
+                      round(distance, 4) as distance from d) where rank <= 5""")
+def knn_centroids(spark, sf):
+    """The 5 embeddings nearest to each label's centroid (exact)."""
+    from ..operators.neighbors import nearest_to_centroids
+    e = T(spark, sf, "embeddings")
+    return nearest_to_centroids(e, "label", 5, base_id="vec_id")
