@@ -127,3 +127,38 @@ def epoch_micros(name: str, dt: T.DataType) -> Column:
 def from_epoch_micros(c: Column) -> Column:
     """Back from epoch microseconds to a zone-less timestamp."""
     return F.timestamp_add("MICROSECOND", c.cast("long"), F.expr(EPOCH_NTZ))
+
+
+# ---------------------------------------------------------------- SQL-text forms
+# One F.expr call per expression instead of a py4j call per Column node.
+
+def sql_col(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_is_missing(name: str, dt: T.DataType) -> str:
+    c = sql_col(name)
+    return f"({c} IS NULL OR isnan({c}))" if is_float(dt) else f"({c} IS NULL)"
+
+
+def sql_clean_numeric(name: str, dt: T.DataType) -> str:
+    c = f"CAST({sql_col(name)} AS DOUBLE)"
+    return f"nanvl({c}, CAST(NULL AS DOUBLE))" if is_float(dt) else c
+
+
+def sql_epoch_micros(name: str, dt: T.DataType) -> str:
+    c = sql_col(name)
+    if isinstance(dt, T.DateType):
+        return f"(CAST(unix_date({c}) AS BIGINT) * 86400000000)"
+    if isinstance(dt, T.TimestampNTZType):
+        return f"timestampdiff(MICROSECOND, {EPOCH_NTZ}, {c})"
+    return f"unix_micros({c})"
+
+
+def sql_as_text(name: str, dt: T.DataType) -> str:
+    c = sql_col(name)
+    if isinstance(dt, _NESTED):
+        return f"to_json({c})"
+    if isinstance(dt, T.BinaryType):
+        return f"hex({c})"
+    return f"CAST({c} AS STRING)"

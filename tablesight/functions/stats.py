@@ -75,3 +75,18 @@ def logical_width(dt: T.DataType) -> int | None:
     if isinstance(dt, (T.DayTimeIntervalType, T.YearMonthIntervalType)):
         return LOGICAL_WIDTH["interval"]
     return LOGICAL_WIDTH.get(dt.typeName())
+
+
+# SQL templates over {v} for the per-column helper.
+SKEWNESS_SQL = ("CASE WHEN count({v}) >= 3 THEN skewness({v}) * sqrt(CAST(count({v}) AS DOUBLE) * (count({v}) - 1))"
+                " / (count({v}) - 2) END")
+KURTOSIS_SQL = ("CASE WHEN count({v}) >= 4 THEN (count({v}) - 1) / (CAST(count({v}) - 2 AS DOUBLE) * (count({v}) - 3))"
+                " * ((count({v}) + 1) * kurtosis({v}) + 6) END")
+
+
+def corr_sql(x: str, y: str) -> str:
+    """Pairwise-complete Pearson correlation as SQL; null for constants."""
+    xx = f"CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN {x} END"
+    yy = f"CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN {y} END"
+    den = f"(stddev_samp({xx}) * stddev_samp({yy}))"
+    return f"CASE WHEN {den} > 0 THEN covar_samp({xx}, {yy}) / {den} END"

@@ -9,33 +9,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clean_numeric, col, numeric_columns
-from ..functions.stats import safe_corr
+from ..functions.columns import clean_numeric, col, numeric_columns, sql_clean_numeric
+from ..functions.stats import corr_sql
+from .common import MAX_BUFFER_FIELDS, lit
 from .profile import value_counts  # noqa: F401  (G3 is T4)
 
-PAIR_BATCH = 300  # pair aggregates per scan; wider matrices take several scans
+PAIR_FIELDS = 10  # buffer slots of one pairwise correlation (covariance + two deviations)
 
 
 def correlation(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pearson matrix in long form ``(x, y, corr)`` over all ordered pairs of
     numeric columns, each pair over the rows where both are present; null
-    where a side is constant. Each unordered pair is computed once."""
+    where a side is constant. Each unordered pair is computed once, in one
+    scan: a wide aggregate for a few pairs, otherwise every row emits its
+    pairs ``(x, y, a, b)`` and the pairs are grouped (map-side combined, so
+    the shuffle carries one partial row per pair and task)."""
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = list(cols) if cols is not None else numeric_columns(df)
     if not cols:
         return df.sparkSession.createDataFrame([], "x string, y string, corr double")
-    vals = df.select(*[clean_numeric(c, types[c]).alias(f"_{i}") for i, c in enumerate(cols)])
+    vals = df.selectExpr(*[f"{sql_clean_numeric(c, types[c])} AS _{i}" for i, c in enumerate(cols)])
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    parts = []
-    for s in range(0, len(pairs), PAIR_BATCH):
-        batch = pairs[s:s + PAIR_BATCH]
-        wide = vals.agg(*[safe_corr(F.col(f"_{i}"), F.col(f"_{j}")).alias(f"c{i}_{j}") for i, j in batch])
-        cells = F.array(*[F.struct(F.lit(cols[i]).alias("x"), F.lit(cols[j]).alias("y"),
-                                   F.col(f"c{i}_{j}").alias("corr")) for i, j in batch])
-        parts.append(wide.select(F.inline(cells)))
-    half = parts[0]
-    for p in parts[1:]:
-        half = half.unionByName(p)
+    if len(pairs) * PAIR_FIELDS <= MAX_BUFFER_FIELDS:
+        wide = vals.agg(*[F.expr(corr_sql(f"_{i}", f"_{j}")).alias(f"c{i}_{j}") for i, j in pairs])
+        cells = ", ".join(f"struct({lit(cols[i])} AS x, {lit(cols[j])} AS y, c{i}_{j} AS corr)" for i, j in pairs)
+        half = wide.selectExpr(f"inline(array({cells}))")
+    else:
+        cells = ", ".join(f"struct({lit(cols[i])} AS x, {lit(cols[j])} AS y, _{i} AS a, _{j} AS b)" for i, j in pairs)
+        half = (vals.selectExpr(f"inline(array({cells}))").groupBy("x", "y")
+                    .agg(F.expr(corr_sql("a", "b")).alias("corr")))
     mirror = half.filter(F.col("x") != F.col("y")).select(F.col("y").alias("x"), F.col("x").alias("y"), "corr")
     return half.unionByName(mirror)
 

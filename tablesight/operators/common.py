@@ -1,69 +1,87 @@
 """Shared plan builders: per-column statistics in one job.
 
-Rule: never loop jobs over columns. Up to ``WIDE_LIMIT`` columns the
-statistics are one wide ``agg`` (one scan, partial + final HashAggregate),
-turned long with ``inline``. Beyond it the planning cost of thousands of
-aggregate expressions dominates, so the columns are unpivoted into
-``(ordinal, column, value)`` rows and grouped by column instead.
+Rule: never loop jobs over columns. Statistics are written as SQL templates
+(``"avg({v})"``) and turned into expressions with one ``F.expr`` call each —
+building the same trees from Column objects costs a py4j round trip per node
+and dominated small queries.
+
+Narrow statistic sets are one wide ``agg`` (one scan, partial + final
+HashAggregate) turned long with ``inline``. When the aggregation buffer
+would exceed ``spark.sql.codegen.maxFields`` whole-stage code generation
+switches off, so wider sets unpivot the columns into ``(ordinal, column,
+value)`` rows and group by column instead (same single scan, codegen kept).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col
+MAX_BUFFER_FIELDS = 90  # below Spark's default codegen field limit (100)
 
-WIDE_LIMIT = 40
+# Aggregation buffer slots of Spark's built-in aggregates.
+BUFFER_FIELDS = {"avg": 2, "count": 1, "count_if": 1, "sum": 1, "min": 1, "max": 1, "stddev_samp": 3,
+                 "var_samp": 3, "var_pop": 3, "skewness": 4, "kurtosis": 5, "covar_samp": 4, "corr": 6,
+                 "regr_slope": 6, "approx_count_distinct": 52, "first": 2}
 
-StatFns = dict[str, Callable[[Column], Column]]
+StatSQL = dict[str, str]
 
 
-def per_column(df: DataFrame, cols: Sequence[str], value: Callable[[str], Column],
-               stats: StatFns, wide_limit: int = WIDE_LIMIT) -> DataFrame:
+def q(name: str) -> str:
+    """A column name as a SQL identifier."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def lit(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def buffer_fields(stats: StatSQL) -> int:
+    found = set()
+    for t in stats.values():
+        found |= set(re.findall(r"\b([a-z_]+)\(", t))
+    return sum(BUFFER_FIELDS.get(f, 0) for f in found) or 1
+
+
+def per_column(df: DataFrame, cols: Sequence[str], value: Callable[[str], str], stats: StatSQL,
+               max_fields: int = MAX_BUFFER_FIELDS) -> DataFrame:
     """Long table ``(ordinal, column, <stat>...)`` with one row per column.
 
-    ``value(name)`` gives the expression aggregated for a column (e.g. a
-    NaN-free double); ``stats`` maps output names to aggregate builders.
-    ``ordinal`` is the position of the column in ``df``.
+    ``value(name)`` is the SQL expression aggregated for a column (e.g. a
+    NaN-free double); ``stats`` maps output names to SQL templates over
+    ``{v}``. ``ordinal`` is the position of the column in ``df``.
     """
     pos = {n: i for i, n in enumerate(df.columns)}
     cols = list(cols)
     if not cols:
         return _empty(df, stats)
-    if len(cols) <= wide_limit:
-        aggs = [fn(value(c)).alias(f"_{pos[c]}__{s}") for c in cols for s, fn in stats.items()]
+    if len(cols) * buffer_fields(stats) <= max_fields:
+        aggs = [F.expr(t.format(v=value(c))).alias(f"_{pos[c]}__{s}") for c in cols for s, t in stats.items()]
         wide = df.agg(*aggs)
-        rows = F.array(*[
-            F.struct(F.lit(pos[c]).alias("ordinal"), F.lit(c).alias("column"),
-                     *[F.col(f"_{pos[c]}__{s}").alias(s) for s in stats])
-            for c in cols])
-        return wide.select(F.inline(rows))
+        rows = ", ".join(
+            f"struct({pos[c]} as ordinal, {lit(c)} as column, "
+            + ", ".join(f"`_{pos[c]}__{s}` as {q(s)}" for s in stats) + ")" for c in cols)
+        return wide.selectExpr(f"inline(array({rows}))")
     return per_column_long(unpivot(df, cols, value), stats)
 
 
-def unpivot(df: DataFrame, cols: Sequence[str], value: Callable[[str], Column]) -> DataFrame:
+def unpivot(df: DataFrame, cols: Sequence[str], value: Callable[[str], str]) -> DataFrame:
     """``(ordinal, column, value)`` rows, one per cell of ``cols``; the values
     of all columns must share one type."""
     pos = {n: i for i, n in enumerate(df.columns)}
-    cells = F.array(*[F.struct(F.lit(pos[c]).alias("ordinal"), F.lit(c).alias("column"),
-                               value(c).alias("value")) for c in cols])
-    return df.select(F.inline(cells))
+    cells = ", ".join(f"struct({pos[c]} as ordinal, {lit(c)} as column, {value(c)} as value)" for c in cols)
+    return df.selectExpr(f"inline(array({cells}))")
 
 
-def per_column_long(long: DataFrame, stats: StatFns) -> DataFrame:
-    v = F.col("value")
-    return long.groupBy("ordinal", "column").agg(*[fn(v).alias(s) for s, fn in stats.items()])
+def per_column_long(long: DataFrame, stats: StatSQL) -> DataFrame:
+    return long.groupBy("ordinal", "column").agg(
+        *[F.expr(t.format(v="value")).alias(s) for s, t in stats.items()])
 
 
-def _empty(df: DataFrame, stats: StatFns) -> DataFrame:
+def _empty(df: DataFrame, stats: StatSQL) -> DataFrame:
     probe = df.limit(0).agg(F.lit(0).alias("ordinal"), F.lit("").alias("column"),
-                            *[fn(F.lit(None).cast("double")).alias(s) for s, fn in stats.items()])
+                            *[F.expr(t.format(v="cast(null as double)")).alias(s) for s, t in stats.items()])
     return probe.limit(0)
-
-
-def one_row(df: DataFrame) -> DataFrame:
-    """Mark a one-row result as tiny so joins against it broadcast."""
-    return F.broadcast(df)

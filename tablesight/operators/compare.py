@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clean_numeric, numeric_columns
+from ..functions.columns import numeric_columns, sql_clean_numeric
 from .common import per_column
 from .profile import dataset_stats
 
@@ -35,9 +35,8 @@ def common_numeric(a: DataFrame, b: DataFrame) -> list[str]:
 
 def _side(df: DataFrame, cols: list[str], k: int) -> DataFrame:
     types = {f.name: f.dataType for f in df.schema.fields}
-    st = per_column(df, cols, lambda c: clean_numeric(c, types[c]), {
-        "mean": lambda v: F.avg(v), "std": lambda v: F.stddev_samp(v),
-        "missing": lambda v: F.count_if(v.isNull())})
+    st = per_column(df, cols, lambda c: sql_clean_numeric(c, types[c]), {
+        "mean": "avg({v})", "std": "stddev_samp({v})", "missing": "count_if({v} IS NULL)"})
     return st.select("column", F.col("mean").alias(f"mean_{k}"), F.col("std").alias(f"std_{k}"),
                      F.col("missing").cast("long").alias(f"missing_{k}"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
-    categorical_columns, clean_numeric, col, datetime_columns, is_missing, numeric_columns,
+    categorical_columns, clean_numeric, col, datetime_columns, is_missing, numeric_columns, sql_clean_numeric,
 )
 from .charts import _bin
 from .quantiles import quantiles
@@ -58,7 +58,7 @@ def bins(df: DataFrame, column: str, k: int = 10, method: str = "width", exact:
                   .withColumn(f"{column}_bin", _bin(v, F.col("_lo"), F.col("_hi"), k))
                   .drop("_lo", "_hi"))
     probs = [i / k for i in range(1, k)]
-    cuts = quantiles(unpivot(df, [column], lambda c: v), probs, exact=exact).select(
+    cuts = quantiles(unpivot(df, [column], lambda c: sql_clean_numeric(c, types[c])), probs, exact=exact).select(
         F.col("quantiles").alias("_cuts"))
     idx = F.size(F.filter(F.col("_cuts"), lambda x: x <= v))
     return (df.crossJoin(F.broadcast(cuts))
@@ -106,13 +106,13 @@ def feature_candidates(df: DataFrame, skew: float = 1.0, max_groups: int = 50,
       at most ``max_groups`` values.
     Expressions are Spark SQL usable in ``selectExpr``.
     """
-    from ..functions.stats import adjusted_skewness
+    from ..functions.stats import SKEWNESS_SQL
     from .common import per_column
     from .report import report_variables
     types = {f.name: f.dataType for f in df.schema.fields}
     num = numeric_columns(df)
-    st = per_column(df, num, lambda c: clean_numeric(c, types[c]),
-                    {"mn": lambda v: F.min(v), "sk": adjusted_skewness}) if num else None
+    st = per_column(df, num, lambda c: sql_clean_numeric(c, types[c]),
+                    {"mn": "min({v})", "sk": SKEWNESS_SQL}) if num else None
     var = report_variables(df)
     q = lambda c: "`" + c + "`"
     rows = []

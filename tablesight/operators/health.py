@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
-    categorical_columns, classify, clean_numeric, col, datetime_columns, epoch_micros, is_missing,
-    numeric_columns,
+    categorical_columns, classify, col, datetime_columns, epoch_micros, is_missing, numeric_columns,
+    sql_clean_numeric,
 )
-from ..functions.stats import adjusted_skewness, safe_corr
+from ..functions.stats import SKEWNESS_SQL, corr_sql
 from .common import per_column
 from .profile import dataset_stats, missing_counts
 from .report import report_variables
@@ -41,7 +41,7 @@ def health_missing(df: DataFrame, warn: float = DEFAULTS["missing_warn"],
 def health_skew(df: DataFrame, threshold: float = DEFAULTS["skew"]) -> DataFrame:
     """``(column, skewness)`` for numeric columns with |adjusted skewness| above threshold."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    st = per_column(df, numeric_columns(df), lambda c: clean_numeric(c, types[c]), {"skewness": adjusted_skewness})
+    st = per_column(df, numeric_columns(df), lambda c: sql_clean_numeric(c, types[c]), {"skewness": SKEWNESS_SQL})
     return st.filter(F.abs("skewness") > threshold).select("column", "skewness")
 
 
@@ -85,9 +85,9 @@ def health_leakage(df: DataFrame, target: str, corr: float = DEFAULTS["leak_corr
         regression = seen.count() > class_max_distinct
     if regression:
         num = [c for c in feats if c in numeric_columns(df)]
-        t = clean_numeric(target, types[target])
-        st = per_column(df, num, lambda c: F.struct(clean_numeric(c, types[c]).alias("x"), t.alias("y")),
-                        {"value": lambda s: safe_corr(s["x"], s["y"])})
+        t = sql_clean_numeric(target, types[target])
+        st = per_column(df, num, lambda c: f"named_struct('x', {sql_clean_numeric(c, types[c])}, 'y', {t})",
+                        {"value": corr_sql("{v}.x", "{v}.y")})
         return st.filter(F.abs("value") >= corr).select("column", F.lit("abs_corr").alias("measure"),
                                                         F.abs("value").alias("value"))
     ids = _identifiers(df.select(*[col(c) for c in feats]), id_ratio).filter(F.col("distinct_ratio") >= id_ratio)

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import (
-    as_text, categorical_columns, clean_numeric, col, column_class, comparable,
-    datetime_columns, epoch_micros, from_epoch_micros, is_missing, non_numeric_columns,
-    numeric_columns,
+    categorical_columns, col, column_class, comparable, datetime_columns, from_epoch_micros, is_missing,
+    non_numeric_columns, numeric_columns, sql_as_text, sql_clean_numeric, sql_col, sql_epoch_micros,
+    sql_is_missing,
 )
 from ..functions.stats import logical_width
 from .common import per_column, unpivot
@@ -48,8 +48,7 @@ def schema_table(df: DataFrame) -> DataFrame:
 def missing_counts(df: DataFrame) -> DataFrame:
     """``(ordinal, column, missing)`` for every column, one scan."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    out = per_column(df, df.columns, lambda c: is_missing(c, types[c]),
-                     {"missing": lambda v: F.count_if(v)})
+    out = per_column(df, df.columns, lambda c: sql_is_missing(c, types[c]), {"missing": "count_if({v})"})
     return out.select("ordinal", "column", F.col("missing").cast("long").alias("missing"))
 
 
@@ -109,27 +108,22 @@ def duplicate_groups(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
 
 # ---------------------------------------------------------------- size
 
-def _size_expr(name: str, dt: T.DataType) -> Column:
-    w = logical_width(dt)
-    if w is not None:
-        return F.lit(w).cast("long")
+def _size_sql(name: str, dt: T.DataType) -> str:
+    c = sql_col(name)
     if isinstance(dt, T.StringType):
-        return F.coalesce(F.octet_length(col(name)), F.lit(0)).cast("long")
+        return f"coalesce(octet_length({c}), 0)"
     if isinstance(dt, T.BinaryType):
-        return F.coalesce(F.length(col(name)), F.lit(0)).cast("long")
+        return f"coalesce(length({c}), 0)"
     if isinstance(dt, T.ArrayType) and logical_width(dt.elementType) is not None:
-        return F.coalesce(F.size(col(name)) * logical_width(dt.elementType), F.lit(0)).cast("long")
-    return F.coalesce(F.octet_length(F.to_json(col(name))), F.lit(0)).cast("long")
+        return f"coalesce(size({c}) * {logical_width(dt.elementType)}, 0)"
+    return f"coalesce(octet_length(to_json({c})), 0)"
 
 
 def _size_total(df: DataFrame) -> Column:
     fixed = sum(logical_width(f.dataType) or 0 for f in df.schema.fields)
-    var = [F.sum(_size_expr(f.name, f.dataType)) for f in df.schema.fields
+    var = [f"coalesce(sum(CAST({_size_sql(f.name, f.dataType)} AS BIGINT)), 0)" for f in df.schema.fields
            if logical_width(f.dataType) is None]
-    total = F.count(F.lit(1)) * F.lit(fixed)
-    for v in var:
-        total = total + F.coalesce(v, F.lit(0))
-    return total.cast("long")
+    return F.expr("CAST(" + " + ".join([f"count(1) * {fixed}"] + var) + " AS BIGINT)")
 
 
 def logical_size(df: DataFrame) -> DataFrame:
@@ -149,9 +143,8 @@ def dataset_stats(df: DataFrame, name: str = "") -> DataFrame:
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     ncols = len(df.columns)
-    miss = F.lit(0).cast("long")
-    for c in df.columns:
-        miss = miss + F.count_if(is_missing(c, types[c]))
+    miss = F.expr("CAST(" + " + ".join(["0"] + [f"count_if({sql_is_missing(c, types[c])})" for c in df.columns])
+                  + " AS BIGINT)")
     base = df.agg(F.count(F.lit(1)).alias("rows"), miss.alias("missing_cells"),
                   _size_total(df).alias("_bytes"))
     dup = duplicate_count(df)
@@ -183,8 +176,8 @@ def load_status(df: DataFrame, name: str = "") -> DataFrame:
 def info(df: DataFrame) -> DataFrame:
     """``(ordinal, column, non_null, dtype)`` like ``DataFrame.info``."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    stats = per_column(df, df.columns, lambda c: is_missing(c, types[c]),
-                       {"missing": lambda v: F.count_if(v), "rows": lambda v: F.count(F.lit(1))})
+    stats = per_column(df, df.columns, lambda c: sql_is_missing(c, types[c]),
+                       {"missing": "count_if({v})", "rows": "count(1)"})
     return stats.join(F.broadcast(schema_table(df)), ["ordinal", "column"]).select(
         "ordinal", "column", (F.col("rows") - F.col("missing")).cast("long").alias("non_null"), "dtype")
 
@@ -206,10 +199,9 @@ def describe_numeric(df: DataFrame, exact: bool = True, cols: Sequence[str] | No
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = list(cols) if cols is not None else numeric_columns(df)
-    val = lambda c: clean_numeric(c, types[c])
-    moments = per_column(df, cols, val, {
-        "count": lambda v: F.count(v), "mean": lambda v: F.avg(v),
-        "std": lambda v: F.stddev_samp(v), "min": lambda v: F.min(v), "max": lambda v: F.max(v)})
+    val = lambda c: sql_clean_numeric(c, types[c])
+    moments = per_column(df, cols, val, {"count": "count({v})", "mean": "avg({v})", "std": "stddev_samp({v})",
+                                         "min": "min({v})", "max": "max({v})"})
     q = quantiles(unpivot(df, cols, val), QUARTILES, exact=exact)
     return (moments.join(q, ["ordinal", "column"], "left")
                    .select("ordinal", "column", F.col("count").cast("long").alias("count"),
@@ -225,8 +217,8 @@ def value_frequencies(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = list(cols) if cols is not None else df.columns
 
-    def text(c: str) -> Column:
-        return F.when(~is_missing(c, types[c]), as_text(c, types[c]))
+    def text(c: str) -> str:
+        return f"CASE WHEN NOT {sql_is_missing(c, types[c])} THEN {sql_as_text(c, types[c])} END"
 
     return (unpivot(df, cols, text).groupBy("ordinal", "column", "value")
               .agg(F.count(F.lit(1)).alias("n")))
@@ -258,9 +250,8 @@ def describe_datetime(df: DataFrame, exact: bool = True, cols: Sequence[str] | N
     relative to the minimum so the sum stays exact."""
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = list(cols) if cols is not None else datetime_columns(df)
-    um = lambda c: epoch_micros(c, types[c])
-    mom = per_column(df, cols, um, {
-        "count": lambda v: F.count(v), "min": lambda v: F.min(v), "max": lambda v: F.max(v)})
+    um = lambda c: sql_epoch_micros(c, types[c])
+    mom = per_column(df, cols, um, {"count": "count({v})", "min": "min({v})", "max": "max({v})"})
     # mean = min + avg(x - min): second pass against the broadcast minimum.
     mins = mom.select("ordinal", "column", F.col("min").alias("_m"))
     long = unpivot(df, cols, um)

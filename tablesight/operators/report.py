@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
-    categorical_columns, classify, clean_numeric, col, datetime_columns, epoch_micros, from_epoch_micros,
-    numeric_columns,
+    categorical_columns, classify, datetime_columns, from_epoch_micros, numeric_columns, sql_as_text,
+    sql_clean_numeric, sql_epoch_micros, sql_is_missing,
 )
-from ..functions.stats import adjusted_kurtosis, adjusted_skewness
+from ..functions.stats import KURTOSIS_SQL, SKEWNESS_SQL
 from .charts import histograms
 from .common import per_column, unpivot
 from .profile import dataset_stats, duplicate_count, value_frequencies
@@ -30,7 +30,7 @@ REPORT_QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 def _num(df: DataFrame):
     types = {f.name: f.dataType for f in df.schema.fields}
-    return numeric_columns(df), (lambda c: clean_numeric(c, types[c]))
+    return numeric_columns(df), (lambda c: sql_clean_numeric(c, types[c]))
 
 
 def report_overview(df: DataFrame) -> DataFrame:
@@ -54,10 +54,10 @@ def report_variables(df: DataFrame, exact: bool = True, freqs: DataFrame | None
     uses ``approx_count_distinct`` (one scan, no shuffle of values)."""
     if not exact:
         types = {f.name: f.dataType for f in df.schema.fields}
-        from ..functions.columns import is_missing
-        st = per_column(df, df.columns, lambda c: F.struct(is_missing(c, types[c]).alias("m"), col(c).alias("v")),
-                        {"distinct": lambda s: F.approx_count_distinct(F.when(~s["m"], s["v"])),
-                         "missing": lambda s: F.count_if(s["m"]), "rows": lambda s: F.count(F.lit(1))})
+        val = lambda c: (f"named_struct('m', {sql_is_missing(c, types[c])}, "
+                         f"'v', {sql_as_text(c, types[c])})")
+        st = per_column(df, df.columns, val, {"distinct": "approx_count_distinct(CASE WHEN NOT {v}.m THEN {v}.v END)",
+                                             "missing": "count_if({v}.m)", "rows": "count(1)"})
     else:
         vf = freqs if freqs is not None else value_frequencies(df)
         st = vf.groupBy("ordinal", "column").agg(
@@ -76,11 +76,9 @@ def report_numeric(df: DataFrame) -> DataFrame:
     negative, negative_pct, min, max, mean, sum)``; % over rows."""
     cols, val = _num(df)
     st = per_column(df, cols, val, {
-        "rows": lambda v: F.count(F.lit(1)),
-        "infinite": lambda v: F.count_if(F.abs(v) == float("inf")),
-        "zeros": lambda v: F.count_if(v == 0), "negative": lambda v: F.count_if(v < 0),
-        "min": lambda v: F.min(v), "max": lambda v: F.max(v), "mean": lambda v: F.avg(v),
-        "sum": lambda v: F.sum(v)})
+        "rows": "count(1)", "infinite": "count_if(abs({v}) = double('inf'))",
+        "zeros": "count_if({v} = 0)", "negative": "count_if({v} < 0)",
+        "min": "min({v})", "max": "max({v})", "mean": "avg({v})", "sum": "sum({v})"})
     pct = lambda c: F.try_divide(F.col(c) * 100.0, F.col("rows")).alias(f"{c}_pct")
     return st.select("ordinal", "column",
                      F.col("infinite").cast("long").alias("infinite"), pct("infinite"),
@@ -92,7 +90,7 @@ def report_numeric(df: DataFrame) -> DataFrame:
 def report_quantiles(df: DataFrame, exact: bool = True) -> DataFrame:
     """``(ordinal, column, p5, p25, p50, p75, p95, range, iqr)``."""
     cols, val = _num(df)
-    mm = per_column(df, cols, val, {"min": lambda v: F.min(v), "max": lambda v: F.max(v)})
+    mm = per_column(df, cols, val, {"min": "min({v})", "max": "max({v})"})
     q = quantiles(unpivot(df, cols, val), REPORT_QUANTILES, exact=exact)
     names = ["p5", "p25", "p50", "p75", "p95"]
     return (mm.join(q, ["ordinal", "column"], "left")
@@ -107,9 +105,8 @@ def report_moments(df: DataFrame) -> DataFrame:
     kurtosis."""
     cols, val = _num(df)
     st = per_column(df, cols, val, {
-        "mean": lambda v: F.avg(v), "std": lambda v: F.stddev_samp(v),
-        "variance": lambda v: F.var_samp(v), "skewness": adjusted_skewness,
-        "kurtosis": adjusted_kurtosis})
+        "mean": "avg({v})", "std": "stddev_samp({v})", "variance": "var_samp({v})",
+        "skewness": SKEWNESS_SQL, "kurtosis": KURTOSIS_SQL})
     return st.select("ordinal", "column", "mean", "std", "variance",
                      F.try_divide(F.col("std"), F.col("mean")).alias("cv"), "skewness", "kurtosis")
 
@@ -168,8 +165,8 @@ def report_histograms(df: DataFrame, bins: int = 30) -> DataFrame:
 def report_datetime(df: DataFrame) -> DataFrame:
     """``(ordinal, column, min, max, range_micros)`` per datetime column."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    st = per_column(df, datetime_columns(df), lambda c: epoch_micros(c, types[c]),
-                    {"min": lambda v: F.min(v), "max": lambda v: F.max(v)})
+    st = per_column(df, datetime_columns(df), lambda c: sql_epoch_micros(c, types[c]),
+                    {"min": "min({v})", "max": "max({v})"})
     return st.select("ordinal", "column", from_epoch_micros(F.col("min")).alias("min"),
                      from_epoch_micros(F.col("max")).alias("max"),
                      (F.col("max") - F.col("min")).cast("long").alias("range_micros"))
