@@ -246,23 +246,20 @@ def describe_categorical(df: DataFrame, cols: Sequence[str] | None = None,
 
 def describe_datetime(df: DataFrame, exact: bool = True, cols: Sequence[str] | None = None) -> DataFrame:
     """``(ordinal, column, count, mean, min, p25, p50, p75, max)`` as
-    zone-less timestamps. Computed on epoch microseconds; the mean is taken
-    relative to the minimum so the sum stays exact."""
+    zone-less timestamps. Computed on epoch microseconds; the mean is an
+    exact integer sum divided by the count (floored to a microsecond)."""
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = list(cols) if cols is not None else datetime_columns(df)
     um = lambda c: sql_epoch_micros(c, types[c])
-    mom = per_column(df, cols, um, {"count": "count({v})", "min": "min({v})", "max": "max({v})"})
-    # mean = min + avg(x - min): second pass against the broadcast minimum.
-    mins = mom.select("ordinal", "column", F.col("min").alias("_m"))
+    # exact mean: integer sum in decimal(38, 0), floored by integer division
+    mom = per_column(df, cols, um, {"count": "count({v})", "min": "min({v})", "max": "max({v})",
+                                    "mean": "sum(CAST({v} AS DECIMAL(38, 0))) div count({v})"})
     long = unpivot(df, cols, um)
-    rel = (long.join(F.broadcast(mins), ["ordinal", "column"])
-               .groupBy("ordinal", "column")
-               .agg(F.avg((F.col("value") - F.col("_m")).cast("double")).alias("_rel")))
     q = quantiles(long, QUARTILES, exact=exact)
     ts = lambda c: from_epoch_micros(F.floor(c))
-    return (mom.join(rel, ["ordinal", "column"], "left").join(q, ["ordinal", "column"], "left")
+    return (mom.join(q, ["ordinal", "column"], "left")
                .select("ordinal", "column", F.col("count").cast("long").alias("count"),
-                       ts(F.col("min") + F.col("_rel")).alias("mean"), ts(F.col("min")).alias("min"),
+                       ts(F.col("mean")).alias("mean"), ts(F.col("min")).alias("min"),
                        ts(F.col("quantiles")[0]).alias("p25"), ts(F.col("quantiles")[1]).alias("p50"),
                        ts(F.col("quantiles")[2]).alias("p75"), ts(F.col("max")).alias("max")))
 

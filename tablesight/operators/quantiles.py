@@ -6,7 +6,7 @@ single task, which does not survive a column with billions of distinct
 values. Here the work is spread instead:
 
 1. distinct values with counts per group (partial aggregation, so a hot value
-   costs one row), written once to the checkpoint folder;
+   costs one row), written once to the checkpoint folder unless small;
 2. per group the total count and the number of distinct values (one small
    row per group, read on the driver to size the plan);
 3. groups with more than ``max_per_task`` distinct values are cut into range
@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import reuse
 
 MAX_PER_TASK = 2_000_000
 MAX_BUCKETS = 4096
@@ -57,47 +57,45 @@ def quantiles(long: DataFrame, probs: Sequence[float], keys: Sequence[str] = ("o
     if not exact:
         return v.groupBy(*keys).agg(F.percentile_approx("v", probs, accuracy).alias("quantiles"))
 
-    vc = materialize(v.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n")), "quantile-values")
+    vc = reuse(v.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n")), "quantile-values")
     meta = vc.groupBy(*keys).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"))
     widest = meta.agg(F.max("distinct")).first()[0] or 0
     nb = min(MAX_BUCKETS, max(1, math.ceil(widest / max_per_task)))
 
+    # ranks (1-based) around h = (total - 1) * p, per group and prob (small)
+    pa = F.array(*[F.lit(p) for p in probs])
+    tg = (meta.select(*keys, "total", F.posexplode(pa).alias("pi", "p"))
+              .withColumn("h", (F.col("total") - 1) * F.col("p"))
+              .select(*keys, "pi", (F.col("h") - F.floor("h")).alias("frac"),
+                      (F.floor("h").cast("long") + 1).alias("r1"), (F.ceil("h").cast("long") + 1).alias("r2")))
+
     if nb > 1:
         cuts = [i / nb for i in range(1, nb)]
         bounds = vc.groupBy(*keys).agg(F.percentile_approx("v", cuts, max(accuracy, 4 * nb)).alias("bounds"))
         vb = (vc.join(F.broadcast(bounds), keys)
                 .select(*keys, "v", "n", _bucket_of("bounds", "v", len(cuts)).alias("bucket")))
+        # running offsets of the buckets (at most nb rows per group)
+        tot = vb.groupBy(*keys, "bucket").agg(F.sum("n").alias("bn"))
+        wk = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+        tot = tot.withColumn("b_start", F.sum("bn").over(wk) - F.col("bn"))
+        ranks = tg.select(*keys, F.explode(F.array("r1", "r2")).alias("r"))
+        want = (ranks.join(F.broadcast(tot), keys)
+                     .filter((F.col("r") > F.col("b_start")) & (F.col("r") <= F.col("b_start") + F.col("bn")))
+                     .select(*keys, "bucket", "b_start").distinct())
+        sel = vb.join(F.broadcast(want), keys + ["bucket"])
+        part = keys + ["bucket"]
     else:
-        vb = vc.withColumn("bucket", F.lit(0))
-
-    # running offsets of the buckets (at most nb rows per group)
-    tot = vb.groupBy(*keys, "bucket").agg(F.sum("n").alias("bn"))
-    wk = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    tot = tot.withColumn("b_end", F.sum("bn").over(wk)).withColumn("b_start", F.col("b_end") - F.col("bn"))
-
-    # ranks (1-based) around h = (total - 1) * p
-    pa = F.array(*[F.lit(p) for p in probs])
-    tg = (meta.select(*keys, "total", F.posexplode(pa).alias("pi", "p"))
-              .withColumn("h", (F.col("total") - 1) * F.col("p"))
-              .withColumn("frac", F.col("h") - F.floor("h"))
-              .withColumn("r1", F.floor("h").cast("long") + 1)
-              .withColumn("r2", F.ceil("h").cast("long") + 1))
-    ranks = tg.select(*keys, F.explode(F.array("r1", "r2")).alias("r")).distinct()
-    rb = (ranks.join(F.broadcast(tot), keys)
-               .filter((F.col("r") > F.col("b_start")) & (F.col("r") <= F.col("b_end")))
-               .select(*keys, "r", "bucket", "b_start"))
-
-    sel = vb.join(F.broadcast(rb.select(*keys, "bucket", "b_start").distinct()), keys + ["bucket"])
-    wv = Window.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        sel = vc.withColumn("b_start", F.lit(0).cast("long"))
+        part = keys
+    wv = Window.partitionBy(*part).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     sel = (sel.withColumn("v_end", F.col("b_start") + F.sum("n").over(wv))
-              .withColumn("v_start", F.col("v_end") - F.col("n")))
-    at = (sel.join(F.broadcast(rb.select(*keys, "r", "bucket")), keys + ["bucket"])
-             .filter((F.col("r") > F.col("v_start")) & (F.col("r") <= F.col("v_end")))
-             .select(*keys, "r", "v"))
-
-    a1 = at.withColumnRenamed("r", "r1").withColumnRenamed("v", "v1")
-    a2 = at.withColumnRenamed("r", "r2").withColumnRenamed("v", "v2")
-    q = (tg.join(a1, keys + ["r1"]).join(a2, keys + ["r2"])
-           .select(*keys, "pi", (F.col("v1") + (F.col("v2") - F.col("v1")) * F.col("frac")).alias("q")))
+              .select(*keys, "v", "v_end", (F.col("v_end") - F.col("n")).alias("v_start")))
+
+    inside = lambda r: (F.col(r) > F.col("v_start")) & (F.col(r) <= F.col("v_end"))
+    hits = (sel.join(F.broadcast(tg), keys).filter(inside("r1") | inside("r2"))
+               .groupBy(*keys, "pi", "frac")
+               .agg(F.max(F.when(inside("r1"), F.col("v"))).alias("v1"),
+                    F.max(F.when(inside("r2"), F.col("v"))).alias("v2")))
+    q = hits.select(*keys, "pi", (F.col("v1") + (F.col("v2") - F.col("v1")) * F.col("frac")).alias("q"))
     return q.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pi", "q"))), lambda s: s["q"]).alias("quantiles"))

@@ -68,3 +68,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (from file sizes and operator
+    statistics); no job runs."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - estimate unavailable: assume large
+        return 1 << 62
+
+
+def reuse(df: DataFrame, name: str, recompute_below: int = 256 << 20) -> DataFrame:
+    """A plan read several times downstream: small inputs are simply
+    recomputed; larger ones are written once with ``materialize``."""
+    return df if estimated_bytes(df) < recompute_below else materialize(df, name)
