@@ -6,7 +6,9 @@ single task, which does not survive a column with billions of distinct
 values. Here the work is spread instead:
 
 1. distinct values with counts per group (partial aggregation, so a hot value
-   costs one row), written once to the checkpoint folder unless small;
+   costs one row); when Catalyst estimates this table below
+   ``one_task_bytes`` it is ranked in a single window pass (no step 2-4),
+   otherwise it is written once to the checkpoint folder;
 2. per group the total count and the number of distinct values (one small
    row per group, read on the driver to size the plan);
 3. groups with more than ``max_per_task`` distinct values are cut into range
@@ -25,10 +27,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import reuse
+from ..session import estimated_bytes, reuse
 
 MAX_PER_TASK = 2_000_000
 MAX_BUCKETS = 4096
+ONE_TASK_BYTES = 256 << 20  # distinct-value tables estimated below this rank in one pass
 
 
 def _bucket_of(bounds: str, value: str, nb: int) -> F.Column:
@@ -43,9 +46,33 @@ def _bucket_of(bounds: str, value: str, nb: int) -> F.Column:
                        ELSE named_struct('lo', s.lo, 'hi', {mid}) END).lo""")
 
 
+def _one_pass(vc: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    # Small inputs: one window per group gives each distinct value's rank
+    # range and the group total in the same pass; rows holding a wanted rank
+    # are picked with array functions, no join.
+    w = Window.partitionBy(*keys).orderBy("v")
+    run = (vc.withColumn("v_end", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+             .withColumn("total", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+             .withColumn("v_start", F.col("v_end") - F.col("n")))
+    plist = ", ".join(f"named_struct('pi', {i}, 'p', CAST({p!r} AS DOUBLE))" for i, p in enumerate(probs))
+    hits = run.selectExpr(*keys, "v", f"""filter(transform(array({plist}), x -> named_struct(
+        'pi', x.pi, 'frac', (total - 1) * x.p - floor((total - 1) * x.p),
+        'r1', CAST(floor((total - 1) * x.p) AS BIGINT) + 1, 'r2', CAST(ceil((total - 1) * x.p) AS BIGINT) + 1,
+        'v_start', v_start, 'v_end', v_end)),
+      h -> (h.r1 > h.v_start AND h.r1 <= h.v_end) OR (h.r2 > h.v_start AND h.r2 <= h.v_end)) AS hits""")
+    h = hits.select(*keys, "v", F.explode("hits").alias("h"))
+    inside = lambda r: (F.col(f"h.{r}") > F.col("h.v_start")) & (F.col(f"h.{r}") <= F.col("h.v_end"))
+    pick = (h.groupBy(*keys, F.col("h.pi").alias("pi"), F.col("h.frac").alias("frac"))
+             .agg(F.max(F.when(inside("r1"), F.col("v"))).alias("v1"),
+                  F.max(F.when(inside("r2"), F.col("v"))).alias("v2")))
+    q = pick.select(*keys, "pi", (F.col("v1") + (F.col("v2") - F.col("v1")) * F.col("frac")).alias("q"))
+    return q.groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pi", "q"))), lambda s: s["q"]).alias("quantiles"))
+
+
 def quantiles(long: DataFrame, probs: Sequence[float], keys: Sequence[str] = ("ordinal", "column"),
               value: str = "value", exact: bool = True, max_per_task: int = MAX_PER_TASK,
-              accuracy: int = 10000) -> DataFrame:
+              accuracy: int = 10000, one_task_bytes: int = ONE_TASK_BYTES) -> DataFrame:
     """``(keys..., quantiles array<double>)``, one array entry per prob.
 
     ``long`` holds one row per observation; nulls are skipped. Groups with no
@@ -57,7 +84,10 @@ def quantiles(long: DataFrame, probs: Sequence[float], keys: Sequence[str] = ("o
     if not exact:
         return v.groupBy(*keys).agg(F.percentile_approx("v", probs, accuracy).alias("quantiles"))
 
-    vc = reuse(v.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n")), "quantile-values")
+    vc = v.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
+    if estimated_bytes(vc) <= one_task_bytes:
+        return _one_pass(vc, keys, probs)
+    vc = reuse(vc, "quantile-values")
     meta = vc.groupBy(*keys).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"))
     widest = meta.agg(F.max("distinct")).first()[0] or 0
     nb = min(MAX_BUCKETS, max(1, math.ceil(widest / max_per_task)))
