@@ -68,11 +68,13 @@ def per_column(df: DataFrame, cols: Sequence[str], value: Callable[[str], str],
     return per_column_long(unpivot(df, cols, value), stats)
 
 
-def unpivot(df: DataFrame, cols: Sequence[str], value: Callable[[str], str]) -> DataFrame:
+def unpivot(df: DataFrame, cols: Sequence[str], value: Callable[[str], str], names: bool = True) -> DataFrame:
     """``(ordinal, column, value)`` rows, one per cell of ``cols``; the values
-    of all columns must share one type."""
+    of all columns must share one type. ``names=False`` leaves out the column
+    name (an integer key groups faster than a string)."""
     pos = {n: i for i, n in enumerate(df.columns)}
-    cells = ", ".join(f"struct({pos[c]} as ordinal, {lit(c)} as column, {value(c)} as value)" for c in cols)
+    name = (lambda c: f"{lit(c)} as column, ") if names else (lambda c: "")
+    cells = ", ".join(f"struct({pos[c]} as ordinal, {name(c)}{value(c)} as value)" for c in cols)
     return df.selectExpr(f"inline(array({cells}))")
 
 
@@ -81,6 +83,12 @@ def per_column_long(long: DataFrame, stats: StatSQL) -> DataFrame:
         *[F.expr(t.format(v="value")).alias(s) for s, t in stats.items()])
 
 
+def column_names(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Small ``(ordinal, column)`` table for re-attaching names."""
+    pos = {n: i for i, n in enumerate(df.columns)}
+    return df.sparkSession.createDataFrame([(pos[c], c) for c in cols], "ordinal int, column string")
+
+
 def _empty(df: DataFrame, stats: StatSQL) -> DataFrame:
     probe = df.limit(0).agg(F.lit(0).alias("ordinal"), F.lit("").alias("column"),
                             *[F.expr(t.format(v="cast(null as double)")).alias(s) for s, t in stats.items()])

@@ -58,7 +58,8 @@ def bins(df: DataFrame, column: str, k: int = 10, method: str = "width", exact:
                   .withColumn(f"{column}_bin", _bin(v, F.col("_lo"), F.col("_hi"), k))
                   .drop("_lo", "_hi"))
     probs = [i / k for i in range(1, k)]
-    cuts = quantiles(unpivot(df, [column], lambda c: sql_clean_numeric(c, types[c])), probs, exact=exact).select(
+    cuts = quantiles(unpivot(df, [column], lambda c: sql_clean_numeric(c, types[c]), names=False), probs,
+                     keys=["ordinal"], exact=exact).select(
         F.col("quantiles").alias("_cuts"))
     idx = F.size(F.filter(F.col("_cuts"), lambda x: x <= v))
     return (df.crossJoin(F.broadcast(cuts))

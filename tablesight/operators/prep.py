@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import clean_numeric, col, is_missing, numeric_columns, sql_clean_numeric
-from .common import unpivot
+from .common import column_names, unpivot
 from .profile import value_frequencies
 from .quantiles import quantiles
 from .report import top_per_column
@@ -33,7 +33,8 @@ def fill_values(df: DataFrame, strategy: str = "mean", cols: Sequence[str] | Non
     if num and strategy == "mean":
         parts.append(df.agg(*[F.avg(clean_numeric(c, types[c])).alias(c) for c in num]))
     elif num and strategy == "median":
-        q = quantiles(unpivot(df, num, lambda c: sql_clean_numeric(c, types[c])), [0.5], exact=exact)
+        q = quantiles(unpivot(df, num, lambda c: sql_clean_numeric(c, types[c]), names=False), [0.5],
+                      keys=["ordinal"], exact=exact).join(F.broadcast(column_names(df, num)), "ordinal")
         parts.append(q.groupBy().pivot("column", num).agg(F.first(F.col("quantiles")[0])))
     elif num:
         other = other + num

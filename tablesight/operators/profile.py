@@ -202,8 +202,8 @@ def describe_numeric(df: DataFrame, exact: bool = True, cols: Sequence[str] | No
     val = lambda c: sql_clean_numeric(c, types[c])
     moments = per_column(df, cols, val, {"count": "count({v})", "mean": "avg({v})", "std": "stddev_samp({v})",
                                          "min": "min({v})", "max": "max({v})"})
-    q = quantiles(unpivot(df, cols, val), QUARTILES, exact=exact)
-    return (moments.join(q, ["ordinal", "column"], "left")
+    q = quantiles(unpivot(df, cols, val, names=False), QUARTILES, keys=["ordinal"], exact=exact)
+    return (moments.join(q, "ordinal", "left")
                    .select("ordinal", "column", F.col("count").cast("long").alias("count"),
                            "mean", "std", "min",
                            F.col("quantiles")[0].alias("p25"), F.col("quantiles")[1].alias("p50"),
@@ -254,10 +254,10 @@ def describe_datetime(df: DataFrame, exact: bool = True, cols: Sequence[str] | N
     # exact mean: integer sum in decimal(38, 0), floored by integer division
     mom = per_column(df, cols, um, {"count": "count({v})", "min": "min({v})", "max": "max({v})",
                                     "mean": "sum(CAST({v} AS DECIMAL(38, 0))) div count({v})"})
-    long = unpivot(df, cols, um)
-    q = quantiles(long, QUARTILES, exact=exact)
+    long = unpivot(df, cols, um, names=False)
+    q = quantiles(long, QUARTILES, keys=["ordinal"], exact=exact)
     ts = lambda c: from_epoch_micros(F.floor(c))
-    return (mom.join(q, ["ordinal", "column"], "left")
+    return (mom.join(q, "ordinal", "left")
                .select("ordinal", "column", F.col("count").cast("long").alias("count"),
                        ts(F.col("mean")).alias("mean"), ts(F.col("min")).alias("min"),
                        ts(F.col("quantiles")[0]).alias("p25"), ts(F.col("quantiles")[1]).alias("p50"),
@@ -266,12 +266,13 @@ def describe_datetime(df: DataFrame, exact: bool = True, cols: Sequence[str] | N
 
 def describe(df: DataFrame, exact: bool = True) -> DataFrame:
     """Combined long table (``describe(include='all')``), one row per column;
-    statistics that do not apply are null. Timestamps shown as text."""
+    statistics that do not apply are null. Datetime statistics are text
+    (``yyyy-MM-dd HH:mm:ss.ffffff``) in the ``*_ts`` columns."""
     num = describe_numeric(df, exact=exact)
     cat = describe_categorical(df)
     dtm = describe_datetime(df, exact=exact)
     dtm = dtm.select("ordinal", "column", "count",
-                     *[F.col(c).cast("string").alias(f"{c}_ts") for c in
+                     *[F.date_format(F.col(c), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(f"{c}_ts") for c in
                        ("mean", "min", "p25", "p50", "p75", "max")])
     out = num.unionByName(cat, allowMissingColumns=True).unionByName(dtm, allowMissingColumns=True)
     return out.select("ordinal", "column", "count", "unique", "top", "freq", "mean", "std", "min",

@@ -21,7 +21,7 @@ from ..functions.columns import (
 )
 from ..functions.stats import KURTOSIS_SQL, SKEWNESS_SQL
 from .charts import histograms
-from .common import per_column, unpivot
+from .common import column_names, per_column, unpivot
 from .profile import dataset_stats, duplicate_count, value_frequencies
 from .quantiles import quantiles
 
@@ -91,9 +91,9 @@ def report_quantiles(df: DataFrame, exact: bool = True) -> DataFrame:
     """``(ordinal, column, p5, p25, p50, p75, p95, range, iqr)``."""
     cols, val = _num(df)
     mm = per_column(df, cols, val, {"min": "min({v})", "max": "max({v})"})
-    q = quantiles(unpivot(df, cols, val), REPORT_QUANTILES, exact=exact)
+    q = quantiles(unpivot(df, cols, val, names=False), REPORT_QUANTILES, keys=["ordinal"], exact=exact)
     names = ["p5", "p25", "p50", "p75", "p95"]
-    return (mm.join(q, ["ordinal", "column"], "left")
+    return (mm.join(q, "ordinal", "left")
               .select("ordinal", "column", *[F.col("quantiles")[i].alias(n) for i, n in enumerate(names)],
                       (F.col("max") - F.col("min")).alias("range"),
                       (F.col("quantiles")[3] - F.col("quantiles")[1]).alias("iqr")))
@@ -115,12 +115,14 @@ def report_mad(df: DataFrame, exact: bool = True) -> DataFrame:
     """``(ordinal, column, median, mad)``: median absolute deviation from the
     median; second pass against the broadcast medians."""
     cols, val = _num(df)
-    long = unpivot(df, cols, val)
-    med = quantiles(long, [0.5], exact=exact).select("ordinal", "column", F.col("quantiles")[0].alias("median"))
-    dev = (long.join(F.broadcast(med), ["ordinal", "column"])
-               .select("ordinal", "column", F.abs(F.col("value") - F.col("median")).alias("value")))
-    mad = quantiles(dev, [0.5], exact=exact).select("ordinal", "column", F.col("quantiles")[0].alias("mad"))
-    return med.join(mad, ["ordinal", "column"], "left")
+    long = unpivot(df, cols, val, names=False)
+    med = quantiles(long, [0.5], keys=["ordinal"], exact=exact).select(
+        "ordinal", F.col("quantiles")[0].alias("median"))
+    dev = (long.join(F.broadcast(med), "ordinal")
+               .select("ordinal", F.abs(F.col("value") - F.col("median")).alias("value")))
+    mad = quantiles(dev, [0.5], keys=["ordinal"], exact=exact).select("ordinal", F.col("quantiles")[0].alias("mad"))
+    return (F.broadcast(column_names(df, cols)).join(med, "ordinal", "left").join(mad, "ordinal", "left")
+              .select("ordinal", "column", "median", "mad"))
 
 
 def top_per_column(freqs: DataFrame, k: int, ascending_value: bool = False, by_value: bool = False,

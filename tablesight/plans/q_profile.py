@@ -169,3 +169,38 @@ def drop_missing_one(spark, sf):
             " and o_orderpriority is not null")
 def drop_missing_any(spark, sf):
     return P.drop_missing(T(spark, sf, "dirty_orders"), ["o_totalprice", "o_orderpriority"])
+
+
+def describe_all_sql(t: str) -> str:
+    types = dict(O.SCHEMAS[t])
+    pos = {c: i for i, (c, _) in enumerate(O.SCHEMAS[t])}
+    nulls_num = "null::double as mean, null::double as std, null::double as min, null::double as p25, " \
+                "null::double as p50, null::double as p75, null::double as max"
+    nulls_cat = "null::bigint as unique, null::varchar as top, null::bigint as freq"
+    nulls_ts = ", ".join(f"null::varchar as {c}_ts" for c in ("mean", "min", "p25", "p50", "p75", "max"))
+    parts = []
+    for c in O.numeric(t):
+        v = O.clean(c, types[c])
+        parts.append(f"""select {pos[c]} as ordinal, '{c}' as "column", count(v) as count, {nulls_cat},
+  round(avg(v), 4) as mean, round(stddev_samp(v), 4) as std, round(min(v), 4) as min,
+  round(quantile_cont(v, 0.25), 4) as p25, round(quantile_cont(v, 0.5), 4) as p50,
+  round(quantile_cont(v, 0.75), 4) as p75, round(max(v), 4) as max, {nulls_ts}
+from (select {v} as v from {t})""")
+    for c in O.categorical(t):
+        parts.append(f"""select {pos[c]}, '{c}', cast(sum(n) as bigint), count(*), arg_min(value, (-n, value)), max(n),
+  {', '.join(['null::double'] * 7)}, {', '.join(['null::varchar'] * 6)}
+from (select {O.q(c)} as value, count(*) as n from {t} where {O.q(c)} is not null group by 1)""")
+    fmt = "'%Y-%m-%d %H:%M:%S.%f'"
+    for c in O.datetimes(t):
+        ts = lambda e: f"strftime(make_timestamp(cast(floor({e}) as bigint)), {fmt})"
+        parts.append(f"""select {pos[c]}, '{c}', count(v), null::bigint, null::varchar, null::bigint,
+  {', '.join(['null::double'] * 7)},
+  strftime(make_timestamp(cast(sum(v) // count(v) as bigint)), {fmt}), {ts('min(v)')}, {ts('quantile_cont(v, 0.25)')},
+  {ts('quantile_cont(v, 0.5)')}, {ts('quantile_cont(v, 0.75)')}, {ts('max(v)')}
+from (select epoch_us({O.q(c)}) as v from {t})""")
+    return oracle_from(t) + O.union_all(parts)
+
+
+@register("describe_all", describe_all_sql("dirty_orders"))
+def describe_all(spark, sf):
+    return P.describe(T(spark, sf, "dirty_orders"))
