@@ -183,11 +183,15 @@ def train(df: DataFrame, model_type: str, target: str | None = None, features: S
         n_classes = df.select(target).na.drop().distinct().count()
     else:
         data = data.withColumn(label, col(target).cast("double"))
-    probe = Pipeline(stages=_feature_stages(df, feats, scaled=False)).fit(data.limit(1000))
-    n_features = len(probe.transform(data.limit(1)).first()["features"])
+    train_rows = data.filter("split = 'train'").na.drop(subset=[target])
+    n_features = 0
+    if "mlp" in model_type.lower() or "neural" in model_type.lower():
+        # the network's input width: fit the feature stages on all training rows
+        probe = Pipeline(stages=_feature_stages(df, feats, scaled=False)).fit(train_rows)
+        n_features = len(probe.transform(train_rows.limit(1)).first()["features"])
     est, scaled = _estimator(model_type, kind, n_classes, n_features, seed)
     stages += _feature_stages(df, feats, scaled)
-    model = Pipeline(stages=stages + [est]).fit(data.filter("split = 'train'").na.drop(subset=[target]))
+    model = Pipeline(stages=stages + [est]).fit(train_rows)
     pred = model.transform(data.na.drop(subset=[target]))
     return model, pred.select("split", F.col(label).cast("double").alias("label"),
                               F.col("prediction").cast("double").alias("prediction"))
