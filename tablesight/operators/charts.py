@@ -35,9 +35,13 @@ def correlation(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         cells = ", ".join(f"struct({lit(cols[i])} AS x, {lit(cols[j])} AS y, c{i}_{j} AS corr)" for i, j in pairs)
         half = wide.selectExpr(f"inline(array({cells}))")
     else:
-        cells = ", ".join(f"struct({lit(cols[i])} AS x, {lit(cols[j])} AS y, _{i} AS a, _{j} AS b)" for i, j in pairs)
-        half = (vals.selectExpr(f"inline(array({cells}))").groupBy("x", "y")
-                    .agg(F.expr(corr_sql("a", "b")).alias("corr")))
+        # integer pair keys group faster than name pairs; names are attached after
+        cells = ", ".join(f"struct({k} AS p, _{i} AS a, _{j} AS b)" for k, (i, j) in enumerate(pairs))
+        names = df.sparkSession.createDataFrame([(k, cols[i], cols[j]) for k, (i, j) in enumerate(pairs)],
+                                                "p int, x string, y string")
+        half = (vals.selectExpr(f"inline(array({cells}))").groupBy("p")
+                    .agg(F.expr(corr_sql("a", "b")).alias("corr"))
+                    .join(F.broadcast(names), "p").select("x", "y", "corr"))
     mirror = half.filter(F.col("x") != F.col("y")).select(F.col("y").alias("x"), F.col("x").alias("y"), "corr")
     return half.unionByName(mirror)
 
@@ -94,8 +98,10 @@ def pair_grid(df: DataFrame, k: int = 5, bins: int = 10, cols: Sequence[str] | N
                    *[F.max(col(c)).alias(f"hi{i}") for i, c in enumerate(cols)])
     b = vals.crossJoin(F.broadcast(rng)).select(*[
         _bin(col(c), F.col(f"lo{i}"), F.col(f"hi{i}"), bins).alias(f"b{i}") for i, c in enumerate(cols)])
-    cells = F.array(*[F.struct(F.lit(cols[i]).alias("x"), F.lit(cols[j]).alias("y"),
-                               F.col(f"b{i}").alias("bin_x"), F.col(f"b{j}").alias("bin_y"))
-                      for i in range(len(cols)) for j in range(len(cols))])
-    return b.select(F.inline(cells)).groupBy("x", "y", "bin_x", "bin_y").agg(
+    k = len(cols)
+    cells = ", ".join(f"struct({i * k + j} AS p, b{i} AS bin_x, b{j} AS bin_y)" for i in range(k) for j in range(k))
+    names = df.sparkSession.createDataFrame([(i * k + j, cols[i], cols[j]) for i in range(k) for j in range(k)],
+                                            "p int, x string, y string")
+    counts = b.selectExpr(f"inline(array({cells}))").groupBy("p", "bin_x", "bin_y").agg(
         F.count(F.lit(1)).alias("n"))
+    return counts.join(F.broadcast(names), "p").select("x", "y", "bin_x", "bin_y", "n")

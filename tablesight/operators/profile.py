@@ -19,7 +19,7 @@ from ..functions.columns import (
     sql_is_missing,
 )
 from ..functions.stats import logical_width
-from .common import per_column, unpivot
+from .common import column_names, per_column, unpivot
 from .quantiles import quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -220,8 +220,8 @@ def value_frequencies(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
     def text(c: str) -> str:
         return f"CASE WHEN NOT {sql_is_missing(c, types[c])} THEN {sql_as_text(c, types[c])} END"
 
-    return (unpivot(df, cols, text).groupBy("ordinal", "column", "value")
-              .agg(F.count(F.lit(1)).alias("n")))
+    counts = unpivot(df, cols, text, names=False).groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(F.broadcast(column_names(df, cols)), "ordinal").select("ordinal", "column", "value", "n")
 
 
 def describe_categorical(df: DataFrame, cols: Sequence[str] | None = None,

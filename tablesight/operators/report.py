@@ -152,12 +152,12 @@ def report_extremes(df: DataFrame, k: int = 5) -> DataFrame:
     """``(ordinal, column, side, rank, value, count)``: the ``k`` smallest
     (side 'min') and largest (side 'max') distinct values per numeric column."""
     cols, val = _num(df)
-    vc = (unpivot(df, cols, val).filter(F.col("value").isNotNull())
-              .groupBy("ordinal", "column", "value").agg(F.count(F.lit(1)).alias("n")))
+    vc = (unpivot(df, cols, val, names=False).filter(F.col("value").isNotNull())
+              .groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("column", F.lit(None)))
     lo = top_per_column(vc, k, ascending_value=True, by_value=True).withColumn("side", F.lit("min"))
     hi = top_per_column(vc, k, ascending_value=False, by_value=True).withColumn("side", F.lit("max"))
-    return lo.unionByName(hi).select("ordinal", "column", "side", "rank", "value",
-                                     F.col("n").cast("long").alias("count"))
+    return (lo.unionByName(hi).drop("column").join(F.broadcast(column_names(df, cols)), "ordinal")
+              .select("ordinal", "column", "side", "rank", "value", F.col("n").cast("long").alias("count")))
 
 
 def report_histograms(df: DataFrame, bins: int = 30) -> DataFrame:
