@@ -73,6 +73,9 @@ def unpivot(df: DataFrame, cols: Sequence[str], value: Callable[[str], str], nam
     of all columns must share one type. ``names=False`` leaves out the column
     name (an integer key groups faster than a string)."""
     pos = {n: i for i, n in enumerate(df.columns)}
+    if not cols:  # no such columns: an empty long table
+        return df.limit(0).selectExpr("0 AS ordinal", *(["'' AS column"] if names else []),
+                                      "CAST(NULL AS DOUBLE) AS value")
     name = (lambda c: f"{lit(c)} as column, ") if names else (lambda c: "")
     cells = ", ".join(f"struct({pos[c]} as ordinal, {name(c)}{value(c)} as value)" for c in cols)
     return df.selectExpr(f"inline(array({cells}))")

@@ -204,3 +204,25 @@ from (select epoch_us({O.q(c)}) as v from {t})""")
 @register("describe_all", describe_all_sql("dirty_orders"))
 def describe_all(spark, sf):
     return P.describe(T(spark, sf, "dirty_orders"))
+
+
+@register("numeric_projection", "select " + ", ".join(O.numeric("lineitem")) + " from lineitem")
+def numeric_projection(spark, sf):
+    """The numeric columns of lineitem."""
+    return P.select_numeric(T(spark, sf, "lineitem"))
+
+
+@register("non_numeric_projection", "select " + ", ".join(O.non_numeric("lineitem")) + " from lineitem")
+def non_numeric_projection(spark, sf):
+    """Every column that is not numeric."""
+    return P.select_non_numeric(T(spark, sf, "lineitem"))
+
+
+@register("info_summary", f"""
+select dtype, count(*) as columns, (select cast({O.size_total('orders')} as bigint) from orders) as bytes,
+       (select round(({O.size_total('orders')}) / 1024, 1) from orders) as memory_kb,
+       (select count(*) from orders) as rows
+from (values {', '.join(f"('{ty}')" for _, ty in O.SCHEMAS['orders'])}) t(dtype) group by dtype""")
+def info_summary(spark, sf):
+    """A7 totals: columns per dtype, rows and logical size."""
+    return P.info_summary(T(spark, sf, "orders"))
