@@ -105,3 +105,12 @@ def pair_grid(df: DataFrame, k: int = 5, bins: int = 10, cols: Sequence[str] | N
     counts = b.selectExpr(f"inline(array({cells}))").groupBy("p", "bin_x", "bin_y").agg(
         F.count(F.lit(1)).alias("n"))
     return counts.join(F.broadcast(names), "p").select("x", "y", "bin_x", "bin_y", "n")
+
+
+def scatter_sample(df: DataFrame, k: int = 5, fraction: float = 0.01, seed: int = 42,
+                   cols: Sequence[str] | None = None) -> DataFrame:
+    """Points for the pair plot's scatter cells: a Bernoulli sample (the
+    feature: a sampling operator) of the rows complete in the first ``k``
+    numeric columns."""
+    cols = list(cols) if cols is not None else numeric_columns(df)[:k]
+    return df.select(*[col(c) for c in cols]).na.drop("any").sample(fraction=fraction, seed=seed)

@@ -163,7 +163,34 @@ def infer_types(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 # ---------------------------------------------------------------- JSON
 
-def read_json(spark: SparkSession, path: str, shape: str = "auto") -> DataFrame:
+def is_date_like(name: str) -> bool:
+    """Column names treated as dates in JSON input (pandas' default rule)."""
+    low = name.lower()
+    return (low.endswith("_at") or low.endswith("_time") or low.startswith("timestamp")
+            or low in ("modified", "date", "datetime"))
+
+
+def parse_date_like(df: DataFrame) -> DataFrame:
+    """Text columns with date-like names become timestamps when every present
+    value parses (ISO forms); others are left as they are. One aggregate
+    decides, then one select converts."""
+    cand = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and is_date_like(f.name)]
+    if not cand:
+        return df
+    ok = df.agg(*[F.expr(f"count({col_sql}) = count(try_to_timestamp({col_sql}))").alias(f"_{i}")
+                  for i, col_sql in enumerate("`" + c.replace("`", "``") + "`" for c in cand)]).first()
+    conv = {c for i, c in enumerate(cand) if ok[f"_{i}"]}
+    return df.select(*[F.expr(f"try_to_timestamp(`{c}`)").alias(c) if c in conv else col(c) for c in df.columns])
+
+
+def read_json(spark: SparkSession, path: str, shape: str = "auto", parse_dates: bool = True) -> DataFrame:
+    """See ``_read_json``; text columns with date-like names are parsed as
+    timestamps when all their values parse."""
+    df = _read_json(spark, path, shape)
+    return parse_date_like(df) if parse_dates else df
+
+
+def _read_json(spark: SparkSession, path: str, shape: str = "auto") -> DataFrame:
     """``records`` (one array of objects per file), ``columns`` (one object
     of column -> {index -> value}), or ``lines`` (one object per line, the
     splittable form). ``auto`` looks at each file's first character and

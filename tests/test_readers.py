@@ -87,3 +87,12 @@ def test_write_results_round_trip(spark, tmpdir_path):
     df = spark.createDataFrame([(1, "a")], "k int, v string")
     (p,) = K.write_results({"t": df}, tmpdir_path, "json")
     assert spark.read.json(p).count() == 1
+
+
+def test_json_date_like_columns(spark, tmpdir_path):
+    p = write(os.path.join(tmpdir_path, "d.jsonl"),
+              '{"created_at": "2024-01-02 03:04:05", "note": "2024-01-02", "date": "soon"}\n'
+              '{"created_at": "2024-02-03T00:00:00", "note": "x", "date": "later"}\n')
+    df = S.read_dataset(spark, p)
+    types = dict(df.dtypes)
+    assert types["created_at"] == "timestamp" and types["note"] == "string" and types["date"] == "string"
