@@ -24,6 +24,7 @@ from .charts import histograms
 from .common import column_names, per_column, unpivot
 from .profile import dataset_stats, duplicate_count, value_frequencies
 from .quantiles import quantiles
+from ..session import bounded
 
 REPORT_QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -116,10 +117,14 @@ def report_mad(df: DataFrame, exact: bool = True) -> DataFrame:
     median; second pass against the broadcast medians."""
     cols, val = _num(df)
     long = unpivot(df, cols, val, names=False)
-    med = quantiles(long, [0.5], keys=["ordinal"], exact=exact).select(
-        "ordinal", F.col("quantiles")[0].alias("median"))
-    dev = (long.join(F.broadcast(med), "ordinal")
-               .select("ordinal", F.abs(F.col("value") - F.col("median")).alias("value")))
+    # one median per column: a bounded summary, inlined as literals so the
+    # deviation pass needs no join (and keeps the scan's size estimate)
+    med = bounded(quantiles(long, [0.5], keys=["ordinal"], exact=exact).select(
+        "ordinal", F.col("quantiles")[0].alias("median")), len(cols))
+    m = {r["ordinal"]: r["median"] for r in med.collect()}
+    case = " ".join(f"WHEN {o} THEN CAST('{v!r}' AS DOUBLE)" for o, v in m.items() if v is not None)
+    dev = long.selectExpr("ordinal", f"abs(value - (CASE ordinal {case} END)) AS value" if case
+                          else "CAST(NULL AS DOUBLE) AS value")
     mad = quantiles(dev, [0.5], keys=["ordinal"], exact=exact).select("ordinal", F.col("quantiles")[0].alias("mad"))
     return (F.broadcast(column_names(df, cols)).join(med, "ordinal", "left").join(mad, "ordinal", "left")
               .select("ordinal", "column", "median", "mad"))

@@ -83,3 +83,13 @@ def reuse(df: DataFrame, name: str, recompute_below: int = 256 << 20) -> DataFra
     """A plan read several times downstream: small inputs are simply
     recomputed; larger ones are written once with ``materialize``."""
     return df if estimated_bytes(df) < recompute_below else materialize(df, name)
+
+
+def bounded(df: DataFrame, max_rows: int) -> DataFrame:
+    """A result bounded by construction (one row per column, per class...)
+    turned into a local table, so plans that use it twice do not recompute
+    its lineage. Refuses results larger than ``max_rows``."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"expected at most {max_rows} rows")
+    return df.sparkSession.createDataFrame(rows, df.schema)
