@@ -10,8 +10,6 @@ billions of distinct values never reaches one task whole.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 

@@ -3,7 +3,6 @@ size, info, schema, describe, head, value counts, drops."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..operators import profile as P
 from . import oracle as O

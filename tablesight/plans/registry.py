@@ -15,9 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import round_doubles
-from ..operators import profile as P
 from . import oracle as O
-from .inputs import oracle_from, table
+from .inputs import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
