@@ -117,7 +117,7 @@ def problem_types(spark, sf):
 
 
 @register("recommend_models", oracle_from("classification") + """
-select problem_type, model, row_number() over (partition by problem_type order by pos) as rank
+select problem_type, model, cast(row_number() over (partition by problem_type order by pos) as integer) as rank
 from (values ('classification', 'Random Forest', 0, 2, null), ('classification', 'Boosted Trees', 1, 2, 2),
              ('classification', 'Decision Tree', 2, 3, null), ('classification', 'Logistic Regression', 3, 2, null)
      ) m(problem_type, model, pos, lo, hi),

@@ -12,7 +12,7 @@ from .registry import T, register
 
 @register("linreg_one", """
 select regr_slope(l_extendedprice, l_quantity) as slope, regr_intercept(l_extendedprice, l_quantity) as intercept,
-       regr_r2(l_extendedprice, l_quantity) as r2, regr_count(l_extendedprice, l_quantity) as n from lineitem""")
+       regr_r2(l_extendedprice, l_quantity) as r2, cast(regr_count(l_extendedprice, l_quantity) as bigint) as n from lineitem""")
 def linreg_one(spark, sf):
     return ML.linreg_one(T(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
 
@@ -97,7 +97,7 @@ c as (select label, list(x order by i) as v from cells group by label),
 d as (select c.label, e.vec_id as id,
              sqrt(list_sum(list_transform(list_zip(c.v, e.embedding::double[]), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) as distance
       from c, embeddings e)
-select * from (select label, row_number() over (partition by label order by distance, id) as rank, id,
+select * from (select label, cast(row_number() over (partition by label order by distance, id) as integer) as rank, id,
                       round(distance, 4) as distance from d) where rank <= 5""")
 def knn_centroids(spark, sf):
     """The 5 embeddings nearest to each label's centroid (exact)."""

@@ -142,7 +142,7 @@ def common_sql(t: str, k: int) -> str:
                       f"from {t} where not {O.missing(c, ty)} group by {O.q(c)}"
                       for i, (c, ty) in enumerate(O.SCHEMAS[t])])
     return f"""{_with(t)}select * from (
-select ordinal, "column", row_number() over (partition by ordinal, "column" order by n desc, value) as rank,
+select ordinal, "column", cast(row_number() over (partition by ordinal, "column" order by n desc, value) as integer) as rank,
        value, n as count, round(n * 100.0 / (select count(*) from {t}), 4) as pct from ({vc})) where rank <= {k}"""
 
 
@@ -157,10 +157,10 @@ def extremes_sql(t: str, k: int) -> str:
                       f"from (select {O.clean(c, types[c])} as v from {t}) where v is not null group by v"
                       for i, (c, ty) in enumerate(O.SCHEMAS[t]) if c in O.numeric(t)])
     return f"""{_with(t)}with vc as ({vc})
-select * from (select ordinal, "column", 'min' as side, row_number() over (partition by ordinal, "column" order by value) as rank,
+select * from (select ordinal, "column", 'min' as side, cast(row_number() over (partition by ordinal, "column" order by value) as integer) as rank,
        round(value, 4) as value, n as count from vc) where rank <= {k}
 union all
-select * from (select ordinal, "column", 'max' as side, row_number() over (partition by ordinal, "column" order by value desc) as rank,
+select * from (select ordinal, "column", 'max' as side, cast(row_number() over (partition by ordinal, "column" order by value desc) as integer) as rank,
        round(value, 4) as value, n as count from vc) where rank <= {k}"""
 
 

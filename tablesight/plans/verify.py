@@ -30,15 +30,27 @@ def canonical(cols, rows):
     return sorted(tuple(norm(r[i]) for i in order) for r in rows)
 
 
+# Spark type name -> oracle type name, for the schema comparison.
+TYPE_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+              "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT",
+              "tinyint": "TINYINT", "date": "DATE", "timestamp": "TIMESTAMP WITH TIME ZONE"}
+
+
 def compare(spark_df, duck_con, sql: str) -> tuple[bool, str]:
-    """(equal?, message) for a Spark DataFrame against SQL run on ``duck_con``."""
+    """(equal?, message) for a Spark DataFrame against SQL run on ``duck_con``:
+    column names, column types, row count and values."""
     scols = spark_df.columns
+    stypes = dict(spark_df.dtypes)
     srows = [tuple(r) for r in spark_df.collect()]
     rel = duck_con.execute(sql)
     dcols = [d[0] for d in rel.description]
+    dtypes = {d[0]: str(d[1]) for d in rel.description}
     drows = rel.fetchall()
     if sorted(scols) != sorted(dcols):
         return False, f"columns spark={scols} oracle={dcols}"
+    bad = {c: (stypes[c], dtypes[c]) for c in scols if TYPE_NAMES.get(stypes[c], stypes[c]) != dtypes[c]}
+    if bad:
+        return False, f"types differ {bad}"
     a, b = canonical(scols, srows), canonical(dcols, drows)
     if a == b:
         return True, f"{len(a)} rows"
