@@ -9,7 +9,7 @@ from tablesight.operators import compare as C
 from tablesight.operators import conversations as L
 from tablesight.operators import features as X
 from tablesight.operators import prep as M
-from tablesight.streaming import recent_context_stream
+from tablesight.streaming import message_counts_stream, recent_context_stream
 
 
 def test_overlap_partitions_names(spark):
@@ -65,6 +65,11 @@ def test_streaming_recent_context_matches_batch(spark, tmpdir_path):
     q.stop()
     got = spark.sql("select context from recent_ctx").collect()[-1]["context"]
     assert got == L.recent_context(c).collect()[0]["context"]
+    q2 = (message_counts_stream(stream).writeStream.outputMode("complete").format("memory")
+          .queryName("msg_counts").option("checkpointLocation", os.path.join(tmpdir_path, "ck2")).start())
+    q2.processAllAvailable()
+    q2.stop()
+    assert spark.sql("select messages from msg_counts").collect()[-1]["messages"] == 8
 
 
 def test_features(spark):
