@@ -46,11 +46,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     The cluster's setting always wins. Only when nothing is configured (local
     tests) a fresh scratch folder is created and registered, once per session.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    try:  # classic sessions: the context may carry a directory set in code
+        d = d or spark.sparkContext.getCheckpointDir()
+    except Exception:  # noqa: BLE001 - e.g. Spark Connect has no SparkContext
+        pass
     if not d:
         d = tempfile.mkdtemp(prefix="tablesight-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    try:
+        spark.sparkContext.setCheckpointDir(d)
+    except Exception:  # noqa: BLE001
+        pass
     return d
 
 
