@@ -11,7 +11,7 @@ from .registry import T, register, stats_view
 
 
 def _stats_sql(t: str, name: str) -> str:
-    return f"""{oracle_from(t) if t not in ('lineitem', 'orders') else ''}
+    return f"""{oracle_from(t) if t in ('dirty_orders',) else ''}
 select '{name}' as filename, cast(count(*) as bigint) as rows, {len(O.cols(t))} as columns,
        {O.str_list(O.cols(t))} as columns_list, {O.str_list(O.numeric(t))} as numeric_columns,
        {O.str_list(O.non_numeric(t))} as categorical_columns,
@@ -225,3 +225,22 @@ from (values {', '.join(f"('{ty}')" for _, ty in O.SCHEMAS['orders'])}) t(dtype)
 def info_summary(spark, sf):
     """A7 totals: columns per dtype, rows and logical size."""
     return P.info_summary(T(spark, sf, "orders"))
+
+
+@register("stats_pages", _stats_sql("pages", "pages.parquet"))
+def stats_pages(spark, sf):
+    """Stats record over whole HTML pages (sizes, duplicates of full texts)."""
+    return stats_view(P.dataset_stats(T(spark, sf, "pages"), "pages.parquet"))
+
+
+@register("describe_boolean", oracle_from("text_orders") + """
+select 6 as ordinal, 'o_flag' as "column", count(b) as count, count(distinct b) as unique,
+       arg_min(cast(b as varchar), (-n, cast(b as varchar))) as top, max(n) as freq
+from (select b, count(*) over (partition by b) as n
+      from (select case when o_flag in ('true', 'false') then o_flag = 'true' end as b from text_orders))
+where b is not null""")
+def describe_boolean(spark, sf):
+    """A boolean column (inferred from text) described by frequencies."""
+    from ..sources.readers import infer_types, normalize_missing
+    typed = infer_types(normalize_missing(T(spark, sf, "text_orders")))
+    return P.describe_categorical(typed, cols=["o_flag"])
