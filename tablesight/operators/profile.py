@@ -267,7 +267,13 @@ def describe_datetime(df: DataFrame, exact: bool = True, cols: Sequence[str] | N
 def describe(df: DataFrame, exact: bool = True) -> DataFrame:
     """Combined long table (``describe(include='all')``), one row per column;
     statistics that do not apply are null. Datetime statistics are text
-    (``yyyy-MM-dd HH:mm:ss.ffffff``) in the ``*_ts`` columns."""
+    (``yyyy-MM-dd HH:mm:ss.ffffff``) in the ``*_ts`` columns.
+
+    Exact: one scan, everything derived from the shared distinct-value table
+    (``shared.describe_shared``). Approximate: sketches per column class."""
+    if exact:
+        from .shared import describe_shared
+        return describe_shared(df)
     num = describe_numeric(df, exact=exact)
     cat = describe_categorical(df)
     dtm = describe_datetime(df, exact=exact)

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col
-from .profile import describe_categorical, describe_datetime, describe_numeric, info, missing_only, sample_head
+from ..functions.columns import categorical_columns, col, datetime_columns, numeric_columns
+from .profile import sample_head
 from .report import report_alerts, report_overview, report_variables
 
 SECTIONS = ("Dataset Info", "Missing Values", "Statistical Summary", "Sample Data (first 5 rows)")
@@ -29,31 +29,42 @@ def _cell(c: str, dt) -> F.Column:
 
 def profile_sections(df: DataFrame, order_by: list[str] | None = None, exact: bool = True) -> DataFrame:
     """``(section, ordinal, line)``: info lines, missing counts (or "No
-    missing values."), one describe line per column, and the first 5 rows."""
+    missing values."), one describe line per column, and the first 5 rows.
+    Sections 1-3 come from one scan (the shared distinct-value table)."""
+    from .shared import column_counts, describe_shared, missing_from_counts
     spark = df.sparkSession
-    s1 = info(df).select(F.lit(1).alias("section"), "ordinal",
-                         F.format_string("%d %s %d non-null %s", "ordinal", "column", "non_null", "dtype").alias("line"))
-    mo = missing_only(df)
+    cc = column_counts(df)
+    miss = missing_from_counts(df, cc)
+    dtypes = spark.createDataFrame([(i, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)],
+                                   "ordinal int, dtype string")
+    s1 = miss.join(F.broadcast(dtypes), "ordinal").select(
+        F.lit(1).alias("section"), "ordinal",
+        F.format_string("%d %s %d non-null %s", "ordinal", "column", "non_null", "dtype").alias("line"))
+    mo = miss.filter("missing > 0")
     none = spark.range(1).select(F.lit(2).alias("section"), F.lit(0).alias("ordinal"),
                                  F.lit("No missing values.").alias("line"))
     s2 = mo.select(F.lit(2).alias("section"), "ordinal", F.format_string("%s %d", "column", "missing").alias("line"))
     s2 = s2.unionByName(none.join(F.broadcast(mo.agg(F.count(F.lit(1)).alias("k"))), how="cross")
                             .filter("k = 0").drop("k"))
-    num = describe_numeric(df, exact=exact).select(
+    d = describe_shared(df, cc)
+    pos = {c: i for i, c in enumerate(df.columns)}
+    of = lambda cols: F.col("ordinal").isin([pos[c] for c in cols])
+    num = d.filter(of(numeric_columns(df))).select(
         F.lit(3).alias("section"), "ordinal",
         F.format_string("%s count=%d mean=%s std=%s min=%s p25=%s p50=%s p75=%s max=%s", "column", "count",
                         *[_num(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")]).alias("line"))
-    cat = describe_categorical(df).select(
+    cat = d.filter(of(categorical_columns(df))).select(
         F.lit(3).alias("section"), "ordinal",
         F.format_string("%s count=%d unique=%d top=%s freq=%s", "column", "count", "unique",
                         F.coalesce("top", F.lit("NaN")), F.coalesce(F.col("freq").cast("string"), F.lit("NaN"))).alias("line"))
-    dtm = describe_datetime(df, exact=exact).select(
+    dtm = d.filter(of(datetime_columns(df))).select(
         F.lit(3).alias("section"), "ordinal",
         F.format_string("%s count=%d mean=%s min=%s p25=%s p50=%s p75=%s max=%s", "column", "count",
-                        *[F.coalesce(F.date_format(F.col(c), "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("NaT"))
+                        *[F.coalesce(F.col(f"{c}_ts"), F.lit("NaT"))
                           for c in ("mean", "min", "p25", "p50", "p75", "max")]).alias("line"))
     head = sample_head(df, 5, order_by)
     from pyspark.sql import Window
+    # ordinal of the (at most 5) head rows: a window over the limited result only
     s4 = head.select(F.lit(4).alias("section"),
                      (F.row_number().over(Window.orderBy(*[col(k) for k in (order_by or df.columns[:1])])) - 1).alias("ordinal"),
                      F.concat_ws(" | ", *[F.coalesce(_cell(c, df.schema[c].dataType), F.lit("NaN")) for c in df.columns]).alias("line"))

@@ -85,6 +85,16 @@ def quantiles(long: DataFrame, probs: Sequence[float], keys: Sequence[str] = ("o
         return v.groupBy(*keys).agg(F.percentile_approx("v", probs, accuracy).alias("quantiles"))
 
     vc = v.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
+    return quantiles_from_counts(vc, probs, keys, max_per_task, accuracy, one_task_bytes)
+
+
+def quantiles_from_counts(vc: DataFrame, probs: Sequence[float], keys: Sequence[str] = ("ordinal",),
+                          max_per_task: int = MAX_PER_TASK, accuracy: int = 10000,
+                          one_task_bytes: int = ONE_TASK_BYTES) -> DataFrame:
+    """Exact quantiles from distinct values ``v`` (non-null double) with
+    counts ``n`` per group; same output as ``quantiles``."""
+    keys = list(keys)
+    probs = [float(p) for p in probs]
     if estimated_bytes(vc) <= one_task_bytes:
         return _one_pass(vc, keys, probs)
     vc = reuse(vc, "quantile-values")
