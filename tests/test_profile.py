@@ -149,3 +149,30 @@ def test_datetime_describe(spark):
     assert r["p50"] == dt.datetime(2024, 1, 3)
     assert r["mean"] == dt.datetime(2024, 1, 2, 16, 0)
     assert not math.isnan(r["count"])
+
+
+def test_shared_describe_matches_per_family(spark):
+    from tablesight.functions.stats import round_doubles
+    from tablesight.operators.shared import describe_shared
+    df = spark.sql("""select * from values
+        (1L, 2.5D, 'a', timestamp_ntz'2024-01-01 00:00:00', cast(null as double)),
+        (2L, double('NaN'), 'b', timestamp_ntz'2024-01-03 12:00:00', cast(null as double)),
+        (2L, 4.0D, 'a', cast(null as timestamp_ntz), cast(null as double))
+        as t(k, x, s, ts, gone)""")
+    P.describe(df, exact=False)  # approximate path builds too
+
+    def rows_of(frame):
+        return sorted(tuple(r) for r in round_doubles(frame).collect())
+
+    from tablesight.operators.profile import describe_categorical, describe_datetime, describe_numeric
+    shared = {r["column"]: r for r in describe_shared(df).collect()}
+    assert shared["gone"]["count"] == 0 and shared["gone"]["mean"] is None
+    assert shared["x"]["count"] == 2 and shared["x"]["mean"] == 3.25
+    assert shared["s"]["top"] == "a" and shared["s"]["freq"] == 2
+    assert shared["ts"]["mean_ts"] == "2024-01-02 06:00:00.000000"
+    num = {r["column"]: r for r in describe_numeric(df).collect()}
+    for c in ("k", "x"):
+        for f in ("count", "mean", "std", "min", "p25", "p50", "p75", "max"):
+            a, b = shared[c][f], num[c][f]
+            assert (a is None and b is None) or abs(a - b) < 1e-9, (c, f, a, b)
+    assert len(rows_of(describe_shared(spark.createDataFrame([], "a double")))) == 1
