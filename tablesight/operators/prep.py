@@ -137,3 +137,24 @@ def split(df: DataFrame, key: str, test_share: float = 0.2, salt: int = 0) -> Da
     ``randomSplit``)."""
     b = split_bucket(key, salt, df.schema[key].dataType)
     return df.withColumn("split", F.when(b < int(round(test_share * 10000)), "test").otherwise("train"))
+
+
+def one_hot(df: DataFrame, cols: Sequence[str], drop_last: bool = True) -> DataFrame:
+    """Add ``<c>_onehot`` (array<double>) per column: labels indexed by
+    descending frequency (ties by label), missing kept as an extra label,
+    then one-hot encoded with Spark ML (``StringIndexer`` + ``OneHotEncoder``;
+    the last category is dropped by default, as Spark does)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    from pyspark.ml.functions import vector_to_array
+    cols = list(cols)
+    idx = [f"_idx_{c}" for c in cols]
+    vec = [f"_vec_{c}" for c in cols]
+    model = Pipeline(stages=[
+        StringIndexer(inputCols=cols, outputCols=idx, handleInvalid="keep", stringOrderType="frequencyDesc"),
+        OneHotEncoder(inputCols=idx, outputCols=vec, handleInvalid="keep", dropLast=drop_last),
+    ]).fit(df)
+    out = model.transform(df)
+    for c, v in zip(cols, vec):
+        out = out.withColumn(f"{c}_onehot", vector_to_array(F.col(v)))
+    return out.drop(*idx, *vec)

@@ -132,3 +132,9 @@ select o_orderkey, case when ((o_orderkey::hugeint * 2654435761) % 4294967296) %
                         then 'test' else 'train' end as split from orders""")
 def split(spark, sf):
     return M.split(T(spark, sf, "orders"), "o_orderkey", 0.2).select("o_orderkey", "split")
+
+
+@register("encode_one_hot")
+def encode_one_hot(spark, sf):
+    """M2 one-hot encoding of part brands and types (vectors: rows-only)."""
+    return M.one_hot(T(spark, sf, "part"), ["p_brand", "p_type"]).select("p_partkey", "p_brand_onehot", "p_type_onehot")

@@ -89,3 +89,10 @@ def test_impute_and_split_deterministic(spark):
     s1 = [r["split"] for r in M.split(df, "k").orderBy("k").collect()]
     s2 = [r["split"] for r in M.split(df.repartition(3), "k").orderBy("k").collect()]
     assert s1 == s2
+
+
+def test_one_hot_frequency_order(spark):
+    df = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "s string")
+    rows = {r["s"]: r["s_onehot"] for r in M.one_hot(df, ["s"]).collect()}
+    # labels b, a, then missing as its own label; Spark drops the encoder's extra invalid slot
+    assert rows["b"] == [1.0, 0.0, 0.0] and rows["a"] == [0.0, 1.0, 0.0] and rows[None] == [0.0, 0.0, 1.0]
