@@ -176,3 +176,14 @@ def test_shared_describe_matches_per_family(spark):
             a, b = shared[c][f], num[c][f]
             assert (a is None and b is None) or abs(a - b) < 1e-9, (c, f, a, b)
     assert len(rows_of(describe_shared(spark.createDataFrame([], "a double")))) == 1
+
+
+def test_awkward_column_names(spark):
+    df = spark.createDataFrame([(1.0, "a", 2), (None, "b", 2), (3.0, "a", 5)], "`a.b` double, `x y` string, `q``t` int")
+    assert P.dataset_stats(df).first()["missing_cells"] == 1
+    d = {r["column"]: r for r in P.describe(df).collect()}
+    assert d["a.b"]["mean"] == 2.0 and d["x y"]["top"] == "a" and d["q`t"]["max"] == 5.0
+    assert {r["column"] for r in R.report_variables(df).collect()} == {"a.b", "x y", "q`t"}
+    assert len(G.correlation(df).collect()) == 4
+    assert sum(r["count"] for r in G.histogram(df, "a.b", 2).collect()) == 2
+    assert {r["column"] for r in R.report_common_values(df).collect()} == {"a.b", "x y", "q`t"}
