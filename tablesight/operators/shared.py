@@ -5,9 +5,9 @@ with partial aggregation: numeric and datetime columns as doubles (datetimes
 as epoch microseconds), all others as text, missing as null. Everything
 ``describe`` and the profile text need — counts, missing values, moments,
 extremes, top values, exact quantiles — is then derived from this table of
-distinct values, which is written once under the checkpoint folder when
-Catalyst estimates it large. A full profile costs one scan of the data
-instead of one per statistic family.
+distinct values, written once under the checkpoint folder since about ten
+aggregates read it. A full profile costs one scan of the data instead of one
+per statistic family.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from ..functions.columns import (
     categorical_columns, datetime_columns, from_epoch_micros, is_float, numeric_columns, sql_as_text,
     sql_clean_numeric, sql_col, sql_epoch_micros, sql_is_missing,
 )
-from ..session import reuse
+from ..session import materialize
 from .common import column_names, lit
 from .quantiles import quantiles_from_counts
 
@@ -49,7 +49,8 @@ def column_counts(df: DataFrame) -> DataFrame:
                                       "CAST(NULL AS STRING) AS text", "CAST(0 AS BIGINT) AS n")
     counts = (df.selectExpr(f"inline(array({', '.join(cells)}))")
                 .groupBy("ordinal", "num", "text").agg(F.count(F.lit(1)).alias("n")))
-    return reuse(counts, "column-counts")
+    # read by every statistic below: written once, whatever its size
+    return materialize(counts, "column-counts")
 
 
 def missing_from_counts(df: DataFrame, cc: DataFrame) -> DataFrame:
