@@ -197,13 +197,17 @@ def report_alerts(df: DataFrame, thresholds: dict | None = None) -> DataFrame:
          var.filter(F.col("column").isin(list(cat)) & (F.col("distinct") > th["cardinality"])).select(
              "column", F.lit("high_cardinality").alias("alert"), F.col("distinct").cast("double").alias("value"))]
     if numeric_columns(df):
-        num = report_numeric(df)
-        mom = report_moments(df)
-        a += [num.filter(F.col("zeros_pct") > th["zeros_pct"]).select(
-                  "column", F.lit("zeros").alias("alert"), F.col("zeros_pct").alias("value")),
-              num.filter("infinite > 0").select("column", F.lit("infinite").alias("alert"),
-                                                F.col("infinite_pct").alias("value")),
-              mom.filter(F.abs("skewness") > th["skewness"]).select(
+        # zeros, infinite values and skewness of all numeric columns in one pass
+        cols, val = _num(df)
+        st = per_column(df, cols, val, {
+            "rows": "count(1)", "zeros": "count_if({v} = 0)", "infinite": "count_if(abs({v}) = double('inf'))",
+            "skewness": SKEWNESS_SQL})
+        pct = lambda c: F.try_divide(F.col(c) * 100.0, F.col("rows"))
+        a += [st.filter(pct("zeros") > th["zeros_pct"]).select(
+                  "column", F.lit("zeros").alias("alert"), pct("zeros").alias("value")),
+              st.filter("infinite > 0").select("column", F.lit("infinite").alias("alert"),
+                                               pct("infinite").alias("value")),
+              st.filter(F.abs("skewness") > th["skewness"]).select(
                   "column", F.lit("skewed").alias("alert"), F.col("skewness").alias("value"))]
     dup = duplicate_count(df).filter("duplicate_rows > 0").select(
         F.lit("*").alias("column"), F.lit("duplicates").alias("alert"),
