@@ -187,3 +187,20 @@ def test_awkward_column_names(spark):
     assert len(G.correlation(df).collect()) == 4
     assert sum(r["count"] for r in G.histogram(df, "a.b", 2).collect()) == 2
     assert {r["column"] for r in R.report_common_values(df).collect()} == {"a.b", "x y", "q`t"}
+
+
+def test_approximate_paths(spark):
+    import numpy as np
+    rng = np.random.default_rng(11)
+    vals = rng.normal(100, 15, 2000)
+    df = spark.createDataFrame([(float(v), f"c{int(v) % 40}") for v in vals], "x double, s string")
+    d = P.describe_numeric(df, exact=False).first()
+    assert abs(d["p50"] - np.median(vals)) < 2 and d["count"] == 2000
+    q = R.report_quantiles(df, exact=False).first()
+    assert abs(q["p95"] - np.quantile(vals, 0.95)) < 3
+    m = R.report_mad(df, exact=False).first()
+    assert abs(m["mad"] - np.median(np.abs(vals - np.median(vals)))) < 2
+    v = {r["column"]: r["distinct"] for r in R.report_variables(df, exact=False).collect()}
+    assert abs(v["s"] - 40) <= 2
+    t = P.describe_datetime(spark.sql("select timestamp_ntz'2024-01-01 00:00:00' as t"), exact=False).first()
+    assert t["count"] == 1
