@@ -264,6 +264,17 @@ def describe_datetime(df: DataFrame, exact: bool = True, cols: Sequence[str] | N
                        ts(F.col("quantiles")[2]).alias("p75"), ts(F.col("max")).alias("max")))
 
 
+def describe_interval(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """``(ordinal, column, count, missing, min, max)`` for interval columns
+    (their own class: no mean or quantiles); min and max as interval text."""
+    from ..functions.columns import is_interval
+    cols = list(cols) if cols is not None else [f.name for f in df.schema.fields if is_interval(f.dataType)]
+    st = per_column(df, cols, sql_col, {"count": "count({v})", "missing": "count_if({v} IS NULL)",
+                                        "min": "CAST(min({v}) AS STRING)", "max": "CAST(max({v}) AS STRING)"})
+    return st.select("ordinal", "column", F.col("count").cast("long").alias("count"),
+                     F.col("missing").cast("long").alias("missing"), "min", "max")
+
+
 def describe(df: DataFrame, exact: bool = True) -> DataFrame:
     """Combined long table (``describe(include='all')``), one row per column;
     statistics that do not apply are null. Datetime statistics are text

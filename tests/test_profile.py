@@ -204,3 +204,11 @@ def test_approximate_paths(spark):
     assert abs(v["s"] - 40) <= 2
     t = P.describe_datetime(spark.sql("select timestamp_ntz'2024-01-01 00:00:00' as t"), exact=False).first()
     assert t["count"] == 1
+
+
+def test_interval_class(spark):
+    df = spark.sql("select * from values (interval '1' day), (interval '3' hour), (null) as t(d)")
+    r = P.describe_interval(df).first()
+    assert (r["count"], r["missing"]) == (2, 1)
+    assert r["min"] == "INTERVAL '0 03' DAY TO HOUR" and r["max"] == "INTERVAL '1 00' DAY TO HOUR"
+    assert P.schema_table(df).first()["class"] == "interval"
