@@ -96,3 +96,45 @@ def _empty(df: DataFrame, stats: StatSQL) -> DataFrame:
     probe = df.limit(0).agg(F.lit(0).alias("ordinal"), F.lit("").alias("column"),
                             *[F.expr(t.format(v="cast(null as double)")).alias(s) for s, t in stats.items()])
     return probe.limit(0)
+
+
+SALT_BUCKETS = 32
+
+
+def _bytes(text: str) -> int:
+    """Spark size setting ("10485760", "10MB", "-1") in bytes."""
+    t = str(text).strip().lower()
+    m = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", t)
+    if not m:
+        return -1
+    return int(m.group(1)) * 1024 ** " kmgt".index(m.group(2) or " ")
+
+
+def join_back(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left",
+              salt: int = SALT_BUCKETS) -> DataFrame:
+    """Join per-key statistics ``small`` (one row per key) back to the rows of
+    ``big`` on ``keys`` with null-safe equality (a missing key is a key).
+
+    If Catalyst estimates ``small`` under the broadcast threshold it is
+    broadcast: no shuffle of ``big``. Otherwise the join is salted: every
+    row of ``big`` gets a salt from a hash of its own values (deterministic,
+    so a recomputed task sees the same salt) and ``small`` is replicated once
+    per salt value, so a key holding a third of the rows is spread over
+    ``salt`` tasks instead of one.
+    """
+    from ..session import estimated_bytes
+    keys = list(keys)
+    sk = [f"_jk{i}" for i in range(len(keys))]
+    right = small.select(*[F.col(q(k)).alias(s) for k, s in zip(keys, sk)],
+                         *[F.col(q(c)) for c in small.columns if c not in keys])
+    cond = None
+    for k, s in zip(keys, sk):
+        c = F.col(q(k)).eqNullSafe(F.col(s))
+        cond = c if cond is None else cond & c
+    threshold = _bytes(big.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760"))
+    if 0 < estimated_bytes(right) <= threshold:
+        return big.join(F.broadcast(right), cond, how).drop(*sk)
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(q(c)) for c in big.columns]), F.lit(salt)))
+    right = right.withColumn("_rsalt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
+    cond = cond & (F.col("_salt") == F.col("_rsalt"))
+    return left.join(right, cond, how).drop("_salt", "_rsalt", *sk)

@@ -67,7 +67,8 @@ def since_reset(conv: DataFrame, marker_role: str = "system") -> DataFrame:
     Per-conversation maxima are grouped (partial aggregation) and joined back."""
     last = (conv.filter(F.col("role") == marker_role).groupBy("conv_id")
                 .agg(F.max("turn").alias("_reset")))
-    return (conv.join(last, "conv_id", "left")
+    from .common import join_back
+    return (join_back(conv, last, ["conv_id"])
                 .filter(F.col("_reset").isNull() | (F.col("turn") > F.col("_reset")))
                 .drop("_reset"))
 

@@ -18,7 +18,7 @@ from ..functions.columns import (
 )
 from .charts import _bin
 from .quantiles import quantiles
-from .common import unpivot
+from .common import join_back, unpivot
 
 
 def ratio(df: DataFrame, a: str, b: str, name: str | None = None) -> DataFrame:
@@ -72,7 +72,7 @@ def frequency_encode(df: DataFrame, column: str) -> DataFrame:
     key = F.when(~is_missing(column, dt), col(column))
     counts = (df.select(key.alias("_k")).filter(F.col("_k").isNotNull())
                 .groupBy("_k").agg(F.count(F.lit(1)).alias(f"{column}_freq")))
-    out = df.withColumn("_k", key).join(counts, "_k", "left").drop("_k")
+    out = join_back(df.withColumn("_k", key), counts, ["_k"]).drop("_k")
     return out.withColumn(f"{column}_freq", F.coalesce(F.col(f"{column}_freq"), F.lit(0)))
 
 
@@ -88,9 +88,9 @@ def group_relative(df: DataFrame, group: str, x: str) -> DataFrame:
     (groups include the missing key, like SQL)."""
     types = {f.name: f.dataType for f in df.schema.fields}
     v = clean_numeric(x, types[x])
-    means = df.groupBy(col(group).alias("_g")).agg(F.avg(v).alias("_m"))
-    out = df.join(means, col(group).eqNullSafe(F.col("_g")), "left")
-    return out.withColumn(f"{x}_minus_{group}_mean", v - F.col("_m")).drop("_g", "_m")
+    means = df.groupBy(col(group).alias(group)).agg(F.avg(v).alias("_m"))
+    out = join_back(df, means, [group])
+    return out.withColumn(f"{x}_minus_{group}_mean", v - F.col("_m")).drop("_m")
 
 
 def feature_candidates(df: DataFrame, skew: float = 1.0, max_groups: int = 50,
