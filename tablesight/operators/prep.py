@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import clean_numeric, col, is_missing, numeric_columns, sql_clean_numeric
-from .common import column_names, unpivot
+from .common import column_names, join_back, unpivot
 from .profile import value_frequencies
 from .quantiles import quantiles
 from .report import top_per_column
@@ -98,7 +98,7 @@ def encode_index(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         m = idx.filter(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"), F.col("index").alias(f"{c}_index"))
         k = sizes.filter(F.col("column") == c).select(F.col("k").cast("double").alias(f"_k_{c}"))
         key = F.when(~is_missing(c, types[c]), col(c).cast("string"))
-        out = (out.join(m, key.eqNullSafe(F.col(f"_v_{c}")), "left").crossJoin(F.broadcast(k))
+        out = (join_back(out.withColumn(f"_v_{c}", key), m, [f"_v_{c}"]).crossJoin(F.broadcast(k))
                   .withColumn(f"{c}_index", F.coalesce(F.col(f"{c}_index"), F.col(f"_k_{c}")))
                   .drop(f"_v_{c}", f"_k_{c}"))
     return out

@@ -19,7 +19,7 @@ from ..functions.columns import (
     sql_is_missing,
 )
 from ..functions.stats import logical_width
-from .common import column_names, per_column, unpivot
+from .common import column_names, join_back, per_column, unpivot
 from .quantiles import quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -87,7 +87,7 @@ def duplicate_count(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     hashed = df.select(*keys).withColumn("_h", F.xxhash64(*kcols))
     repeated = (hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
                       .filter("_n > 1").select("_h"))
-    cand = hashed.join(repeated, "_h", "left_semi")
+    cand = join_back(hashed, repeated, ["_h"], how="left_semi")
     groups = cand.groupBy(*kcols).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 
@@ -99,7 +99,7 @@ def duplicate_groups(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
     hashed = df.withColumn("_h", F.xxhash64(*[comparable(c, types[c]) for c in cols]))
     repeated = (hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
                       .filter("_n > 1").select("_h"))
-    cand = hashed.join(repeated, "_h", "left_semi").select(*[col(c) for c in cols])
+    cand = join_back(hashed, repeated, ["_h"], how="left_semi").select(*[col(c) for c in cols])
     if any(isinstance(types[c], T.MapType) for c in cols):
         raise ValueError("duplicate_groups: map columns cannot be grouped; use duplicate_count")
     return (cand.groupBy(*[col(c) for c in cols]).agg(F.count(F.lit(1)).alias("copies"))
