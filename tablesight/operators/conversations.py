@@ -75,11 +75,17 @@ def since_reset(conv: DataFrame, marker_role: str = "system") -> DataFrame:
 
 def append_turns(conv: DataFrame, new: DataFrame) -> DataFrame:
     """Append ``(conv_id, role, text)`` messages after each conversation's
-    last turn, in the order given by a ``pos`` column when present."""
+    last turn. With a 0-based ``pos`` column (order within the batch) the new
+    turns are ``last + 1 + pos`` — no window; without it they are numbered
+    by a window over each conversation's new messages."""
+    from .common import join_back
     last = conv.groupBy("conv_id").agg(F.max("turn").alias("_last"))
-    order = F.col("pos") if "pos" in new.columns else F.monotonically_increasing_id()
-    w = Window.partitionBy("conv_id").orderBy(order)
-    add = (new.withColumn("_o", F.row_number().over(w)).join(last, "conv_id", "left")
-              .select("conv_id", (F.coalesce("_last", F.lit(-1)) + F.col("_o")).cast(conv.schema["turn"].dataType).alias("turn"),
-                      "role", "text"))
+    if "pos" in new.columns:
+        add = new.withColumn("_o", F.col("pos").cast("long") + 1)
+    else:
+        w = Window.partitionBy("conv_id").orderBy(F.monotonically_increasing_id())
+        add = new.withColumn("_o", F.row_number().over(w))
+    add = join_back(add, last, ["conv_id"]).select(
+        "conv_id", (F.coalesce("_last", F.lit(-1)) + F.col("_o")).cast(conv.schema["turn"].dataType).alias("turn"),
+        "role", "text")
     return conv.unionByName(add)
