@@ -115,3 +115,31 @@ def test_join_back_broadcast_and_salted(spark):
         assert "xxhash64" in out._jdf.queryExecution().optimizedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_feature_candidates_rules(spark):
+    import datetime as dt
+    rows = [(float(i ** 3), float(i + 1), "g%d" % (i % 3), dt.datetime(2024, 1, 1 + i % 28),
+             None if i % 5 == 0 else "v%d" % i) for i in range(80)]
+    df = spark.createDataFrame(rows, "amount double, qty double, grp string, ts timestamp, tag string")
+    got = {r["feature"]: r["expression"] for r in X.feature_candidates(df).collect()}
+    assert got["log1p_amount"] == "log1p(`amount`)"
+    assert "amount_per_qty" in got and "qty_per_amount" not in got
+    assert {"ts_year", "ts_month", "ts_dow", "ts_hour"} <= set(got)
+    assert "tag_missing" in got and "tag_freq" in got
+    assert "amount_minus_grp_mean" in got and "amount_minus_tag_mean" not in got
+    # every suggested expression runs on the frame
+    df.selectExpr("*", *[f"{e} AS `{f}`" for f, e in got.items()]).count()
+
+
+def test_model_messages_with_profile(spark):
+    msgs = {r["seq"]: r for r in L.model_messages(chat(spark), system="S", profile="P").collect()}
+    assert msgs[-1]["role"] == "system" and msgs[-1]["content"] == "S" + L.PROFILE_CONTEXT + "P"
+    assert [msgs[t]["role"] for t in range(3)] == ["user", "assistant", "system"]
+
+
+def test_scatter_sample_complete_rows(spark):
+    from tablesight.operators import charts as G
+    df = spark.createDataFrame([(float(i), None if i % 2 else 1.0) for i in range(200)], "a double, b double")
+    s = G.scatter_sample(df, fraction=0.5, seed=1).collect()
+    assert 0 < len(s) <= 100 and all(r["b"] is not None for r in s)
