@@ -57,14 +57,6 @@ def health_cardinality(df: DataFrame, max_distinct: int = DEFAULTS["max_distinct
     return v.filter((F.col("distinct") > max_distinct) | (F.col("distinct_ratio") > max_ratio))
 
 
-def _identifiers(df: DataFrame, id_ratio: float) -> DataFrame:
-    """Columns whose distinct/rows ratio reaches ``id_ratio`` (identifiers)."""
-    v = report_variables(df)
-    rows = df.agg(F.count(F.lit(1)).alias("_rows"))
-    return v.crossJoin(F.broadcast(rows)).select(
-        "column", (F.col("distinct") / F.col("_rows")).alias("distinct_ratio"))
-
-
 def health_leakage(df: DataFrame, target: str, corr: float = DEFAULTS["leak_corr"],
                    share: float = DEFAULTS["leak_share"], id_ratio: float = DEFAULTS["id_ratio"],
                    class_max_distinct: int = DEFAULTS["class_max_distinct"]) -> DataFrame:
@@ -90,16 +82,18 @@ def health_leakage(df: DataFrame, target: str, corr: float = DEFAULTS["leak_corr
                         {"value": corr_sql("{v}.x", "{v}.y")})
         return st.filter(F.abs("value") >= corr).select("column", F.lit("abs_corr").alias("measure"),
                                                         F.abs("value").alias("value"))
-    ids = _identifiers(df.select(*[col(c) for c in feats]), id_ratio).filter(F.col("distinct_ratio") >= id_ratio)
     from ..functions.columns import as_text
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), as_text(c, types[c]).alias("v")) for c in feats])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"),
+                               F.when(~is_missing(c, types[c]), as_text(c, types[c])).alias("v")) for c in feats])
     long = df.select(as_text(target, types[target]).alias("_t"), F.inline(cells))
     pair = long.groupBy("column", "v", "_t").agg(F.count(F.lit(1)).alias("n"))
     best = pair.groupBy("column", "v").agg(F.max("n").alias("m"), F.sum("n").alias("s"))
-    sh = best.groupBy("column").agg((F.sum("m") / F.sum("s")).alias("value"))
-    return (sh.join(F.broadcast(ids.select("column")), "column", "left_anti")
-              .filter(F.col("value") >= share)
-              .select("column", F.lit("majority_share").alias("measure"), "value"))
+    # one grouping gives the share, the distinct values and the row count per feature;
+    # identifiers (distinct present values / rows >= id_ratio) are left out
+    per = best.groupBy("column").agg((F.sum("m") / F.sum("s")).alias("value"),
+                                     (F.count("v") / F.sum("s")).alias("_ratio"))
+    return (per.filter((F.col("_ratio") < id_ratio) & (F.col("value") >= share))
+               .select("column", F.lit("majority_share").alias("measure"), "value"))
 
 
 def health_report(df: DataFrame, target: str | None = None) -> DataFrame:
