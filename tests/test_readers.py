@@ -96,3 +96,14 @@ def test_json_date_like_columns(spark, tmpdir_path):
     df = S.read_dataset(spark, p)
     types = dict(df.dtypes)
     assert types["created_at"] == "timestamp" and types["note"] == "string" and types["date"] == "string"
+
+
+def test_csv_folder_of_files(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "many")
+    os.makedirs(d)
+    for i in range(3):
+        write(os.path.join(d, f"part{i}.csv"), "k,v,flag\n" + "".join(f"{i * 10 + j},{j}.5,{'true' if j % 2 else 'false'}\n"
+                                                               for j in range(4)))
+    df = S.read_dataset(spark, d, fmt="csv")
+    assert dict(df.dtypes) == {"k": "bigint", "v": "double", "flag": "boolean"}
+    assert df.count() == 12 and sorted(r["k"] for r in df.collect())[:3] == [0, 1, 2]
