@@ -107,3 +107,11 @@ def test_csv_folder_of_files(spark, tmpdir_path):
     df = S.read_dataset(spark, d, fmt="csv")
     assert dict(df.dtypes) == {"k": "bigint", "v": "double", "flag": "boolean"}
     assert df.count() == 12 and sorted(r["k"] for r in df.collect())[:3] == [0, 1, 2]
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_write_results_formats(spark, tmpdir_path, fmt):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    (p,) = K.write_results({"t": df}, os.path.join(tmpdir_path, fmt), fmt)
+    back = S.read_dataset(spark, p, fmt=fmt)
+    assert sorted(tuple(r) for r in back.collect()) == [(1, "a"), (2, "b")]
