@@ -79,6 +79,7 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as ``mix`` says, with the
-    columns of ``docs``."""
-    m = mix(docs, seed).filter("copies > 0")
-    return m.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    columns of ``docs`` as they are, whatever their names."""
+    m = mix(docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")), seed)
+    copies = m.filter("copies > 0").select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return copies.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

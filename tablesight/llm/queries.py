@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, minhash, mixing, packing, quality, sharding, tokens, toxicity, urlfilter
+from . import embeddings, minhash, mixing, packing, quality, sharding, suffix, tokens, toxicity, urlfilter
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
@@ -37,6 +37,11 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), SHARDS)
 
@@ -63,9 +68,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_url_filters, op5_sharding,
-                            op6_embedding_near_dedup, op7_toxicity, op8_packing, op9_mixing, op10_token_counts)}
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_url_filters, op4_suffix_dedup, op5_sharding,
+                            op6_embedding_near_dedup, op7_toxicity, op8_packing, op9_mixing, op10_token_counts, pipeline)}
 
 ORACLE_SQL = {
     "op3_url_filters": r"""

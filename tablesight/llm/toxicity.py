@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .kernel import Words, blocks, mix
 from .shared import Scratch, column_bytes
@@ -222,7 +223,8 @@ def held_out(id_col: str):
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", columns: list[str] | None = None) -> DataFrame:
     """Every row of ``docs`` with held_out, score and predicted (1 if score >=
-    THRESHOLD); ``columns`` of docs are kept (default: the id).
+    THRESHOLD); ``columns`` of docs are kept (default: the id). They must not
+    have the names of the results; put such columns into a struct.
 
     Only the text enters the score; equal texts score alike. A null or wordless
     text gets the share of toxic texts among the labelled. A null id counts as
@@ -241,7 +243,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", columns: l
                 [*batch.columns[2:], batch.column(1), pa.array(shared.value.score(column_bytes(batch.column(0))))],
                 [*inner, "held_out", "score"])
 
-    types = [f"{i} {f.dataType.simpleString()}" for i, f in zip(inner, renamed.select(inner).schema)]
-    out = renamed.mapInArrow(run, ", ".join([*types, "held_out boolean", "score double"]))
+    schema = T.StructType([*renamed.select(inner).schema, T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())])
+    out = renamed.mapInArrow(run, schema)
     return out.select(*(F.col(i).alias(c) for c, i in zip(columns, inner)), "held_out", "score",
                       (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
