@@ -214,7 +214,7 @@ def calibrate(m: Model, labelled: DataFrame) -> None:
     m.slope, m.offset = beta
 
 
-PRIOR_SLOPE, PRIOR_CENTER, PRIOR_WIDTH = 6.0, 0.6, np.array([4.0, 2.0])
+PRIOR_SLOPE, PRIOR_CENTER, PRIOR_WIDTH = 6.0, 0.8, np.array([4.0, 2.0])
 
 
 def held_out(id_col: str):
