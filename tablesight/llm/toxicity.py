@@ -147,10 +147,10 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc
 
     m, kinds = Model(), ("ordinary", "toxic")
     shared = np.ones(WORD_SLOTS, np.float64)  # one for the unseen
-    corpus = corpus_counts(docs).toPandas()
+    corpus = corpus_counts(docs).select(F.col("slot").cast("int"), "n").toArrow()
     shared[corpus["slot"].to_numpy()] += corpus["n"].to_numpy()
     shared /= shared.sum()
-    by_word = bigrams.groupBy("slot").agg(*(F.count_if(F.col(k) > 0).alias(k) for k in kinds)).toPandas()
+    by_word = bigrams.groupBy("slot").agg(*(F.count_if(F.col(k) > 0).cast("int").alias(k) for k in kinds)).withColumn("slot", F.col("slot").cast("int")).toArrow()
     m.word = []
     for k in kinds:
         types = np.zeros(WORD_SLOTS)
@@ -158,11 +158,13 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc
         total = max(types.sum(), 1)
         kept = np.maximum(types - DISCOUNT, 0) / total
         m.word.append((kept + (1 - kept.sum()) * shared).astype(np.float32))
-    counts = bigrams.select((F.col("toxic") + F.col("ordinary")).alias("n")).filter("n > 1").groupBy("n").agg(F.count("*").alias("k")).toPandas().sort_values("n", ascending=False)
-    fitting = counts[counts["k"].cumsum() <= MAX_BIGRAMS]
-    least = int(fitting["n"].min()) if len(fitting) else 2
-    history = bigrams.groupBy("before").agg(*(F.sum(k).alias(k) for k in kinds)).toPandas()
-    pairs = bigrams.filter(F.col("toxic") + F.col("ordinary") >= least).select("pair", "before", *kinds).toPandas()
+    counts = bigrams.select((F.col("toxic") + F.col("ordinary")).alias("n")).filter("n > 1").groupBy("n").agg(F.count("*").alias("k")).toArrow().sort_by([("n", "descending")])
+    fitting = counts["n"].to_numpy()[np.cumsum(counts["k"].to_numpy()) <= MAX_BIGRAMS]
+    least = int(fitting.min()) if len(fitting) else 2
+    del corpus, by_word, shared, types, kept
+    history = bigrams.groupBy("before").agg(*(F.sum(k).cast("int").alias(k) for k in kinds)).withColumn("before", F.col("before").cast("int")).toArrow()
+    pairs = bigrams.filter(F.col("toxic") + F.col("ordinary") >= least).select(
+        "pair", F.col("before").cast("int").alias("before"), *(F.col(k).cast("int").alias(k) for k in kinds)).toArrow()
     key = pairs["pair"].to_numpy().view(np.uint64)
     order = np.argsort(key)
     m.pairs, m.direct, m.rest = key[order], [], []
@@ -188,8 +190,7 @@ def calibrate(m: Model, labelled: DataFrame) -> None:
             x, n = shared.value.evidence(column_bytes(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(n), batch.column(1).cast(pa.int64())], ["x", "n", "y"])
 
-    rows = labelled.mapInArrow(measure, "x double, n long, y long").toPandas()
-    rows = rows[rows["n"] > 0]
+    rows = labelled.mapInArrow(measure, "x double, n long, y long").filter("n > 0").toArrow()
     x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
     m.prior = float((y.sum() + 1) / (len(y) + 10))
     # Penalized likelihood, by gradient steps that halve until they help.
