@@ -1,17 +1,17 @@
 """Ad-hoc SQL on loaded tables: the user's query runs through Spark's
-parser, analyzer and optimizer; frames are shown capped at 50 rows."""
+parser, analyzer and optimizer; a display passes ``limit=DISPLAY_ROWS``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-DISPLAY_ROWS = 50  # fixed value: the reference's result cap
+DISPLAY_ROWS = 50  # fixed value: rows that a result display shows
 
 
 def adhoc(spark: SparkSession, tables: dict[str, DataFrame], sql: str,
-          limit: int | None = DISPLAY_ROWS) -> DataFrame:
+          limit: int | None = None) -> DataFrame:
     """Run ``sql`` where ``{name}`` refers to ``tables[name]`` (bound as
     parameters, no global views); the result is limited to ``limit`` rows
-    (None: all)."""
+    (default: all)."""
     out = spark.sql(sql, **tables)
     return out.limit(limit) if limit else out

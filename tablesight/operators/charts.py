@@ -41,7 +41,7 @@ def correlation(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
                                                 "p int, x string, y string")
         half = (vals.selectExpr(f"inline(array({cells}))").groupBy("p")
                     .agg(F.expr(corr_sql("a", "b")).alias("corr"))
-                    .join(F.broadcast(names), "p").select("x", "y", "corr"))
+                    .join(names, "p", "right").select("x", "y", "corr"))
     mirror = half.filter(F.col("x") != F.col("y")).select(F.col("y").alias("x"), F.col("x").alias("y"), "corr")
     return half.unionByName(mirror)
 
@@ -65,12 +65,14 @@ def _edges(lo: Column, hi: Column, bins: int, b: Column):
 def histograms(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 30) -> DataFrame:
     """``(column, bin, lower, upper, count)`` for every numeric column: one
     pass for the ranges (one row, broadcast), one for the counts; empty bins
-    appear with count 0. Missing values are dropped."""
+    appear with count 0. Missing and infinite values are dropped."""
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = list(cols) if cols is not None else numeric_columns(df)
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), clean_numeric(c, types[c]).alias("v")) for c in cols])))
-    long = long.filter(F.col("v").isNotNull())
+    # Equal-width bins need a finite range: infinite values are left out here
+    # and counted by the numeric report.
+    long = long.filter(F.abs("v") < float("inf"))
     rng = long.groupBy("column").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     counts = (long.join(F.broadcast(rng), "column")
                   .groupBy("column", _bin(F.col("v"), F.col("lo"), F.col("hi"), bins).alias("bin"))
@@ -87,13 +89,15 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     return histograms(df, [column], bins).drop("column")
 
 
-def pair_grid(df: DataFrame, k: int = 5, bins: int = 10, cols: Sequence[str] | None = None) -> DataFrame:
-    """Binned pair plot of the first ``k`` numeric columns over rows complete
+def pair_grid(df: DataFrame, k: int | None = None, bins: int = 10, cols: Sequence[str] | None = None) -> DataFrame:
+    """Binned pair plot of the first ``k`` numeric columns (default: all) over rows complete
     in all of them: ``(x, y, bin_x, bin_y, n)`` for every ordered pair; the
     diagonal (x = y) is the histogram of x."""
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = list(cols) if cols is not None else numeric_columns(df)[:k]
     vals = df.select(*[clean_numeric(c, types[c]).alias(c) for c in cols]).na.drop("any")
+    for c in cols:
+        vals = vals.filter(F.abs(col(c)) < float("inf"))
     rng = vals.agg(*[F.min(col(c)).alias(f"lo{i}") for i, c in enumerate(cols)],
                    *[F.max(col(c)).alias(f"hi{i}") for i, c in enumerate(cols)])
     b = vals.crossJoin(F.broadcast(rng)).select(*[
@@ -107,7 +111,7 @@ def pair_grid(df: DataFrame, k: int = 5, bins: int = 10, cols: Sequence[str] | N
     return counts.join(F.broadcast(names), "p").select("x", "y", "bin_x", "bin_y", "n")
 
 
-def scatter_sample(df: DataFrame, k: int = 5, fraction: float = 0.01, seed: int = 42,
+def scatter_sample(df: DataFrame, k: int | None = None, fraction: float = 0.01, seed: int = 42,
                    cols: Sequence[str] | None = None) -> DataFrame:
     """Points for the pair plot's scatter cells: a Bernoulli sample (the
     feature: a sampling operator) of the rows complete in the first ``k``

@@ -65,7 +65,7 @@ def per_column(df: DataFrame, cols: Sequence[str], value: Callable[[str], str],
             f"struct({pos[c]} as ordinal, {lit(c)} as column, "
             + ", ".join(f"`_{pos[c]}__{s}` as {q(s)}" for s in stats) + ")" for c in cols)
         return wide.selectExpr(f"inline(array({rows}))")
-    return per_column_long(unpivot(df, cols, value), stats)
+    return per_column_long(unpivot(df, cols, value), stats, column_names(df, cols))
 
 
 def unpivot(df: DataFrame, cols: Sequence[str], value: Callable[[str], str], names: bool = True) -> DataFrame:
@@ -81,9 +81,13 @@ def unpivot(df: DataFrame, cols: Sequence[str], value: Callable[[str], str], nam
     return df.selectExpr(f"inline(array({cells}))")
 
 
-def per_column_long(long: DataFrame, stats: StatSQL) -> DataFrame:
-    return long.groupBy("ordinal", "column").agg(
-        *[F.expr(t.format(v="value")).alias(s) for s, t in stats.items()])
+def per_column_long(long: DataFrame, stats: StatSQL, names: DataFrame) -> DataFrame:
+    """One row for each of ``names``; a column without cells (no rows) gets
+    what the statistics are over nothing: counts 0, others null."""
+    found = long.groupBy("ordinal").agg(*[F.expr(t.format(v="value")).alias(s) for s, t in stats.items()])
+    none = long.limit(0).agg(*[F.expr(t.format(v="value")).alias(f"_none_{s}") for s, t in stats.items()])
+    return (names.join(found, "ordinal", "left").crossJoin(F.broadcast(none))
+                 .select("ordinal", "column", *[F.coalesce(F.col(q(s)), F.col(q(f"_none_{s}"))).alias(s) for s in stats]))
 
 
 def column_names(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -98,31 +102,14 @@ def _empty(df: DataFrame, stats: StatSQL) -> DataFrame:
     return probe.limit(0)
 
 
-SALT_BUCKETS = 32
-
-
-def _bytes(text: str) -> int:
-    """Spark size setting ("10485760", "10MB", "-1") in bytes."""
-    t = str(text).strip().lower()
-    m = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", t)
-    if not m:
-        return -1
-    return int(m.group(1)) * 1024 ** " kmgt".index(m.group(2) or " ")
-
-
-def join_back(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left",
-              salt: int = SALT_BUCKETS) -> DataFrame:
+def join_back(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join per-key statistics ``small`` (one row per key) back to the rows of
     ``big`` on ``keys`` with null-safe equality (a missing key is a key).
 
-    If Catalyst estimates ``small`` under the broadcast threshold it is
-    broadcast: no shuffle of ``big``. Otherwise the join is salted: every
-    row of ``big`` gets a salt from a hash of its own values (deterministic,
-    so a recomputed task sees the same salt) and ``small`` is replicated once
-    per salt value, so a key holding a third of the rows is spread over
-    ``salt`` tasks instead of one.
+    Spark broadcasts ``small`` when its size is under the broadcast threshold.
+    Otherwise both sides are shuffled by key, and adaptive execution splits
+    the partition of a hot key of ``big`` over several tasks.
     """
-    from ..session import estimated_bytes
     keys = list(keys)
     sk = [f"_jk{i}" for i in range(len(keys))]
     right = small.select(*[F.col(q(k)).alias(s) for k, s in zip(keys, sk)],
@@ -131,10 +118,4 @@ def join_back(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str =
     for k, s in zip(keys, sk):
         c = F.col(q(k)).eqNullSafe(F.col(s))
         cond = c if cond is None else cond & c
-    threshold = _bytes(big.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760"))
-    if 0 < estimated_bytes(right) <= threshold:
-        return big.join(F.broadcast(right), cond, how).drop(*sk)
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(q(c)) for c in big.columns]), F.lit(salt)))
-    right = right.withColumn("_rsalt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
-    cond = cond & (F.col("_salt") == F.col("_rsalt"))
-    return left.join(right, cond, how).drop("_salt", "_rsalt", *sk)
+    return big.join(right, cond, how).drop(*sk)

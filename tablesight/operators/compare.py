@@ -41,11 +41,10 @@ def _side(df: DataFrame, cols: list[str], k: int) -> DataFrame:
                      F.col("missing").cast("long").alias(f"missing_{k}"))
 
 
-def compare_numeric(a: DataFrame, b: DataFrame, max_columns: int | None = 12) -> DataFrame:
+def compare_numeric(a: DataFrame, b: DataFrame, max_columns: int | None = None) -> DataFrame:
     """``(column, mean_1, mean_2, std_1, std_2, missing_1, missing_2)`` for
-    the first ``max_columns`` common numeric columns in name order (the
-    reference compares 12; ``None`` compares all). All-missing columns give
-    null mean and std."""
+    the common numeric columns in name order, or the first ``max_columns`` of
+    them. All-missing columns give null mean and std."""
     cols = common_numeric(a, b)
     cols = cols[:max_columns] if max_columns else cols
     return (_side(a, cols, 1).join(_side(b, cols, 2), "column")

@@ -27,7 +27,7 @@ def recent_context(conv: DataFrame, n: int = RECENT_MESSAGES, max_chars: int = R
     ``ROLE: `` + the first ``max_chars`` characters, joined by newlines."""
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     last = conv.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
-    line = F.concat(F.upper("role"), F.lit(": "), F.substring("text", 1, max_chars))
+    line = F.concat(F.upper("role"), F.lit(": "), F.substring(F.coalesce("text", F.lit("")), 1, max_chars))
     return (last.select("conv_id", "turn", line.alias("line")).groupBy("conv_id")
                 .agg(F.expr("listagg(line, '\\n') within group (order by turn)").alias("context")))
 
@@ -74,17 +74,15 @@ def since_reset(conv: DataFrame, marker_role: str = "system") -> DataFrame:
 
 
 def append_turns(conv: DataFrame, new: DataFrame) -> DataFrame:
-    """Append ``(conv_id, role, text)`` messages after each conversation's
-    last turn. With a 0-based ``pos`` column (order within the batch) the new
-    turns are ``last + 1 + pos`` — no window; without it they are numbered
-    by a window over each conversation's new messages."""
+    """Append ``(conv_id, pos, role, text)`` messages after each conversation's
+    last turn. ``pos`` is the 0-based order of a message among the new ones of
+    its conversation; the new turns are ``last + 1 + pos``. Rows of a table
+    have no order of their own, so ``pos`` is required."""
+    if "pos" not in new.columns:
+        raise ValueError("append_turns: the new messages need a column pos")
     from .common import join_back
     last = conv.groupBy("conv_id").agg(F.max("turn").alias("_last"))
-    if "pos" in new.columns:
-        add = new.withColumn("_o", F.col("pos").cast("long") + 1)
-    else:
-        w = Window.partitionBy("conv_id").orderBy(F.monotonically_increasing_id())
-        add = new.withColumn("_o", F.row_number().over(w))
+    add = new.withColumn("_o", F.col("pos").cast("long") + 1)
     add = join_back(add, last, ["conv_id"]).select(
         "conv_id", (F.coalesce("_last", F.lit(-1)) + F.col("_o")).cast(conv.schema["turn"].dataType).alias("turn"),
         "role", "text")

@@ -19,7 +19,7 @@ from ..functions.columns import (
     sql_is_missing,
 )
 from ..functions.stats import logical_width
-from .common import column_names, join_back, per_column, unpivot
+from .common import column_names, per_column, unpivot
 from .quantiles import quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -73,35 +73,39 @@ def duplicate_count(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     """One row ``duplicate_rows``: rows beyond the first of each group of equal
     rows; missing values equal each other (pandas ``duplicated``).
 
-    Two steps so wide rows are not shuffled whole: group 64-bit row hashes
-    (map-side combined, 16 bytes per row), then group exactly only the rows
-    whose hash occurs more than once. A hot duplicate group costs one partial
-    aggregate row per task in both steps.
+    Rows are grouped by two independent 64-bit hashes of all cells and of
+    which cells are missing: one scan, map-side combined, 24 bytes per group
+    and task, so a row repeated a million times is one partial row per task.
+    Different rows are taken as equal with a chance of 2 ** -128 per pair.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = list(cols or df.columns)
     keys = [comparable(c, types[c]).alias(f"_k{i}") for i, c in enumerate(cols)]
     if not keys:
         return df.agg(F.greatest(F.count(F.lit(1)) - 1, F.lit(0)).alias("duplicate_rows"))
-    kcols = [f"_k{i}" for i in range(len(cols))]
-    hashed = df.select(*keys).withColumn("_h", F.xxhash64(*kcols))
-    repeated = (hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
-                      .filter("_n > 1").select("_h"))
-    cand = join_back(hashed, repeated, ["_h"], how="left_semi")
-    groups = cand.groupBy(*kcols).agg(F.count(F.lit(1)).alias("_n"))
+    h1, h2 = _row_hashes([f"_k{i}" for i in range(len(cols))])
+    groups = df.select(*keys).groupBy(h1, h2).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 
 
+def _row_hashes(cols: Sequence[str]) -> tuple[Column, Column]:
+    # The hash skips nulls, so which cells are missing is hashed as well.
+    cells = [x for c in cols for x in (col(c), col(c).isNull())]
+    return F.xxhash64(*cells).alias("_h1"), F.xxhash64(F.lit("second"), *reversed(cells)).alias("_h2")
+
+
 def duplicate_groups(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """The repeated rows themselves with their multiplicity ``copies``."""
+    """The repeated rows themselves with their multiplicity ``copies``. Counts
+    are made on row hashes; only rows of repeated hashes are grouped whole."""
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = list(cols or df.columns)
-    hashed = df.withColumn("_h", F.xxhash64(*[comparable(c, types[c]) for c in cols]))
-    repeated = (hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
-                      .filter("_n > 1").select("_h"))
-    cand = join_back(hashed, repeated, ["_h"], how="left_semi").select(*[col(c) for c in cols])
     if any(isinstance(types[c], T.MapType) for c in cols):
         raise ValueError("duplicate_groups: map columns cannot be grouped; use duplicate_count")
+    keyed = df.select(*[col(c) for c in cols], *[comparable(c, types[c]).alias(f"_k{i}") for i, c in enumerate(cols)])
+    h1, h2 = _row_hashes([f"_k{i}" for i in range(len(cols))])
+    hashed = keyed.select(*[col(c) for c in cols], h1, h2)
+    repeated = hashed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_h1", "_h2")
+    cand = hashed.join(repeated, ["_h1", "_h2"], "left_semi").select(*[col(c) for c in cols])
     return (cand.groupBy(*[col(c) for c in cols]).agg(F.count(F.lit(1)).alias("copies"))
                 .filter("copies > 1"))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import conversations as L
-from ..operators.adhoc import adhoc
+from ..operators.adhoc import DISPLAY_ROWS, adhoc
 from .registry import T, register
 
 
@@ -49,7 +49,7 @@ from {df} group by o_orderstatus order by n desc, o_orderstatus"""
 
 @register("adhoc_sql", _ADHOC.replace("{df}", "orders") + " limit 50")
 def adhoc_sql(spark, sf):
-    return adhoc(spark, {"df": T(spark, sf, "orders")}, _ADHOC)
+    return adhoc(spark, {"df": T(spark, sf, "orders")}, _ADHOC, limit=DISPLAY_ROWS)
 
 
 _ADHOC_JOIN = """select c.c_mktsegment, n.n_name, count(*) as orders, sum(o.o_totalprice) as revenue
@@ -60,4 +60,4 @@ group by c.c_mktsegment, n.n_name order by revenue desc, c.c_mktsegment, n.n_nam
 @register("adhoc_join", _ADHOC_JOIN.replace("{orders}", "orders").replace("{customer}", "customer")
           .replace("{nation}", "nation") + " limit 50")
 def adhoc_join(spark, sf):
-    return adhoc(spark, {t: T(spark, sf, t) for t in ("orders", "customer", "nation")}, _ADHOC_JOIN)
+    return adhoc(spark, {t: T(spark, sf, t) for t in ("orders", "customer", "nation")}, _ADHOC_JOIN, limit=DISPLAY_ROWS)

@@ -41,7 +41,7 @@ def _compare_numeric_sql() -> str:
 
 @register("compare_numeric", _compare_numeric_sql())
 def compare_numeric(spark, sf):
-    return C.compare_numeric(T(spark, sf, "pair_a"), T(spark, sf, "pair_b"))
+    return C.compare_numeric(T(spark, sf, "pair_a"), T(spark, sf, "pair_b"), max_columns=12)
 
 
 def _overview_sql() -> str:

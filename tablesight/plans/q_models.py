@@ -12,7 +12,7 @@ from .registry import T, register
 
 @register("linreg_one", """
 select regr_slope(l_extendedprice, l_quantity) as slope, regr_intercept(l_extendedprice, l_quantity) as intercept,
-       regr_r2(l_extendedprice, l_quantity) as r2, cast(regr_count(l_extendedprice, l_quantity) as bigint) as n from lineitem""")
+       regr_r2(l_extendedprice, l_quantity) as r2, cast(regr_count(l_extendedprice, l_quantity) as bigint) as n from lineitem""", digits=None)
 def linreg_one(spark, sf):
     return ML.linreg_one(T(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
 

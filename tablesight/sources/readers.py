@@ -17,7 +17,7 @@ from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,7 +50,7 @@ def read_dataset(spark: SparkSession, path: str, fmt: str | None = None, **opts)
         return read_json(spark, path, shape="lines" if ext == ".jsonl" else opts.pop("shape", "auto"), **opts)
     if ext == ".parquet":
         return read_parquet(spark, path)
-    raise ValueError(f"Unsupported file type: '{ext}'. Supported: {', '.join(SUPPORTED)}")
+    raise ValueError(f"no reader for files ending in {ext!r}; known endings: {' '.join(SUPPORTED)}")
 
 
 def format_label(path_col: str | None = None) -> F.Column:
@@ -89,15 +89,30 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = False, infer: boo
              na_tokens: Sequence[str] = NA_TOKENS, sep: str = ",") -> DataFrame:
     """Header row, doubled quotes, optional quoted newlines (``multiline``
     makes each file one task). All columns are read as text, missing tokens
-    become null, then types are inferred (int -> float -> bool -> text)."""
-    rd = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", multiline)
-               .option("escape", '"').option("quote", '"').option("sep", sep).option("mode", "PERMISSIVE"))
-    df = rd.csv(path)
-    raw = (spark.read.option("header", False).option("multiLine", multiline).option("escape", '"')
-                .option("sep", sep).csv(path).limit(1).collect())
-    if raw:
-        names = dedupe_names([v if v is not None else "" for v in raw[0]])
-        df = df.toDF(*names)
+    become null, then types are inferred (int -> float -> bool -> text).
+
+    A row with fewer fields than the header ends in nulls; one with more
+    fields raises when it is read. Files of a folder must have the same header
+    in the same order, else reading raises (unless the header repeats names,
+    which Spark cannot check).
+    """
+    form = {"multiLine": multiline, "escape": '"', "quote": '"', "sep": sep}
+    first = spark.read.options(header=False, **form).csv(path).limit(1).collect()
+    if not first:
+        return spark.read.options(header=True, **form).csv(path)
+    header = [v if v is not None else "" for v in first[0]]
+    names = dedupe_names(header)
+    raw = "_raw_row"
+    while raw in names:
+        raw += "_"
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, raw]])
+    df = (spark.read.options(header=True, enforceSchema=names != header, mode="PERMISSIVE", columnNameOfCorruptRecord=raw, **form)
+          .schema(schema).csv(path))
+    wide = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+    more = F.from_csv(F.col(raw), wide, {"sep": sep, "escape": '"', "quote": '"'})[f"c{len(names)}"]
+    # The message names the first field too: Spark refuses to read the raw row alone.
+    message = F.concat(F.lit("CSV row with more fields than the header, at "), F.coalesce(col(names[0]), F.lit("")), F.lit(": "), F.col(raw))
+    df = df.filter(F.when(more.isNotNull(), F.raise_error(message).cast("boolean")).otherwise(True)).drop(raw)
     df = normalize_missing(df, na_tokens)
     return infer_types(df) if infer else df
 
@@ -193,8 +208,8 @@ def read_json(spark: SparkSession, path: str, shape: str = "auto", parse_dates:
 def _read_json(spark: SparkSession, path: str, shape: str = "auto") -> DataFrame:
     """``records`` (one array of objects per file), ``columns`` (one object
     of column -> {index -> value}), or ``lines`` (one object per line, the
-    splittable form). ``auto`` looks at each file's first character and
-    whether the whole file is one object."""
+    splittable form). ``auto`` decides from all files and raises if they
+    differ in shape."""
     if shape == "auto":
         shape = _json_shape(spark, path)
     if shape == "records":
@@ -202,13 +217,13 @@ def _read_json(spark: SparkSession, path: str, shape: str = "auto") -> DataFrame
     if shape == "lines":
         return spark.read.json(path)
     if shape == "columns":
-        whole = spark.read.option("wholetext", True).text(path).withColumn("_file", F.input_file_name())
+        whole = spark.read.text(path, wholetext=True).withColumn("_file", F.input_file_name())
         m = whole.select("_file", F.from_json("value", "map<string,map<string,string>>").alias("m"))
-        cells = (m.select("_file", F.explode("m").alias("column", "cells"))
-                  .select("_file", "column", F.explode("cells").alias("idx", "value")))
-        names = [r["column"] for r in m.select(F.explode(F.map_keys("m")).alias("column"))
-                 .groupBy("column").agg(F.min(F.lit(0))).collect()]
-        order = _json_column_order(spark, path) or sorted(names)
+        cells = (m.select("_file", F.posexplode("m").alias("place", "column", "cells"))
+                  .select("_file", "place", "column", F.explode("cells").alias("idx", "value")))
+        # Columns of all files: by their place in the files, then by name.
+        order = [r["column"] for r in m.select(F.posexplode("m").alias("place", "column", "cells"))
+                 .groupBy("column").agg(F.min("place").alias("place")).orderBy("place", "column").collect()]
         wide = (cells.groupBy("_file", F.col("idx").cast("long").alias("_idx"))
                      .pivot("column", order).agg(F.first("value")))
         return infer_types(wide.orderBy("_file", "_idx").drop("_file", "_idx"))
@@ -216,24 +231,26 @@ def _read_json(spark: SparkSession, path: str, shape: str = "auto") -> DataFrame
 
 
 def _json_shape(spark: SparkSession, path: str) -> str:
-    first = (spark.read.option("wholetext", True).text(path)
-                  .select(F.ltrim("value").substr(1, 1).alias("c"),
-                          F.from_json("value", "map<string,map<string,string>>").isNotNull().alias("obj"))
-                  .limit(1).collect())
-    if not first:
-        return "lines"
-    if first[0]["c"] == "[":
-        return "records"
-    return "columns" if first[0]["obj"] else "lines"
-
-
-def _json_column_order(spark: SparkSession, path: str) -> list[str] | None:
-    # Key order of the first file's top-level object (for column order).
-    row = spark.read.option("wholetext", True).text(path).limit(1).collect()
-    if not row:
-        return None
-    keys = re.findall(r'(?:^\s*\{|\}\s*,)\s*"((?:[^"\\]|\\.)*)"\s*:', row[0]["value"])
-    return keys or None
+    """Lines are told by a pass over the text lines: each is a whole object.
+    A file of one line that is an object of objects is column-oriented. What
+    is left is not splittable anyway: its first character decides."""
+    lines = spark.read.text(path).filter(F.trim("value") != "").withColumn("_file", F.input_file_name())
+    obj = F.trim("value").startswith("{") & F.trim("value").endswith("}") & F.from_json("value", "map<string,string>").isNotNull()
+    nested = obj & F.coalesce(F.forall(F.map_values(F.from_json("value", "map<string,string>")), lambda v: v.startswith("{")), F.lit(False))
+    files = lines.groupBy("_file").agg(F.count("*").alias("n"), F.bool_and(obj).alias("objects"), F.bool_and(nested).alias("nested"))
+    kind = F.when(F.col("objects"), F.when((F.col("n") == 1) & F.col("nested"), "columns").otherwise("lines"))
+    kinds = {r["kind"] for r in files.select(kind.alias("kind")).distinct().collect()}
+    if None in kinds:
+        first = spark.read.text(path, wholetext=True).select(F.ltrim(F.regexp_replace("value", r"^\s+", "")).substr(1, 1).alias("c"))
+        starts = {r["c"] for r in first.filter("c <> ''").distinct().collect()}
+        if starts == {"["}:
+            return "records"
+        if starts == {"{"} and kinds <= {None, "columns"}:
+            return "columns"
+        raise ValueError("the files differ in JSON shape; read each shape by itself")
+    if len(kinds) > 1:
+        raise ValueError("the files differ in JSON shape; read each shape by itself")
+    return kinds.pop() if kinds else "lines"
 
 
 # ---------------------------------------------------------------- Excel (S3)
@@ -298,10 +315,17 @@ def read_excel(spark: SparkSession, path: str) -> DataFrame:
                 {"row": "int32", "col": "int32"})
 
     long = files.mapInPandas(cells, "path string, row int, col int, value string")
-    header = long.filter("row = 0").groupBy("col").agg(F.first("value").alias("name")).orderBy("col").collect()
-    idx = [r["col"] for r in header]
-    names = dedupe_names([r["name"] if r["name"] is not None else f"Unnamed: {r['col']}" for r in header])
-    wide = (long.filter("row > 0").groupBy("path", "row").pivot("col", idx).agg(F.first("value"))
+    # Each workbook's own header names its cells; cells right of it get a name
+    # by their place, and repeated names a number.
+    header = long.filter("row = 0 and value is not null").select("path", "col", F.col("value").alias("name"))
+    cells_ = long.filter("row > 0").join(header, ["path", "col"], "left").withColumn(
+        "name", F.coalesce("name", F.concat(F.lit("Unnamed: "), F.col("col"))))
+    named = header.union(cells_.select("path", "col", "name")).distinct()
+    copy = F.row_number().over(Window.partitionBy("path", "name").orderBy("col")) - 1
+    named = named.withColumn("column", F.when(copy == 0, F.col("name")).otherwise(F.concat_ws(".", "name", copy)))
+    # One row per column: the schema is needed on the driver.
+    order = [r["column"] for r in named.groupBy("column").agg(F.min("col").alias("col")).orderBy("col", "column").collect()]
+    wide = (cells_.join(named.select("path", "col", "column"), ["path", "col"])
+                .groupBy("path", "row").pivot("column", order).agg(F.first("value"))
                 .orderBy("path", "row").drop("path", "row"))
-    wide = wide.toDF(*names)
     return infer_types(normalize_missing(wide))

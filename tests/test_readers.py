@@ -79,7 +79,7 @@ def test_parquet_and_format_label(spark, tmpdir_path):
 
 
 def test_unsupported_extension(spark):
-    with pytest.raises(ValueError, match="Supported"):
+    with pytest.raises(ValueError, match="no reader"):
         S.read_dataset(spark, "/x/y.txt")
 
 
