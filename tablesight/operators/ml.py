@@ -1,9 +1,8 @@
 """Model training with Spark ML pipelines, evaluation metrics as plain
 aggregates, one-feature linear regression in closed form, and model saving.
 
-Pipelines: impute numeric (mean) -> index categoricals (frequency order,
-missing kept) -> one-hot -> assemble -> scale (for linear, SVM, MLP) ->
-estimator. Training runs on Spark executors; nothing is collected.
+Pipelines: date parts -> impute numeric (mean) -> hash the other columns ->
+assemble -> scale (for linear, SVM, MLP) -> estimator. Training runs on Spark executors; nothing is collected.
 """
 
 from __future__ import annotations
@@ -17,14 +16,16 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, Imputer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import (
     DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
 )
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.columns import categorical_columns, col, numeric_columns
+from ..functions.columns import categorical_columns, col, datetime_columns, numeric_columns
+from .common import q
 from .prep import split
 
 # Model names accepted by ``train`` (the reference's list).
@@ -92,39 +93,60 @@ def linreg_one(df: DataFrame, x: str, y: str) -> DataFrame:
 
 # ---------------------------------------------------------------- pipelines (M1-M3 as stages, M5-M12, M15, M16)
 
+HASH_SLOTS = 64
+#: Names that mark the target when none is given, tried in this order.
+TARGET_NAMES = ("target", "label", "class", "y")
+
+
 def _feature_stages(df: DataFrame, features: Sequence[str], scaled: bool):
+    """Date parts -> impute numbers -> hash the other columns -> assemble.
+
+    Text columns are hashed into HASH_SLOTS positions: nothing is learned from
+    them, so no list of values reaches the driver and vectors keep their
+    width whatever the number of values."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    dates = [c for c in features if isinstance(types[c], (T.DateType, T.TimestampType, T.TimestampNTZType))]
     num = [c for c in features if c in numeric_columns(df)]
-    cat = [c for c in features if c not in num]
-    stages, inputs = [], []
-    if num:
-        stages.append(Imputer(inputCols=num, outputCols=[f"_imp_{c}" for c in num], strategy="mean"))
-        inputs += [f"_imp_{c}" for c in num]
+    cat = [c for c in features if c not in num and c not in dates]
+    stages, inputs, numbers = [], [], list(num)
+    if dates:
+        parts = {f"_{part}_{i}": f"CAST({part}({q(c)}) AS DOUBLE)" for i, c in enumerate(dates) for part in ("year", "month", "weekday", "hour")}
+        stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(f"{e} AS {n}" for n, e in parts.items()) + " FROM __THIS__"))
+        numbers += parts
+    if numbers:
+        stages.append(Imputer(inputCols=numbers, outputCols=[f"_imp_{i}" for i in range(len(numbers))], strategy="mean"))
+        inputs += [f"_imp_{i}" for i in range(len(numbers))]
     if cat:
-        stages.append(StringIndexer(inputCols=cat, outputCols=[f"_idx_{c}" for c in cat],
-                                    handleInvalid="keep", stringOrderType="frequencyDesc"))
-        stages.append(OneHotEncoder(inputCols=[f"_idx_{c}" for c in cat], outputCols=[f"_oh_{c}" for c in cat],
-                                    handleInvalid="keep"))
-        inputs += [f"_oh_{c}" for c in cat]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="_raw", handleInvalid="keep"))
+        stages.append(FeatureHasher(inputCols=cat, outputCol="_hashed", numFeatures=HASH_SLOTS, categoricalCols=cat))
+        inputs.append("_hashed")
+    stages.append(VectorAssembler(inputCols=inputs, outputCol="_raw" if scaled else "features", handleInvalid="keep"))
     if scaled:
         stages.append(StandardScaler(inputCol="_raw", outputCol="features", withMean=False, withStd=True))
-    else:
-        stages[-1] = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
-    return stages
+    return stages, len(numbers) + (HASH_SLOTS if cat else 0)
+
+
+def _prepare(df: DataFrame, features: Sequence[str] | None, target: str | None, key: str | None) -> list[str]:
+    """All usable columns but the target and the split key (an identifier)."""
+    usable = set(numeric_columns(df)) | set(categorical_columns(df)) | set(datetime_columns(df))
+    simple = {f.name for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))}
+    return list(features) if features else [c for c in df.columns if c not in (target, key) and c in usable and c in simple]
 
 
-def _prepare(df: DataFrame, features: Sequence[str] | None, target: str | None):
-    feats = list(features) if features else [
-        c for c in df.columns if c != target
-        and (c in numeric_columns(df) or c in categorical_columns(df))]
-    return feats
+def infer_target(df: DataFrame, key: str | None = None) -> str:
+    """The first column named like one of TARGET_NAMES, else the last one that
+    is not the split key."""
+    for name in TARGET_NAMES:
+        for c in df.columns:
+            if c.lower() == name and c != key:
+                return c
+    return [c for c in df.columns if c != key][-1]
 
 
 def _estimator(model_type: str, kind: str, n_classes: int, n_features: int, seed: int):
     m = model_type.lower()
     if kind == "classification":
         if "forest" in m:
-            return RandomForestClassifier(seed=seed, numTrees=50), False
+            return RandomForestClassifier(seed=seed, numTrees=50, featureSubsetStrategy="0.5"), False
         if "xgboost" in m or "boost" in m or "gbt" in m:
             gbt = GBTClassifier(seed=seed, maxIter=30)
             return (gbt if n_classes <= 2 else OneVsRest(classifier=gbt)), False
@@ -140,7 +162,7 @@ def _estimator(model_type: str, kind: str, n_classes: int, n_features: int, seed
             return DecisionTreeClassifier(seed=seed), False
     else:
         if "forest" in m:
-            return RandomForestRegressor(seed=seed, numTrees=50), False
+            return RandomForestRegressor(seed=seed, numTrees=50, featureSubsetStrategy="0.5"), False
         if "xgboost" in m or "boost" in m or "gbt" in m:
             return GBTRegressor(seed=seed, maxIter=30), False
         if "linear" in m:
@@ -151,62 +173,60 @@ def _estimator(model_type: str, kind: str, n_classes: int, n_features: int, seed
 
 
 def train(df: DataFrame, model_type: str, target: str | None = None, features: Sequence[str] | None = None,
-          split_key: str | None = None, test_share: float = 0.2, kind: str | None = None, seed: int = 42):
+          split_key: str | None = None, test_share: float = 0.2, kind: str | None = None, seed: int = 42, clusters: int = 3):
     """Fit a pipeline; returns ``(model, predictions)`` where predictions are
     ``(split, label, prediction)`` for all rows. Without a target the model
-    is a clustering one (K-Means default) and ``label`` is null.
+    is a clustering one of ``clusters`` groups (K-Means default) and ``label``
+    is null. An empty target is inferred (``infer_target``). The split key is
+    no feature.
 
     ``kind`` defaults to the problem type (classification for a non-numeric
     target or at most 20 values, else regression).
     """
-    from .health import problem_type
-    feats = _prepare(df, features, target)
-    key = split_key or df.columns[0]
-    data = split(df, key, test_share)
+    if target == "":
+        target = infer_target(df, split_key)
+    feats = _prepare(df, features, target, split_key)
+    data = split(df, split_key or df.columns[0], test_share)
     if not target:
-        stages = _feature_stages(df, feats, scaled=True)
-        est = (GaussianMixture(k=3, seed=seed) if "gauss" in model_type.lower()
-               else KMeans(k=3, seed=seed))
+        stages, _ = _feature_stages(df, feats, scaled=True)
+        est = (GaussianMixture(k=clusters, seed=seed) if "gauss" in model_type.lower()
+               else KMeans(k=clusters, seed=seed))
         model = Pipeline(stages=stages + [est]).fit(data.filter("split = 'train'"))
         pred = model.transform(data)
         return model, pred.select("split", F.lit(None).cast("double").alias("label"),
                                   F.col("prediction").cast("double").alias("prediction"), "features")
-    if kind is None:
-        pt = problem_type(df, target).first()
-        kind = "classification" if pt["problem_type"] == "classification" else "regression"
-    stages = []
-    label = "label"
-    n_classes = 2
+    kind = kind or target_kind(df, target)
+    rows = data.na.drop(subset=[target])
+    first, label, n_classes = [], "label", 2
     if kind == "classification":
-        stages.append(StringIndexer(inputCol=target, outputCol=label, handleInvalid="skip",
-                                    stringOrderType="alphabetAsc"))
-        n_classes = df.select(target).na.drop().distinct().count()
+        first.append(StringIndexer(inputCol=target, outputCol=label, handleInvalid="skip",
+                                   stringOrderType="alphabetAsc"))
+        n_classes = rows.select(target).distinct().count()
     else:
-        data = data.withColumn(label, col(target).cast("double"))
-    train_rows = data.filter("split = 'train'").na.drop(subset=[target])
-    n_features = 0
-    if "mlp" in model_type.lower() or "neural" in model_type.lower():
-        # the network's input width: fit the feature stages on all training rows
-        probe = Pipeline(stages=_feature_stages(df, feats, scaled=False)).fit(train_rows)
-        n_features = len(probe.transform(train_rows.limit(1)).first()["features"])
-    est, scaled = _estimator(model_type, kind, n_classes, n_features, seed)
-    stages += _feature_stages(df, feats, scaled)
-    model = Pipeline(stages=stages + [est]).fit(train_rows)
-    pred = model.transform(data.na.drop(subset=[target]))
-    return model, pred.select("split", F.col(label).cast("double").alias("label"),
-                              F.col("prediction").cast("double").alias("prediction"))
-
-
-def evaluate(pred: DataFrame, kind: str) -> DataFrame:
-    """Metrics on the test rows of ``train``'s predictions."""
-    test = pred.filter("split = 'test'")
+        rows = rows.withColumn(label, col(target).cast("double"))
+    _, width = _feature_stages(df, feats, scaled=False)
+    est, scaled = _estimator(model_type, kind, n_classes, width, seed)
+    model = Pipeline(stages=first + _feature_stages(df, feats, scaled)[0] + [est]).fit(rows.filter("split = 'train'"))
+    return model, model.transform(rows).select("split", F.col(label).cast("double").alias("label"),
+                                               F.col("prediction").cast("double").alias("prediction"))
+
+
+def target_kind(df: DataFrame, target: str) -> str:
+    """classification or regression, by the problem type of the target."""
+    from .health import problem_type
+    return "classification" if problem_type(df, target).first()["problem_type"] == "classification" else "regression"
+
+
+def evaluate(pred: DataFrame, kind: str, which: str = "test") -> DataFrame:
+    """Metrics on the rows of one split of ``train``'s predictions."""
+    part = pred.filter(F.col("split") == which)
     if kind == "classification":
-        return classification_metrics(test)
+        return classification_metrics(part)
     if kind == "clustering":
         ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-        s = ev.evaluate(pred.withColumn("prediction", F.col("prediction").cast("int")))
+        s = ev.evaluate(part.withColumn("prediction", F.col("prediction").cast("int")))
         return pred.sparkSession.createDataFrame([("silhouette", float(s))], "metric string, value double")
-    return regression_metrics(test)
+    return regression_metrics(part)
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -216,12 +236,12 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def train_summary(df: DataFrame, model_type: str, target: str | None = None, **kw) -> DataFrame:
     """``(model, split, rows, metric, value)``: the summary printed at the end
-    of training — test metrics next to the row counts of each split."""
-    model, pred = train(df, model_type, target, **kw)
-    kind = "clustering" if not target else None
-    if kind is None:
-        from .health import problem_type
-        kind = "classification" if problem_type(df, target).first()["problem_type"] == "classification" else "regression"
+    of training: row count and metrics of each split."""
+    if target == "":
+        target = infer_target(df, kw.get("split_key"))
+    kind = kw.pop("kind", None) or (target_kind(df, target) if target else "clustering")
+    _, pred = train(df, model_type, target, kind=kind, **kw)
+    parts = [evaluate(pred, kind, which).withColumn("split", F.lit(which)) for which in ("train", "test")]
     counts = pred.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
-    met = evaluate(pred, kind)
-    return counts.crossJoin(met).select(F.lit(model_type).alias("model"), "split", "rows", "metric", "value")
+    return (parts[0].unionByName(parts[1]).join(counts, "split")
+            .select(F.lit(model_type).alias("model"), "split", "rows", "metric", "value"))

@@ -43,8 +43,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when nothing is configured (local
-    tests) a fresh scratch folder is created and registered, once per session.
+    The cluster's setting always wins. Only when nothing is configured and all
+    work is done by one local process (tests), a fresh scratch folder is
+    created and registered, once per session; elsewhere this raises, as
+    executors would write to folders of their own.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     try:  # classic sessions: the context may carry a directory set in code
@@ -52,6 +54,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # noqa: BLE001 - e.g. Spark Connect has no SparkContext
         pass
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tablesight-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     try:

@@ -51,7 +51,26 @@ def test_train_save_and_reload(spark, tmpdir_path):
     again = PipelineModel.load(path)
     assert again.transform(df).count() == 120
     m = {r["metric"]: r["value"] for r in ML.evaluate(pred, "classification").collect()}
-    assert 0 <= m["accuracy"] <= 1
+    assert m["accuracy"] == 1  # y depends on x alone
+
+
+def test_train_summary_per_split(spark):
+    import datetime as dt
+    rows = [(i, float(i % 11), "ab"[i % 2], dt.datetime(2024, 1 + i % 12, 1), int(i % 11 > 4)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, x double, c string, t timestamp, y int")
+    for model in ("Logistic Regression", "Decision Tree", "SVM"):
+        got = {(r["split"], r["metric"]): (r["rows"], r["value"]) for r in ML.train_summary(df, model, "", split_key="id").collect()}
+        assert got["train", "accuracy"][0] + got["test", "accuracy"][0] == 300
+        majority = max(sum(r[4] for r in rows), sum(1 - r[4] for r in rows)) / 300
+        assert got["train", "accuracy"][1] > majority and got["test", "accuracy"][1] > majority
+    assert ML.infer_target(df, "id") == "y" and "id" not in ML._prepare(df, None, "y", "id")
+
+
+def test_clusters_ignore_the_key(spark):
+    df = spark.createDataFrame([(i * 1000, float(i % 2) * 50) for i in range(200)], "id long, x double")
+    _, pred = ML.train(df, "K-Means", None, split_key="id", clusters=2)
+    sizes = [r["count"] for r in pred.groupBy("prediction").count().collect()]
+    assert sorted(sizes) == [100, 100]
 
 
 def test_health_and_alerts(spark):
