@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
@@ -18,7 +18,7 @@ from ..functions.columns import (
 )
 from .charts import _bin
 from .quantiles import quantiles
-from .common import join_back, unpivot
+from .common import join_back, q, unpivot
 
 
 def ratio(df: DataFrame, a: str, b: str, name: str | None = None) -> DataFrame:
@@ -103,8 +103,8 @@ def feature_candidates(df: DataFrame, skew: float = 1.0, max_groups: int = 50,
     - frequency encoding for text columns with more than ``high_cardinality``
       values;
     - a missing flag for every column with missing values;
-    - the first numeric column relative to the mean of each text column with
-      at most ``max_groups`` values.
+    - each numeric column relative to its mean in the groups of each text
+      column with at most ``max_groups`` values.
     Expressions are Spark SQL usable in ``selectExpr``.
     """
     from ..functions.stats import SKEWNESS_SQL
@@ -115,21 +115,24 @@ def feature_candidates(df: DataFrame, skew: float = 1.0, max_groups: int = 50,
     st = per_column(df, num, lambda c: sql_clean_numeric(c, types[c]),
                     {"mn": "min({v})", "sk": SKEWNESS_SQL}) if num else None
     var = report_variables(df)
-    q = lambda c: "`" + c + "`"
+
+    def quoted(name: str) -> Column:
+        return F.concat(F.lit("`"), F.replace(F.col(name), F.lit("`"), F.lit("``")), F.lit("`"))
+
     rows = []
     if st is not None:
         pos = {c: i for i, c in enumerate(num)}
         s = st.select("column", "mn", "sk")
         rows.append(s.filter((F.col("mn") >= 0) & (F.abs("sk") > skew)).select(
             F.concat(F.lit("log1p_"), "column").alias("feature"),
-            F.concat(F.lit("log1p("), F.lit("`"), "column", F.lit("`)")).alias("expression"),
+            F.concat(F.lit("log1p("), quoted("column"), F.lit(")")).alias("expression"),
             F.lit("skewed non-negative").alias("reason")))
         pairs = df.sparkSession.createDataFrame(
             [(a, b) for a in num for b in num if pos[a] < pos[b]], "a string, b string")
         dens = s.filter(F.col("mn") > 0).select(F.col("column").alias("b"))
         rows.append(pairs.join(dens, "b").select(
             F.concat("a", F.lit("_per_"), "b").alias("feature"),
-            F.concat(F.lit("try_divide(`"), "a", F.lit("`, `"), "b", F.lit("`)")).alias("expression"),
+            F.concat(F.lit("try_divide("), quoted("a"), F.lit(", "), quoted("b"), F.lit(")")).alias("expression"),
             F.lit("ratio, positive denominator").alias("reason")))
     dparts = [(f"{c}_{p}", f"{fn}({q(c)})", "date part") for c in datetime_columns(df)
               for p, fn in (("year", "year"), ("month", "month"), ("dow", "weekday"), ("hour", "hour"))]
@@ -139,18 +142,19 @@ def feature_candidates(df: DataFrame, skew: float = 1.0, max_groups: int = 50,
     v = var.select("column", "distinct", "missing")
     rows.append(v.filter(F.col("column").isin(text) & (F.col("distinct") > high_cardinality)).select(
         F.concat("column", F.lit("_freq")).alias("feature"),
-        F.concat(F.lit("count(*) over (partition by `"), "column", F.lit("`)")).alias("expression"),
+        F.concat(F.lit("count("), quoted("column"), F.lit(") over (partition by "), quoted("column"), F.lit(")")).alias("expression"),
         F.lit("high cardinality").alias("reason")))
+    floats = [c for c in num if types[c].typeName() in ("float", "double")]
+    nan = F.when(F.col("column").isin(floats), F.concat(F.lit(" or isnan("), quoted("column"), F.lit(")"))).otherwise(F.lit(""))
     rows.append(v.filter("missing > 0").select(
         F.concat("column", F.lit("_missing")).alias("feature"),
-        F.concat(F.lit("cast(isnull(`"), "column", F.lit("`) as int)")).alias("expression"),
+        F.concat(F.lit("cast(isnull("), quoted("column"), F.lit(")"), nan, F.lit(" as int)")).alias("expression"),
         F.lit("has missing values").alias("reason")))
-    if num:
-        x = num[0]
+    for x in num:
         rows.append(v.filter(F.col("column").isin(text) & (F.col("distinct") <= max_groups)
                              & (F.col("distinct") > 1)).select(
             F.concat(F.lit(f"{x}_minus_"), "column", F.lit("_mean")).alias("feature"),
-            F.concat(F.lit(f"{q(x)} - avg({q(x)}) over (partition by `"), "column", F.lit("`)")).alias("expression"),
+            F.concat(F.lit(f"{q(x)} - avg({q(x)}) over (partition by "), quoted("column"), F.lit(")")).alias("expression"),
             F.lit("group-relative").alias("reason")))
     out = rows[0]
     for r in rows[1:]:

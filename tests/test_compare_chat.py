@@ -142,3 +142,38 @@ def test_scatter_sample_complete_rows(spark):
     df = spark.createDataFrame([(float(i), None if i % 2 else 1.0) for i in range(200)], "a double, b double")
     s = G.scatter_sample(df, fraction=0.5, seed=1).collect()
     assert 0 < len(s) <= 100 and all(r["b"] is not None for r in s)
+
+
+def test_candidate_expressions_run(spark):
+    """Names with back-ticks, NaN as missing, missing values in frequencies."""
+    rows = [(float("nan") if i % 5 == 0 else float(i), i + 1, None if i % 4 == 0 else "v%d" % (i % 60)) for i in range(240)]
+    df = spark.createDataFrame(rows, "`a``b` double, n long, tag string")
+    for r in X.feature_candidates(df).collect():
+        assert df.selectExpr(r["expression"] + " AS f").count() == 240
+    by = {r["feature"]: r["expression"] for r in X.feature_candidates(df).collect()}
+    assert df.selectExpr(by["a`b_missing"] + " AS f").agg(F.sum("f")).first()[0] == 48
+
+
+def test_both_forms_on_empty_and_wide_tables(spark):
+    from tablesight.operators import charts, profile
+    for n in (3, 8, 12, 100):
+        df = spark.createDataFrame([], ", ".join(f"c{i} double" for i in range(n)))
+        assert profile.describe_numeric(df).count() == n
+        counts = profile.missing_counts(df).collect()
+        assert len(counts) == n and all(r["missing"] == 0 for r in counts)
+        if n <= 12:
+            assert charts.correlation(df).count() == n * n
+
+
+def test_one_row_repeated(spark):
+    df = spark.range(100_000).selectExpr("'x' AS a", "cast(null as int) AS b").union(spark.createDataFrame([(None, 1), ("x", 1)], "a string, b int"))
+    from tablesight.operators import profile
+    assert profile.duplicate_count(df).first()[0] == 99_999
+    assert [r["copies"] for r in profile.duplicate_groups(df).collect()] == [100_000]
+
+
+def test_infinite_values_in_histograms(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (float("inf"),), (float("-inf"),), (float("nan"),)], "v double")
+    from tablesight.operators import charts
+    got = charts.histogram(df, "v", bins=3).orderBy("bin").collect()
+    assert [r["count"] for r in got] == [1, 1, 1] and got[0]["lower"] == 1 and got[2]["upper"] == 4
