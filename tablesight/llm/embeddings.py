@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, local_components
 from .shared import Scratch
 
 TREES = 6
@@ -85,20 +85,6 @@ def unit_vectors(arrays: list) -> tuple[np.ndarray, np.ndarray]:
     return np.array(keep, np.int64), x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
 
 
-def local_components(linked: np.ndarray) -> np.ndarray:
-    """Smallest index that links reach, per row of a symmetric link matrix."""
-    label = np.arange(len(linked))
-    a, b = np.nonzero(linked)
-    while len(a):
-        low = label.copy()
-        np.minimum.at(low, a, label[b])
-        low = low[low]
-        if (low == label).all():
-            break
-        label = low
-    return label
-
-
 def near_duplicates(vectors: DataFrame, least_cosine: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 

@@ -1,7 +1,9 @@
-"""Connected components of a link table, as DataFrame jobs."""
+"""Connected components of a link table, as DataFrame jobs, and of a small
+link matrix inside a task."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +39,17 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         edges = after
     roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def local_components(linked: np.ndarray) -> np.ndarray:
+    """Smallest index that links reach, per row of a symmetric link matrix."""
+    label = np.arange(len(linked))
+    a, b = np.nonzero(linked)
+    while len(a):
+        low = label.copy()
+        np.minimum.at(low, a, label[b])
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    return label

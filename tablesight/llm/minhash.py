@@ -8,9 +8,8 @@ Join: the signature is split into CHUNKS chunks. By pigeonhole, signatures
 within distance CHUNKS * (ERRORS + 1) - 1 agree in some chunk but for ERRORS
 symbols at most. Each signature enumerates, for every chunk, all ways to leave
 out ERRORS symbols; equal remainders are an index hit. So every pair within
-the distance meets in a bucket. Pairs somewhat beyond may meet too and are
-used up to MAX_DISTANCE. A pair becomes a link only after comparing the full
-shingle sets.
+the distance meets in a bucket, and many beyond it do. A pair becomes a link
+only after comparing the full shingle sets.
 """
 
 from __future__ import annotations
@@ -18,20 +17,22 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, local_components
 from .kernel import mix, seeds, shingle_sets
 from .shared import Scratch, column_bytes
 
 SYMBOLS, CHUNKS, ERRORS = 48, 8, 1
-#: Pairs farther apart are not compared. At similarity 0.85 the distance is
+#: A member is not compared with its leader if they are farther apart. At similarity 0.85 the distance is
 #: binomial(48, 0.15): beyond 22 in less than 1 of 10 million pairs.
 MAX_DISTANCE = 22
 SIG = [f"s{i}" for i in range(SYMBOLS // 8)]
-STAR_ROUNDS = 3
+#: Texts per block where components of a bucket are compared with each other.
+BLOCK = 768
 
 
 def signatures(texts: list[bytes]):
@@ -127,10 +128,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
     Texts with equal sets form one class. Classes meet in index buckets; each
     bucket compares its members with one leader, so a bucket of n similar
-    texts costs n comparisons. What a leader leaves apart is tried with other
-    leaders, and in the end every remaining pair of a bucket whose parts are
-    still unconnected is compared if the signatures are near enough. Links
-    inside one component cannot change the result and are not looked for.
+    texts costs n comparisons. Buckets that then still hold several components
+    are compared in full, but for pairs inside a component, block by block in
+    tasks of bounded size that return spanning links only. Work is quadratic
+    only in such clusters of texts that are alike but not linked.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "minhash")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -163,28 +164,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         pairs = pairs.join(near.toDF("a", "x"), "a").join(near.toDF("b", "y"), "b")
         return pairs.filter(distance("x", "y") <= MAX_DISTANCE).select("a", "b")
 
-    part = scratch.put(candidates.select("node", F.col("node").alias("component")))
-    found = None
-    open_entries = bucketed
-    for round_no in range(STAR_ROUNDS):
-        entries = open_entries.join(part, "node")
-        order = F.struct(F.xxhash64("node", F.lit(round_no)) if round_no else F.lit(0), "node", "component")
-        lead = entries.groupBy("key").agg(F.min(order).alias("lead"))
-        pairs = (entries.join(lead, "key").filter("component <> lead.component")
-                 .select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct())
-        new = scratch.put(links(with_signatures(pairs)))
-        found = new if found is None else found.union(new)
-        part, open_entries = _regroup(candidates, found, bucketed, scratch)
-        if open_entries.isEmpty():
-            break
-    else:
-        entries = open_entries.join(part, "node").join(near, "node")
-        x, y = entries.alias("x"), entries.alias("y")
-        rest = (x.join(y, F.col("x.key") == F.col("y.key"))
-                .filter((F.col("x.component") < F.col("y.component")) & (distance("x.sig", "y.sig") <= MAX_DISTANCE))
-                .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-        found = found.union(scratch.put(links(rest)))
-        part, _ = _regroup(candidates, found, bucketed, scratch)
+    lead = bucketed.groupBy("key").agg(F.min("node").alias("lead"))
+    pairs = bucketed.join(lead, "key").filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    found = scratch.put(links(with_signatures(pairs)))
+    part = _parts(candidates, found, scratch)
+    found = found.union(scratch.put(_cross_links(bucketed, part, sets, percent, scratch)))
+    part = _parts(candidates, found, scratch)
 
     members = classes.join(part, "node", "left").select(*identity, F.coalesce("component", "node").alias("component_id"))
     return (signed.join(members, identity, "left")
@@ -193,12 +178,68 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
-def _regroup(candidates: DataFrame, found: DataFrame, bucketed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Component of each candidate, and the entries of the buckets that still
-    hold several components."""
+def _parts(candidates: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) of each candidate."""
     comps = components(found, scratch)
-    part = scratch.put(candidates.select("node").join(comps, "node", "left")
+    return scratch.put(candidates.select("node").join(comps, "node", "left")
                        .select("node", F.coalesce("component", "node").alias("component")))
+
+
+def _cross_links(bucketed: DataFrame, part: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between different components that share a bucket.
+
+    Buckets that still hold several components are gathered into clusters, by
+    their members. In a cluster, everything outside its largest component is
+    compared with everything, in blocks of BLOCK texts; each pair of blocks is
+    a task of bounded size that returns spanning links, not pairs."""
     entries = bucketed.join(part, "node")
-    split = entries.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    return part, scratch.put(bucketed.join(split, "key"))
+    split = entries.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("lead")).filter("lo <> hi")
+    star = bucketed.join(split.select("key", "lead"), "key").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    cluster = components(star, scratch).select("node", F.col("component").alias("cluster"))
+    nodes = scratch.put(cluster.join(part, "node"))
+    sizes = nodes.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n")).select(
+        "cluster", F.col("most.component").alias("largest"), F.ceil(F.col("most.n") / BLOCK).alias("large"),
+        F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("small"))
+    # Blocks 0 .. small - 1 hold the rest, small .. small + large - 1 the largest component.
+    inside = F.col("component") == F.col("largest")
+    placed = nodes.join(most, "cluster").withColumn(
+        "block", F.when(inside, F.col("small") + F.pmod(F.xxhash64("node"), F.col("large"))).otherwise(F.pmod(F.xxhash64("node"), F.col("small"))))
+    upto = F.when(inside, F.col("small")).otherwise(F.col("small") + F.col("large"))
+    placed = placed.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), upto - 1)))
+    placed = placed.select("cluster", "node", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "shingles")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        node, component, block = (pdf[c].to_numpy() for c in ("node", "component", "block"))
+        own = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+        size = np.array([len(x) for x in own])
+        both = common(own)
+        linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        linked &= component[:, None] != component[None, :]
+        if pdf["low"].iat[0] != pdf["high"].iat[0]:
+            linked &= block[:, None] != block[None, :]
+        root = node[local_components(linked)]
+        return pd.DataFrame({"a": node, "b": root})[node != root]
+
+    return placed.groupBy("cluster", "low", "high").applyInPandas(compare, "a long, b long")
+
+
+def common(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of all intersections, from products of membership matrices of
+    ``width`` shingles at a time; shingles of one set only are left out."""
+    every = np.concatenate(sets)
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    names, at, count = np.unique(every, return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    keep = count[at] > 1
+    of, at = of[keep], shared[at[keep]]
+    order = np.argsort(at, kind="stable")
+    of, at = of[order], at[order]
+    total = np.zeros((len(sets), len(sets)), np.float64)
+    for a in range(0, int(shared[-1]) + 1 if len(shared) else 0, width):
+        lo, hi = np.searchsorted(at, [a, a + width])
+        member = np.zeros((len(sets), width), np.float32)
+        member[of[lo:hi], at[lo:hi] - a] = 1
+        total += member @ member.T
+    return total
