@@ -43,6 +43,24 @@ def chat_reset(spark, sf):
     return L.since_reset(T(spark, sf, "conversations"))
 
 
+@register("chat_append", """
+with l as (select conv_id, max(turn) as m from conversations group by conv_id)
+select conv_id, turn, role, text from conversations
+union all select conv_id, m + 1, 'user', 'again' from l union all select conv_id, m + 2, 'assistant', 'ok' from l""")
+def chat_append(spark, sf):
+    conv = T(spark, sf, "conversations")
+    new = conv.select("conv_id").distinct().selectExpr("conv_id", "inline(array(struct(1 as pos, 'assistant' as role, 'ok' as text), struct(0 as pos, 'user' as role, 'again' as text)))")
+    return L.append_turns(conv, new)
+
+
+@register("chat_messages_profile", """
+select conv_id, -1::bigint as seq, 'system' as role, 'Be brief.' || chr(10) || chr(10) || 'Context — User''s Dataset Profile:' || chr(10) || 'rows: 3' as content
+from (select distinct conv_id from conversations)
+union all select conv_id, turn, role, text from conversations""")
+def chat_messages_profile(spark, sf):
+    return L.model_messages(T(spark, sf, "conversations"), "Be brief.", "rows: 3")
+
+
 _ADHOC = """select o_orderstatus, count(*) as n, avg(o_totalprice) as avg_price, max(o_orderdate) as last_order
 from {df} group by o_orderstatus order by n desc, o_orderstatus"""
 

@@ -63,3 +63,24 @@ def _overview_sql() -> str:
 @register("compare_overview", _overview_sql())
 def compare_overview(spark, sf):
     return C.compare_overview(T(spark, sf, "pair_a"), T(spark, sf, "pair_b"))
+
+
+_WIDE = [f"c{i:02d}" for i in range(1, 15)]
+
+
+def _wide_sql() -> str:
+    one = "select " + ", ".join(f"{{q}} * {i} as {c}" for i, c in enumerate(_WIDE, 1)) + " from lineitem where l_orderkey % 2 = {r}"
+    sides = {"a": one.format(q="l_quantity", r=0), "b": one.format(q="l_tax", r=1)}
+    parts = [f"""select '{c}' as "column", (select avg({c}) from a) as mean_1, (select avg({c}) from b) as mean_2,
+  (select stddev_samp({c}) from a) as std_1, (select stddev_samp({c}) from b) as std_2,
+  (select count(*) - count({c}) from a) as missing_1, (select count(*) - count({c}) from b) as missing_2""" for c in _WIDE[:12]]
+    return "with " + ", ".join(f"{k} as ({v})" for k, v in sides.items()) + " " + " union all ".join(parts)
+
+
+@register("compare_first_12", _wide_sql(), digits=None)
+def compare_first_12(spark, sf):
+    """Two inputs with 14 common numeric columns, of which 12 are shown."""
+    li = T(spark, sf, "lineitem")
+    a, b = (li.filter(f"l_orderkey % 2 = {r}").selectExpr(*[f"{q} * {i} as {c}" for i, c in enumerate(_WIDE, 1)])
+            for q, r in (("l_quantity", 0), ("l_tax", 1)))
+    return C.compare_numeric(a, b, max_columns=12)
