@@ -3,20 +3,11 @@
 
 Spark's exact ``percentile`` merges a whole group's value->count map in a
 single task, which does not survive a column with billions of distinct
-values. Here the work is spread instead:
-
-1. distinct values with counts per group (partial aggregation, so a hot value
-   costs one row); when Catalyst estimates this table below
-   ``one_task_bytes`` it is ranked in a single window pass (no step 2-4),
-   otherwise it is written once to the checkpoint folder;
-2. per group the total count and the number of distinct values (one small
-   row per group, read on the driver to size the plan);
-3. groups with more than ``max_per_task`` distinct values are cut into range
-   buckets from ``approx_percentile`` over their distinct values (a bounded
-   summary, broadcast), so that no window task sorts more than about
-   ``max_per_task`` values; bucket totals give running offsets;
-4. only buckets holding a wanted rank are ranked with a window;
-5. the two order statistics around each rank are interpolated.
+values. ``quantiles`` brackets each wanted rank with a sketch and ranks only
+the values inside (two passes, hardly any shuffle). ``quantiles_from_counts``
+starts from a table of distinct values with counts, which a sketch of rows
+cannot bracket: it cuts large groups into range buckets, finds the buckets
+that hold wanted ranks from running totals, and ranks only those.
 """
 
 from __future__ import annotations
@@ -29,6 +20,8 @@ from pyspark.sql import functions as F
 
 from ..session import estimated_bytes, reuse
 
+#: Groups of at most FEW * accuracy values are ranked whole.
+FEW = 4
 MAX_PER_TASK = 2_000_000
 MAX_BUCKETS = 4096
 ONE_TASK_BYTES = 256 << 20  # distinct-value tables estimated below this rank in one pass
@@ -71,8 +64,7 @@ def _one_pass(vc: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
 
 
 def quantiles(long: DataFrame, probs: Sequence[float], keys: Sequence[str] = ("ordinal", "column"),
-              value: str = "value", exact: bool = True, max_per_task: int = MAX_PER_TASK,
-              accuracy: int = 10000, one_task_bytes: int = ONE_TASK_BYTES) -> DataFrame:
+              value: str = "value", exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """``(keys..., quantiles array<double>)``, one array entry per prob.
 
     ``long`` holds one row per observation; nulls are skipped. Groups with no
@@ -83,9 +75,42 @@ def quantiles(long: DataFrame, probs: Sequence[float], keys: Sequence[str] = ("o
     v = long.select(*keys, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
     if not exact:
         return v.groupBy(*keys).agg(F.percentile_approx("v", probs, accuracy).alias("quantiles"))
+    return _bracketed(v, keys, probs, accuracy)
 
-    vc = v.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
-    return quantiles_from_counts(vc, probs, keys, max_per_task, accuracy, one_task_bytes)
+
+def _bracketed(v: DataFrame, keys: list[str], probs: list[float], accuracy: int) -> DataFrame:
+    """Exact quantiles in two passes over the values, the same plan at any size.
+
+    Pass 1: counts and ``percentile_approx`` a little below and above each
+    wanted rank; its rank error is at most total / accuracy, the margin is
+    twice that, so the bracket holds both order statistics around the rank.
+    Groups of few values have an open bracket (at most FEW * accuracy values).
+    Pass 2: values below a bracket are counted, values inside grouped: a few
+    per ten thousand of the rows reach the shuffle, and a window ranks those.
+    """
+    margin, k = 2 / accuracy, len(probs)
+    ends = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
+    stats = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.percentile_approx("v", ends, accuracy).alias("ends"))
+    many, h = F.col("total") > FEW * accuracy, (F.col("total") - 1) * F.col("p")
+    brackets = (stats.select(*keys, "total", "ends", F.posexplode(F.array(*[F.lit(p) for p in probs])).alias("pi", "p"))
+                .select(*keys, "pi", F.when(many, F.get("ends", F.col("pi"))).alias("lo"), F.when(many, F.get("ends", F.col("pi") + k)).alias("hi"),
+                        (h - F.floor(h)).alias("frac"), (F.floor(h) + 1).alias("r1"), (F.ceil(h) + 1).alias("r2")))
+    # One row per group and wanted rank: groups are columns here.
+    cells = (v.join(F.broadcast(brackets), keys).filter("hi IS NULL OR v <= hi")
+             .withColumn("cell", F.when(F.col("lo").isNull() | (F.col("v") >= F.col("lo")), F.col("v"))))
+    group = [*keys, "pi", "frac", "r1", "r2"]
+    counts = cells.groupBy(*group, "cell").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*group).orderBy(F.col("cell").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("v_end", F.sum("n").over(w)).withColumn("v_start", F.col("v_end") - F.col("n"))
+
+    def at(rank: str) -> F.Column:
+        return F.max(F.when((F.col(rank) > F.col("v_start")) & (F.col(rank) <= F.col("v_end")), F.col("cell")))
+
+    picked = ranked.groupBy(*group).agg(at("r1").alias("v1"), at("r2").alias("v2"))
+    # Equal neighbours are taken as they are: infinity minus infinity is no number.
+    value = F.when(F.col("v1") == F.col("v2"), F.col("v1")).otherwise(F.col("v1") + (F.col("v2") - F.col("v1")) * F.col("frac"))
+    return picked.select(*keys, "pi", value.alias("q")).groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pi", "q"))), lambda s: s["q"]).alias("quantiles"))
 
 
 def quantiles_from_counts(vc: DataFrame, probs: Sequence[float], keys: Sequence[str] = ("ordinal",),

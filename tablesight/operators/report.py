@@ -21,8 +21,8 @@ from ..functions.stats import KURTOSIS_SQL, SKEWNESS_SQL
 from .charts import histograms
 from .common import column_names, per_column, unpivot
 from .profile import dataset_stats, duplicate_count, value_frequencies
-from .quantiles import quantiles, quantiles_from_counts
-from ..session import bounded, materialize
+from .quantiles import quantiles
+from ..session import bounded
 
 REPORT_QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -112,33 +112,18 @@ def report_moments(df: DataFrame) -> DataFrame:
 
 def report_mad(df: DataFrame, exact: bool = True) -> DataFrame:
     """``(ordinal, column, median, mad)``: median absolute deviation from the
-    median. Exact: the distinct values with counts are computed and written
-    once; the medians come from them, and so do the deviations (each
-    distinct value's |v - median| with its count, re-grouped) — one scan of
-    the data in total."""
+    median, the quantile of the values and then of their deviations. Only the
+    medians, one per column, come to the driver; no value table is written."""
     cols, val = _num(df)
     names = F.broadcast(column_names(df, cols))
     long = unpivot(df, cols, val, names=False)
-    if exact:
-        vc = materialize(long.filter(F.col("value").isNotNull())
-                             .groupBy("ordinal", F.col("value").alias("v")).agg(F.count(F.lit(1)).alias("n")),
-                         "mad-values")
-        med = bounded(quantiles_from_counts(vc, [0.5], ["ordinal"]).select(
-            "ordinal", F.col("quantiles")[0].alias("median")), len(cols))
-    else:
-        med = bounded(quantiles(long, [0.5], keys=["ordinal"], exact=False).select(
-            "ordinal", F.col("quantiles")[0].alias("median")), len(cols))
+    med = bounded(quantiles(long, [0.5], keys=["ordinal"], exact=exact).select(
+        "ordinal", F.col("quantiles")[0].alias("median")), len(cols))
     # one median per column: a bounded summary, inlined as literals (no join)
     m = {r["ordinal"]: r["median"] for r in med.collect()}
     case = " ".join(f"WHEN {o} THEN CAST('{v!r}' AS DOUBLE)" for o, v in m.items() if v is not None)
     centre = f"(CASE ordinal {case} END)" if case else "CAST(NULL AS DOUBLE)"
-    if exact:
-        dev = (vc.selectExpr("ordinal", f"abs(v - {centre}) AS v", "n").filter(F.col("v").isNotNull())
-                 .groupBy("ordinal", "v").agg(F.sum("n").alias("n")))
-        mad = quantiles_from_counts(dev, [0.5], ["ordinal"])
-    else:
-        mad = quantiles(long.selectExpr("ordinal", f"abs(value - {centre}) AS value"), [0.5],
-                        keys=["ordinal"], exact=False)
+    mad = quantiles(long.selectExpr("ordinal", f"abs(value - {centre}) AS value"), [0.5], keys=["ordinal"], exact=exact)
     mad = mad.select("ordinal", F.col("quantiles")[0].alias("mad"))
     return (names.join(med, "ordinal", "left").join(mad, "ordinal", "left")
                  .select("ordinal", "column", "median", "mad"))

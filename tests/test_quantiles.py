@@ -1,14 +1,18 @@
 """Exact distributed quantiles against numpy (linear interpolation), for
-both plan shapes: one window per group, and range buckets."""
+from values and from counted values."""
 
 import numpy as np
 import pytest
 
-from tablesight.operators.quantiles import quantiles
+from pyspark.sql import functions as F
 
+from tablesight.operators.quantiles import quantiles, quantiles_from_counts
 
-@pytest.mark.parametrize("max_per_task,one_task_bytes", [(2_000_000, 1 << 40), (2_000_000, 0), (50, 0)])
-def test_quantiles_match_numpy(spark, max_per_task, one_task_bytes):
+
+@pytest.mark.parametrize("how", [10_000, 100, 20, (2_000_000, 1 << 40), (2_000_000, 0), (50, 0)])
+def test_quantiles_match_numpy(spark, how):
+    """An accuracy (small ones make narrow brackets), or the limits of the
+    form that starts from counts."""
     rng = np.random.default_rng(3)
     data = []
     for g in range(3):
@@ -18,8 +22,9 @@ def test_quantiles_match_numpy(spark, max_per_task, one_task_bytes):
     df = spark.createDataFrame(data, "column int, value double")
     probs = [0.05, 0.25, 0.5, 0.75, 0.95]
     got = {r["column"]: r["quantiles"] for r in
-           quantiles(df, probs, keys=["column"], max_per_task=max_per_task,
-                     one_task_bytes=one_task_bytes).collect()}
+           (quantiles(df, probs, keys=["column"], accuracy=how) if isinstance(how, int) else
+            quantiles_from_counts(df.groupBy("column", F.col("value").alias("v")).agg(F.count("*").alias("n")), probs, ["column"], how[0],
+                                  one_task_bytes=how[1])).collect()}
     for g in range(4):
         ref = np.quantile(np.array([v for k, v in data if k == g]), probs)
         assert got[g] == pytest.approx(list(ref), abs=1e-9)
@@ -29,6 +34,6 @@ def test_hot_value_group(spark):
     # one value holding most rows: still one row per distinct value inside
     data = [(0, 1.0)] * 3000 + [(0, float(i)) for i in range(2, 200)]
     df = spark.createDataFrame(data, "column int, value double")
-    got = quantiles(df, [0.5, 0.99], keys=["column"], max_per_task=20, one_task_bytes=0).collect()[0]["quantiles"]
+    got = quantiles(df, [0.5, 0.99], keys=["column"], accuracy=50).collect()[0]["quantiles"]
     ref = np.quantile(np.array([v for _, v in data]), [0.5, 0.99])
     assert got == pytest.approx(list(ref))
