@@ -39,7 +39,12 @@ class Tree:
     """Levels of (direction, threshold) per node; node i has children 2i + 1
     and 2i + 2."""
 
-    def __init__(self, sample: np.ndarray, depth: int, rng: np.random.Generator):
+    def __init__(self, arrays: dict):
+        vars(self).update(arrays)
+
+    @classmethod
+    def fit(cls, sample: np.ndarray, depth: int, rng: np.random.Generator) -> Tree:
+        self = cls({})
         self.depth, self.spill = depth, SPILL / np.sqrt(max(1, sample.shape[1]))
         nodes = 2 ** depth - 1
         self.directions = rng.standard_normal((nodes, sample.shape[1]))
@@ -53,6 +58,7 @@ class Tree:
                 self.thresholds[node] = np.median(shadow)
             right = shadow > self.thresholds[node]
             members[2 * node + 1], members[2 * node + 2] = rows[~right], rows[right]
+        return self
 
     def leaves(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of each vector, several leaves for those that spill."""
@@ -129,7 +135,8 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = 0.95, id_col: str
         x = np.stack([np.frombuffer(u, np.float64) for u in group["unit"]])
         share = len(x) / len(sample) * n
         depth = max(0, min(int(np.ceil(np.log2(max(1, share / LEAF)))), int(np.log2(max(1, len(x) / MIN_LEAF)))))
-        forests[size] = [Tree(x, depth, np.random.default_rng([SEED, size, t])) for t in range(TREES)]
+        forests[size] = [vars(Tree.fit(x, depth, np.random.default_rng([SEED, size, t]))) for t in range(TREES)]
+    # Plain arrays, as executors need not have this module.
     forest = spark.sparkContext.broadcast(forests)
 
     def route(batches):
@@ -140,7 +147,7 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = 0.95, id_col: str
                 own = np.flatnonzero(sizes == size)
                 x = np.stack([np.frombuffer(units[i], np.float64) for i in own])
                 trees = forest.value.get(size)
-                pairs = [(np.arange(len(own)), np.zeros(len(own), np.int64))] if trees is None else [t.leaves(x) for t in trees]
+                pairs = [(np.arange(len(own)), np.zeros(len(own), np.int64))] if trees is None else [Tree(t).leaves(x) for t in trees]
                 row = np.concatenate([p[0] for p in pairs])
                 # Length of the vectors, tree and leaf make the name of a leaf.
                 leaf = np.concatenate([(size << 32) | (t << 24) | p[1] for t, p in enumerate(pairs)])

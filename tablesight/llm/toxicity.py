@@ -102,7 +102,11 @@ def class_counts(labelled: DataFrame) -> DataFrame:
 
 class Model:
     """Arrays of the two models and the calibration. Size: bounded by
-    WORD_SLOTS and MAX_BIGRAMS, about 60 MB."""
+    WORD_SLOTS and MAX_BIGRAMS, about 60 MB. Plain arrays are broadcast, as
+    executors need not have this module."""
+
+    def __init__(self, arrays: dict | None = None):
+        vars(self).update(arrays or {})
 
     def evidence(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Length-normalised evidence of each text, and its number of words."""
@@ -183,11 +187,12 @@ def calibrate(m: Model, labelled: DataFrame) -> None:
     """Logistic curve over the evidence of texts that gave no counts: at most
     MAX_LABELLED rows of two numbers. A weak prior keeps it sane when there are
     few: slope near PRIOR_SLOPE, even odds at PRIOR_CENTER."""
-    shared = labelled.sparkSession.sparkContext.broadcast(m)
+    shared = labelled.sparkSession.sparkContext.broadcast(vars(m))
 
     def measure(batches):
+        model = Model(shared.value)
         for batch in batches:
-            x, n = shared.value.evidence(column_bytes(batch.column(0)))
+            x, n = model.evidence(column_bytes(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(n), batch.column(1).cast(pa.int64())], ["x", "n", "y"])
 
     rows = labelled.mapInArrow(measure, "x double, n long, y long").filter("n > 0").toArrow()
@@ -232,16 +237,17 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", columns: l
     not held out. Without any labels all scores follow the prior curve.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, scratch, id_col))
+    shared = docs.sparkSession.sparkContext.broadcast(vars(fit(docs, labels, scratch, id_col)))
     columns = columns or [id_col]
     inner = [f"c{i}" for i in range(len(columns))]
     renamed = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"),
                           F.coalesce(held_out(id_col), F.lit(False)).alias("_held"), *(F.col(f"`{c}`").alias(i) for c, i in zip(columns, inner)))
 
     def run(batches):
+        model = Model(shared.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[2:], batch.column(1), pa.array(shared.value.score(column_bytes(batch.column(0))))],
+                [*batch.columns[2:], batch.column(1), pa.array(model.score(column_bytes(batch.column(0))))],
                 [*inner, "held_out", "score"])
 
     schema = T.StructType([*renamed.select(inner).schema, T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())])
