@@ -301,12 +301,15 @@ def remove_repeats(docs: DataFrame, length: int = MIN_LENGTH, id_col: str = "doc
 
     all_segments = scratch.put(base.select("row", "text").mapInArrow(
         cut_segments, "gram long, content long, row long, start long, n long"))
-    again = all_segments.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1").select("gram")
+    # Counts by gram are written, so that both sides of the join are plain
+    # shuffles and adaptive execution can split the partition of a hot gram.
+    again = scratch.put(all_segments.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1").select("gram"))
     alive = scratch.put(all_segments.join(again, "gram", "left_semi"))
-    scratch.drop(all_segments)
+    scratch.drop(all_segments, again)
     contents = scratch.put(alive.groupBy("gram", "content").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start", "n")).alias("one")))
     equal = alive.join(contents.filter("copies > 1").select("gram", "content"), ["gram", "content"], "left_semi").select("row", "start", "n")
-    mixed = contents.groupBy("gram").agg(F.count("*").alias("k"), F.min("copies").alias("least")).filter("k > 1 and least = 1").select("gram", "k")
+    mixed = scratch.put(contents.groupBy("gram").agg(F.count("*").alias("k"), F.min("copies").alias("least"))
+                        .filter("k > 1 and least = 1").select("gram", "k"))
     differing = scratch.put(contents.join(mixed, "gram").select("gram", "copies", "k", "one.row", "one.start", "one.n"))
 
     wanted = differing.groupBy("row").agg(F.collect_list(F.struct("gram", "copies", "k", "start", "n")).alias("cuts"))
