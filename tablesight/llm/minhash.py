@@ -143,8 +143,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
     keyed = classes.select("node", *SIG).mapInArrow(_index_keys, "key long, node long")
     keyed = scratch.put(keyed)
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    bucketed = scratch.put(keyed.join(shared, "key"))
+    # Written, so that both sides of the joins are plain shuffles and adaptive
+    # execution can split the partition of a hot bucket.
+    lead = scratch.put(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).filter("n > 1").select("key", "lead"))
+    bucketed = scratch.put(keyed.join(lead, "key"))
     scratch.drop(keyed)
     sig = F.struct(*SIG)
     need = bucketed.select("node").distinct()
@@ -164,8 +166,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         pairs = pairs.join(near.toDF("a", "x"), "a").join(near.toDF("b", "y"), "b")
         return pairs.filter(distance("x", "y") <= MAX_DISTANCE).select("a", "b")
 
-    lead = bucketed.groupBy("key").agg(F.min("node").alias("lead"))
-    pairs = bucketed.join(lead, "key").filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = bucketed.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     found = scratch.put(links(with_signatures(pairs)))
     part = _parts(candidates, found, scratch)
     found = found.union(scratch.put(_cross_links(bucketed, part, sets, percent, scratch)))
@@ -193,8 +194,8 @@ def _cross_links(bucketed: DataFrame, part: DataFrame, sets: DataFrame, percent:
     compared with everything, in blocks of BLOCK texts; each pair of blocks is
     a task of bounded size that returns spanning links, not pairs."""
     entries = bucketed.join(part, "node")
-    split = entries.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("lead")).filter("lo <> hi")
-    star = bucketed.join(split.select("key", "lead"), "key").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    split = entries.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    star = bucketed.join(scratch.put(split.select("key")), "key").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     cluster = components(star, scratch).select("node", F.col("component").alias("cluster"))
     nodes = scratch.put(cluster.join(part, "node"))
     sizes = nodes.groupBy("cluster", "component").agg(F.count("*").alias("n"))
