@@ -54,6 +54,14 @@ def worker_cache() -> dict:
     return pyspark.__dict__.setdefault("_llm_worker_cache", {})
 
 
+def slices(batches, rows: int = 1000):
+    """Arrow batches in parts of at most ``rows`` rows, so that the Python
+    objects made of a batch of long texts stay few."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def column_bytes(column) -> list[bytes]:
     """Arrow string column as UTF-8 byte strings; null becomes empty."""
     import pyarrow as pa

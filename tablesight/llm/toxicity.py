@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernel import Words, blocks, mix
-from .shared import Scratch, column_bytes
+from .shared import Scratch, column_bytes, slices
 
 MAX_LABELLED = 20_000
 WORD_SLOTS = 1 << 21
@@ -72,9 +72,10 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
     """(slot, n) over all texts; one row per slot and task enters the shuffle."""
     def count(batches):
         total = np.zeros(WORD_SLOTS, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for _, slots, _, _ in word_pairs(column_bytes(batch.column(0))):
-                total += np.bincount(slots, minlength=WORD_SLOTS)
+                slot, n = np.unique(slots, return_counts=True)
+                total[slot] += n
         seen = np.flatnonzero(total)
         for i in range(0, len(seen), 100_000):
             part = seen[i:i + 100_000]
@@ -191,7 +192,7 @@ def calibrate(m: Model, labelled: DataFrame) -> None:
 
     def measure(batches):
         model = Model(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             x, n = model.evidence(column_bytes(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(n), batch.column(1).cast(pa.int64())], ["x", "n", "y"])
 
@@ -245,7 +246,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", columns: l
 
     def run(batches):
         model = Model(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[2:], batch.column(1), pa.array(model.score(column_bytes(batch.column(0))))],
                 [*inner, "held_out", "score"])
