@@ -10,10 +10,11 @@ n: counts in the class; t_c(w): number of different words seen before w in the
 class; rest: the mass that discounts leave; S: counts of w in all documents of
 both kinds, labelled or not. An expression that a class has seldom seen so
 costs what it costs in the corpus, in both classes, and doesn't tip the scale.
-Words whose log ratio toxic : ordinary exceeds CLEAR are evidence (smaller
-ratios mirror the languages and topics of the sample); the sum of what exceeds
-CLEAR, divided by the square root of the number of words, is a text's
-length-normalised evidence. A logistic curve fitted on labelled texts that
+A text's evidence is a mean over all its words of what the log ratio toxic :
+ordinary exceeds CLEAR by, zero where it doesn't (smaller and negative ratios
+mirror the languages and topics of the sample). So a text repeated has the
+evidence of the text. This is not the plain difference of the log-likelihoods
+per word: see the README for both, by length of text. A logistic curve fitted on labelled texts that
 gave no counts turns it into a score.
 
 Labels enter through at most MAX_LABELLED rows, chosen by a hash of doc_id.
@@ -39,7 +40,6 @@ WORD_SLOTS = 1 << 21
 MAX_BIGRAMS = 1_500_000
 DISCOUNT = 0.75
 CLEAR = 2.0
-MAX_EVIDENCE = 1.5
 THRESHOLD = 0.3
 
 
@@ -110,7 +110,7 @@ class Model:
         vars(self).update(arrays or {})
 
     def evidence(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Length-normalised evidence of each text, and its number of words."""
+        """Evidence per word of each text, and its number of words."""
         out, n_words = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         at = 0
         for first, slots, before, pairs in word_pairs(texts):
@@ -123,9 +123,7 @@ class Model:
                 logs.append(np.log(direct + self.rest[c][before] * self.word[c][slots]))
             total = np.concatenate([[0], np.cumsum(np.maximum(logs[1] - logs[0] - CLEAR, 0), dtype=np.float64)])[first]
             n = np.diff(first)
-            # Bounded, so that one line repeated a thousand times is no stronger
-            # than a text full of such words.
-            out[at:at + k] = np.minimum(np.diff(total) / np.sqrt(np.maximum(n, 1)), MAX_EVIDENCE)
+            out[at:at + k] = np.diff(total) / np.maximum(n, 1)
             n_words[at:at + k] = n
             at += k
         return out, n_words
@@ -221,7 +219,8 @@ def calibrate(m: Model, labelled: DataFrame) -> None:
     m.slope, m.offset = beta
 
 
-PRIOR_SLOPE, PRIOR_CENTER, PRIOR_WIDTH = 6.0, 0.8, np.array([4.0, 2.0])
+#: In nats per word.
+PRIOR_SLOPE, PRIOR_CENTER, PRIOR_WIDTH = 96.0, 0.05, np.array([64.0, 2.0])
 
 
 def held_out(id_col: str):

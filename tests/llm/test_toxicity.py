@@ -90,6 +90,18 @@ def test_model_against_plain_counts(spark):
     assert np.quantile(np.abs(got / np.array(want) - 1), 0.9) < 1e-3
 
 
+def test_repeating_a_text_leaves_its_verdict(spark):
+    docs, labels = corpus()
+    model = toxicity.fit(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int"), Scratch(spark, "test"))
+    texts = [t.encode() for (_, t, _), (_, toxic) in zip(docs, labels, strict=True) if not toxic]
+    once, _ = model.evidence(texts)
+    score = model.score(texts)
+    chance = [i for i in np.argsort(-once) if score[i] < toxicity.THRESHOLD / 2 and once[i] > 0][:10]
+    assert chance
+    often = [b" ".join([texts[i]] * 1000) for i in chance]
+    assert (model.score(often) < toxicity.THRESHOLD).all()
+
+
 def test_no_labels_and_empty_table(spark):
     docs, _ = corpus(20)
     d = spark.createDataFrame(docs, SCHEMA)
