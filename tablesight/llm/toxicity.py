@@ -18,8 +18,9 @@ per word: see the README for both, by length of text. A logistic curve fitted on
 gave no counts turns it into a score.
 
 Labels enter through at most MAX_LABELLED rows, chosen by a hash of doc_id.
-Counts of S cover every document. Words are hashed to WORD_SLOTS counters, so
-the models have a fixed size bound whatever the vocabulary is.
+Counts of S cover every document and every word, in a table that grows with
+the corpus. The model keeps S and the class counts of all words and bigrams of
+the labelled rows, which bound it; for other words S cancels in the ratio.
 """
 
 from __future__ import annotations
@@ -34,13 +35,18 @@ from .kernel import Words, blocks, mix
 from .shared import Scratch, column_bytes, slices
 
 MAX_LABELLED = 20_000
+#: S gives one more count to each of so many words, or to each of the corpus'
+#: words and one unseen if those are more.
 WORD_SLOTS = 1 << 21
-#: Bigrams seen more than once in the labelled rows are kept, the most frequent
-#: if they are more; what is left out goes to the backoff.
-MAX_BIGRAMS = 1_500_000
+#: Words held by a task before their counts are handed on.
+HELD_WORDS = 1 << 20
+#: Parts in which the driver fetches the bigrams, by the first bits of their hash.
+FETCH_BITS = 3
 DISCOUNT = 0.75
 CLEAR = 2.0
 THRESHOLD = 0.3
+#: Stands before the first word of a text.
+START = np.uint64(1)
 
 
 def letters() -> np.ndarray:
@@ -54,73 +60,106 @@ def letters() -> np.ndarray:
 
 
 def word_pairs(texts: list[bytes]):
-    """(first, words, slots, pairs) of blocks of texts: slot of each word and
-    a 64-bit hash of it with the word before (a start mark at text begin)."""
+    """(first, words, before, pairs) of blocks of texts: 64-bit hashes of each
+    word, of the word before (START at text begin) and of both together."""
     table = letters()
     for a, b in blocks(texts):
         w = Words(texts[a:b], lower=True, word_byte=table)
         h = w.hashes
         before = np.concatenate([h[:1], h[:-1]])
         starts = w.first[:-1][w.first[:-1] < w.first[1:]]
-        before[starts] = 1
-        slots = (h >> np.uint64(20)).astype(np.int64) & (WORD_SLOTS - 1)
-        before_slots = (before >> np.uint64(20)).astype(np.int64) & (WORD_SLOTS - 1)
-        yield w.first, slots, before_slots, mix(before * np.uint64(0x9DDFEA08EB382D69) + h)
+        before[starts] = START
+        yield w.first, h, before, mix(before * np.uint64(0x9DDFEA08EB382D69) + h)
 
 
 def corpus_counts(docs: DataFrame) -> DataFrame:
-    """(slot, n) over all texts; one row per slot and task enters the shuffle."""
+    """(word, n) over all texts. A task hands on the counts of HELD_WORDS words
+    at a time, so a word enters the shuffle seldom, and memory is bounded."""
+    def merged(held):
+        word, inverse = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+        return word, np.bincount(inverse, weights=np.concatenate([n for _, n in held]), minlength=len(word)).astype(np.int64)
+
+    def rows(word, n):
+        for i in range(0, len(word), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(word[i:i + 100_000].view(np.int64)), pa.array(n[i:i + 100_000])], ["word", "n"])
+
     def count(batches):
-        total = np.zeros(WORD_SLOTS, np.int64)
+        held, size = [], 0
         for batch in slices(batches):
-            for _, slots, _, _ in word_pairs(column_bytes(batch.column(0))):
-                slot, n = np.unique(slots, return_counts=True)
-                total[slot] += n
-        seen = np.flatnonzero(total)
-        for i in range(0, len(seen), 100_000):
-            part = seen[i:i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["slot", "n"])
-    return docs.select(F.col("text").cast("string")).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+            for _, words, _, _ in word_pairs(column_bytes(batch.column(0))):
+                held.append(np.unique(words, return_counts=True))
+                size += len(held[-1][0])
+                if size > 2 * HELD_WORDS:
+                    held = [merged(held)]
+                    size = len(held[0][0])
+                    if size > HELD_WORDS:
+                        yield from rows(*held[0])
+                        held, size = [], 0
+        if held:
+            yield from rows(*merged(held))
+    return docs.select(F.col("text").cast("string")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def class_counts(labelled: DataFrame) -> DataFrame:
-    """(pair, before, slot, toxic, ordinary): bigram counts of both classes."""
+    """(pair, before, word, toxic, ordinary): bigram counts of both classes."""
     def count(batches):
-        for batch in batches:
+        for batch in slices(batches):
             label = batch.column(1).to_numpy().astype(np.int64)
             at = 0
-            for first, slots, before, pairs in word_pairs(column_bytes(batch.column(0))):
+            for first, words, before, pairs in word_pairs(column_bytes(batch.column(0))):
                 of = np.repeat(label[at:at + len(first) - 1], np.diff(first))
                 at += len(first) - 1
                 pair, index, inverse = np.unique(pairs, return_index=True, return_inverse=True)
                 n, toxic = np.bincount(inverse, minlength=len(pair)), np.bincount(inverse, weights=of, minlength=len(pair)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(pair.view(np.int64)), pa.array(before[index]), pa.array(slots[index]), pa.array(toxic), pa.array(n - toxic)],
-                    ["pair", "before", "slot", "toxic", "ordinary"])
-    rows = labelled.select("text", "toxic").mapInArrow(count, "pair long, before long, slot long, toxic long, ordinary long")
-    return rows.groupBy("pair", "before", "slot").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+                    [*(pa.array(x.view(np.int64)) for x in (pair, before[index], words[index])), pa.array(toxic), pa.array(n - toxic)],
+                    ["pair", "before", "word", "toxic", "ordinary"])
+    rows = labelled.select("text", "toxic").mapInArrow(count, "pair long, before long, word long, toxic long, ordinary long")
+    return rows.groupBy("pair", "before", "word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+
+
+def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Index of each wanted value in the sorted keys; len(keys) if it's absent."""
+    if not len(keys):
+        return np.zeros(np.shape(wanted), np.int64)
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[place] == wanted, place, len(keys))
+
+
+class ByWord:
+    """Values by word hash; the last is that of all words without one."""
+
+    def __init__(self, words: np.ndarray, values: np.ndarray):
+        self.words, self.values = words, values
+
+    def __getitem__(self, words):
+        return self.values[find(self.words, words)]
 
 
 class Model:
-    """Arrays of the two models and the calibration. Size: bounded by
-    WORD_SLOTS and MAX_BIGRAMS, about 60 MB. Plain arrays are broadcast, as
-    executors need not have this module."""
+    """Arrays of the two models and the calibration. Size: 24 bytes a word and
+    16 a bigram of at most MAX_LABELLED texts. Plain arrays are broadcast, as
+    executors need not have this module.
+
+    words and pairs are sorted hashes; word_p and rest (by class) follow words,
+    direct follows pairs, with one more value for what isn't listed."""
 
     def __init__(self, arrays: dict | None = None):
         vars(self).update(arrays or {})
 
+    @property
+    def word(self) -> list[ByWord]:
+        """P_c(w) of both classes, by word hash."""
+        return [ByWord(self.words, p) for p in self.word_p]
+
     def evidence(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Evidence per word of each text, and its number of words."""
         out, n_words = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         at = 0
-        for first, slots, before, pairs in word_pairs(texts):
+        for first, words, before, pairs in word_pairs(texts):
             k = len(first) - 1
-            place = np.minimum(np.searchsorted(self.pairs, pairs), max(0, len(self.pairs) - 1))
-            known = self.pairs[place] == pairs if len(self.pairs) else np.zeros(len(pairs), bool)
-            logs = []
-            for c in (0, 1):
-                direct = np.where(known, self.direct[c][place], 0) if len(self.pairs) else 0.0
-                logs.append(np.log(direct + self.rest[c][before] * self.word[c][slots]))
+            word, before, pair = find(self.words, words), find(self.words, before), find(self.pairs, pairs)
+            logs = [np.log(self.direct[c][pair] + self.rest[c][before] * self.word_p[c][word]) for c in (0, 1)]
             total = np.concatenate([[0], np.cumsum(np.maximum(logs[1] - logs[0] - CLEAR, 0), dtype=np.float64)])[first]
             n = np.diff(first)
             out[at:at + k] = np.diff(total) / np.maximum(n, 1)
@@ -149,35 +188,45 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc
     bigrams = scratch.put(class_counts(labelled.filter(~check)))
 
     m, kinds = Model(), ("ordinary", "toxic")
-    shared = np.ones(WORD_SLOTS, np.float64)  # one for the unseen
-    corpus = corpus_counts(docs).select(F.col("slot").cast("int"), "n").toArrow()
-    shared[corpus["slot"].to_numpy()] += corpus["n"].to_numpy()
-    shared /= shared.sum()
-    by_word = bigrams.groupBy("slot").agg(*(F.count_if(F.col(k) > 0).cast("int").alias(k) for k in kinds)).withColumn("slot", F.col("slot").cast("int")).toArrow()
-    m.word = []
+    corpus = scratch.put(corpus_counts(docs))
+    size = corpus.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("words")).first()
+    possible = max(WORD_SLOTS, size.words + 1)
+    # One row per word of the labelled texts: in how many kinds of bigrams it is
+    # second, how often and in how many kinds first, and its count in the corpus.
+    second = bigrams.groupBy("word").agg(*(F.count_if(F.col(k) > 0).alias(f"types_{k}") for k in kinds))
+    first = bigrams.groupBy(F.col("before").alias("word")).agg(
+        *(F.sum(k).alias(f"n_{k}") for k in kinds), *(F.count_if(F.col(k) > 0).alias(f"after_{k}") for k in kinds))
+    by_word = second.join(first, "word", "full").join(corpus, "word", "left").na.fill(0).toArrow()
+    words = by_word["word"].to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    m.words, column = words[order], lambda name: by_word[name].to_numpy()[order]
+    shared = np.append(column("n") + 1, 1) / (size.n + possible)
+    m.word_p, m.rest, n_before = [], [], []
     for k in kinds:
-        types = np.zeros(WORD_SLOTS)
-        types[by_word["slot"].to_numpy()] = by_word[k].to_numpy()
+        types = np.append(column(f"types_{k}"), 0)
         total = max(types.sum(), 1)
         kept = np.maximum(types - DISCOUNT, 0) / total
-        m.word.append((kept + (1 - kept.sum()) * shared).astype(np.float32))
-    counts = bigrams.select((F.col("toxic") + F.col("ordinary")).alias("n")).filter("n > 1").groupBy("n").agg(F.count("*").alias("k")).toArrow().sort_by([("n", "descending")])
-    fitting = counts["n"].to_numpy()[np.cumsum(counts["k"].to_numpy()) <= MAX_BIGRAMS]
-    least = int(fitting.min()) if len(fitting) else 2
-    del corpus, by_word, shared, types, kept
-    history = bigrams.groupBy("before").agg(*(F.sum(k).cast("int").alias(k) for k in kinds)).withColumn("before", F.col("before").cast("int")).toArrow()
-    pairs = bigrams.filter(F.col("toxic") + F.col("ordinary") >= least).select(
-        "pair", F.col("before").cast("int").alias("before"), *(F.col(k).cast("int").alias(k) for k in kinds)).toArrow()
-    key = pairs["pair"].to_numpy().view(np.uint64)
-    order = np.argsort(key)
-    m.pairs, m.direct, m.rest = key[order], [], []
-    for k in kinds:
-        n_before = np.ones(WORD_SLOTS)
-        n_before[history["before"].to_numpy()] = np.maximum(history[k].to_numpy(), 1)
-        direct = np.maximum(pairs[k].to_numpy() - DISCOUNT, 0) / n_before[pairs["before"].to_numpy()]
-        rest = 1 - np.bincount(pairs["before"].to_numpy(), weights=direct, minlength=WORD_SLOTS)
-        m.direct.append(direct[order].astype(np.float32))
-        m.rest.append(np.maximum(rest, 1e-4).astype(np.float32))
+        m.word_p.append((kept + (1 - kept.sum()) * shared).astype(np.float32))
+        n_before.append(np.maximum(column(f"n_{k}"), 1))
+        rest = np.where(column(f"n_{k}") > 0, DISCOUNT * column(f"after_{k}") / n_before[-1], 1)
+        m.rest.append(np.append(rest, 1).astype(np.float32))
+    del corpus, by_word, words, order, shared, types, kept, rest
+    # In order of the hash, so that the sorted parts make a sorted whole.
+    keys, direct = [np.zeros(0, np.uint64)], ([], [])
+    for i in range(1 << FETCH_BITS):
+        part = bigrams.filter(F.shiftrightunsigned("pair", 64 - FETCH_BITS) == i).select(
+            "pair", "before", *(F.col(k).cast("int").alias(k) for k in kinds)).toArrow()
+        key = part["pair"].to_numpy().view(np.uint64)
+        order = np.argsort(key)
+        keys.append(key[order])
+        before = find(m.words, part["before"].to_numpy().view(np.uint64))
+        for c, k in enumerate(kinds):
+            if len(key):
+                direct[c].append((np.maximum(part[k].to_numpy() - DISCOUNT, 0) / n_before[c][before])[order].astype(np.float32))
+        del part, key, order, before
+    m.pairs = np.concatenate(keys)
+    m.direct = [np.concatenate([*d, np.zeros(1, np.float32)]) for d in direct]
+    del keys, direct
     calibrate(m, labelled.filter(check).select("text", "toxic"))
     return m
 
@@ -195,6 +244,7 @@ def calibrate(m: Model, labelled: DataFrame) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(n), batch.column(1).cast(pa.int64())], ["x", "n", "y"])
 
     rows = labelled.mapInArrow(measure, "x double, n long, y long").filter("n > 0").toArrow()
+    shared.destroy()
     x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
     m.prior = float((y.sum() + 1) / (len(y) + 10))
     # Penalized likelihood, by gradient steps that halve until they help.

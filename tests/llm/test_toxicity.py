@@ -102,6 +102,24 @@ def test_repeating_a_text_leaves_its_verdict(spark):
     assert (model.score(often) < toxicity.THRESHOLD).all()
 
 
+def test_counts_are_exact_and_whole(spark, monkeypatch):
+    """No two words share a count, and bigrams seen once are kept."""
+    monkeypatch.setattr(toxicity, "HELD_WORDS", 500)
+    docs = [(i, " ".join(f"w{i * 1500 + k}" for k in range(1500)) + " twice twice", "x") for i in range(60)]
+    d = spark.createDataFrame(docs, SCHEMA)
+    counts = Counter(w for _, t, _ in docs for w in t.split())
+    got = toxicity.corpus_counts(d).toPandas()
+    assert len(got) == len(counts) and Counter(got["n"]) == Counter(counts.values())
+    scratch = Scratch(spark, "test")
+    model = toxicity.fit(d, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int"), scratch)
+    train = spark.read.parquet(f"{scratch.root}/1").selectExpr("text", "pmod(xxhash64('check', _id), 5) = 0 as checked").collect()
+    pairs = {p for r in train if not r.checked for p in zip([None, *r.text.split()], r.text.split())}
+    assert len(model.pairs) == len(pairs) and (np.diff(model.pairs) > 0).all()
+    assert len(model.words) == len({w for p in pairs for w in p})
+    for c in (0, 1):
+        assert len(model.direct[c]) == len(pairs) + 1 and ((model.rest[c] > 0) & (model.rest[c] <= 1)).all()
+
+
 def test_no_labels_and_empty_table(spark):
     docs, _ = corpus(20)
     d = spark.createDataFrame(docs, SCHEMA)
