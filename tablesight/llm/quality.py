@@ -4,8 +4,8 @@ Measures of each text are reduced to quantile sketches per (lang, source):
 logarithmic buckets with counts, of relative error SKETCH_ERROR. Such sketches
 merge by adding counts, exactly and in any order, so the result doesn't depend
 on partitioning, and a small group can borrow the merged sketch of its
-language, or of everything. Fences derived from the quartiles replace fixed
-cutoffs; they join back to the documents and filter them.
+language, or of everything. Fences derived from the quartiles and, for
+measures that are mostly zero, an upper quantile replace fixed cutoffs; they join back to the documents and filter them.
 """
 
 from __future__ import annotations
@@ -27,14 +27,19 @@ SKETCH_ERROR = 0.01
 MIN_GROUP = 200
 #: Outer fences: quartile -/+ FENCE times the distance between the quartiles.
 FENCE = 3.0
+#: These measures are zero for most texts, and so are their quartiles. Their
+#: fence is at least the UPPER quantile of the group, but if that is farther from
+#: the median than this: there, more than a few texts of the group are junk.
+UPPER = 0.99
+FARTHEST = {"symbols_per_word": 0.1, "dup_line_share": 0.3, "repeat_word_share": 0.2}
 #: measure -> (numerator, denominator, has a lower fence, tolerance): a fence is
-#: never nearer to the median than the tolerance, so that a group in which a
-#: measure hardly varies doesn't lose ordinary texts.
+#: never nearer to the median than the tolerance, a few errors of the sketch,
+#: so that a group in which a measure hardly varies doesn't lose ordinary texts.
 MEASURES = {
-    "mean_word_chars": ("word_chars", "n_words", True, 2.0),
-    "symbols_per_word": ("n_symbols", "n_words", False, 0.1),
-    "dup_line_share": ("n_dup_lines", "n_lines", False, 0.3),
-    "repeat_word_share": ("n_repeat_words", "n_words", False, 0.2),
+    "mean_word_chars": ("word_chars", "n_words", True, 0.5),
+    "symbols_per_word": ("n_symbols", "n_words", False, 0.01),
+    "dup_line_share": ("n_dup_lines", "n_lines", False, 0.03),
+    "repeat_word_share": ("n_repeat_words", "n_words", False, 0.02),
 }
 
 
@@ -111,11 +116,11 @@ def fences(measured: DataFrame, scratch: Scratch) -> DataFrame:
         F.struct(F.lit(m).alias("measure"), (F.col(a) / F.when(F.col(b) > 0, F.col(b))).alias("value"))
         for m, (a, b, _, _) in MEASURES.items()))))
     base = scratch.put(sketch(long, ["lang", "source", "measure"]))
-    quartiles = [0.25, 0.5, 0.75]
-    wide = ["total", "q0", "q1", "q2"]
+    ranks = [0.25, 0.5, 0.75, UPPER]
+    wide = ["total", "q0", "q1", "q2", "q3"]
     out = base.select("lang", "source", "measure").distinct()
     for level, keys in (("of_pair", ["lang", "source"]), ("of_lang", ["lang"]), ("of_all", [])):
-        q = quantiles(base, [*keys, "measure"], quartiles).select(
+        q = quantiles(base, [*keys, "measure"], ranks).select(
             *(F.col(k).alias(f"{k}_") for k in [*keys, "measure"]), F.struct(*wide).alias(level))
         on = F.col("measure") == F.col("measure_")
         for k in keys:
@@ -125,9 +130,12 @@ def fences(measured: DataFrame, scratch: Scratch) -> DataFrame:
                          .when(F.col("of_lang.total") >= MIN_GROUP, F.col("of_lang")).otherwise(F.col("of_all")))
     spread = FENCE * (F.col("q.q2") - F.col("q.q0"))
     tolerance = F.element_at(F.create_map(*(F.lit(x) for m, (*_, t) in MEASURES.items() for x in (m, t))), F.col("measure"))
+    farthest = F.element_at(F.create_map(*(F.lit(x) for m, t in FARTHEST.items() for x in (m, t))), F.col("measure"))
+    # The upper end of the quantile's bucket; null, so without effect, for other measures.
+    upper = F.when(farthest.isNotNull(), F.least(F.col("q.q3") / (1 - SKETCH_ERROR) * (1 + 1e-9), F.col("q.q1") + farthest))
     out = out.select("lang", "source", "measure",
                      F.least(F.col("q.q0") - spread, F.col("q.q1") - tolerance).alias("lo"),
-                     F.greatest(F.col("q.q2") + spread, F.col("q.q1") + tolerance).alias("hi"))
+                     F.greatest(F.col("q.q2") + spread, F.col("q.q1") + tolerance, upper).alias("hi"))
     return out.groupBy("lang", "source").agg(*(
         F.max(F.when(F.col("measure") == m, F.col(end))).alias(f"{m}_{end}") for m in MEASURES for end in ("lo", "hi")))
 

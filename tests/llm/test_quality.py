@@ -53,5 +53,20 @@ def test_verdicts(spark):
     assert got[902].n_words == 0 and FENCE > 0
 
 
+def test_each_measure_rejects_outliers_that_pass_the_base_rules(spark):
+    rnd = random.Random(7)
+    plain = lambda n, k: [f"{rnd.choice(['alpha', 'beta', 'gamma', 'delta'])}{k}{rnd.randint(10, 99)}" for _ in range(n)]
+    rows = [(i, " ".join(plain(60, i % 10)), "en", "s", "x") for i in range(400)]
+    phrase = plain(9, 3)
+    lines = [" ".join(plain(3, 1)) for _ in range(15)]
+    odd = {"symbols_per_word": " ".join(plain(56, 2) + ["a#b"] * 4), "repeat_word_share": " ".join(plain(40, 4) + phrase + plain(42, 5) + phrase),
+           "dup_line_share": "\n".join(x for i, a in enumerate(lines) for x in ([a, "gamma100"] if i < 6 else [a])), "mean_word_chars": " ".join(w + "x" for w in plain(60, 6))}
+    rows += [(1000 + i, t, "en", "s", "x") for i, t in enumerate(odd.values())]
+    got = {r.doc_id: r for r in quality(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(not got[i].kept for i in range(400)) <= 4
+    for i, measure in enumerate(odd):
+        assert not got[1000 + i].base_failed and got[1000 + i].failed == [measure]
+
+
 def test_empty_table(spark):
     assert quality(spark.createDataFrame([], SCHEMA)).collect() == []
