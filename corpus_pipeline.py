@@ -17,6 +17,10 @@ from tablesight.llm.queries import table, tokenizer
 from tablesight.llm.shared import Scratch
 
 
+#: Near-duplicate links of the stage, in percent; op1 has a contract of its own (85).
+NEAR_PERCENT = 80
+
+
 def whole(docs: DataFrame):
     """All columns as one struct, so that their names can't clash with results."""
     return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
@@ -36,7 +40,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the smallest doc_id stays, once. Rows with
     a null doc_id have no group and stay, as do wordless texts."""
-    kept = minhash.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
+    kept = minhash.near_duplicates(docs, percent=NEAR_PERCENT).filter("kept and doc_id is not null").select("doc_id").distinct()
     # The join leaves rows sorted by doc_id, so dropping repeated rows needs no further shuffle.
     once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return once.union(docs.filter("doc_id is null"))

@@ -25,7 +25,7 @@ def tokenizer(name: str = TOKENIZER) -> bytes:
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

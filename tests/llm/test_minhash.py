@@ -67,6 +67,22 @@ def test_chain_of_copies(spark):
     assert got == brute(rows) and len({r[2] for r in got}) == 1
 
 
+def test_matches_brute_force_at_80(spark):
+    """Texts of 100 words, of which 2 are changed, share 86 of 106 shingles."""
+    rnd = random.Random(8)
+    rows = texts(9)
+    for g in range(10):
+        base = [f"g{g}w{i}" for i in range(100)]
+        for k in range(3):
+            words = list(base)
+            for place in rnd.sample(range(5, 95, 6), k):
+                words[place] = f"new{g}{k}{place}"
+            rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], SCHEMA)
+    got = sorted([tuple(r) for r in near_duplicates(df, percent=80).collect()], key=str)
+    assert got == brute(rows, 80) != brute(rows, 85)
+
+
 def test_edge_cases(spark):
     long = " ".join(f"x{i % 5000}" for i in range(30_000))
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "one two"), (5, "ONE  two"), (5, "ONE  two"), (6, "one two three"),

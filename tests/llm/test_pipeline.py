@@ -44,6 +44,14 @@ def test_one_of_each_group_stays(stages):
     assert sorted(r.doc_id for r in stages[2].collect()) == sorted(g[0] for g in near_groups(rows) if g[3])
 
 
+def test_stage_links_at_80_percent(spark):
+    base = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:20] + ["a"] + base[21:70] + ["b"] + base[71:])), (3, " ".join(f"v{i}" for i in range(100)))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
+    assert got == sorted(g[0] for g in near_groups(rows, 80) if g[3]) == [1, 3]
+
+
 def test_repeats_are_cut(stages):
     rows = [(r.doc_id, r.text) for r in stages[2].collect()]
     want = {r[0]: (r[1] - r[2], r[3]) for r in repeats(rows)}
