@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, minhash, mixing, packing, quality, sharding, suffix, tokens, toxicity, urlfilter
+from . import embeddings, minhash, mixing, packing, periodic, quality, sharding, spelling, suffix, tokens, toxicity, urlfilter
+from .shared import WORD_PATTERN
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
@@ -68,6 +69,43 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), alter_every=199))
+
+
+def repeat_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of each tenth document, by crc32 of its id, the words
+    from some place on are replaced by repetitions of the first few of them. A
+    null id counts as no tenth."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0))
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), h.alias("h"), F.floor(h / 10).alias("g"))
+    docs = docs.withColumn("words", F.when(F.col("h") % 10 == 0, words))
+    docs = docs.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    docs = docs.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    moved = F.expr("transform(words, (w, i) -> if(i < a, w, words[int(a + (i - a) % p)]))")
+    return docs.select("doc_id", F.when(F.col("n") > 0, F.array_join(moved, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_rows(docs: DataFrame) -> DataFrame:
+    """The digest of each document's runs: their number, the one of greatest
+    exponent, hashes of all and of the collapsed text."""
+    found = periodic.find_runs(repeat_tails(docs))
+    first = F.expr("""array_sort(runs, (x, y) -> case
+        when x.length * y.period <> y.length * x.period then if(x.length * y.period > y.length * x.period, -1, 1)
+        when x.start <> y.start then if(x.start < y.start, -1, 1)
+        when x.period <> y.period then if(x.period < y.period, -1, 1) else 0 end)""")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    found = found.withColumn("best", F.get(first, F.lit(0)))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_rows(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -75,7 +113,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_url_filters, op4_suffix_dedup, op5_sharding,
-                            op6_embedding_near_dedup, op7_toxicity, op8_packing, op9_mixing, op10_token_counts, pipeline)}
+                            op6_embedding_near_dedup, op7_toxicity, op8_packing, op9_mixing, op10_token_counts, op12_spelling_variants, op13_periodic_runs, pipeline)}
 
 ORACLE_SQL = {
     "op3_url_filters": r"""
