@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, minhash, mixing, packing, periodic, quality, sharding, spelling, suffix, tokens, toxicity, urlfilter
+from . import embeddings, extraction, minhash, mixing, packing, periodic, quality, sharding, spelling, suffix, tokens, toxicity, urlfilter
 from .shared import WORD_PATTERN
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -69,6 +69,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"), ["page_id", "url"]).select("page_id", "url", "text", "n_chars")
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), alter_every=199))
 
@@ -113,7 +117,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_url_filters, op4_suffix_dedup, op5_sharding,
-                            op6_embedding_near_dedup, op7_toxicity, op8_packing, op9_mixing, op10_token_counts, op12_spelling_variants, op13_periodic_runs, pipeline)}
+                            op6_embedding_near_dedup, op7_toxicity, op8_packing, op9_mixing, op10_token_counts, op11_html_extraction, op12_spelling_variants, op13_periodic_runs, pipeline)}
 
 ORACLE_SQL = {
     "op3_url_filters": r"""

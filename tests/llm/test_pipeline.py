@@ -41,7 +41,7 @@ def test_toxic_documents_go(spark, stages):
 
 def test_one_of_each_group_stays(stages):
     rows = [(r.doc_id, r.text) for r in stages[1].collect()]
-    assert sorted(r.doc_id for r in stages[2].collect()) == sorted(g[0] for g in near_groups(rows) if g[3])
+    assert sorted(r.doc_id for r in stages[2].collect()) == sorted(g[0] for g in near_groups(rows, 80) if g[3])
 
 
 def test_stage_links_at_80_percent(spark):
@@ -110,4 +110,4 @@ def test_oracles(spark, name):
 
 def test_registered():
     names = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
