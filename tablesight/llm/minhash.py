@@ -31,6 +31,10 @@ SYMBOLS, CHUNKS, ERRORS = 48, 8, 1
 #: binomial(48, 0.15): beyond 22 in less than 1 of 10 million pairs.
 MAX_DISTANCE = 22
 SIG = [f"s{i}" for i in range(SYMBOLS // 8)]
+#: Bits of the filter of candidate ids, by their number; at most 2^MAX_BITS in all (128 MB).
+BITS_PER_ID, MAX_BITS = 16, 30
+#: Parts that the rows of a cluster are dealt to where its sizes are looked up.
+SALTS = 64
 #: Texts per block where components of a bucket are compared with each other.
 BLOCK = 768
 
@@ -115,6 +119,26 @@ def _linked(percent: int):
     return check
 
 
+def possible(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``docs`` whose id is among ``ids`` or shares a filter bit with
+    one, so that few texts are shuffled for the join that follows. The filter
+    is broadcast: BITS_PER_ID bits an id and 2^MAX_BITS at most; where that is
+    less a share of rows, more of them pass, and the join is right anyway."""
+    bits = min(MAX_BITS, max(15, (BITS_PER_ID * ids.count()).bit_length()))
+    slot = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << bits))
+    place, bucket = slot.bitwiseAND(F.lit(32767)), F.shiftright(slot, 15)
+    filters = ids.select(F.col(ids.columns[0]).alias(id_col)).groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(place).alias("_bits"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = docs.join(F.broadcast(filters), bucket == F.col("_bucket"))
+    return met.filter(bit_set(byte, place)).select(*docs.columns)
+
+
+def bit_set(byte: Column, place: Column) -> Column:
+    """Whether the bit of ``place`` is set in its byte of a filter."""
+    mask = F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), place.bitwiseAND(F.lit(7)).cast("int") + 1)
+    return byte.bitwiseAND(mask) > 0
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -124,7 +148,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
     Null, empty or wordless texts have no shingles and stay alone. A null
     doc_id has no links and is kept, with a null component. Repeated rows get
-    equal results. Other columns are ignored.
+    equal results. A doc_id of several texts has the links of all of them, and
+    all its rows that have words get the component of the id. Other columns are ignored.
 
     Texts with equal sets form one class. Classes meet in index buckets; each
     bucket compares its members with one leader, so a bucket of n similar
@@ -138,8 +163,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     sig_type = "doc_id long, n_shingles long, h1 long, h2 long, " + ", ".join(f"{s} long" for s in SIG)
     signed = scratch.put(docs.mapInArrow(_sign, sig_type))
     identity = ["n_shingles", "h1", "h2"]
-    classes = scratch.put(signed.filter("n_shingles > 0 and doc_id is not null").groupBy(*identity)
-                          .agg(F.min("doc_id").alias("node"), *(F.min(s).alias(s) for s in SIG)))
+    linkable = signed.filter("n_shingles > 0 and doc_id is not null")
+    # A class is named by its smallest doc_id, or by a hash where some of its
+    # ids have other texts too; those classes belong together.
+    several = scratch.put(linkable.groupBy("doc_id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("doc_id"))
+    mixed = linkable.join(several, "doc_id").select("doc_id", *identity).distinct().withColumn("name", F.xxhash64(*identity))
+    mixed = scratch.put(mixed)
+    classes = linkable.groupBy(*identity).agg(F.min("doc_id").alias("doc"), *(F.min(s).alias(s) for s in SIG))
+    named = mixed.select(*identity, "name").distinct()
+    classes = scratch.put(classes.join(named, identity, "left").withColumn("node", F.coalesce("name", "doc")).drop("name"))
+    together = mixed.groupBy("doc_id").agg(F.min("name").alias("b")).join(mixed.select("doc_id", F.col("name").alias("a")), "doc_id")
+    together = scratch.put(together.filter("a <> b").select("a", "b").distinct())
 
     keyed = classes.select("node", *SIG).mapInArrow(_index_keys, "key long, node long")
     keyed = scratch.put(keyed)
@@ -150,8 +184,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     scratch.drop(keyed)
     sig = F.struct(*SIG)
     need = bucketed.select("node").distinct()
-    candidates = scratch.put(classes.join(need, "node").select("node", "h1", "h2", *SIG))
-    texts = docs.join(candidates.select(F.col("node").alias("doc_id"), "node", "h1", "h2"), "doc_id")
+    candidates = scratch.put(classes.join(need, "node").select("node", "doc", "h1", "h2", *SIG))
+    texts = possible(docs, candidates.select("doc"), "doc_id").join(candidates.select(F.col("doc").alias("doc_id"), "node", "h1", "h2"), "doc_id")
     sets = scratch.put(texts.select("node", "h1", "h2", "text").mapInArrow(_sets, "node long, shingles binary")
                        .dropDuplicates(["node"]))
     near = candidates.select("node", sig.alias("sig"))
@@ -170,9 +204,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     found = scratch.put(links(with_signatures(pairs)))
     part = _parts(candidates, found, scratch)
     found = found.union(scratch.put(_cross_links(bucketed, part, sets, percent, scratch)))
-    part = _parts(candidates, found, scratch)
-
-    members = classes.join(part, "node", "left").select(*identity, F.coalesce("component", "node").alias("component_id"))
+    comps = components(found.union(together), scratch)
+    grouped = classes.select(*identity, "node", "doc").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # The smallest doc_id of each component of several classes.
+    least = scratch.put(grouped.select("component", "doc", *identity))
+    smallest = least.groupBy("component").agg(F.min("doc").alias("component_id"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    members = least.join(smallest, "component", "left").select(*identity, F.coalesce("component_id", "doc").alias("component_id"))
     return (signed.join(members, identity, "left")
             .select("doc_id", "n_shingles",
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
@@ -204,7 +241,10 @@ def _cross_links(bucketed: DataFrame, part: DataFrame, sets: DataFrame, percent:
         F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("small"))
     # Blocks 0 .. small - 1 hold the rest, small .. small + large - 1 the largest component.
     inside = F.col("component") == F.col("largest")
-    placed = nodes.join(most, "cluster").withColumn(
+    # Salted, as a cluster may hold a large share of all rows.
+    most = most.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    nodes = nodes.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    placed = nodes.join(most, ["cluster", "salt"]).withColumn(
         "block", F.when(inside, F.col("small") + F.pmod(F.xxhash64("node"), F.col("large"))).otherwise(F.pmod(F.xxhash64("node"), F.col("small"))))
     upto = F.when(inside, F.col("small")).otherwise(F.col("small") + F.col("large"))
     placed = placed.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), upto - 1)))

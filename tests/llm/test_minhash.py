@@ -93,3 +93,22 @@ def test_edge_cases(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], T.StructType.fromDDL(SCHEMA))
     assert near_duplicates(df).collect() == []
+
+
+def test_ids_with_several_texts(spark):
+    """The texts of an id share its links; rows stay as many as they were."""
+    from tablesight.llm.minhash import near_duplicates
+    texts = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abc"}
+    rows = [(1, texts["a"]), (1, texts["b"]), (2, texts["a"] + " x"), (3, texts["b"] + " x"), (9, texts["c"]), (8, texts["c"] + " x"), (9, None), (4, "alone of its kind here now")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (8, 8), (9, 8), (9, 9)]
+
+
+def test_filter_keeps_all_candidates(spark):
+    from tablesight.llm.minhash import possible
+    docs = spark.range(5000).selectExpr("id * 7919 - 9000 as doc_id", "'t' as text")
+    ids = docs.filter("doc_id % 10 = 0").selectExpr("doc_id as doc")
+    got = {r.doc_id for r in possible(docs, ids, "doc_id").collect()}
+    want = {r.doc for r in ids.collect()}
+    assert want <= got and len(got) < 2 * len(want)
+    assert possible(docs, ids.limit(0), "doc_id").count() == 0
