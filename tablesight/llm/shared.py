@@ -62,14 +62,14 @@ def slices(batches, rows: int = 1000):
             yield batch.slice(i, rows)
 
 
-def byte_slices(batches, column: int = 0, limit: int = 8 << 20, rows: int = 1000):
+def byte_slices(batches, column=0, limit: int = 8 << 20, rows: int = 1000):
     """Arrow batches in parts of at most ``limit`` bytes of the given string
-    column and ``rows`` rows (one row at least), so that what a part is turned
+    column (its place, or a function of the batch) and ``rows`` rows (one row at least), so that what a part is turned
     into is bounded by its bytes, whatever the lengths of its texts."""
     import numpy as np
     import pyarrow.compute as pc
     for batch in batches:
-        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        upto = np.cumsum(pc.fill_null(pc.binary_length(column(batch) if callable(column) else batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         a = 0
         while a < batch.num_rows:
             b = int(np.searchsorted(upto, (upto[a - 1] if a else 0) + limit, "right"))

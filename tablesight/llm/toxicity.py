@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernel import Words, blocks, mix
-from .shared import Scratch, column_bytes, slices
+from .shared import Scratch, byte_slices, column_bytes
 
 MAX_LABELLED = 20_000
 #: S gives one more count to each of so many words, or to each of the corpus'
 #: words and one unseen if those are more.
 WORD_SLOTS = 1 << 21
 #: Words held by a task before their counts are handed on.
-HELD_WORDS = 1 << 20
+HELD_WORDS = 1 << 17
 #: Parts in which the driver fetches the bigrams, by the first bits of their hash.
 FETCH_BITS = 3
 DISCOUNT = 0.75
@@ -85,7 +85,7 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches):
         held, size = [], 0
-        for batch in slices(batches):
+        for batch in byte_slices(batches):
             for _, words, _, _ in word_pairs(column_bytes(batch.column(0))):
                 held.append(np.unique(words, return_counts=True))
                 size += len(held[-1][0])
@@ -103,7 +103,7 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
 def class_counts(labelled: DataFrame) -> DataFrame:
     """(pair, before, word, toxic, ordinary): bigram counts of both classes."""
     def count(batches):
-        for batch in slices(batches):
+        for batch in byte_slices(batches):
             label = batch.column(1).to_numpy().astype(np.int64)
             at = 0
             for first, words, before, pairs in word_pairs(column_bytes(batch.column(0))):
@@ -239,7 +239,7 @@ def calibrate(m: Model, labelled: DataFrame) -> None:
 
     def measure(batches):
         model = Model(shared.value)
-        for batch in slices(batches):
+        for batch in byte_slices(batches):
             x, n = model.evidence(column_bytes(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(n), batch.column(1).cast(pa.int64())], ["x", "n", "y"])
 
@@ -277,10 +277,13 @@ def held_out(id_col: str):
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", columns: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", columns: list[str] | None = None,
+          text_of: str | None = None) -> DataFrame:
     """Every row of ``docs`` with held_out, score and predicted (1 if score >=
     THRESHOLD); ``columns`` of docs are kept (default: the id). They must not
-    have the names of the results; put such columns into a struct.
+    have the names of the results; put such columns into a struct. If the text
+    is also a field ``text`` of a kept struct, name that in ``text_of``, and
+    each text is sent to Python once.
 
     Only the text enters the score; equal texts score alike. A null or wordless
     text gets the share of toxic texts among the labelled. A null id counts as
@@ -290,14 +293,19 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", columns: l
     shared = docs.sparkSession.sparkContext.broadcast(vars(fit(docs, labels, scratch, id_col)))
     columns = columns or [id_col]
     inner = [f"c{i}" for i in range(len(columns))]
-    renamed = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"),
-                          F.coalesce(held_out(id_col), F.lit(False)).alias("_held"), *(F.col(f"`{c}`").alias(i) for c, i in zip(columns, inner)))
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")) if text_of is None else F.lit("")
+    renamed = docs.select(text.alias("_text"), F.coalesce(held_out(id_col), F.lit(False)).alias("_held"),
+                          *(F.col(f"`{c}`").alias(i) for c, i in zip(columns, inner)))
+    at = None if text_of is None else 2 + columns.index(text_of)
+
+    def texts(batch):
+        return batch.column(0) if at is None else batch.column(at).field("text")
 
     def run(batches):
         model = Model(shared.value)
-        for batch in slices(batches):
+        for batch in byte_slices(batches, texts):
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[2:], batch.column(1), pa.array(model.score(column_bytes(batch.column(0))))],
+                [*batch.columns[2:], batch.column(1), pa.array(model.score(column_bytes(texts(batch))))],
                 [*inner, "held_out", "score"])
 
     schema = T.StructType([*renamed.select(inner).schema, T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())])
