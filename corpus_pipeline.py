@@ -9,6 +9,8 @@ shared checkpoint folder and read again, so each starts from files.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,17 +35,19 @@ def unpack(df: DataFrame, docs: DataFrame, **changed) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go; null, empty and short texts are judged
     like others, by what evidence they have."""
-    judged = toxicity.score(docs.select("doc_id", "text", whole(docs)), table(spark, sf_dir, "labels"), columns=["_row"])
+    judged = toxicity.score(docs.select("doc_id", "text", whole(docs)), table(spark, sf_dir, "labels"), columns=["_row"], text_of="_row")
     return unpack(judged.filter("predicted = 0"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the smallest doc_id stays, once. Rows with
-    a null doc_id have no group and stay, as do wordless texts."""
+    a null doc_id have no group and stay, as do wordless texts. Of an id with
+    several texts all stay, each once, or none."""
     kept = minhash.near_duplicates(docs, percent=NEAR_PERCENT).filter("kept and doc_id is not null").select("doc_id").distinct()
     # The join leaves rows sorted by doc_id, so dropping repeated rows needs no further shuffle.
-    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.union(docs.filter("doc_id is null"))
+    mark = f"text_{uuid.uuid4().hex}"
+    once = docs.join(kept, "doc_id", "left_semi").withColumn(mark, F.xxhash64("text")).dropDuplicates(["doc_id", mark])
+    return once.select(docs.columns).union(docs.filter("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +62,15 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target asks. A null source is a
+    source of its own; null and empty texts count no words and go with the
+    rate of their source; an empty table gives none."""
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences, of all documents. A null or empty text is its end
+    token alone; copies of a document are packed as often as they occur."""
     return packing.pack_documents(docs, tokenizer())
 
 
@@ -78,6 +87,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each from the files of the one before."""
     scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = scratch.put(stage(spark, docs, sf_dir))
