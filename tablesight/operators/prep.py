@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import clean_numeric, col, is_missing, numeric_columns, sql_clean_numeric
 from .common import column_names, join_back, unpivot
+from .frequencies import top_values, value_hashes
 from .profile import value_frequencies
 from .quantiles import quantiles
 from .report import top_per_column
@@ -39,7 +40,7 @@ def fill_values(df: DataFrame, strategy: str = "mean", cols: Sequence[str] | Non
     elif num:
         other = other + num
     if other:
-        top = top_per_column(value_frequencies(df, other).filter(F.col("value").isNotNull()), 1)
+        top = top_values(df, value_hashes(df, other), 1, other).join(F.broadcast(column_names(df, other)), "ordinal")
         parts.append(top.groupBy().pivot("column", other).agg(F.first("value")))
     out = parts[0]
     for p in parts[1:]:

@@ -20,6 +20,7 @@ from ..functions.columns import (
 )
 from ..functions.stats import logical_width
 from .common import column_names, per_column, unpivot
+from .frequencies import top_values, value_hashes
 from .quantiles import quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -231,21 +232,17 @@ def value_frequencies(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
 def describe_categorical(df: DataFrame, cols: Sequence[str] | None = None,
                          freqs: DataFrame | None = None) -> DataFrame:
     """``(ordinal, column, count, unique, top, freq)``; ties for top go to the
-    smallest value. No per-column job: one unpivot-and-group."""
+    smallest value. Counts come from grouped hashes (``value_hashes``, also as
+    ``freqs``); only the top values' texts are fetched."""
     cols = list(cols) if cols is not None else categorical_columns(df)
-    vf = freqs if freqs is not None else value_frequencies(df, cols)
-    vf = vf.filter(F.col("column").isin(cols)) if freqs is not None else vf
-    present = vf.filter(F.col("value").isNotNull())
-    top = F.min(F.struct((-F.col("n")).alias("neg"), F.col("value").alias("value")))
-    agg = present.groupBy("ordinal", "column").agg(
-        F.sum("n").cast("long").alias("count"), F.count(F.lit(1)).cast("long").alias("unique"),
-        top.alias("_top"))
-    allc = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(df.columns) if c in cols],
-                                           "ordinal int, column string")
-    return (F.broadcast(allc).join(agg, ["ordinal", "column"], "left")
+    freqs = freqs if freqs is not None else value_hashes(df, cols)
+    counts = freqs.filter(F.col("h1").isNotNull()).groupBy("ordinal").agg(
+        F.sum("n").cast("long").alias("count"), F.count(F.lit(1)).cast("long").alias("unique"))
+    top = top_values(df, freqs, 1, cols).select("ordinal", F.col("value").alias("top"), F.col("n").cast("long").alias("freq"))
+    names = column_names(df, [c for c in df.columns if c in cols])
+    return (F.broadcast(names).join(counts, "ordinal", "left").join(top, "ordinal", "left")
             .select("ordinal", "column", F.coalesce("count", F.lit(0)).cast("long").alias("count"),
-                    F.coalesce("unique", F.lit(0)).cast("long").alias("unique"),
-                    F.col("_top.value").alias("top"), (-F.col("_top.neg")).cast("long").alias("freq")))
+                    F.coalesce("unique", F.lit(0)).cast("long").alias("unique"), "top", "freq"))
 
 
 def describe_datetime(df: DataFrame, exact: bool = True, cols: Sequence[str] | None = None) -> DataFrame:

@@ -22,6 +22,8 @@ from ..session import estimated_bytes, reuse
 
 #: Groups of at most FEW * accuracy values are ranked whole.
 FEW = 4
+#: Width of a bracket to each side, in units of the sketch's rank error.
+MARGIN = 2
 MAX_PER_TASK = 2_000_000
 MAX_BUCKETS = 4096
 ONE_TASK_BYTES = 256 << 20  # distinct-value tables estimated below this rank in one pass
@@ -78,35 +80,65 @@ def quantiles(long: DataFrame, probs: Sequence[float], keys: Sequence[str] = ("o
     return _bracketed(v, keys, probs, accuracy)
 
 
+def _ends(probs: list[float], accuracy: int) -> list[float]:
+    """Where brackets begin and end: the sketch's rank error is at most one in
+    ``accuracy``; twice that on each side."""
+    margin = MARGIN / accuracy
+    return [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
+
+
 def _bracketed(v: DataFrame, keys: list[str], probs: list[float], accuracy: int) -> DataFrame:
     """Exact quantiles in two passes over the values, the same plan at any size.
 
     Pass 1: counts and ``percentile_approx`` a little below and above each
-    wanted rank; its rank error is at most total / accuracy, the margin is
-    twice that, so the bracket holds both order statistics around the rank.
-    Groups of few values have an open bracket (at most FEW * accuracy values).
-    Pass 2: values below a bracket are counted, values inside grouped: a few
-    per ten thousand of the rows reach the shuffle, and a window ranks those.
+    wanted rank. Groups of few values have one open bracket (at most FEW *
+    accuracy values).
+    Pass 2: a value's slot is the number of brackets that end below it;
+    values inside a bracket are grouped by slot and value,
+    those between brackets by slot alone. One row a value, and a few per ten
+    thousand of the rows reach the shuffle. Running totals of these counts say
+    which value holds each rank. They are counts of all values, not estimates:
+    a rank that falls between two brackets is seen to do so.
+    Pass 3, only for ranks that fell between brackets (the sketch was wrong):
+    the values between those two brackets are counted and ranked themselves.
+    Adaptive execution drops this pass when no rank is missed.
     """
-    margin, k = 2 / accuracy, len(probs)
-    ends = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
-    stats = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.percentile_approx("v", ends, accuracy).alias("ends"))
-    many, h = F.col("total") > FEW * accuracy, (F.col("total") - 1) * F.col("p")
-    brackets = (stats.select(*keys, "total", "ends", F.posexplode(F.array(*[F.lit(p) for p in probs])).alias("pi", "p"))
-                .select(*keys, "pi", F.when(many, F.get("ends", F.col("pi"))).alias("lo"), F.when(many, F.get("ends", F.col("pi") + k)).alias("hi"),
-                        (h - F.floor(h)).alias("frac"), (F.floor(h) + 1).alias("r1"), (F.ceil(h) + 1).alias("r2")))
-    # One row per group and wanted rank: groups are columns here.
-    cells = (v.join(F.broadcast(brackets), keys).filter("hi IS NULL OR v <= hi")
-             .withColumn("cell", F.when(F.col("lo").isNull() | (F.col("v") >= F.col("lo")), F.col("v"))))
-    group = [*keys, "pi", "frac", "r1", "r2"]
-    counts = cells.groupBy(*group, "cell").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*group).orderBy(F.col("cell").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    by_rank = sorted(range(len(probs)), key=lambda i: probs[i])
+    ordered, k = [probs[i] for i in by_rank], len(probs)
+    stats = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.percentile_approx("v", _ends(ordered, accuracy), accuracy).alias("ends"))
+    many = F.col("total") > FEW * accuracy
+    # NaN is above every number; there are no NaN among the values.
+    ends = stats.select(*keys, F.when(many, F.slice("ends", 1, k)).otherwise(F.array_repeat(F.lit(float("-inf")), k)).alias("lo"),
+                        F.when(many, F.slice("ends", k + 1, k)).otherwise(F.array_repeat(F.lit(float("nan")), k)).alias("hi"))
+    # Few brackets: comparisons that are compiled; many: a binary search.
+    slot = F.expr(" + ".join(f"IF(hi[{i}] < v, 1, 0)" for i in range(k))) if k <= 16 else _bucket_of("hi", "v", k)
+    cells = (v.join(F.broadcast(ends), keys).withColumn("slot", slot)
+             .select(*keys, "slot", F.when(F.col("v") >= F.get("lo", F.col("slot")), F.col("v")).alias("cell")))
+    counts = cells.groupBy(*keys, "slot", "cell").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*keys).orderBy("slot", F.col("cell").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.withColumn("v_end", F.sum("n").over(w)).withColumn("v_start", F.col("v_end") - F.col("n"))
 
-    def at(rank: str) -> F.Column:
-        return F.max(F.when((F.col(rank) > F.col("v_start")) & (F.col(rank) <= F.col("v_end")), F.col("cell")))
-
-    picked = ranked.groupBy(*group).agg(at("r1").alias("v1"), at("r2").alias("v2"))
+    # The two ranks around each wanted place; one row per group, probability and rank.
+    h = (F.col("total") - 1) * F.col("p")
+    places = stats.select(*keys, "total", F.posexplode(F.array(*[F.lit(probs[i]) for i in range(k)])).alias("pi", "p"))
+    ranks = F.array(*(F.struct(F.lit(i).alias("side"), (r + 1).cast("long").alias("rank")) for i, r in enumerate((F.floor(h), F.ceil(h)))))
+    places = places.select(*keys, "pi", (h - F.floor(h)).alias("frac"), F.explode(ranks).alias("at")).select(*keys, "pi", "frac", "at.side", "at.rank")
+    found = ranked.join(F.broadcast(places), keys).filter((F.col("rank") > F.col("v_start")) & (F.col("rank") <= F.col("v_end")))
+    found = found.select(*keys, "pi", "frac", "side", "rank", "slot", "v_start", F.col("cell").alias("value"))
+
+    missed = found.filter(F.col("value").isNull())
+    gaps = missed.select(*keys, "slot", "v_start").distinct().join(ends, keys).select(
+        *keys, "slot", "v_start", F.get("hi", F.col("slot") - 1).alias("above"), F.get("lo", F.col("slot")).alias("below"))
+    between = (F.col("above").isNull() | (F.col("v") > F.col("above"))) & (F.col("below").isNull() | (F.col("v") < F.col("below")))
+    inside = v.join(F.broadcast(gaps), keys).filter(between).groupBy(*keys, "slot", "v_start", "v").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*keys, "slot").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("to", F.col("v_start") + F.sum("n").over(w)).withColumn("from", F.col("to") - F.col("n"))
+    again = missed.drop("value", "v_start").join(inside.select(*keys, "slot", F.col("v").alias("value"), "from", "to"), [*keys, "slot"])
+    again = again.filter((F.col("rank") > F.col("from")) & (F.col("rank") <= F.col("to")))
+
+    columns = [*keys, "pi", "frac", "side", "value"]
+    both = found.filter(F.col("value").isNotNull()).select(columns).union(again.select(columns))
+    picked = both.groupBy(*keys, "pi", "frac").agg(F.max(F.when(F.col("side") == 0, F.col("value"))).alias("v1"), F.max(F.when(F.col("side") == 1, F.col("value"))).alias("v2"))
     # Equal neighbours are taken as they are: infinity minus infinity is no number.
     value = F.when(F.col("v1") == F.col("v2"), F.col("v1")).otherwise(F.col("v1") + (F.col("v2") - F.col("v1")) * F.col("frac"))
     return picked.select(*keys, "pi", value.alias("q")).groupBy(*keys).agg(

@@ -2,7 +2,7 @@
 quantiles, moments, MAD, common and extreme values, histograms, datetime
 ranges and alerts.
 
-Frequencies come from one unpivot-and-group (``value_frequencies``); top-k
+Frequencies come from grouped hashes (``frequencies.value_hashes``); top-k
 per column uses ``row_number() <= k`` over the grouped table, which Spark
 plans with a partial WindowGroupLimit before the shuffle, so a column with
 billions of distinct values never reaches one task whole.
@@ -20,7 +20,8 @@ from ..functions.columns import (
 from ..functions.stats import KURTOSIS_SQL, SKEWNESS_SQL
 from .charts import histograms
 from .common import column_names, per_column, unpivot
-from .profile import dataset_stats, duplicate_count, value_frequencies
+from .frequencies import top_values, value_hashes
+from .profile import dataset_stats, duplicate_count
 from .quantiles import quantiles
 from ..session import bounded
 
@@ -58,11 +59,11 @@ def report_variables(df: DataFrame, exact: bool = True, freqs: DataFrame | None
         st = per_column(df, df.columns, val, {"distinct": "approx_count_distinct(CASE WHEN NOT {v}.m THEN {v}.v END)",
                                              "missing": "count_if({v}.m)", "rows": "count(1)"})
     else:
-        vf = freqs if freqs is not None else value_frequencies(df)
-        st = vf.groupBy("ordinal", "column").agg(
-            F.count("value").alias("distinct"),
-            F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("missing"),
-            F.sum("n").alias("rows"))
+        vf = freqs if freqs is not None else value_hashes(df)
+        st = vf.groupBy("ordinal").agg(
+            F.count("h1").alias("distinct"),
+            F.sum(F.when(F.col("h1").isNull(), F.col("n")).otherwise(0)).alias("missing"),
+            F.sum("n").alias("rows")).join(F.broadcast(column_names(df, df.columns)), "ordinal")
     return st.select(
         "ordinal", "column", F.col("distinct").cast("long").alias("distinct"),
         F.try_divide(F.col("distinct") * 100.0, F.col("rows") - F.col("missing")).alias("distinct_pct"),
@@ -144,9 +145,9 @@ def top_per_column(freqs: DataFrame, k: int, ascending_value: bool = False, by_v
 def report_common_values(df: DataFrame, k: int = 10, freqs: DataFrame | None = None) -> DataFrame:
     """``(ordinal, column, rank, value, count, pct)``: the ``k`` most common
     present values per column; % over rows."""
-    vf = freqs if freqs is not None else value_frequencies(df)
+    vf = freqs if freqs is not None else value_hashes(df)
     rows = df.agg(F.count(F.lit(1)).alias("_rows"))
-    top = top_per_column(vf.filter(F.col("value").isNotNull()), k)
+    top = top_values(df, vf, k).join(F.broadcast(column_names(df, df.columns)), "ordinal")
     return (top.crossJoin(F.broadcast(rows))
                .select("ordinal", "column", "rank", "value", F.col("n").cast("long").alias("count"),
                        F.try_divide(F.col("n") * 100.0, F.col("_rows")).alias("pct")))

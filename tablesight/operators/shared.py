@@ -2,7 +2,7 @@
 
 ``column_counts`` unpivots every column once and groups ``(ordinal, value)``
 with partial aggregation: numeric and datetime columns as doubles (datetimes
-as epoch microseconds), all others as text, missing as null. Everything
+as epoch microseconds), all others by 128-bit hashes, missing as null. Everything
 ``describe`` and the profile text need — counts, missing values, moments,
 extremes, top values, exact quantiles — is then derived from this table of
 distinct values, written once under the checkpoint folder since about ten
@@ -21,16 +21,17 @@ from ..functions.columns import (
     sql_clean_numeric, sql_col, sql_epoch_micros, sql_is_missing,
 )
 from ..session import materialize
-from .common import column_names, lit
+from .common import column_names
+from .frequencies import HEAD, hashed, top_values
 from .quantiles import quantiles_from_counts
 
 QUARTILES = (0.25, 0.5, 0.75)
 
 
 def column_counts(df: DataFrame) -> DataFrame:
-    """``(ordinal, num, text, n)``: distinct values of every column with their
-    counts (``num`` for numeric and datetime columns, ``text`` otherwise; both
-    null for missing)."""
+    """``(ordinal, num, h1, h2, head, n)``: distinct values of every column with
+    their counts (``num`` for numeric and datetime columns, the hashes and first
+    characters of the text otherwise; all null for missing). No text is shuffled."""
     types = {f.name: f.dataType for f in df.schema.fields}
     num, dts = set(numeric_columns(df)), set(datetime_columns(df))
     cells = []
@@ -45,10 +46,11 @@ def column_counts(df: DataFrame) -> DataFrame:
             t = f"CASE WHEN NOT {sql_is_missing(c, dt)} THEN {sql_as_text(c, dt)} END"
         cells.append(f"struct({i} AS ordinal, {v} AS num, {t} AS text)")
     if not cells:
-        return df.limit(0).selectExpr("0 AS ordinal", "CAST(NULL AS DOUBLE) AS num",
-                                      "CAST(NULL AS STRING) AS text", "CAST(0 AS BIGINT) AS n")
+        return df.limit(0).selectExpr("0 AS ordinal", "CAST(NULL AS DOUBLE) AS num", "CAST(NULL AS BIGINT) AS h1", "CAST(NULL AS BIGINT) AS h2",
+                                      "CAST(NULL AS STRING) AS head", "CAST(0 AS BIGINT) AS n")
     counts = (df.selectExpr(f"inline(array({', '.join(cells)}))")
-                .groupBy("ordinal", "num", "text").agg(F.count(F.lit(1)).alias("n")))
+                .select("ordinal", "num", *hashed("text"), F.substring("text", 1, HEAD).alias("head"))
+                .groupBy("ordinal", "num", "h1", "h2", "head").agg(F.count(F.lit(1)).alias("n")))
     # read by every statistic below: written once, whatever its size
     return materialize(counts, "column-counts")
 
@@ -56,8 +58,8 @@ def column_counts(df: DataFrame) -> DataFrame:
 def missing_from_counts(df: DataFrame, cc: DataFrame) -> DataFrame:
     """``(ordinal, column, missing, non_null)``."""
     st = cc.groupBy("ordinal").agg(
-        F.sum(F.when(F.col("num").isNull() & F.col("text").isNull(), F.col("n")).otherwise(0)).alias("missing"),
-        F.sum(F.when(F.col("num").isNotNull() | F.col("text").isNotNull(), F.col("n")).otherwise(0)).alias("non_null"))
+        F.sum(F.when(F.col("num").isNull() & F.col("h1").isNull(), F.col("n")).otherwise(0)).alias("missing"),
+        F.sum(F.when(F.col("num").isNotNull() | F.col("h1").isNotNull(), F.col("n")).otherwise(0)).alias("non_null"))
     return (F.broadcast(column_names(df, df.columns)).join(st, "ordinal", "left")
               .select("ordinal", "column", F.coalesce("missing", F.lit(0)).cast("long").alias("missing"),
                       F.coalesce("non_null", F.lit(0)).cast("long").alias("non_null")))
@@ -100,13 +102,12 @@ def describe_shared(df: DataFrame, cc: DataFrame | None = None) -> DataFrame:
         F.date_format(from_epoch_micros(dmean), fmt).alias("mean_ts"), ts(F.col("min")).alias("min_ts"),
         ts(F.col("quantiles")[0]).alias("p25_ts"), ts(F.col("quantiles")[1]).alias("p50_ts"),
         ts(F.col("quantiles")[2]).alias("p75_ts"), ts(F.col("max")).alias("max_ts")))
-    top = F.min(F.struct((-F.col("n")).alias("neg"), F.col("text").alias("value")))
-    cats = (cc.filter(F.col("ordinal").isin(cat) & F.col("text").isNotNull()).groupBy("ordinal")
-              .agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"), top.alias("_top")))
-    categ = (names.filter(F.col("ordinal").isin(cat)).join(cats, "ordinal", "left").select(
+    freqs = cc.filter(F.col("ordinal").isin(cat) & F.col("h1").isNotNull())
+    cats = freqs.groupBy("ordinal").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"))
+    top = top_values(df, freqs, 1, categorical_columns(df)).select("ordinal", F.col("value").alias("top"), F.col("n").alias("freq"))
+    categ = (names.filter(F.col("ordinal").isin(cat)).join(cats, "ordinal", "left").join(top, "ordinal", "left").select(
         "ordinal", "column", F.coalesce("count", F.lit(0)).cast("long").alias("count"),
-        F.coalesce("unique", F.lit(0)).cast("long").alias("unique"),
-        F.col("_top.value").alias("top"), (-F.col("_top.neg")).cast("long").alias("freq")))
+        F.coalesce("unique", F.lit(0)).cast("long").alias("unique"), "top", F.col("freq").cast("long").alias("freq")))
     # numeric and datetime columns with no present value still get a row
     seen = names.filter(F.col("ordinal").isin(num + dts)).join(both.select("ordinal"), "ordinal", "left_anti")
     empty = seen.select("ordinal", "column", F.lit(0).cast("long").alias("count"))

@@ -37,3 +37,36 @@ def test_hot_value_group(spark):
     got = quantiles(df, [0.5, 0.99], keys=["column"], accuracy=50).collect()[0]["quantiles"]
     ref = np.quantile(np.array([v for _, v in data]), [0.5, 0.99])
     assert got == pytest.approx(list(ref))
+
+
+def skewed_groups(rng):
+    groups = [np.round(rng.exponential(10, 3000), 2), np.r_[np.full(2000, 4.0), rng.normal(size=1000)], rng.integers(0, 3, 1500).astype(float),
+              np.r_[rng.normal(size=500), np.full(200, np.inf), np.full(100, -np.inf)]]
+    return groups, [(g, float(x)) for g, vals in enumerate(groups) for x in vals]
+
+
+@pytest.mark.parametrize("shift", [0.0, 0.07, -0.07, 2.0])
+def test_missed_brackets_are_ranked_again(spark, monkeypatch, shift):
+    """Brackets put beside the wanted ranks, or beyond all values: the counts
+    show it and the values between brackets are ranked."""
+    from tablesight.operators import quantiles as Q
+    ends = Q._ends
+    monkeypatch.setattr(Q, "_ends", lambda probs, accuracy: [min(1.0, max(0.0, x + shift)) for x in ends(probs, accuracy)])
+    groups, data = skewed_groups(np.random.default_rng(8))
+    df = spark.createDataFrame(data, "column int, value double").repartition(7)
+    probs = [0.5, 0.05, 0.95, 0.5, 0.0, 1.0]
+    got = {r["column"]: r["quantiles"] for r in quantiles(df, probs, keys=["column"], accuracy=100).collect()}
+    for g, vals in enumerate(groups):
+        ordered = np.sort(vals)
+        for p, x in zip(probs, got[g]):
+            lo, hi = ordered[int(np.floor((len(vals) - 1) * p))], ordered[int(np.ceil((len(vals) - 1) * p))]
+            frac = (len(vals) - 1) * p % 1
+            assert x == (lo if lo == hi else pytest.approx(lo + (hi - lo) * frac))
+
+
+def test_one_row_a_value(spark):
+    """A value is counted once, however many probabilities are asked for."""
+    df = spark.range(100_000).selectExpr("0 as column", "cast(id as double) as value")
+    plan = quantiles(df, [0.1, 0.25, 0.5, 0.75, 0.9], keys=["column"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan.split("percentile_approx")[-1]
+    assert quantiles(df, [0.5], keys=["column"]).first()["quantiles"] == [49999.5]
