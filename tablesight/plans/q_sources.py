@@ -64,6 +64,21 @@ def csv_roundtrip(spark, sf):
     return S.read_dataset(spark, path, fmt="csv")
 
 
+def _or_null(c: str) -> str:
+    return f"case when {c} in ({_TOKENS}) then null else {c} end as {c}"
+
+
+@register("csv_quoted_newlines", f"""
+select doc_id, {_or_null('text')}, {_or_null('lang')}, {_or_null('source')}, n_chars from documents""")
+def csv_quoted_newlines(spark, sf):
+    """Documents, whose texts hold newlines, quotes and separators, written as
+    CSV to the shared folder and read back in blocks."""
+    path = scratch_path(spark, "csv-documents")
+    form = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    T(spark, sf, "documents").write.options(**form).csv(path)
+    return S.read_csv(spark, path, multiline="split")
+
+
 @register("json_roundtrip", "select p_partkey, p_name, p_brand, p_type, cast(p_size as bigint) as p_size, p_retailprice from part")
 def json_roundtrip(spark, sf):
     """Parts written as JSON Lines and read back with shape detection."""

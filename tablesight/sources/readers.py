@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col
+from .csv_split import read_csv_split
 
 SUPPORTED = (".csv", ".xlsx", ".json", ".jsonl", ".parquet")
 
@@ -85,10 +86,11 @@ def dedupe_names(names: Sequence[str]) -> list[str]:
     return out
 
 
-def read_csv(spark: SparkSession, path: str, multiline: bool = False, infer: bool = True,
+def read_csv(spark: SparkSession, path: str, multiline: bool | str = False, infer: bool = True,
              na_tokens: Sequence[str] = NA_TOKENS, sep: str = ",") -> DataFrame:
-    """Header row, doubled quotes, optional quoted newlines (``multiline``
-    makes each file one task). All columns are read as text, missing tokens
+    """Header row, doubled quotes, optional quoted newlines: ``multiline="split"``
+    reads files in parallel blocks (``csv_split``), True makes each file one
+    task. All columns are read as text, missing tokens
     become null, then types are inferred (int -> float -> bool -> text).
 
     A row with fewer fields than the header ends in nulls; one with more
@@ -96,6 +98,15 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = False, infer: boo
     in the same order, else reading raises (unless the header repeats names,
     which Spark cannot check).
     """
+    if multiline == "split":
+        header, df = read_csv_split(spark, path, sep)
+        message = F.concat(F.lit("CSV row with more fields than the header, at "), F.coalesce(F.col("c0"), F.lit("")))
+        if header:
+            more = F.col(f"c{len(header)}")
+            df = df.filter(F.when(more.isNotNull(), F.raise_error(message).cast("boolean")).otherwise(True)).drop(f"c{len(header)}")
+            df = df.toDF(*dedupe_names(header))
+        df = normalize_missing(df, na_tokens)
+        return infer_types(df) if infer else df
     form = {"multiLine": multiline, "escape": '"', "quote": '"', "sep": sep}
     first = spark.read.options(header=False, **form).csv(path).limit(1).collect()
     if not first:
