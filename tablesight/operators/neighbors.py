@@ -5,16 +5,30 @@ query side must be small: its row count is checked (``max_queries``) before
 it is broadcast, and larger query sets are refused rather than truncated.
 The work is then |queries| x |base|, linear in the data. Per query only the
 k best rows leave each task (``row_number() <= k`` is planned with a partial
-WindowGroupLimit). For all-vs-all search on large tables, ``knn_approx``
-uses random-projection LSH (approximate; it may miss neighbours).
+WindowGroupLimit). For query sets of any size, ``knn_join`` lets rows meet by
+locality-sensitive hashing whose cells are fitted to the data, in blocks.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 MAX_QUERIES = 10_000
+#: Hash tables, and neighbouring cells that each query looks into per table.
+TABLES, PROBES = 6, 3
+#: Rows that cells are fitted on.
+SAMPLE = 2_000
+#: Bytes of the vectors of a block.
+BLOCK_BYTES = 8 << 20
 
 
 def euclidean(a: str, b: str) -> F.Column:
@@ -28,7 +42,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int, query_id: str = "query_id",
     every query by Euclidean distance, ties by id."""
     n = queries.limit(max_queries + 1).count()
     if n > max_queries:
-        raise ValueError(f"knn: {n}+ query rows exceed max_queries={max_queries}; use knn_approx")
+        raise ValueError(f"knn: {n}+ query rows exceed max_queries={max_queries}; use knn_join")
     q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("_qv"))
     b = base.select(F.col(base_id).alias("id"), F.col(vector).alias("_bv"))
     pairs = b.crossJoin(F.broadcast(q)).select("query_id", "id", euclidean("_qv", "_bv").alias("distance"))
@@ -69,18 +83,186 @@ def knn_classify(queries: DataFrame, base: DataFrame, k: int, label: str = "labe
                  .select("query_id", F.col("_l").alias("prediction"), "votes"))
 
 
-def knn_approx(base: DataFrame, k: int, base_id: str = "id", vector: str = "embedding",
-               bucket_length: float = 2.0, num_tables: int = 4, max_distance: float = float("inf"),
-               seed: int = 42) -> DataFrame:
-    """Approximate all-vs-all neighbours with BucketedRandomProjectionLSH:
-    ``(query_id, rank, id, distance)``; pairs only within shared buckets."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    v = base.select(F.col(base_id).alias("id"), array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed).fit(v)
-    j = lsh.approxSimilarityJoin(v, v, max_distance if max_distance != float("inf") else 1e300, "distance")
-    pairs = j.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("id"), "distance").filter(
-        F.col("query_id") != F.col("id"))
+# ---------------------------------------------------------------- all rows against all
+
+@dataclass(frozen=True)
+class Hashing:
+    """TABLES hash tables of ``projections`` random directions each, cut into
+    cells of ``width``. No projections: one bucket, an exact search."""
+    projections: int
+    width: float
+    seed: int = 7
+
+    def cells(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """Hashes (rows, TABLES, 1 + probes) of each row's own cell and of those
+        behind the borders it lies nearest to."""
+        out = np.zeros((len(x), TABLES, 1 + probes if self.projections else 1), np.int64)
+        if not self.projections:
+            return out[:, :1]
+        rng, every = np.random.default_rng(self.seed), np.arange(len(x))
+        for t in range(TABLES):
+            at = x @ rng.normal(size=(x.shape[1], self.projections)) / self.width + rng.random(self.projections)
+            cell = np.floor(at).astype(np.int64)
+            times = rng.integers(1, 1 << 62, self.projections) | 1
+            part = at - cell
+            nearest = np.argsort(np.minimum(part, 1 - part), axis=1)
+            with np.errstate(over="ignore"):
+                out[:, t, 0] = (cell * times).sum(1)
+                for p in range(min(probes, self.projections)):
+                    j = nearest[:, p]
+                    out[:, t, p + 1] = out[:, t, 0] + np.where(part[every, j] < .5, -1, 1) * times[j]
+                for p in range(self.projections, probes):
+                    out[:, t, p + 1] = out[:, t, 0]
+        return out
+
+
+def nearest(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and squared distances of the k rows of ``y`` nearest to each of
+    ``x``, nearest first, ties by place; ``x`` is taken in parts of bounded size."""
+    k, places, away = min(k, len(y)), [], []
+    square = (y * y).sum(1)
+    step = max(1, (4 << 20) // max(len(y), 1))
+    for i in range(0, len(x), step):
+        part = x[i:i + step]
+        d = np.maximum((part * part).sum(1)[:, None] + square - 2 * part @ y.T, 0)
+        order = np.argsort(d, axis=1, kind="stable")[:, :k]
+        # Near zero the product form is inexact: exact differences for those kept.
+        exact = ((part[:, None, :] - y[order]) ** 2).sum(2)
+        by = np.argsort(exact, axis=1, kind="stable")
+        places.append(np.take_along_axis(order, by, 1))
+        away.append(np.take_along_axis(exact, by, 1))
+    return np.concatenate(places), np.concatenate(away)
+
+
+def fit_hashing(sample: np.ndarray, k: int, recall: float = 0.95) -> tuple[Hashing, float]:
+    """Of several numbers of projections and widths those that compare the
+    fewest pairs and still find ``recall`` of the k nearest, measured on a
+    bounded sample; with it the share of pairs. In a larger table neighbours
+    are nearer, so they are found rather more often. Where no cells do (vectors
+    about as far from all others) one bucket remains: an exact search."""
+    best = (Hashing(0, 1.0), 1.0)
+    queries = sample[:256]
+    if len(sample) <= k + 1:
+        return best
+    places, away = nearest(queries, sample, k + 1)
+    scale = np.sqrt(np.median(away[:, -1])) or np.sqrt(np.median(((sample - sample.mean(0)) ** 2).sum(1))) / 8 or 1.0
+    for projections in (2, 3, 4, 6, 8, 12):
+        for times in (1.0, 2.0, 4.0, 8.0):
+            h = Hashing(projections, float(scale * times))
+            base, probes = h.cells(sample, 0), h.cells(queries, PROBES)
+            met = np.zeros((len(queries), len(sample)), bool)
+            for t in range(TABLES):
+                for p in range(probes.shape[2]):
+                    met |= probes[:, t, p, None] == base[None, :, t, 0]
+            share = float(met.mean())
+            if share < best[1] and np.take_along_axis(met, places, 1).mean() >= recall:
+                best = (h, share)
+    return best
+
+
+def knn_join(queries: DataFrame, base: DataFrame, k: int, query_id: str = "query_id", base_id: str = "id", vector: str = "embedding",
+             exclude_self: bool = False, hashing: Hashing | None = None) -> DataFrame:
+    """``(query_id, rank, id, distance)``: the ``k`` nearest base rows of every
+    query row, for query sets of any size; ids are 64-bit integers, ties go to
+    the smallest. Null vectors have no neighbours and are none.
+
+    Rows meet in the cells of a locality-sensitive hashing, each query in its
+    own and in PROBES neighbouring ones (``fit_hashing`` on SAMPLE rows chooses
+    cells, or none: then all pairs are compared, exactly). Buckets are compared
+    in blocks of bounded bytes; a block returns each query's k nearest, not
+    pairs. Distances are exact; neighbours that share no cell are missed.
+    """
+    take = lambda df, i: df.select(F.col(i).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    q, b = take(queries, query_id), take(base, base_id)
+    # At most SAMPLE rows, chosen by a hash of the id.
+    sample = [r["v"] for r in b.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()]
+    if hashing is None:
+        hashing = fit_hashing(np.array(sample), k)[0] if sample else Hashing(0, 1.0)
+    rows = max(256, BLOCK_BYTES // (8 * max(1, len(sample[0]) if sample else 1)))
+
+    def keyed(df: DataFrame, probes: int) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                for i in range(0, batch.num_rows, 4096):
+                    part = batch.slice(i, 4096)
+                    cells = hashing.cells(np.array(part.column(1).to_pylist(), np.float64), probes)
+                    n, t, p = cells.shape
+                    # A row enters a bucket once, though several probes may name it.
+                    flat = pd.DataFrame({"row": np.repeat(np.arange(n), t * p), "t": np.tile(np.repeat(np.arange(t), p), n), "cell": cells.ravel()}).drop_duplicates()
+                    yield pa.RecordBatch.from_arrays([pa.array(flat["t"].to_numpy(np.int64)), pa.array(flat["cell"].to_numpy()),
+                                                      *(part.column(c).take(pa.array(flat["row"].to_numpy())) for c in (0, 1))], ["t", "cell", "id", "v"])
+        return df.mapInArrow(run, "t long, cell long, id long, v array<double>")
+
+    q, b = keyed(q, PROBES), keyed(b, 0)
+    if hashing.projections:
+        q, b = materialize(q, "knn-queries"), materialize(b, "knn-base")
+    counts = lambda df, n: df.groupBy("t", "cell").agg(F.count(F.lit(1)).alias(n))
+    parts = counts(q, "nq").join(counts(b, "nb"), ["t", "cell"]).select(
+        "t", "cell", F.ceil(F.col("nq") / rows).alias("nq"), F.ceil(F.col("nb") / rows).alias("nb"))
+    parts = materialize(parts, "knn-buckets")
+
+    def placed(df: DataFrame, own: str, other: str) -> DataFrame:
+        df = df.join(parts, ["t", "cell"]).withColumn(own, F.pmod(F.xxhash64("id"), F.col(f"n{own}")))
+        return df.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n{other}") - 1))).select("t", "cell", "q", "b", "id", "v")
+
+    both = placed(q, "q", "b").withColumn("asks", F.lit(True)).unionByName(placed(b, "b", "q").withColumn("asks", F.lit(False)))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks = pdf["asks"].to_numpy(bool)
+        x, y = pdf[asks], pdf[~asks].sort_values("id")
+        if not len(x) or not len(y):
+            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
+        ids = y["id"].to_numpy()
+        places, away = nearest(np.stack(x["v"].to_numpy()), np.stack(y["v"].to_numpy()), k + bool(exclude_self))
+        return pd.DataFrame({"query_id": np.repeat(x["id"].to_numpy(), places.shape[1]), "id": ids[places.ravel()], "distance": np.sqrt(away.ravel())})
+
+    pairs = both.groupBy("t", "cell", "q", "b").applyInPandas(compare, "query_id long, id long, distance double")
+    if exclude_self:
+        pairs = pairs.filter("query_id <> id")
+    # A pair may meet in several tables.
+    pairs = pairs.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+
+
+def knn_approx(base: DataFrame, k: int, base_id: str = "id", vector: str = "embedding") -> DataFrame:
+    """Every row's ``k`` nearest other rows (``knn_join`` of a table with itself)."""
+    return knn_join(base, base, k, base_id, base_id, vector, exclude_self=True)
+
+
+@dataclass
+class KnnModel:
+    """A fitted feature pipeline and the training rows it made."""
+    features: object
+    base: DataFrame
+    kind: str
+    k: int
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``prediction`` (majority label of the nearest, ties: the
+        smallest; mean label for regression) and ``score``, the share of label 1."""
+        rows = materialize(self.features.transform(df).withColumn("_v", vector_to_array(F.col("features"))).withColumn("_id", F.xxhash64("_v")), "knn-rows")
+        # Rows of equal features ask once.
+        asked = rows.groupBy("_id").agg(F.first("_v").alias("embedding")).withColumnRenamed("_id", "query_id")
+        found = knn_join(asked, self.base, self.k).join(self.base.select("id", "label"), "id")
+        if self.kind == "classification":
+            votes = found.groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("n"))
+            best = F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"]
+            said = votes.groupBy("query_id").agg(best.alias("prediction"), (F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("score"))
+        else:
+            said = found.groupBy("query_id").agg(F.avg("label").alias("prediction"), F.lit(None).cast("double").alias("score"))
+        return rows.join(said.withColumnRenamed("query_id", "_id"), "_id", "left").drop("_id", "_v")
+
+
+def train_knn(features, rows: DataFrame, kind: str, k: int = 5, label: str = "label"):
+    """A k-nearest-neighbours model of the rows of split 'train': ``(model,
+    predictions)`` as of ``ml.train``. Training rows count themselves."""
+    known = features.transform(rows.filter("split = 'train'")).select(vector_to_array(F.col("features")).alias("embedding"), F.col(label).cast("double").alias("label"))
+    # Written, so that the numbers stay.
+    base = materialize(known.withColumn("id", F.monotonically_increasing_id()), "knn-train")
+    model = KnnModel(features, base, kind, k)
+    # Every metric reads the predictions: they are made once.
+    pred = materialize(model.transform(rows).select("split", label, "prediction", "score"), "knn-predictions")
+    n_classes = base.select("label").distinct().limit(3).count()
+    score = F.col("score") if kind == "classification" and n_classes == 2 else F.lit(None).cast("double")
+    return model, pred.select("split", F.col(label).cast("double").alias("label"), "prediction", score.alias("score"))

@@ -65,6 +65,24 @@ def metrics_classification(spark, sf):
     return ML.classification_metrics(_cls_pred(spark, sf))
 
 
+_RANKED = "select cast(quality as double) as label, (1 + least(n_chars // 50, 97)) / 100.0::double as score from classification"
+
+
+@register("metrics_ranking", oracle_from("classification") + f""", s as ({_RANKED}),
+g as (select score, sum(label) as pos, sum(1 - label) as neg from s group by score),
+r as (select *, sum(pos) over w as tp, sum(neg) over w as fp from g window w as (order by score desc rows unbounded preceding)),
+t as (select sum(label) as p, sum(1 - label) as n, -avg(label * ln(score) + (1 - label) * ln(1 - score)) as loss from s)
+select 'roc_auc' as metric, round((select sum(neg * (tp - pos / 2)) from r) / (p * n), 4) as value from t
+union all select 'pr_auc', round((select sum(pos * tp / (tp + fp)) from r) / p, 4) from t
+union all select 'log_loss', round(loss, 4) from t""")
+def metrics_ranking(spark, sf):
+    """Areas under ROC and precision-recall and log loss of a score with many
+    ties: the length of a document in steps of 50 characters, for its quality."""
+    c = T(spark, sf, "classification")
+    score = (1 + F.least(F.expr("n_chars div 50"), F.lit(97))) / 100.0
+    return ML.ranking_metrics(c.select(F.col("quality").alias("label"), score.alias("score")))
+
+
 def _trainer(model: str, table: str, target: str | None, key: str):
     def run(spark, sf):
         df = T(spark, sf, table)
@@ -84,11 +102,19 @@ for _name, _model, _table, _target, _key in [
     ("train_linear_regression", "Linear Regression", "regression", "l_extendedprice", "l_orderkey"),
     ("train_random_forest_regression", "Random Forest", "regression", "l_extendedprice", "l_orderkey"),
     ("train_kmeans", "K-Means", "classification", None, "doc_id"),
+    ("train_knn", "K-Nearest Neighbors", "classification", "quality", "doc_id"),
     ("train_gaussian_mixture", "Gaussian Mixture", "classification", None, "doc_id"),
 ]:
     register(_name)(_trainer(_model, _table, _target, _key))
 
 
+@register("knn_embeddings")
+def knn_embeddings(spark, sf):
+    """Every embedding's 5 nearest others, by hashing fitted to the table."""
+    from ..operators.neighbors import knn_approx
+    return knn_approx(T(spark, sf, "embeddings"), 5, "vec_id")
+
+
 @register("knn_centroids", """
 with cells as (select label, i, avg(x) as x from
                  (select label, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as x from embeddings)

@@ -1,8 +1,9 @@
 """k-nearest neighbours: exact search against brute force, classification,
-the query-size check, and the LSH variant."""
+the query-size check, and search among all rows."""
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tablesight.operators import neighbors as N
 
@@ -34,9 +35,62 @@ def test_knn_classify_and_size_check(spark, vectors):
         N.knn(df.withColumnRenamed("id", "query_id"), df, 3, max_queries=10)
 
 
-def test_knn_approx_pairs(spark, vectors):
-    _, df = vectors
-    out = N.knn_approx(df, 2, bucket_length=4.0).collect()
-    assert out and all(r["query_id"] != r["id"] and r["rank"] <= 2 for r in out)
-    same_cluster = sum((r["query_id"] >= 30) == (r["id"] >= 30) for r in out)
-    assert same_cluster == len(out)
+def brute(x, k, self_too=False):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    if not self_too:
+        np.fill_diagonal(d, np.inf)
+    return np.argsort(d, axis=1, kind="stable")[:, :k]
+
+
+def recall(rows, want):
+    got = {}
+    for r in rows:
+        got.setdefault(r["query_id"], set()).add(r["id"])
+    return np.mean([len(got.get(i, set()) & set(w)) / len(w) for i, w in enumerate(want)])
+
+
+def test_knn_approx_on_clustered_vectors(spark):
+    """Many small clusters: few pairs are compared, nearly all neighbours found."""
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(120, 12)) * 5)[:, None, :] + rng.normal(size=(120, 10, 12)) * .3
+    x = x.reshape(-1, 12)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    hashing, share = N.fit_hashing(x, 5)
+    assert hashing.projections and share < 0.25
+    assert recall(N.knn_approx(df, 5).collect(), brute(x, 5)) >= 0.9
+
+
+def test_knn_approx_on_the_embeddings(spark):
+    """Vectors about as far from all others: recall stays, all pairs if need be."""
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    exact = N.knn(e.withColumnRenamed("id", "query_id"), e, 5, exclude_self=True).collect()
+    want = {}
+    for r in exact:
+        want.setdefault(r["query_id"], set()).add(r["id"])
+    found = 0
+    for r in N.knn_approx(e, 5).collect():
+        found += r["id"] in want[r["query_id"]]
+    assert found >= 0.9 * len(exact)
+
+
+def test_blocks_ties_and_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_BYTES", 0)
+    x = np.repeat(np.arange(300.0)[:, None] // 3, 2, axis=1)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["id"], r["distance"]) for r in N.knn_join(df, df, 4, "id", "id", hashing=N.Hashing(0, 1.0)).collect())
+    want = brute(x, 4, self_too=True)
+    assert [g[2] for g in got] == want.ravel().tolist() and len(got) == 1200
+    assert N.knn_join(df.limit(0), df, 2, "id", "id").collect() == [] and N.knn_join(df, df.limit(0), 2, "id", "id").collect() == []
+
+
+def test_knn_as_a_model(spark):
+    from tablesight.operators import ml as ML
+    rng = np.random.default_rng(1)
+    rows = [(i, float(rng.normal(3 * (i % 3), .3)), "ab"[i % 3 == 1], f"c{i % 3}") for i in range(400)] + [(900, None, None, "c0")]
+    df = spark.createDataFrame(rows, "id long, x double, c string, y string")
+    _, pred = ML.train(df, "K-Nearest Neighbors", "y", split_key="id")
+    m = {r["metric"]: r["value"] for r in ML.evaluate(pred, "classification").collect()}
+    assert m["accuracy"] > 0.95 and pred.count() == 401
+    _, pred = ML.train(df.selectExpr("id", "c", "x as y", "y as k"), "K-Nearest Neighbors", "y", split_key="id", kind="regression")
+    assert {r["metric"]: r["value"] for r in ML.evaluate(pred, "regression").collect()}["r2"] > 0.9
