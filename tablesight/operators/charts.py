@@ -111,10 +111,20 @@ def pair_grid(df: DataFrame, k: int | None = None, bins: int = 10, cols: Sequenc
     return counts.join(F.broadcast(names), "p").select("x", "y", "bin_x", "bin_y", "n")
 
 
-def scatter_sample(df: DataFrame, k: int | None = None, fraction: float = 0.01, seed: int = 42,
-                   cols: Sequence[str] | None = None) -> DataFrame:
-    """Points for the pair plot's scatter cells: a Bernoulli sample (the
-    feature: a sampling operator) of the rows complete in the first ``k``
-    numeric columns."""
+def scatter_sample(df: DataFrame, k: int | None = None, n: int = 1000, seed: int = 42,
+                   cols: Sequence[str] | None = None, keys: Sequence[str] | None = None) -> DataFrame:
+    """At most ``n`` points for the pair plot's scatter cells (the feature: a
+    sampling operator) of the rows complete in the first ``k`` numeric columns:
+    the ``n`` rows with the smallest seeded hash of ``keys`` (default: the
+    columns themselves), ties by the columns' values.
+
+    The same rows whatever the partitioning; each task keeps n rows
+    (TakeOrderedAndProject). Equal keys have equal hashes, so keys should tell
+    rows apart.
+    """
     cols = list(cols) if cols is not None else numeric_columns(df)[:k]
-    return df.select(*[col(c) for c in cols]).na.drop("any").sample(fraction=fraction, seed=seed)
+    # The names of the columns may be the same as a helper's: helpers are numbered.
+    by = [F.coalesce(col(c).cast("string"), F.lit("")) for c in (keys or cols)]
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), *by))
+    rows = df.na.drop("any", subset=cols).select(F.struct(*[col(c) for c in cols]).alias("point"), draw.alias("draw"))
+    return rows.orderBy("draw", "point").limit(n).select("point.*")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
-    categorical_columns, classify, col, datetime_columns, epoch_micros, is_missing, numeric_columns,
+    as_text, categorical_columns, classify, col, datetime_columns, epoch_micros, is_missing, numeric_columns,
     sql_clean_numeric,
 )
 from ..functions.stats import SKEWNESS_SQL, corr_sql
@@ -63,7 +63,10 @@ def health_leakage(df: DataFrame, target: str, corr: float = DEFAULTS["leak_corr
     """``(column, measure, value)``: features that nearly determine the target.
 
     Numeric target with more than ``class_max_distinct`` values (a
-    regression target): |Pearson corr| >= ``corr`` with each numeric feature.
+    regression target): |Pearson corr| >= ``corr`` with each numeric feature,
+    and for each other feature the correlation ratio, the root of the share of
+    the target's variance that lies between the feature's values, adjusted for
+    their number: 1 - (1 - share) * (n - 1) / (n - values). Missing is a value.
     Class targets: for each feature, the share of rows whose feature value
     maps to its majority target value; identifiers (distinct/rows >=
     ``id_ratio``) are excluded since they trivially map to one target.
@@ -77,12 +80,15 @@ def health_leakage(df: DataFrame, target: str, corr: float = DEFAULTS["leak_corr
         regression = seen.count() > class_max_distinct
     if regression:
         num = [c for c in feats if c in numeric_columns(df)]
+        ratios = correlation_ratios(df, target, [c for c in feats if c not in num]).filter(F.col("value") >= corr).select(
+            "column", F.lit("correlation_ratio").alias("measure"), "value")
+        if not num:
+            return ratios
         t = sql_clean_numeric(target, types[target])
         st = per_column(df, num, lambda c: f"named_struct('x', {sql_clean_numeric(c, types[c])}, 'y', {t})",
                         {"value": corr_sql("{v}.x", "{v}.y")})
-        return st.filter(F.abs("value") >= corr).select("column", F.lit("abs_corr").alias("measure"),
-                                                        F.abs("value").alias("value"))
-    from ..functions.columns import as_text
+        return st.filter(F.abs("value") >= corr).select(
+            "column", F.lit("abs_corr").alias("measure"), F.abs("value").alias("value")).unionByName(ratios)
     cells = F.array(*[F.struct(F.lit(c).alias("column"),
                                F.when(~is_missing(c, types[c]), as_text(c, types[c])).alias("v")) for c in feats])
     long = df.select(as_text(target, types[target]).alias("_t"), F.inline(cells))
@@ -96,6 +102,29 @@ def health_leakage(df: DataFrame, target: str, corr: float = DEFAULTS["leak_corr
                .select("column", F.lit("majority_share").alias("measure"), "value"))
 
 
+def correlation_ratios(df: DataFrame, target: str, cols: list[str]) -> DataFrame:
+    """``(column, value)``: the adjusted correlation ratio of a numeric target
+    with each column's values, null without variance or with a value per row.
+
+    One grouped pass: per hash of a value the count, sum and sum of squares of
+    the target's differences from its mean (so that large values lose no
+    digits); no text is shuffled and a hot value is one partial row a task."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, value double")
+    cells = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.xxhash64(F.when(~is_missing(c, types[c]), as_text(c, types[c]))).alias("h1"),
+                               F.xxhash64(F.lit("second"), as_text(c, types[c]), is_missing(c, types[c])).alias("h2")) for i, c in enumerate(cols)])
+    rows = df.select(F.expr(sql_clean_numeric(target, types[target])).alias("t"), cells.alias("cells")).filter("abs(t) < double('inf')")
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.avg("t").alias("mean"))))
+    long = rows.select((F.col("t") - F.col("mean")).alias("d"), F.inline("cells"))
+    groups = long.groupBy("ordinal", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("s"), F.sum(F.col("d") ** 2).alias("ss"))
+    a = groups.groupBy("ordinal").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("s") ** 2 / F.col("n")).alias("between"),
+                                      F.sum("ss").alias("total"))
+    share = 1 - (1 - F.try_divide("between", "total")) * F.try_divide(F.col("n") - 1, F.col("n") - F.col("k"))
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "ordinal int, column string")
+    return a.join(F.broadcast(names), "ordinal").select("column", F.when(share.isNotNull(), F.sqrt(F.greatest(share, F.lit(0.0)))).alias("value"))
+
+
 def health_report(df: DataFrame, target: str | None = None) -> DataFrame:
     """``(check, column, value, severity)``: union of all checks."""
     parts = [

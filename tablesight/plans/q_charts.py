@@ -89,3 +89,12 @@ select x, y, bin_x, bin_y, count(*) as n from ({O.union_all(parts)}) group by al
 @register("pair_grid", pair_sql("lineitem", 5, 10))
 def pair_grid(spark, sf):
     return G.pair_grid(T(spark, sf, "lineitem"), k=5, bins=10)
+
+
+@register("scatter_points", """
+select round(l_quantity, 4) as l_quantity, round(l_extendedprice, 4) as l_extendedprice from lineitem
+where l_quantity is not null and l_extendedprice is not null
+order by md5('42|' || l_orderkey || '|' || l_linenumber) limit 500""")
+def scatter_points(spark, sf):
+    """500 rows of lineitem, the same under any partitioning."""
+    return G.scatter_sample(T(spark, sf, "lineitem"), n=500, cols=["l_quantity", "l_extendedprice"], keys=["l_orderkey", "l_linenumber"])

@@ -42,6 +42,20 @@ def health_leakage(spark, sf):
     return H.health_leakage(T(spark, sf, "leaky"), "o_totalprice")
 
 
+_PRICED = "select l_extendedprice as y, 'q' || cast(cast(l_quantity as int) as {text}) as code, l_returnflag as flag from {lineitem}"
+
+
+@register("health_leakage_category", "with d as (" + _PRICED.format(text="varchar", lineitem="lineitem") + """),
+m as (select avg(y) as mean, count(*) as n, sum((y - (select avg(y) from d)) ** 2) as total from d),
+g as (select 'code' as "column", count(*) as n, avg(y) as a from d group by code union all select 'flag', count(*), avg(y) from d group by flag),
+b as (select "column", count(*) as k, sum(n * (a - (select mean from m)) ** 2) as between_ from g group by 1)
+select "column", 'correlation_ratio' as measure, round(sqrt(greatest(1 - (1 - between_ / total) * (n - 1) / (n - k), 0)), 4) as value from b, m""")
+def health_leakage_category(spark, sf):
+    """How far categories determine a numeric target (no threshold)."""
+    df = spark.sql(_PRICED.replace("{text}", "string"), lineitem=T(spark, sf, "lineitem"))
+    return H.health_leakage(df, "y", corr=0.0)
+
+
 def _shares_sql(t: str, target: str, share: float) -> str:
     feats = [(c, ty) for c, ty in O.SCHEMAS[t] if c != target]
     parts = []

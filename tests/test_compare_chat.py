@@ -140,8 +140,31 @@ def test_model_messages_with_profile(spark):
 def test_scatter_sample_complete_rows(spark):
     from tablesight.operators import charts as G
     df = spark.createDataFrame([(float(i), None if i % 2 else 1.0) for i in range(200)], "a double, b double")
-    s = G.scatter_sample(df, fraction=0.5, seed=1).collect()
-    assert 0 < len(s) <= 100 and all(r["b"] is not None for r in s)
+    s = G.scatter_sample(df, n=50, seed=1).collect()
+    assert len(s) == 50 and all(r["b"] is not None for r in s)
+    again = G.scatter_sample(df.repartition(13, "a"), n=50, seed=1).collect()
+    assert sorted(s) == sorted(again) and sorted(s) != sorted(G.scatter_sample(df, n=50, seed=2).collect())
+    assert len(G.scatter_sample(df, n=500).collect()) == 100 and G.scatter_sample(df.limit(0)).collect() == []
+
+
+def test_correlation_ratio(spark):
+    """A category that fixes a numeric target is found, one of a value per row isn't."""
+    import math
+    from tablesight.operators import health as H
+    rows = [(1e9 + 10.0 * (i % 40), f"c{i % 40}", "ab"[i % 2], f"id{i}", None if i % 40 < 20 else "x") for i in range(400)]
+    df = spark.createDataFrame(rows, "y double, code string, two string, id string, gap string")
+    got = {r["column"]: r["value"] for r in H.correlation_ratios(df, "y", ["code", "two", "id", "gap"]).collect()}
+    y = [r[0] for r in rows]
+    mean, total = sum(y) / 400, sum((v - sum(y) / 400) ** 2 for v in y)
+    def plain(i):
+        groups = {}
+        for r in rows:
+            groups.setdefault(r[i], []).append(r[0])
+        share = sum(len(g) * (sum(g) / len(g) - mean) ** 2 for g in groups.values()) / total
+        return math.sqrt(max(0, 1 - (1 - share) * 399 / (400 - len(groups))))
+    assert abs(got["code"] - 1) < 1e-9 and abs(got["two"] - plain(2)) < 1e-6 and abs(got["gap"] - plain(4)) < 1e-6 and got["id"] is None
+    assert [(r["column"], r["measure"]) for r in H.health_leakage(df, "y").collect()] == [("code", "correlation_ratio")]
+    assert H.correlation_ratios(df, "y", []).collect() == []
 
 
 def test_candidate_expressions_run(spark):
