@@ -96,23 +96,19 @@ def _join_lines(quote: str):
     return run
 
 
-def csv_records(spark: SparkSession, path: str, quote: str = '"', headers: bool = False) -> DataFrame:
+def csv_records(spark: SparkSession, path: str, quote: str = '"') -> DataFrame:
     """``(file, block, line, begins, text)``: the records of the CSV files at
     ``path``, quoted newlines kept; (file, block, line) orders the records of a
-    file, ``begins`` marks its first. ``headers`` gives those only, and sends no
-    more than first blocks through Python.
+    file, ``begins`` marks its first. They are written once to the shared folder,
+    as finding the header, the types and the rows read them again.
 
     Quotes inside a field must be doubled and fields that hold quotes quoted,
-    else records are joined wrongly. Lines end in \\n or \\r\\n; a header must
-    be shorter than a block. Empty lines
+    else records are joined wrongly. Lines end in \\n or \\r\\n. Empty lines
     between records are left out. A file that ends inside a field raises.
     """
     lines = _lines(spark, path)
-    if headers:
-        # Headers longer than a block are not supported: their rest would be missing.
-        lines = lines.filter("block = 0")
     states = materialize(_states(lines, quote), "csv-blocks")
-    bad = None if headers else states.filter("open_end").select("path").first()
+    bad = states.filter("open_end").select("path").first()
     if bad:
         raise ValueError(f"{bad[0]} ends inside a quoted field")
     states = states.select("file", "block", "inside")
@@ -121,7 +117,7 @@ def csv_records(spark: SparkSession, path: str, quote: str = '"', headers: bool
     else:
         known = lines.join(states, ["file", "block"]).sortWithinPartitions("file", "block", "line")
     known = known.select("file", "block", "line", "text", "inside")
-    joined = known.mapInArrow(_join_lines(quote), RECORD)
+    joined = materialize(known.mapInArrow(_join_lines(quote), RECORD), "csv-records")
     records = joined.filter("kind = 'whole'").drop("kind")
     # Two rows a block at most: a tail begins a record, heads continue it.
     pieces = joined.filter("kind <> 'whole'")
@@ -132,14 +128,15 @@ def csv_records(spark: SparkSession, path: str, quote: str = '"', headers: bool
         "file", F.col("parts")[0]["block"].alias("block"), F.col("parts")[0]["line"].alias("line"), F.col("parts")[0]["begins"].alias("begins"),
         F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("text"))
     records = records.unionByName(mended).withColumn("text", F.regexp_replace("text", "\r$", ""))
-    return records.filter("begins") if headers else records
+    return records
 
 
 def read_csv_split(spark: SparkSession, path: str, sep: str = ",", quote: str = '"') -> tuple[list[str], DataFrame]:
     """Header names, and rows of text columns ``c0``, ``c1``... with one more
     column for what a row has beyond the header. Every file begins with a
     header, all with the same one, else reading raises."""
-    first = csv_records(spark, path, quote, headers=True).select("text").distinct().limit(2).collect()
+    records = csv_records(spark, path, quote)
+    first = records.filter("begins").select("text").distinct().limit(2).collect()
     if not first:
         return [], spark.createDataFrame([], "c0 string")
     if len(first) > 1:
@@ -147,5 +144,4 @@ def read_csv_split(spark: SparkSession, path: str, sep: str = ",", quote: str =
     names = next(csv.reader(io.StringIO(first[0][0]), delimiter=sep, quotechar=quote))
     schema = ", ".join(f"c{i} string" for i in range(len(names) + 1))
     form = {"sep": sep, "quote": quote, "escape": quote, "multiLine": "true"}
-    rows = csv_records(spark, path, quote).filter("NOT begins")
-    return names, rows.select(F.from_csv("text", schema, form).alias("r")).select("r.*")
+    return names, records.filter("NOT begins").select(F.from_csv("text", schema, form).alias("r")).select("r.*")
