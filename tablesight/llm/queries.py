@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embeddings, extraction, minhash, mixing, packing, periodic, quality, sharding, spelling, suffix, tokens, toxicity, urlfilter
-from .shared import WORD_PATTERN
+from .shared import WORD_PATTERN, Scratch
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
@@ -44,7 +44,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.place(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), SHARDS)
+    """Whole documents are written to their shards; the rows are read back
+    from the files."""
+    path = Scratch(spark, "shards").root
+    written = sharding.write_shards(table(spark, sf_dir, "documents"), path, SHARDS)
+    return written.select("doc_id", "slot", "shard", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
 
 
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """URL filters, source mixing and shard placement against plain Python."""
 
+import functools
 import hashlib
 import random
 import re
@@ -7,6 +8,7 @@ from collections import Counter
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablesight.llm import mixing, sharding, urlfilter
 
@@ -49,6 +51,29 @@ def test_rule_needs_a_token(spark):
         urlfilter.rule_table(spark, [("allow", "/x")], [])
 
 
+@pytest.mark.parametrize("most", [urlfilter.MAX_BROADCAST_RULES, 100])
+def test_rules_from_a_table(spark, monkeypatch, most):
+    """10,000 site rules and 300 patterns, broadcast or shuffled, against a plain search."""
+    monkeypatch.setattr(urlfilter.few, "__defaults__", (most,))
+    sites = spark.range(10_000).selectExpr("if(id % 3 = 0, 'block', 'allow') as verdict",
+                                           "concat('H', id % 700, '.net/p', id % 9, '/', if(id % 2 = 0, '', concat('x', id % 50))) as rule").distinct()
+    sites = sites.union(spark.createDataFrame([("block", r"h1.net/a\\E.b/"), ("allow", None)], sites.schema))
+    patterns = spark.range(300).selectExpr("concat('^([^/]*[.-])?bad', id, '([.-][^/]*)?(/|$)') as pattern", "array(concat('bad', id)) as tokens")
+    rnd = random.Random(4)
+    urls = [f"http://{rnd.choice(['', 'www.', 'bad7-', 'BAD299.'])}h{rnd.randint(0, 720)}.net/p{rnd.randint(0, 9)}/{rnd.choice(['', 'x1', 'x31/y', 'X3'])}" for _ in range(600)]
+    urls += [r"http://h1.net/a\\E.b/c", "http://h1.net/aE.b/c", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [(r.verdict, r.rule) for r in sites.collect() if r.rule]
+    for r in urlfilter.judge(df, sites, patterns).collect():
+        fits = [(-len(u), u, v) for v, u in rules for h, s, p in [u.partition("/")]
+                if (r.host == h.lower() or r.host.endswith("." + h.lower())) and r.path.startswith(s + p)]
+        bad = re.search(r"(^|[.-])bad([12]?[0-9]?[0-9])([.-]|$)", r.host)
+        assert (r.rule, r.verdict) == ((min(fits)[1:]) if fits else (None, "block" if bad else "allow")), r
+    with pytest.raises(Exception, match="literal token"):
+        urlfilter.judge(df, sites.limit(0), patterns.withColumn("tokens", F.expr("filter(tokens, t -> false)"))).collect()
+    assert {r.verdict for r in urlfilter.judge(df, [], []).collect()} == {"allow"}
+
+
 def targets(sizes):
     """Shares in exact fractions: cap and share again until none is above."""
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
@@ -97,6 +122,16 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0)).collect() == [] and mixing.mixed_documents(df.limit(0)).collect() == []
 
 
+def test_mix_of_null_ids(spark):
+    """Rows of null ids draw by their texts: their source comes near its target."""
+    rows = [(None if i % 5 else i, f"w{i} " + "w " * (i % 9), "abc"[i % 3]) for i in range(6000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for source in "bc":  # the extra copies of a are certain
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.06 * mine[0].target
+        assert len({r.copies for r in mine if r.doc_id is None}) == 2
+
+
 def test_sharding(spark):
     shards = [f"s{i}" for i in range(20)]
     table = sharding.lookup_table(shards)
@@ -136,9 +171,42 @@ def test_sharding(spark):
         sharding.lookup_table(["a"], 1000)
 
 
+@functools.cache
+def lookup(shards):
+    return sharding.lookup_table(list(shards))
+
+
+def shard_of(key, shards):
+    slot = int(hashlib.md5((f"key:{key}" if key is not None else "null:").encode()).hexdigest()[:15], 16) % sharding.TABLE_SIZE
+    return slot, shards[lookup(tuple(shards))[slot]]
+
+
 def test_write_shards(spark, tmpdir_path):
-    df = spark.range(300).withColumnRenamed("id", "doc_id")
-    sharding.write_shards(df, f"{tmpdir_path}/out", ["a", "b", "c"])
-    back = spark.read.parquet(f"{tmpdir_path}/out")
-    want = {(r.doc_id, r.shard) for r in sharding.place(df, ["a", "b", "c"]).collect()}
-    assert {(r.doc_id, r.shard) for r in back.collect()} == want
+    shards = ["7", "08", "c"]  # digits stay text
+    rows = [(i, "text %d" % i, "mine") for i in range(300)] + [(None, None, "x"), (5, "", "x")] + [(9, "hot", "x")] * 400
+    df = spark.createDataFrame(rows, "doc_id long, text string, Slot string").repartition(6)
+    back = sharding.write_shards(df, f"{tmpdir_path}/out", shards, slot_col="place")
+    assert back.columns == ["doc_id", "text", "Slot", "place", "shard"]
+    assert Counter(map(tuple, back.collect())) == Counter((*r, *shard_of(r[0], shards)) for r in rows)
+    replaced = sharding.place(df, shards)
+    assert replaced.columns == ["doc_id", "text", "slot", "shard"]
+    assert Counter(map(tuple, replaced.collect())) == Counter((*r[:2], *shard_of(r[0], shards)) for r in rows)
+    assert sharding.write_shards(df.limit(0), f"{tmpdir_path}/none", shards).collect() == []
+
+
+def test_hot_shard_is_split(spark, tmpdir_path):
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        df = spark.range(4000, numPartitions=8).selectExpr("7L as doc_id", "sha2(string(id), 512) as text")
+        back = sharding.write_shards(df, f"{tmpdir_path}/hot", ["a", "b"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    assert back.count() == 4000 and len(back.inputFiles()) > 3
+
+
+def test_sharding_query(spark):
+    from tablesight.llm.queries import SHARDS, op5_sharding
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    got = op5_sharding(spark, "/root/testdata/sf0.001").collect()
+    assert Counter(map(tuple, got)) == Counter((d.doc_id, *shard_of(d.doc_id, SHARDS), len((d.text or "").encode())) for d in docs)
