@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import column_bytes
-from .tokens import cached_encoding
+from .shared import byte_slices, column_bytes
+from .tokens import cached_encoding, valid_text
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 32_768
@@ -89,7 +89,8 @@ def pack_documents(docs: DataFrame, spec: bytes, tiers=TIERS, id_col: str = "doc
     sequence_id, offset, sequence_tokens, step_group.
 
     A document's ids are those of its text (null: empty) and END_ID at last,
-    so an empty text has one id. Pieces of a sequence stand without gaps from
+    so an empty text has one id. Bytes that aren't UTF-8 are replaced by
+    U+FFFD first. Pieces of a sequence stand without gaps from
     offset 0. Sequence and step numbers hold the task's number in their upper
     bits, so they are unique without a count over all data. Repeated rows are
     packed each; a null doc_id stays null. Other columns are ignored.
@@ -128,7 +129,7 @@ def pack_documents(docs: DataFrame, spec: bytes, tiers=TIERS, id_col: str = "doc
             return rows(windows, documents), [
                 (documents[d][0], documents[d][1], documents[d][2] + at, documents[d][3][at:at + n].copy()) for d, at, n in left]
 
-        for batch in batches:
+        for batch in byte_slices(batches, 1, rows=10_000):
             documents, held = rest, 0
             for doc_id, text in zip(batch.column(0).to_pylist(), column_bytes(batch.column(1)), strict=True):
                 ids = np.append(encoding.encode_to_numpy(text.decode(), allowed_special="all"), END_ID).astype("<u4")
@@ -142,4 +143,4 @@ def pack_documents(docs: DataFrame, spec: bytes, tiers=TIERS, id_col: str = "doc
             yield made
         yield rows(tail_windows([(d, 0, len(x[3])) for d, x in enumerate(rest)]), rest)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(f"`{id_col}`").cast("long"), valid_text(docs, text_col)).mapInArrow(run, SCHEMA)

@@ -69,8 +69,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = tokens.count_prefixes(table(spark, sf_dir, "documents"), tokenizer(), store=False)
-    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+    """Prefix counts are stored; the tokens of the whole text, the limit and
+    the longest prefix within it are read from the store."""
+    stored = tokens.store_prefixes(table(spark, sf_dir, "documents"), tokenizer(), Scratch(spark, "prefixes").root)
+    asked = tokens.bytes_within_budget(tokens.tokens_in_prefix(stored.drop("n_tokens"), F.col("n_bytes")), TOKEN_LIMIT)
+    return asked.select("doc_id", "n_bytes", F.col("prefix_tokens").alias("n_tokens"),
+                        (F.col("prefix_tokens") > TOKEN_LIMIT).alias("over_limit"), "budget_bytes")
 
 
 def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

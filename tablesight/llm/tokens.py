@@ -10,8 +10,10 @@ them. Texts split into units (white space with the word that follows), whose
 counts don't depend on the rest of the text, so a unit is solved once per
 worker and looked up after that.
 
-The result is one signed byte per byte of text: how much the count changes.
-Its running sum at a character boundary is the token count of that prefix.
+The result is one signed byte per byte of text: how much the count changes,
+all of a character's change at its first byte. Its running sum at a character
+boundary is the token count of that prefix, and inside a character that of the
+prefix with the whole character.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import column_bytes, worker_cache
+from .shared import byte_slices, column_bytes, worker_cache
 
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: The splitting pattern of the ByteLevel pre-tokenizer, with possessive
@@ -154,9 +156,9 @@ class PrefixCounter:
                         after[1] = 2
                 counts += [head + c for c in after]
         if len(raw) > len(unit):
-            for i in range(1, len(raw)):
+            for i in range(len(raw) - 1, 0, -1):
                 if raw[i] & 0xC0 == 0x80:  # not at a character boundary
-                    counts[i] = counts[i - 1]
+                    counts[i] = counts[i + 1]
         return bytes([(b - a) & 255 for a, b in zip(counts, counts[1:])])
 
     def _plain(self, texts: list[str]) -> list[bytes]:
@@ -197,21 +199,27 @@ class PrefixCounter:
         return b"".join([*out, *self._plain([text[at:]])])
 
 
+def valid_text(df: DataFrame, text_col: str):
+    """The text, with bytes that aren't UTF-8 replaced as Spark replaces them."""
+    return F.make_valid_utf8(F.col(f"`{text_col}`").cast("string"))
+
+
 def count_prefixes(df: DataFrame, spec: bytes, id_col: str = "doc_id", text_col: str = "text", store: bool = True) -> DataFrame:
     """One row per row of ``df``: doc_id, n_bytes, n_tokens and, with
     ``store``, prefix_delta (binary): the running sum of its signed bytes is
     the exact token count of every prefix that ends between characters.
 
-    A null text counts as empty: no bytes, no tokens. Strings of special
+    A null text counts as empty: no bytes, no tokens. Bytes that aren't UTF-8
+    are replaced by U+FFFD first and counted as such. Strings of special
     tokens inside texts count as one token, as the library does by default.
     Repeated rows get equal results; other columns are ignored. There is no
-    shuffle; a text is the unit of work.
+    shuffle; a text is the unit of work, and batches are cut by bytes.
     """
     shared = df.sparkSession.sparkContext.broadcast(spec)
 
     def count(batches):
         counter = PrefixCounter(shared.value)
-        for batch in batches:
+        for batch in byte_slices(batches, 1, rows=10_000):
             texts = column_bytes(batch.column(1))
             deltas, n = [], []
             for d in counter.deltas([t.decode() for t in texts]):
@@ -224,31 +232,44 @@ def count_prefixes(df: DataFrame, spec: bytes, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "prefix_delta"][:len(columns)])
 
     schema = "doc_id long, n_bytes long, n_tokens long" + (", prefix_delta binary" if store else "")
-    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(count, schema)
+    return df.select(F.col(f"`{id_col}`").cast("long"), valid_text(df, text_col)).mapInArrow(count, schema)
+
 
+def store_prefixes(df: DataFrame, spec: bytes, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write the table of ``count_prefixes`` as Parquet to ``path`` and return
+    it from there: later questions about prefixes read the stored counts and
+    never encode again."""
+    counted = count_prefixes(df, spec, id_col, text_col)
+    counted.write.parquet(path)
+    return df.sparkSession.read.schema(counted.schema).parquet(path)
 
-def tokens_in_prefix(counted: DataFrame, n_bytes) -> DataFrame:
-    """Adds prefix_tokens: tokens of the first ``n_bytes`` bytes (a column or
-    number; positions between characters), read from the stored counts."""
+
+def _from_store(counted: DataFrame, name: str, answer, value) -> DataFrame:
+    """``counted`` and the column ``name``: answer(signed bytes, value)."""
     def look_up(batches):
-        for batch in batches:
-            got = [_total(d[:n]) for d, n in zip(batch.column("prefix_delta").to_pylist(), batch.column("_at").to_pylist(), strict=True)]
-            yield batch.drop_columns(["_at"]).append_column("prefix_tokens", pa.array(got, pa.int64()))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counted.schema) + ", prefix_tokens long"
-    return counted.withColumn("_at", n_bytes if not isinstance(n_bytes, int) else F.lit(n_bytes)).mapInArrow(look_up, schema)
+        for batch in byte_slices(batches, lambda b: b.column("prefix_delta"), rows=10_000):
+            got = [answer(np.frombuffer(d, np.int8), x) for d, x in
+                   zip(batch.column("prefix_delta").to_pylist(), batch.column("_value").to_pylist(), strict=True)]
+            yield batch.drop_columns(["_value"]).append_column(name, pa.array(got, pa.int64()))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counted.schema) + f", {name} long"
+    return counted.withColumn("_value", value if isinstance(value, Column) else F.lit(value).cast("long")).mapInArrow(look_up, schema)
+
 
+def tokens_in_prefix(counted: DataFrame, n_bytes: Column | int) -> DataFrame:
+    """Adds prefix_tokens: tokens of the first ``n_bytes`` bytes, read from the
+    stored counts; inside a character the whole of it counts, and beyond the
+    text the whole text. No bytes or a null: no tokens."""
+    return _from_store(counted, "prefix_tokens", lambda d, n: int(d[:max(n or 0, 0)].sum(dtype=np.int64)), n_bytes)
 
-def bytes_within_budget(counted: DataFrame, budget: int) -> DataFrame:
+
+def _longest_within(deltas: np.ndarray, budget: int | None) -> int:
+    # Counts can fall where tokens merge, so the last prefix that fits counts, not the first that doesn't.
+    fits = np.flatnonzero(np.cumsum(deltas, dtype=np.int64) <= max(budget or 0, 0))
+    return int(fits[-1]) + 1 if len(fits) else 0
+
+
+def bytes_within_budget(counted: DataFrame, budget: Column | int) -> DataFrame:
     """Adds budget_bytes: length of the longest prefix with at most ``budget``
-    tokens, read from the stored counts. Prefixes end between characters,
-    where the count is that of the prefix; inside a character it stays that of
-    the boundary before, so a cut there is moved back by the caller's text."""
-    def look_up(batches):
-        for batch in batches:
-            got = []
-            for d in batch.column("prefix_delta").to_pylist():
-                fits = np.flatnonzero(np.concatenate([[0], np.cumsum(np.frombuffer(d, np.int8), dtype=np.int64)]) <= budget)
-                got.append(int(fits[-1]))
-            yield batch.append_column("budget_bytes", pa.array(got, pa.int64()))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counted.schema) + ", budget_bytes long"
-    return counted.mapInArrow(look_up, schema)
+    tokens, read from the stored counts. It ends between characters. A budget
+    of none, null or less: no bytes."""
+    return _from_store(counted, "budget_bytes", _longest_within, budget)

@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tablesight.llm import packing, tokens
@@ -40,6 +41,8 @@ def test_every_prefix(library, spec):
         assert len(counts) == len(text.encode()) + 1
         for i in range(len(text) + 1):
             assert counts[len(text[:i].encode())] == len(library.encode(text[:i], add_special_tokens=False).ids), text[:i]
+            if i:  # inside a character, all of it counts
+                assert len(set(counts[len(text[:i - 1].encode()) + 1:len(text[:i].encode()) + 1])) == 1
 
 
 def test_ids_equal_the_library(library, spec):
@@ -67,15 +70,57 @@ def test_counted_table(spark, library, spec):
         assert by_id[i].n_bytes == len((t or "").encode())
         assert by_id[i].n_tokens == len(library.encode(t or "", add_special_tokens=False).ids)
     counted = tokens.count_prefixes(df, spec)
-    for r in tokens.tokens_in_prefix(counted, 3).filter("n_bytes >= 3").collect():
-        t = dict((x[0], x[1]) for x in rows)[r.doc_id].encode()
-        if (t[3:4] or b"a")[0] & 0xC0 != 0x80:
-            assert r.prefix_tokens == len(library.encode(t[:3].decode(), add_special_tokens=False).ids)
-    for r in tokens.bytes_within_budget(counted, 5).collect():
-        assert 0 <= r.budget_bytes <= r.n_bytes and (r.n_tokens > 5 or r.budget_bytes == r.n_bytes)
+    text_of = {x[0]: x[1] or "" for x in rows}
+    for r in tokens.tokens_in_prefix(counted, 3).collect():
+        t = text_of[r.doc_id].encode()
+        end = 3
+        while t[end:end + 1] and t[end] & 0xC0 == 0x80:
+            end += 1
+        assert r.prefix_tokens == len(library.encode(t[:end].decode(), add_special_tokens=False).ids)
+    for r in tokens.bytes_within_budget(counted.filter("n_bytes < 1000"), 5).collect():
+        fits = [len(text_of[r.doc_id][:i].encode()) for i in range(len(text_of[r.doc_id]) + 1)
+                if len(library.encode(text_of[r.doc_id][:i], add_special_tokens=False).ids) <= 5]
+        assert r.budget_bytes == max(fits)
+    assert all(r.budget_bytes == 0 for r in tokens.bytes_within_budget(counted, 0).collect())
     assert tokens.count_prefixes(df.limit(0), spec).collect() == []
 
 
+def test_stored_counts(spark, library, spec, tmpdir_path):
+    """Answers come from the files: the same after they are read again, for
+    budgets of each row's own."""
+    df = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(samples(60))], SCHEMA)
+    stored = tokens.store_prefixes(df, spec, f"{tmpdir_path}/counts")
+    assert stored.inputFiles()
+    budget = F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 7)
+    texts = {r.doc_id: r.text for r in df.collect()}
+    for r in tokens.bytes_within_budget(tokens.tokens_in_prefix(stored, F.col("n_bytes")), budget).collect():
+        t, most = texts[r.doc_id], r.doc_id % 7 if r.doc_id % 3 else 0
+        assert r.prefix_tokens == r.n_tokens == len(library.encode(t, add_special_tokens=False).ids)
+        assert r.budget_bytes == max(len(t[:i].encode()) for i in range(len(t) + 1) if len(library.encode(t[:i], add_special_tokens=False).ids) <= most)
+
+
+def test_token_query(spark, library):
+    from tablesight.llm.queries import op10_token_counts
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = op10_token_counts(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(texts)
+    for r in got:
+        t = texts[r.doc_id]
+        n = len(library.encode(t, add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n, n > 1024)
+        cut = t.encode()[:r.budget_bytes].decode()
+        assert len(library.encode(cut, add_special_tokens=False).ids) <= 1024 and (n > 1024 or cut == t)
+
+
+def test_not_utf8(spark, library, spec):
+    """Bytes that aren't UTF-8 are replaced as by Spark's make_valid_utf8."""
+    df = spark.sql("select * from values (1L, cast(X'61FF62' as string)), (2L, cast(X'C3' as string)), (3L, 'é') as t(doc_id, text)")
+    want = {1: "a\ufffdb", 2: "\ufffd", 3: "é"}
+    for r in tokens.count_prefixes(df, spec).collect():
+        assert (r.n_bytes, r.n_tokens) == (len(want[r.doc_id].encode()), len(library.encode(want[r.doc_id], add_special_tokens=False).ids))
+    check_packing(list(want.items()), packing.pack_documents(df, spec).collect(), library)
+
+
 def check_packing(rows, pieces, library):
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for p in pieces:
