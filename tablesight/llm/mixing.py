@@ -56,8 +56,9 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     copies and taken (size * copies); a row per document, copies may be 0.
 
     size counts the words of the text (null: 0). A null source is a source of
-    its own and comes last. A source of size zero has rate 0. Repeated rows
-    take the same decision. Extra columns stay, but for those whose names the
+    its own and comes last. A source of size zero has rate 0. The extra copy is
+    drawn by doc_id, for a null doc_id by the text instead, so that a source
+    of null ids comes near its target too. Repeated rows take the same decision. Extra columns stay, but for those whose names the
     results carry, which are replaced.
 
     The sums per source are combined in each task before the shuffle, so a hot
@@ -73,7 +74,8 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     t = targets(sums, WEIGHTS).select(F.col("source").alias("source_"), "source_size", "target")
     out = sized.join(t, F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + F.when(draw("doc_id", seed=seed) < rate - F.floor(rate), 1).otherwise(0)
+    chance = F.when(F.col("doc_id").isNotNull(), draw("doc_id", seed=seed)).otherwise(draw("doc_id", F.md5(F.coalesce("text", F.lit(""))), seed=seed))
+    copies = F.floor(rate) + F.when(chance < rate - F.floor(rate), 1).otherwise(0)
     return out.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("size") * F.col("copies"))
 
 

@@ -152,7 +152,8 @@ select s.page_id, s.host, s.path, b.rule,
 from split s left join best b on s.page_id is not distinct from b.page_id""",
     "op9_mixing": r"""
 with sized as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+    'mix-1|' || case when doc_id is null then '|' || md5(coalesce(text, '')) else doc_id::varchar end as seed from documents),
 sums as (select source, sum(size)::bigint as source_size from sized group by source),
 weighed as (
   select *, source_size * 2.0::double as cap,
@@ -168,7 +169,7 @@ targets as (
 rated as (
   select doc_id, size, source_size, target,
     case when source_size > 0 then target / source_size else 0.0 end as rate,
-    ('0x' || substr(md5('mix-1|' || coalesce(doc_id::varchar, '')), 1, 13))::bigint / 4503599627370496.0::double as draw
+    ('0x' || substr(md5(seed), 1, 13))::bigint / 4503599627370496.0::double as draw
   from sized s join targets t on s.source is not distinct from t.source)
 select doc_id, size, source_size, target,
   size * (floor(rate)::bigint + case when draw < rate - floor(rate) then 1 else 0 end) as taken
