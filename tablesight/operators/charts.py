@@ -5,25 +5,98 @@ columns and bins, never by the number of rows."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean_numeric, col, numeric_columns, sql_clean_numeric
 from ..functions.stats import corr_sql
+from ..session import materialize
 from .common import MAX_BUFFER_FIELDS, lit
 from .profile import value_counts  # noqa: F401  (G3 is T4)
 
 PAIR_FIELDS = 10  # buffer slots of one pairwise correlation (covariance + two deviations)
+GRAM_COLUMNS = 512  # columns of a block: a task's sums take under 50 MB
+GRAM_CELLS = 1 << 20  # cells of a batch that are worked on at once
+REDO_PAIRS = 200  # pairs that a row emits at most where sums are not exact enough
+#: Part of the mean square (about the column's mean) that a variance must pass: below, digits cancel.
+ENOUGH = 1e-6
+
+
+def _gram(vals: DataFrame, left: range, right: range, shifts: list[float]) -> DataFrame:
+    """``(i, j, corr, redo)`` for the pairs i <= j of two blocks of columns:
+    counts, sums, squares and products of values and presence masks as matrix
+    products per task, added up by pair. redo: too many digits cancelled, or
+    a sum isn't finite."""
+    cols = [*left, *(c for c in right if c not in left)]
+    at = {c: k for k, c in enumerate(cols)}
+    pairs = [(i, j) for i in left for j in right if i <= j]
+    rows, others = np.array([at[i] for i, _ in pairs]), np.array([at[j] for _, j in pairs])
+    ids = np.array(pairs, np.int32)
+    shift = np.array([shifts[c] for c in cols])
+
+    def sums(batches):
+        n = np.zeros((len(cols),) * 2)
+        s, q, c = n.copy(), n.copy(), n.copy()
+        for batch in batches:
+            step = max(1, GRAM_CELLS // len(cols))
+            for k in range(0, batch.num_rows, step):
+                part = batch.slice(k, step)
+                x = np.column_stack([part.column(j).to_numpy(zero_copy_only=False) for j in range(len(cols))]).astype(np.float64)
+                there = ~np.isnan(x)
+                x = np.where(there, x - shift, 0.0)
+                m = there.astype(np.float64)
+                with np.errstate(all="ignore"):
+                    n += m.T @ m
+                    s += x.T @ m
+                    q += (x * x).T @ m
+                    c += x.T @ x
+        for k in range(0, len(ids), 1 << 16):
+            i, j = rows[k:k + (1 << 16)], others[k:k + (1 << 16)]
+            cells = [ids[k:k + (1 << 16), 0], ids[k:k + (1 << 16), 1], n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], c[i, j]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in cells], ["i", "j", "n", "sx", "sy", "qx", "qy", "xy"])
+
+    parts = vals.select(*(f"_{c}" for c in cols)).mapInArrow(
+        sums, "i int, j int, n double, sx double, sy double, qx double, qy double, xy double")
+    total = parts.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "sx", "sy", "qx", "qy", "xy")))
+    total = total.selectExpr("i", "j", "qx", "qy", "n * qx AS mx", "n * qy AS my", "n * qx - sx * sx AS vx", "n * qy - sy * sy AS vy", "n * xy - sx * sy AS v")
+    total = total.withColumn("corr", F.expr("CASE WHEN vx > 0 AND vy > 0 THEN v / (sqrt(vx) * sqrt(vy)) END"))
+    # All values at the shift (a constant column, or no rows) need no second look.
+    redo = (f"qx <> 0 AND qy <> 0 AND NOT (vx > {ENOUGH} * mx AND vy > {ENOUGH} * my "
+            "AND mx < double('inf') AND my < double('inf') AND abs(corr) < double('inf'))")
+    return total.select("i", "j", "corr", F.expr(f"coalesce({redo}, true)").alias("redo"))
+
+
+def _correlation_wide(vals: DataFrame, n: int) -> DataFrame:
+    """``(i, j, corr)`` of many columns: one pass for the means that values are
+    taken from, one for each pair of blocks of GRAM_COLUMNS columns, which
+    reads these columns only. Pairs whose sums aren't exact enough (a column
+    nearly constant where the other is present, infinite or huge values) go
+    through Spark's own aggregates."""
+    means = vals.selectExpr(*[f"CASE WHEN min(_{k}) = max(_{k}) THEN min(_{k}) ELSE avg(_{k}) END AS _{k}" for k in range(n)]).first()
+    shifts = [x if x is not None and np.isfinite(x) else 0.0 for x in means]
+    blocks = [range(k, min(k + GRAM_COLUMNS, n)) for k in range(0, n, GRAM_COLUMNS)]
+    parts = [_gram(vals, x, y, shifts) for k, x in enumerate(blocks) for y in blocks[k:]]
+    found = materialize(reduce(DataFrame.unionAll, parts), "correlation")
+    redo = [(r["i"], r["j"]) for r in found.filter("redo").select("i", "j").collect()]  # at most a pair of columns each
+    half = found.filter("NOT redo").select("i", "j", "corr")
+    for k in range(0, len(redo), REDO_PAIRS):
+        cells = ", ".join(f"struct({i} AS i, {j} AS j, _{i} AS a, _{j} AS b)" for i, j in redo[k:k + REDO_PAIRS])
+        again = vals.selectExpr(f"inline(array({cells}))").groupBy("i", "j").agg(F.expr(corr_sql("a", "b")).alias("corr"))
+        half = half.unionAll(again)
+    return half
 
 
 def correlation(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pearson matrix in long form ``(x, y, corr)`` over all ordered pairs of
     numeric columns, each pair over the rows where both are present; null
-    where a side is constant. Each unordered pair is computed once, in one
-    scan: a wide aggregate for a few pairs, otherwise every row emits its
-    pairs ``(x, y, a, b)`` and the pairs are grouped (map-side combined, so
-    the shuffle carries one partial row per pair and task)."""
+    where a side is constant. Each unordered pair is computed once: in one
+    wide aggregate for a few pairs, otherwise by blocks of matrix products in
+    each task, so a row is read once and emits nothing; a task gives one
+    partial row per pair."""
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = list(cols) if cols is not None else numeric_columns(df)
     if not cols:
@@ -35,13 +108,11 @@ def correlation(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         cells = ", ".join(f"struct({lit(cols[i])} AS x, {lit(cols[j])} AS y, c{i}_{j} AS corr)" for i, j in pairs)
         half = wide.selectExpr(f"inline(array({cells}))")
     else:
-        # integer pair keys group faster than name pairs; names are attached after
-        cells = ", ".join(f"struct({k} AS p, _{i} AS a, _{j} AS b)" for k, (i, j) in enumerate(pairs))
-        names = df.sparkSession.createDataFrame([(k, cols[i], cols[j]) for k, (i, j) in enumerate(pairs)],
-                                                "p int, x string, y string")
-        half = (vals.selectExpr(f"inline(array({cells}))").groupBy("p")
-                    .agg(F.expr(corr_sql("a", "b")).alias("corr"))
-                    .join(names, "p", "right").select("x", "y", "corr"))
+        # every pair of columns has a row, also over an empty table
+        names = df.sparkSession.createDataFrame(pa.table({
+            "i": pa.array([i for i, _ in pairs], pa.int32()), "j": pa.array([j for _, j in pairs], pa.int32()),
+            "x": [cols[i] for i, _ in pairs], "y": [cols[j] for _, j in pairs]}))
+        half = _correlation_wide(vals, len(cols)).join(names, ["i", "j"], "right").select("x", "y", "corr")
     mirror = half.filter(F.col("x") != F.col("y")).select(F.col("y").alias("x"), F.col("x").alias("y"), "corr")
     return half.unionByName(mirror)
 

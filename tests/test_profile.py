@@ -4,6 +4,8 @@ ties, constants, empty, one row, nested) against expected values."""
 import datetime as dt
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +69,58 @@ def test_pairwise_complete_corr(spark):
     assert c[("a", "k")] is None
 
 
+def test_wide_corr_by_blocks(spark, monkeypatch):
+    """Blocks of matrix products against two exact passes a pair (pandas loses
+    seven digits of the column far from zero): gaps, constants, far means,
+    columns constant only where the other is present, infinite values."""
+    from tablesight.operators import charts
+    monkeypatch.setattr(charts, "GRAM_COLUMNS", 5)
+    monkeypatch.setattr(charts, "GRAM_CELLS", 300)
+    monkeypatch.setattr(charts, "REDO_PAIRS", 3)
+    rnd = np.random.default_rng(5)
+    pdf = pd.DataFrame(rnd.normal(size=(400, 9)), columns=[f"c{i}" for i in range(9)])
+    pdf["c1"] += pdf["c0"]
+    pdf["c2"] = pdf["c0"] * 1e-3 + 1e9
+    pdf["c3"] = 0.1
+    pdf["c4"] = np.where(pdf.index < 200, 0.3, pdf["c4"])
+    pdf["c5"] = np.where(pdf.index < 200, pdf["c5"], np.nan)
+    pdf.loc[rnd.random(400) < 0.3, "c6"] = np.nan
+    pdf["c7"] = np.nan
+    pdf["c8"] = pdf["c8"] * 1e100
+
+    def exact(x, y):
+        both = pdf[[x, y]].dropna() if x != y else pdf[[x, x]].dropna()
+        a, b = ([v - math.fsum(c) / len(c) for v in c] for c in (both.iloc[:, 0], both.iloc[:, 1]))
+        return math.fsum(p * q for p, q in zip(a, b)) / math.sqrt(math.fsum(p * p for p in a)) / math.sqrt(math.fsum(q * q for q in b))
+
+    pdf["c9"] = np.where(pdf.index == 7, np.inf, pdf["c0"])
+    df = spark.createDataFrame([tuple(None if x != x else x for x in r) for r in pdf.itertuples(index=False)], ", ".join(f"{c} double" for c in pdf))
+    got = rows(G.correlation(df.repartition(7)))
+    assert len(got) == 100
+    for r in got:
+        if "c9" in (r["x"], r["y"]):
+            continue
+        const = {"c3", "c7"} & {r["x"], r["y"]} or {"c4", "c5"} == {r["x"], r["y"]}
+        if const:
+            assert r["corr"] is None, r
+        else:
+            assert r["corr"] == pytest.approx(exact(r["x"], r["y"]), abs=1e-11), r
+
+
+def test_wide_corr_of_many_columns(spark):
+    """No row is copied per pair: 140,715 pairs over a short table."""
+    n = 530
+    df = spark.range(40).selectExpr(*[f"sin(id * {k + 1}) AS c{k}" for k in range(n)])
+    got = G.correlation(df)
+    assert got.count() == n * n
+    sample = np.sin(np.outer(np.arange(40), [1, 513, 530]))
+    want = np.corrcoef(sample.T)
+    pair = {(r["x"], r["y"]): r["corr"] for r in got.filter("x in ('c0', 'c512', 'c529') AND y in ('c0', 'c512', 'c529')").collect()}
+    for a, x in enumerate(("c0", "c512", "c529")):
+        for b, y in enumerate(("c0", "c512", "c529")):
+            assert pair[x, y] == pytest.approx(want[a, b], abs=1e-9)
+
+
 def test_infinite_not_missing(spark):
     df = spark.createDataFrame([(float("inf"),), (1.0,)], "v double")
     assert rows(P.missing_counts(df))[0]["missing"] == 0
