@@ -7,6 +7,8 @@ probability frac(rate), decided by a seeded hash of its id.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,16 +69,19 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     skewed side of the join.
     """
     made = ["size", "source_size", "target", "weight", "copies", "taken"]
-    sized = docs.drop(*made).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long"))
+    # Drawn before the join, so that the join carries no text that the caller doesn't ask for.
+    by_text = draw("doc_id", F.md5(F.coalesce("text", F.lit(""))), seed=seed)
+    chance = f"draw_{uuid.uuid4().hex}"
+    sized = (docs.drop(*made).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long"))
+             .withColumn(chance, F.when(F.col("doc_id").isNotNull(), draw("doc_id", seed=seed)).otherwise(by_text)))
     # Own grouping over two columns: the scan reads source and text only.
     sums = (docs.select("source", F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"))
             .groupBy("source").agg(F.sum("size").alias("source_size")))
     t = targets(sums, WEIGHTS).select(F.col("source").alias("source_"), "source_size", "target")
     out = sized.join(t, F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    chance = F.when(F.col("doc_id").isNotNull(), draw("doc_id", seed=seed)).otherwise(draw("doc_id", F.md5(F.coalesce("text", F.lit(""))), seed=seed))
-    copies = F.floor(rate) + F.when(chance < rate - F.floor(rate), 1).otherwise(0)
-    return out.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("size") * F.col("copies"))
+    copies = F.floor(rate) + F.when(F.col(chance) < rate - F.floor(rate), 1).otherwise(0)
+    return out.withColumn("copies", copies.cast("long")).drop(chance).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
