@@ -3,6 +3,8 @@ ties, constants, empty, one row, nested) against expected values."""
 
 import datetime as dt
 import math
+import operator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -70,8 +72,8 @@ def test_pairwise_complete_corr(spark):
 
 
 def test_wide_corr_by_blocks(spark, monkeypatch):
-    """Blocks of matrix products against two exact passes a pair (pandas loses
-    seven digits of the column far from zero): gaps, constants, far means,
+    """Blocks of matrix products against fractions (doubles lose digits of the
+    column far from zero): gaps, constants, far means,
     columns constant only where the other is present, infinite values."""
     from tablesight.operators import charts
     monkeypatch.setattr(charts, "GRAM_COLUMNS", 5)
@@ -90,8 +92,12 @@ def test_wide_corr_by_blocks(spark, monkeypatch):
 
     def exact(x, y):
         both = pdf[[x, y]].dropna() if x != y else pdf[[x, x]].dropna()
-        a, b = ([v - math.fsum(c) / len(c) for v in c] for c in (both.iloc[:, 0], both.iloc[:, 1]))
-        return math.fsum(p * q for p, q in zip(a, b)) / math.sqrt(math.fsum(p * p for p in a)) / math.sqrt(math.fsum(q * q for q in b))
+        a, b = ([Fraction(v) for v in c] for c in (both.iloc[:, 0], both.iloc[:, 1]))
+
+        def product(p, q):
+            return float(len(a) * sum(map(operator.mul, p, q)) - sum(p) * sum(q))
+
+        return product(a, b) / math.sqrt(product(a, a)) / math.sqrt(product(b, b))
 
     pdf["c9"] = np.where(pdf.index == 7, np.inf, pdf["c0"])
     df = spark.createDataFrame([tuple(None if x != x else x for x in r) for r in pdf.itertuples(index=False)], ", ".join(f"{c} double" for c in pdf))
