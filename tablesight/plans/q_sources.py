@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import profile_text as PT
 from ..session import scratch_path
 from ..sources import readers as S
+from ..sources.workbooks import read_workbooks
 from . import oracle as O
-from .inputs import oracle_from
+from .inputs import oracle_from, workbooks
 from .registry import T, register
 
 _TOKENS = ", ".join("'" + t + "'" for t in S.NA_TOKENS)
@@ -136,3 +137,10 @@ def profile_sections(spark, sf):
 def report_html(spark, sf):
     """HTML report lines for orders (rows-only check)."""
     return PT.report_html(T(spark, sf, "orders"))
+
+
+@register("excel_workbooks", oracle_from("dirty_orders") + "select * from dirty_orders")
+def excel_workbooks(spark, sf):
+    """Orders with missing cells, read back from workbooks: numbers, texts, and
+    dates told by their number format."""
+    return read_workbooks(workbooks(T(spark, sf, "dirty_orders"), "o_orderkey"), S.NA_TOKENS)

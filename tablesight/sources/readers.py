@@ -10,19 +10,16 @@ types (one row) reach the driver.
 
 from __future__ import annotations
 
-import io
 import re
-import zipfile
-from collections.abc import Iterator, Sequence
-from xml.etree import ElementTree as ET
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col
 from .csv_split import read_csv_split
+from .workbooks import read_workbooks
 
 SUPPORTED = (".csv", ".xlsx", ".json", ".jsonl", ".parquet")
 
@@ -266,77 +263,7 @@ def _json_shape(spark: SparkSession, path: str) -> str:
 
 # ---------------------------------------------------------------- Excel (S3)
 
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
-       "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
-       "p": "http://schemas.openxmlformats.org/package/2006/relationships"}
-
-
-def _col_index(ref: str) -> int:
-    n = 0
-    for ch in re.match(r"[A-Z]+", ref).group(0):
-        n = n * 26 + (ord(ch) - 64)
-    return n - 1
-
-
-def _first_sheet(z: zipfile.ZipFile) -> str:
-    wb = ET.fromstring(z.read("xl/workbook.xml"))
-    sheet = wb.find("m:sheets/m:sheet", _NS)
-    rid = sheet.get(f"{{{_NS['r']}}}id")
-    rels = ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))
-    for r in rels.findall("p:Relationship", _NS):
-        if r.get("Id") == rid:
-            t = r.get("Target").lstrip("/")
-            return t if t.startswith("xl/") else "xl/" + t
-    return "xl/worksheets/sheet1.xml"
-
-
-def _workbook_cells(path: str, content: bytes) -> Iterator[tuple]:
-    z = zipfile.ZipFile(io.BytesIO(content))
-    shared: list[str] = []
-    if "xl/sharedStrings.xml" in z.namelist():
-        for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS):
-            shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
-    sheet = ET.fromstring(z.read(_first_sheet(z)))
-    for r_i, row in enumerate(sheet.iter(f"{{{_NS['m']}}}row")):
-        r = int(row.get("r", r_i + 1)) - 1
-        for c in row.findall("m:c", _NS):
-            t, v = c.get("t", "n"), c.find("m:v", _NS)
-            if t == "s" and v is not None:
-                val = shared[int(v.text)]
-            elif t == "inlineStr":
-                val = "".join(x.text or "" for x in c.iter(f"{{{_NS['m']}}}t"))
-            elif t == "b" and v is not None:
-                val = "true" if v.text == "1" else "false"
-            else:
-                val = v.text if v is not None else None
-            yield path, r, _col_index(c.get("r")), val
-
-
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
-    """First sheet of each workbook, header row first: ``binaryFile`` ->
-    ``mapInPandas`` emitting cells ``(path, row, col, value)`` (one workbook
-    per task) -> header names -> pivot -> type inference. Dates stored as
-    serial numbers stay numbers."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [c for p, data in zip(b["path"], b["content"]) for c in _workbook_cells(p, bytes(data))]
-            yield pd.DataFrame(rows, columns=["path", "row", "col", "value"]).astype(
-                {"row": "int32", "col": "int32"})
-
-    long = files.mapInPandas(cells, "path string, row int, col int, value string")
-    # Each workbook's own header names its cells; cells right of it get a name
-    # by their place, and repeated names a number.
-    header = long.filter("row = 0 and value is not null").select("path", "col", F.col("value").alias("name"))
-    cells_ = long.filter("row > 0").join(header, ["path", "col"], "left").withColumn(
-        "name", F.coalesce("name", F.concat(F.lit("Unnamed: "), F.col("col"))))
-    named = header.union(cells_.select("path", "col", "name")).distinct()
-    copy = F.row_number().over(Window.partitionBy("path", "name").orderBy("col")) - 1
-    named = named.withColumn("column", F.when(copy == 0, F.col("name")).otherwise(F.concat_ws(".", "name", copy)))
-    # One row per column: the schema is needed on the driver.
-    order = [r["column"] for r in named.groupBy("column").agg(F.min("col").alias("col")).orderBy("col", "column").collect()]
-    wide = (cells_.join(named.select("path", "col", "column"), ["path", "col"])
-                .groupBy("path", "row").pivot("column", order).agg(F.first("value"))
-                .orderBy("path", "row").drop("path", "row"))
-    return infer_types(normalize_missing(wide))
+    """First sheet of each workbook of a file, folder or glob, header row
+    first, dates as timestamps: one workbook per task (``workbooks``)."""
+    return read_workbooks(spark.read.format("binaryFile").load(path), NA_TOKENS)
