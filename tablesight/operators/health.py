@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import (
     as_text, categorical_columns, classify, col, datetime_columns, epoch_micros, is_missing, numeric_columns,
-    sql_clean_numeric,
+    sql_clean_numeric, sql_epoch_micros,
 )
 from ..functions.stats import SKEWNESS_SQL, corr_sql
-from .common import per_column
+from .common import per_column, unpivot
 from .profile import dataset_stats, missing_counts
+from .quantiles import quantiles
 from .report import report_variables
 
 # Default thresholds of the health checks.
@@ -23,6 +24,7 @@ DEFAULTS = {
     "missing_warn": 0.05, "missing_severe": 0.5,
     "skew": 1.0,
     "max_distinct": 50, "max_distinct_ratio": 0.5,
+    "leak_information": 0.9, "bins": 16,
     "leak_corr": 0.95, "leak_share": 0.99, "id_ratio": 0.5,
     "class_max_distinct": 20, "ts_distinct_ratio": 0.9,
 }
@@ -125,6 +127,69 @@ def correlation_ratios(df: DataFrame, target: str, cols: list[str]) -> DataFrame
     return a.join(F.broadcast(names), "ordinal").select("column", F.when(share.isNotNull(), F.sqrt(F.greatest(share, F.lit(0.0)))).alias("value"))
 
 
+def health_information(df: DataFrame, target: str, share: float = DEFAULTS["leak_information"], bins: int = DEFAULTS["bins"],
+                       id_ratio: float = DEFAULTS["id_ratio"]) -> DataFrame:
+    """``(column, mutual_information, share)``: features of any type that tell
+    ``share`` of the target's entropy or more, in whatever form (leakage that
+    neither a correlation nor a majority value shows).
+
+    Numbers and datetimes, the target too, are cut at ``bins`` exact quantiles;
+    other columns count by value; missing is a value. mutual_information is in
+    nats. share is it, less what chance gives that many values, (pairs -
+    values - target values + 1) / 2n, over the target's entropy, from 0 to 1. Identifiers
+    (values / rows >= ``id_ratio``) are left out; a constant target gives no rows.
+
+    With n ln n summed over pairs, values and target values the entropies
+    follow, so one grouped pass does and no counts are joined. Hashes stand
+    for values; a hot value is one partial row a task and target value.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    at = {c: i for i, c in enumerate(df.columns)}
+    feats = [c for c in df.columns if c != target]
+    if not feats:
+        return df.sparkSession.createDataFrame([], "column string, mutual_information double, share double")
+    num, dts = set(numeric_columns(df)), set(datetime_columns(df))
+
+    def number(c: str) -> str:
+        return sql_clean_numeric(c, types[c]) if c in num else f"CAST({sql_epoch_micros(c, types[c])} AS DOUBLE)"
+
+    ranked = [c for c in df.columns if c in num | dts]
+    held = max(["edges", *df.columns], key=len) + "_"
+    edges = quantiles(unpivot(df, ranked, number, names=False), [i / bins for i in range(1, bins)], keys=["ordinal"])
+    # One row: bins - 1 numbers for each column.
+    edges = edges.agg(F.map_from_entries(F.collect_list(F.struct("ordinal", "quantiles"))).alias(held))
+
+    def value(c: str) -> F.Column:
+        if c in num | dts:
+            v = F.expr(number(c))
+            below = F.size(F.filter(F.element_at(held, F.lit(at[c])), lambda e: e < v)).cast("long")
+            return F.struct(F.when(v.isNotNull(), below).alias("a"), F.lit(0).cast("long").alias("b"))
+        present = ~is_missing(c, types[c])
+        text = F.when(present, as_text(c, types[c]))
+        return F.struct(F.when(present, F.xxhash64(text)).alias("a"), F.xxhash64(F.lit("second"), text).alias("b"))
+
+    def sums(n: str) -> F.Column:
+        return F.sum(F.col(n) * F.log(F.col(n).cast("double")))
+
+    rows = df.crossJoin(F.broadcast(edges))
+    # One column, so that no name of the table is taken for an alias.
+    cells = rows.select(F.struct(value(target).alias("y"), F.array(*[F.struct(F.lit(c).alias("column"), value(c).alias("x")) for c in feats]).alias("xs")).alias("c"))
+    long = cells.select("c.y", F.inline("c.xs"))
+    pairs = long.groupBy("column", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    values = pairs.groupBy("column", "x").agg(F.sum("n").alias("nx"), F.count(F.lit(1)).alias("pairs"), sums("n").alias("joint"))
+    per = values.groupBy("column").agg(F.sum("nx").alias("n"), F.sum("pairs").alias("pairs"), F.count(F.lit(1)).alias("values"),
+                                       F.sum("joint").alias("joint"), sums("nx").alias("own"))
+    marginal = rows.select(value(target).alias("y")).groupBy("y").agg(F.count(F.lit(1)).alias("ny"))
+    marginal = marginal.agg(sums("ny").alias("of_target"), F.count(F.lit(1)).alias("targets"))
+    n = F.col("n").cast("double")
+    information = F.greatest((F.col("joint") - F.col("own") - F.col("of_target")) / n + F.log(n), F.lit(0.0))
+    entropy = F.log(n) - F.col("of_target") / n
+    chance = (F.col("pairs") - F.col("values") - F.col("targets") + 1) / (2 * n)
+    out = per.crossJoin(F.broadcast(marginal)).filter((F.col("targets") > 1) & (F.col("values") / n < id_ratio)).select(
+        "column", information.alias("mutual_information"), F.least(F.greatest((information - chance) / entropy, F.lit(0.0)), F.lit(1.0)).alias("share"))
+    return out.filter(F.col("share") >= share)
+
+
 def health_report(df: DataFrame, target: str | None = None) -> DataFrame:
     """``(check, column, value, severity)``: union of all checks."""
     parts = [
@@ -201,33 +266,35 @@ def problem_type(df: DataFrame, target: str | None = None,
 
 
 # Recommended models per problem type, with the conditions
-# (min classes, max classes) under which each applies.
+# (min classes, max classes, min rows) under which each applies.
 MODEL_TABLE = [
-    ("classification", "Random Forest", 2, None),
-    ("classification", "Boosted Trees", 2, 2),
-    ("classification", "Decision Tree", 3, None),
-    ("classification", "Logistic Regression", 2, None),
-    ("regression", "Random Forest", None, None),
-    ("regression", "Boosted Trees", None, None),
-    ("regression", "Linear Regression", None, None),
-    ("time-series", "Random Forest", None, None),
-    ("time-series", "Boosted Trees", None, None),
-    ("time-series", "Linear Regression", None, None),
-    ("clustering", "K-Means", None, None),
-    ("clustering", "Gaussian Mixture", None, None),
+    ("classification", "Random Forest", 2, None, 50),
+    ("classification", "Boosted Trees", 2, 2, 200),
+    ("classification", "Decision Tree", 3, None, 0),
+    ("classification", "Logistic Regression", 2, None, 0),
+    ("regression", "Random Forest", None, None, 50),
+    ("regression", "Boosted Trees", None, None, 200),
+    ("regression", "Linear Regression", None, None, 0),
+    ("time-series", "Random Forest", None, None, 50),
+    ("time-series", "Boosted Trees", None, None, 200),
+    ("time-series", "Linear Regression", None, None, 0),
+    ("clustering", "K-Means", None, None, 0),
+    ("clustering", "Gaussian Mixture", None, None, 50),
 ]
 
 
 def recommend_models(df: DataFrame, target: str | None = None) -> DataFrame:
     """``(problem_type, model, rank)``: the model table joined with the
-    problem type, filtered by class count."""
+    problem type, filtered by class count and row count (models of many
+    parameters need more rows)."""
     pt = problem_type(df, target)
     mt = df.sparkSession.createDataFrame(
-        [(p, m, i, lo, hi) for i, (p, m, lo, hi) in enumerate(MODEL_TABLE)],
-        "problem_type string, model string, pos int, min_classes int, max_classes int")
+        [(p, m, i, lo, hi, rows) for i, (p, m, lo, hi, rows) in enumerate(MODEL_TABLE)],
+        "problem_type string, model string, pos int, min_classes int, max_classes int, min_rows int")
     j = F.broadcast(mt).join(pt, "problem_type")
     ok = ((F.col("min_classes").isNull() | (F.col("n_classes") >= F.col("min_classes")))
-          & (F.col("max_classes").isNull() | (F.col("n_classes") <= F.col("max_classes"))))
+          & (F.col("max_classes").isNull() | (F.col("n_classes") <= F.col("max_classes")))
+          & (F.col("rows") >= F.col("min_rows")))
     out = j.filter(ok)
     from pyspark.sql import Window
     return out.select("problem_type", "model",

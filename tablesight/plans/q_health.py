@@ -77,6 +77,33 @@ def health_leakage_shares(spark, sf):
     return H.health_leakage(T(spark, sf, "classification"), "quality", share=0.0)
 
 
+def _information_sql(t: str, target: str) -> str:
+    kinds = {c: ty for c, ty in O.SCHEMAS[t]}
+    ranked = {c: f"epoch_us({c})::double" if ty.startswith(("timestamp", "date")) else f"{c}::double"
+              for c, ty in kinds.items() if ty not in ("varchar", "string")}
+    probs = ", ".join(str(i / 16) for i in range(1, 16))
+    edges = ", ".join(f"quantile_cont({v}, [{probs}]) as e_{c}" for c, v in ranked.items())
+    coded = ", ".join(f"cast(len(list_filter(e_{c}, lambda e: e < {ranked[c]})) as varchar) as {c}" if c in ranked else c for c in kinds)
+    counts = O.union_all([f"select '{c}' as c, {c} as x, {target} as y, count(*) as n from coded group by all" for c in kinds if c != target])
+    return f"""with edges as (select {edges} from {t}), coded as (select {coded} from {t}, edges),
+cells as ({counts}),
+own as (select c, x, sum(n) as nx from cells group by c, x), tgt as (select {target} as y, count(*) as ny from coded group by 1),
+total as (select count(*) as rows, (select count(*) from tgt) as ky from coded),
+h as (select -sum(ny / rows * ln(ny / rows)) as hy from tgt, total),
+m as (select cells.c, sum(n / rows * ln(n * rows / (nx * ny))) as mi, count(*) as kxy
+      from cells join own on cells.c = own.c and cells.x is not distinct from own.x join tgt on cells.y is not distinct from tgt.y, total group by cells.c),
+k as (select c, count(*) as kx from own group by c)
+select m.c as "column", round(greatest(mi, 0), 4) as mutual_information,
+       round(least(greatest((mi - (kxy - kx - ky + 1) / (2.0 * rows)) / hy, 0), 1), 4) as share
+from m join k on m.c = k.c, h, total where kx / rows < 0.5"""
+
+
+@register("health_information", _information_sql("lineitem", "l_extendedprice"))
+def health_information(spark, sf):
+    """How much of the price's entropy each column of ``lineitem`` tells (no threshold)."""
+    return H.health_information(T(spark, sf, "lineitem"), "l_extendedprice", share=0.0)
+
+
 @register("health_report", oracle_from("dirty_orders") + """
 select 'missing' as "check", "column", missing_ratio as value,
        case when missing_ratio > 0.5 then 'severe' else 'warning' end as severity
@@ -132,10 +159,10 @@ def problem_types(spark, sf):
 
 @register("recommend_models", oracle_from("classification") + """
 select problem_type, model, cast(row_number() over (partition by problem_type order by pos) as integer) as rank
-from (values ('classification', 'Random Forest', 0, 2, null), ('classification', 'Boosted Trees', 1, 2, 2),
-             ('classification', 'Decision Tree', 2, 3, null), ('classification', 'Logistic Regression', 3, 2, null)
-     ) m(problem_type, model, pos, lo, hi),
-     (select count(distinct quality) as k from classification) c
-where (lo is null or c.k >= lo) and (hi is null or c.k <= hi)""")
+from (values ('classification', 'Random Forest', 0, 2, null, 50), ('classification', 'Boosted Trees', 1, 2, 2, 200),
+             ('classification', 'Decision Tree', 2, 3, null, 0), ('classification', 'Logistic Regression', 3, 2, null, 0)
+     ) m(problem_type, model, pos, lo, hi, least_rows),
+     (select count(distinct quality) as k, count(*) as n from classification) c
+where (lo is null or c.k >= lo) and (hi is null or c.k <= hi) and c.n >= least_rows""")
 def recommend_models(spark, sf):
     return H.recommend_models(T(spark, sf, "classification"), "quality")

@@ -200,3 +200,40 @@ def test_infinite_values_in_histograms(spark):
     from tablesight.operators import charts
     got = charts.histogram(df, "v", bins=3).orderBy("bin").collect()
     assert [r["count"] for r in got] == [1, 1, 1] and got[0]["lower"] == 1 and got[2]["upper"] == 4
+
+
+def test_information_of_any_form(spark):
+    """A parabola, which no correlation sees, a text that tells the target's
+    sign, missing values as a value, an identifier, plain entropies by hand."""
+    import math
+    from collections import Counter
+    from tablesight.operators import health as H
+    rows = [(float((x % 40 - 19.5) ** 2), float(x % 40), "low" if abs(x % 40 - 19.5) < 10 else "high", f"id{x}", None if x % 2 else "x") for x in range(800)]
+    df = spark.createDataFrame(rows, "y double, x double, side string, id string, gap string")
+    got = {r["column"]: r for r in H.health_information(df, "y", share=-1.0).collect()}
+    assert set(got) == {"x", "side", "gap"} and abs(df.corr("x", "y")) < 0.01
+    def binned(i):
+        v = sorted(r[i] for r in rows)
+        edges = [(lambda h: v[int(h)] + (v[min(int(h) + 1, 799)] - v[int(h)]) * (h % 1))(799 * k / 16) for k in range(1, 16)]
+        return [sum(e < r[i] for e in edges) for r in rows]
+    def entropy(values):
+        return -sum(k / 800 * math.log(k / 800) for k in Counter(values).values())
+    y = binned(0)
+    for name, x in {"x": binned(1), "side": [r[2] for r in rows], "gap": [r[4] for r in rows]}.items():
+        information = entropy(x) + entropy(y) - entropy(zip(x, y))
+        chance = (len(set(zip(x, y))) - len(set(x)) - len(set(y)) + 1) / 1600
+        assert abs(got[name]["mutual_information"] - max(information, 0)) < 1e-9
+        assert abs(got[name]["share"] - max((information - chance) / entropy(y), 0)) < 1e-9
+    assert got["x"]["share"] > 0.7 and got["gap"]["share"] < 0.05
+    assert {r["column"] for r in H.health_information(df, "side").collect()} == {"x", "y"}
+    assert H.health_information(df.selectExpr("x", "1.0 as k"), "k", share=-1.0).collect() == []
+    assert H.health_information(df.limit(0), "y", share=-1.0).collect() == []
+    assert H.health_information(df.select("y"), "y", share=-1.0).collect() == []
+
+
+def test_models_by_row_count(spark):
+    from tablesight.operators import health as H
+    def models(n):
+        return [r.model for r in H.recommend_models(spark.range(n).selectExpr("id", "id % 2 as k"), "k").orderBy("rank").collect()]
+    assert models(40) == ["Logistic Regression"] and models(60) == ["Random Forest", "Logistic Regression"]
+    assert models(300) == ["Random Forest", "Boosted Trees", "Logistic Regression"]
