@@ -1,7 +1,9 @@
 """Embedding near-duplicates with a random-projection tree forest.
 
 Each of TREES trees splits the vectors recursively along random directions at
-the median of a bounded sample. Vectors within SPILL of a threshold go to both
+the median of a bounded sample; leaves that hold too many rows of the table are
+split again on a sample of their own, until they are small or what they hold
+lies too close together to part. Vectors within SPILL of a threshold go to both
 sides, so that near pairs seldom part. Vectors that share a leaf of any tree
 are compared exactly; links found are joined into components.
 
@@ -13,22 +15,34 @@ of a few percent, and the trees miss it only if all of them part it.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .graph import components, local_components
+from .kernel import mix
 from .shared import Scratch
 
 TREES = 6
-#: The trees are fitted on at most so many vectors, the first by a hash of id.
+#: The upper levels are fitted on at most so many vectors, the first by a hash
+#: of id, and so many bytes of them.
 SAMPLE = 16_384
+SAMPLE_BYTES = 64 << 20
 #: A tree is split until about so many rows of the table share a leaf, but
 #: never below MIN_LEAF rows of the sample.
 LEAF = 512
 MIN_LEAF = 32
+#: Leaves of more rows are split again by SPLIT_DEPTH levels, fitted on
+#: SPLIT_SAMPLE of their rows, if no part keeps more than SHRINK of that sample.
+SPLIT = 2_048
+SPLIT_SAMPLE = 1_024
+SPLIT_DEPTH = 4
+SHRINK = 0.9
 #: Larger leaves are compared in blocks of at most so many vectors.
 BLOCK = 2_048
 SPILL = 0.158
@@ -60,6 +74,17 @@ class Tree:
             members[2 * node + 1], members[2 * node + 2] = rows[~right], rows[right]
         return self
 
+    @classmethod
+    def of_leaf(cls, leaf: int, vectors: np.ndarray, thresholds: np.ndarray | None = None) -> Tree:
+        """The tree below a leaf: directions drawn by the leaf's name, so that
+        its thresholds are all that is kept of it; fitted where there are none."""
+        rng = np.random.default_rng([SEED, int(leaf) & (2 ** 63 - 1)])
+        if thresholds is None:
+            return cls.fit(vectors, SPLIT_DEPTH, rng)
+        self = cls.fit(vectors[:0], SPLIT_DEPTH, rng)
+        self.thresholds = np.asarray(thresholds, np.float64)
+        return self
+
     def leaves(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of each vector, several leaves for those that spill."""
         rows, nodes = np.arange(len(vectors)), np.zeros(len(vectors), np.int64)
@@ -91,6 +116,61 @@ def unit_vectors(arrays: list) -> tuple[np.ndarray, np.ndarray]:
     return np.array(keep, np.int64), x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
 
 
+def unit_rows(raw: list[bytes], kind: str) -> np.ndarray:
+    """Usable vectors of one length from their bytes, as ``unit_vectors`` scales them."""
+    x = np.stack([np.frombuffer(r, kind) for r in raw]).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def below(leaf: np.ndarray, child: np.ndarray) -> np.ndarray:
+    """Names of leaves below a leaf: 64 mixed bits."""
+    return mix(np.asarray(leaf, np.int64).view(np.uint64) * np.uint64(31) + child.astype(np.uint64) + np.uint64(1)).view(np.int64)
+
+
+def split_leaves(routed: DataFrame, vectors: DataFrame, kind: str, scratch: Scratch) -> DataFrame:
+    """``routed`` (leaf, node) with leaves of more than SPLIT rows split, again
+    and again, on samples of their own. A leaf whose sample doesn't part stays
+    as it is. Each round makes every leaf it splits smaller by a tenth at
+    least, mostly by a factor near 2 ** SPLIT_DEPTH; all is Spark work, with
+    120 bytes a split leaf."""
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, leaf = pdf.sort_values("node"), int(pdf["leaf"].iat[0])
+        kept = []
+        # Vectors of one length in a leaf, as its name begins with the length.
+        x = unit_rows(list(pdf["raw"]), kind)
+        tree = Tree.of_leaf(leaf, x)
+        if np.bincount(tree.leaves(x)[1]).max() <= SHRINK * len(x):
+            kept.append((leaf, tree.thresholds))
+        return pd.DataFrame(kept, columns=["leaf", "thresholds"])
+
+    def descend(batches):
+        for whole in batches:
+            for batch in (whole.slice(i, 2_048) for i in range(0, whole.num_rows, 2_048)):
+                leaf, node, raw, thresholds = (batch.column(c) for c in ("leaf", "node", "raw", "thresholds"))
+                leaf, node, raw = leaf.to_numpy(), node.to_numpy(), raw.to_pylist()
+                order = np.argsort(leaf, kind="stable")
+                for own in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
+                    x = unit_rows([raw[i] for i in own], kind)
+                    row, child = Tree.of_leaf(leaf[own[0]], x, thresholds[int(own[0])].as_py()).leaves(x)
+                    yield pa.RecordBatch.from_arrays([pa.array(below(leaf[own][row], child)), pa.array(node[own][row])], ["leaf", "node"])
+
+    finished = None
+    while True:
+        large = scratch.put(routed.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT).select("leaf"))
+        if large.isEmpty():
+            return routed if finished is None else routed.union(finished)
+        inside = scratch.put(routed.join(large, "leaf", "left_semi"))
+        rank = F.row_number().over(Window.partitionBy("leaf").orderBy(F.xxhash64("leaf", "node"), "node"))
+        sample = inside.withColumn("rank", rank).filter(F.col("rank") <= SPLIT_SAMPLE).join(vectors, "node")
+        trees = scratch.put(sample.groupBy("leaf").applyInPandas(fit, "leaf long, thresholds array<double>"))
+        # Small leaves and those that don't part are done.
+        done = scratch.put(routed.join(large, "leaf", "left_anti").union(inside.join(trees, "leaf", "left_anti")))
+        finished = done if finished is None else finished.union(done)
+        routed = scratch.put(inside.join(trees, "leaf").join(vectors, "node").mapInArrow(descend, "leaf long, node long"))
+        scratch.drop(inside)
+
+
 def near_duplicates(vectors: DataFrame, least_cosine: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
@@ -102,37 +182,44 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = 0.95, id_col: str
     each. Vectors of different lengths are compared within their length only.
     Other columns are ignored.
 
-    The trees (6 of at most 2 ** 9 leaves) are fitted on the driver on SAMPLE
-    vectors and broadcast; their size doesn't grow with the table. Every
-    vector is indexed. Leaves larger than BLOCK are compared block by block in
+    The upper levels of the trees (6 of at most 2 ** 9 leaves) are fitted on
+    the driver on SAMPLE vectors and broadcast; their size doesn't grow with
+    the table. Leaves of more than SPLIT rows are split on in Spark
+    (``split_leaves``), so that leaves stay as small when the table grows.
+    Every vector is indexed. Leaves that hold more than BLOCK vectors too close to part are compared block by block in
     separate tasks, so that no task holds more than two blocks. A pair that
     meets in several leaves is counted in the first of them only; no pair is
-    ever written, tasks return counts and spanning links.
+    ever written, tasks return counts and spanning links. Vectors travel in the
+    precision they have; cosines are computed in double precision.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "embeddings")
+    single = vectors.schema[vec_col].dataType == T.ArrayType(T.FloatType(), vectors.schema[vec_col].dataType.containsNull)
+    kind = "f4" if single else "f8"
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
 
     def parse(batches):
         for batch in batches:
-            keep, x = [], []
+            keep, x, raw = [], [], []
             arrays = batch.column(1).to_pylist()
             sizes = np.array([len(a) if a else 0 for a in arrays])
             for size in np.unique(sizes):
                 rows = np.flatnonzero(sizes == size)
                 k, unit = unit_vectors([arrays[i] for i in rows])
                 keep += rows[k].tolist()
-                x += [u.tobytes() for u in unit]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(x, pa.binary())], ["vec_id", "unit"])
+                x += [hashlib.sha256(u.tobytes()).hexdigest() for u in unit]
+                raw += [np.array(arrays[i], kind).tobytes() for i in rows[k]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(x), pa.array(raw, pa.binary())],
+                                             ["vec_id", "class", "raw"])
 
-    parsed = rows.filter("vec_id is not null").mapInArrow(parse, "vec_id long, unit binary")
-    usable = scratch.put(parsed.withColumn("class", F.sha2("unit", 256)))
-    classes = scratch.put(usable.groupBy("class").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("unit").alias("unit")))
+    usable = scratch.put(rows.filter("vec_id is not null").mapInArrow(parse, "vec_id long, class string, raw binary"))
+    classes = scratch.put(usable.groupBy("class").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("raw").alias("raw")))
 
-    n = classes.count()
-    sample = classes.select("node", "unit").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).toPandas()
+    n, widest = classes.agg(F.count("*"), F.max(F.length("raw"))).first()
+    few = max(MIN_LEAF, min(SAMPLE, SAMPLE_BYTES // (widest or 1)))
+    sample = classes.select("node", "raw").orderBy(F.xxhash64("node"), "node").limit(few).toPandas()
     forests = {}
-    for size, group in sample.groupby(sample["unit"].map(len)):
-        x = np.stack([np.frombuffer(u, np.float64) for u in group["unit"]])
+    for size, group in sample.groupby(sample["raw"].map(len)):
+        x = unit_rows(list(group["raw"]), kind)
         share = len(x) / len(sample) * n
         depth = max(0, min(int(np.ceil(np.log2(max(1, share / LEAF)))), int(np.log2(max(1, len(x) / MIN_LEAF)))))
         forests[size] = [vars(Tree.fit(x, depth, np.random.default_rng([SEED, size, t]))) for t in range(TREES)]
@@ -141,39 +228,33 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = 0.95, id_col: str
 
     def route(batches):
         for batch in batches:
-            units = batch.column("unit").to_pylist()
-            sizes = np.array([len(u) for u in units])
+            raw = batch.column("raw").to_pylist()
+            sizes = np.array([len(r) for r in raw])
             for size in np.unique(sizes):
                 own = np.flatnonzero(sizes == size)
-                x = np.stack([np.frombuffer(units[i], np.float64) for i in own])
+                x = unit_rows([raw[i] for i in own], kind)
                 trees = forest.value.get(size)
                 pairs = [(np.arange(len(own)), np.zeros(len(own), np.int64))] if trees is None else [Tree(t).leaves(x) for t in trees]
                 row = np.concatenate([p[0] for p in pairs])
                 # Length of the vectors, tree and leaf make the name of a leaf.
                 leaf = np.concatenate([(size << 32) | (t << 24) | p[1] for t, p in enumerate(pairs)])
-                order = np.lexsort([leaf, row])
-                row, leaf = row[order], leaf[order]
-                first = np.searchsorted(row, np.arange(len(own) + 1))
-                for i in range(0, len(own), 512):
-                    a, b = first[i], first[min(i + 512, len(own))]
-                    source = batch.take(pa.array(own[row[a:b]]))
-                    lists = [leaf[first[r]:first[r + 1]].tobytes() for r in row[a:b]]
-                    yield pa.RecordBatch.from_arrays([pa.array(leaf[a:b]), source.column("node"), source.column("copies"),
-                                                      source.column("unit"), pa.array(lists, pa.binary())],
-                                                     ["leaf", "node", "copies", "unit", "leaves"])
-
-    routed = scratch.put(classes.select("node", "copies", "unit").mapInArrow(
-        route, "leaf long, node long, copies long, unit binary, leaves binary"))
-    # One row per leaf, at most TREES * 2 ** 9 for each length of vectors.
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), batch.column("node").take(pa.array(own[row]))], ["leaf", "node"])
+
+    routed = scratch.put(classes.select("node", "raw").mapInArrow(route, "leaf long, node long"))
+    routed = split_leaves(routed, classes.select("node", "raw"), kind, scratch)
+    # All leaves of a vector, a few dozen at most; vectors join last, so that
+    # only ids pass the exchanges before.
+    lists = routed.groupBy("node").agg(F.collect_list("leaf").alias("leaves"))
     blocks = routed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks >= 1")
     placed = routed.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    placed = placed.join(classes.select("node", "copies", "raw").join(lists, "node"), "node")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
         node, copies, block = pdf["node"].to_numpy(), pdf["copies"].to_numpy(), pdf["block"].to_numpy()
-        x = np.stack([np.frombuffer(u, np.float64) for u in pdf["unit"]])
+        x = unit_rows(list(pdf["raw"]), kind)
         linked = x @ x.T >= least_cosine
         np.fill_diagonal(linked, False)
         low, high = pdf["low"].iat[0], pdf["high"].iat[0]
@@ -186,7 +267,7 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = 0.95, id_col: str
         root = node[local_components(linked)]
         # Pairs that share an earlier leaf were counted there.
         leaf = pdf["leaf"].iat[0]
-        earlier = [np.frombuffer(pdf["leaves"].iat[i], np.int64) for i in some]
+        earlier = [np.asarray(pdf["leaves"].iat[i], np.int64) for i in some]
         earlier = [e[e < leaf] for e in earlier]
         names, at = np.unique(np.concatenate(earlier), return_inverse=True)
         if len(names):

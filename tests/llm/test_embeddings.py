@@ -70,6 +70,29 @@ def test_many_leaves_blocks_and_recall(spark, monkeypatch):
     assert np.mean([g[2] == w[2] for g, w in zip(got, want, strict=True)]) > 0.97
 
 
+def test_leaves_split_on_their_own_samples(spark, monkeypatch):
+    """A sample too small for the table: leaves are split again in Spark, twice
+    or more; copies too close to part stay together and are compared in blocks."""
+    monkeypatch.setattr(embeddings, "SAMPLE", 64)
+    monkeypatch.setattr(embeddings, "SPLIT", 60)
+    monkeypatch.setattr(embeddings, "SPLIT_SAMPLE", 48)
+    monkeypatch.setattr(embeddings, "BLOCK", 32)
+    c = np.random.default_rng(5)
+    center = c.standard_normal(24)
+    rows = clusters(4, 300)
+    rows += [(len(rows) + i, (center + 0.01 * c.standard_normal(24)).tolist()) for i in range(150)]
+    want, got = brute(rows), run(spark, rows)
+    assert sum(r[1] for r in got) >= 0.97 * sum(r[1] for r in want)
+    assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
+    assert [g for g, w in zip(got, want, strict=True) if w[0] >= len(rows) - 150] == [w for w in want if w[0] >= len(rows) - 150]
+
+
+def test_double_vectors_keep_their_precision(spark):
+    df = spark.createDataFrame([(1, [1.0, 1e-9]), (2, [1.0, 1e-9]), (3, [0.1, 0.0]), (4, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in embeddings.near_duplicates(df, least_cosine=0.95).collect())
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True)]
+
+
 def test_edge_cases(spark):
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [1.0, 0.0]),
             (8, [1.0, 0.0]), (9, [5.0, 0.0]), (10, [0.0, 1.0]), (11, [1.0, 0.1]), (None, [1.0, 0.0]), (7, [1.0, 0.0]), (12, [1.0, 0.0, 0.0]), (13, [1e-38, 0.0])]
