@@ -154,22 +154,33 @@ class Model:
 
     def evidence(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Evidence per word of each text, and its number of words."""
-        out, n_words = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        out, _, n_words = self.measure(texts)
+        return out, n_words
+
+    def measure(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Evidence per word of each text, the difference of its log-likelihoods
+        per word (0 without words), and its number of words."""
+        out, plain, n_words = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         at = 0
         for first, words, before, pairs in word_pairs(texts):
             k = len(first) - 1
             word, before, pair = find(self.words, words), find(self.words, before), find(self.pairs, pairs)
             logs = [np.log(self.direct[c][pair] + self.rest[c][before] * self.word_p[c][word]) for c in (0, 1)]
-            total = np.concatenate([[0], np.cumsum(np.maximum(logs[1] - logs[0] - CLEAR, 0), dtype=np.float64)])[first]
             n = np.diff(first)
-            out[at:at + k] = np.diff(total) / np.maximum(n, 1)
+            for to, values in ((out, np.maximum(logs[1] - logs[0] - CLEAR, 0)), (plain, logs[1] - logs[0])):
+                total = np.concatenate([[0], np.cumsum(values, dtype=np.float64)])[first]
+                to[at:at + k] = np.diff(total) / np.maximum(n, 1)
             n_words[at:at + k] = n
             at += k
-        return out, n_words
+        return out, plain, n_words
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        x, n = self.evidence(texts)
-        return np.where(n > 0, 1 / (1 + np.exp(-np.clip(self.slope * x + self.offset, -30, 30))), self.prior)
+        return self.judge(texts)[0]
+
+    def judge(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Score of each text, and its log-likelihoods' difference per word."""
+        x, plain, n = self.measure(texts)
+        return np.where(n > 0, 1 / (1 + np.exp(-np.clip(self.slope * x + self.offset, -30, 30))), self.prior), plain
 
 
 def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id") -> Model:
@@ -195,13 +206,16 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc
     # second, how often and in how many kinds first, and its count in the corpus.
     second = bigrams.groupBy("word").agg(*(F.count_if(F.col(k) > 0).alias(f"types_{k}") for k in kinds))
     first = bigrams.groupBy(F.col("before").alias("word")).agg(
-        *(F.sum(k).alias(f"n_{k}") for k in kinds), *(F.count_if(F.col(k) > 0).alias(f"after_{k}") for k in kinds))
+        *(F.sum(k).alias(f"n_{k}") for k in kinds), *(F.count_if(F.col(k) > 0).alias(f"after_{k}") for k in kinds), F.count("*").alias("after"))
     by_word = second.join(first, "word", "full").join(corpus, "word", "left").na.fill(0).toArrow()
     words = by_word["word"].to_numpy().view(np.uint64)
     order = np.argsort(words)
     m.words, column = words[order], lambda name: by_word[name].to_numpy()[order]
     shared = np.append(column("n") + 1, 1) / (size.n + possible)
-    m.word_p, m.rest, n_before = [], [], []
+    # Between a class's bigrams and its words stand the bigrams of both classes.
+    n_both = np.maximum(column("n_ordinary") + column("n_toxic"), 1)
+    rest_both = np.where(column("after") > 0, DISCOUNT * column("after") / n_both, 1)
+    m.word_p, m.rest, n_before, rests = [], [], [], []
     for k in kinds:
         types = np.append(column(f"types_{k}"), 0)
         total = max(types.sum(), 1)
@@ -209,8 +223,9 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc
         m.word_p.append((kept + (1 - kept.sum()) * shared).astype(np.float32))
         n_before.append(np.maximum(column(f"n_{k}"), 1))
         rest = np.where(column(f"n_{k}") > 0, DISCOUNT * column(f"after_{k}") / n_before[-1], 1)
-        m.rest.append(np.append(rest, 1).astype(np.float32))
-    del corpus, by_word, words, order, shared, types, kept, rest
+        rests.append(rest.astype(np.float32))
+        m.rest.append(np.append(rest * rest_both, 1).astype(np.float32))
+    del corpus, by_word, words, order, shared, types, kept, rest, rest_both
     # In order of the hash, so that the sorted parts make a sorted whole.
     keys, direct = [np.zeros(0, np.uint64)], ([], [])
     for i in range(1 << FETCH_BITS):
@@ -220,9 +235,11 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc
         order = np.argsort(key)
         keys.append(key[order])
         before = find(m.words, part["before"].to_numpy().view(np.uint64))
-        for c, k in enumerate(kinds):
-            if len(key):
-                direct[c].append((np.maximum(part[k].to_numpy() - DISCOUNT, 0) / n_before[c][before])[order].astype(np.float32))
+        if len(key):
+            both = (part["ordinary"].to_numpy() + part["toxic"].to_numpy() - DISCOUNT) / n_both[before]
+            for c, k in enumerate(kinds):
+                own = np.maximum(part[k].to_numpy() - DISCOUNT, 0) / n_before[c][before]
+                direct[c].append((own + rests[c][before] * both)[order].astype(np.float32))
         del part, key, order, before
     m.pairs = np.concatenate(keys)
     m.direct = [np.concatenate([*d, np.zeros(1, np.float32)]) for d in direct]
@@ -279,8 +296,9 @@ def held_out(id_col: str):
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", columns: list[str] | None = None,
           text_of: str | None = None) -> DataFrame:
-    """Every row of ``docs`` with held_out, score and predicted (1 if score >=
-    THRESHOLD); ``columns`` of docs are kept (default: the id). They must not
+    """Every row of ``docs`` with held_out, score, predicted (1 if score >=
+    THRESHOLD) and log_ratio, the plain difference of both models'
+    log-likelihoods per word (0 without words); ``columns`` of docs are kept (default: the id). They must not
     have the names of the results; put such columns into a struct. If the text
     is also a field ``text`` of a kept struct, name that in ``text_of``, and
     each text is sent to Python once.
@@ -304,11 +322,12 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", columns: l
     def run(batches):
         model = Model(shared.value)
         for batch in byte_slices(batches, texts):
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[2:], batch.column(1), pa.array(model.score(column_bytes(texts(batch))))],
-                [*inner, "held_out", "score"])
+            score, plain = model.judge(column_bytes(texts(batch)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], batch.column(1), pa.array(score), pa.array(plain)],
+                                             [*inner, "held_out", "score", "log_ratio"])
 
-    schema = T.StructType([*renamed.select(inner).schema, T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*renamed.select(inner).schema, T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()),
+                           T.StructField("log_ratio", T.DoubleType())])
     out = renamed.mapInArrow(run, schema)
     return out.select(*(F.col(i).alias(c) for c, i in zip(columns, inner)), "held_out", "score",
-                      (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+                      (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "log_ratio")

@@ -54,6 +54,20 @@ def test_held_out_accuracy(scored):
     assert total > 100 and right >= 0.95 * total
 
 
+def test_plain_ratio_beside_the_score(scored, spark, monkeypatch):
+    """Both signs, per word: a floor far below all ratios gives the same sum."""
+    docs, label, rows = scored
+    ratio = {r.doc_id: r.log_ratio for r in rows}
+    assert ratio[10_001] == ratio[10_002] == 0 and ratio[10_005] > 0 and min(ratio.values()) < 0
+    sides = [[ratio[i] for i in label if i in ratio and label[i] == c] for c in (0, 1)]
+    assert np.mean(sides[1]) > np.mean(sides[0])
+    labels = spark.createDataFrame(list(label.items()), "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame(docs, SCHEMA), labels, Scratch(spark, "test"))
+    monkeypatch.setattr(toxicity, "CLEAR", -100.0)
+    evidence, plain, n = model.measure([t.encode() for _, t, _ in docs])
+    assert (n > 0).all() and np.allclose(evidence - 100, plain, atol=1e-3)
+
+
 def test_only_the_text_counts(scored):
     docs, _, rows = scored
     by = {r.doc_id: r.score for r in rows}
