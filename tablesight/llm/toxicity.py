@@ -3,13 +3,16 @@
 Two bigram models, of toxic and of ordinary texts, share what they back off
 to. For a class c, word w after h:
 
-    P_c(w | h) = max(n_c(h, w) - D, 0) / n_c(h) + rest_c(h) * P_c(w)
+    P_c(w | h) = max(n_c(h, w) - D, 0) / n_c(h) + rest_c(h) * B_c(w | h)
+    B_c(w | h) = max(k(h, w) - D, 0) / k(h)     + rest(h)   * P_c(w)
     P_c(w)     = max(t_c(w) - D, 0) / t_c       + rest_c    * S(w)
 
-n: counts in the class; t_c(w): number of different words seen before w in the
+n_c: counts in the class; k(h, w): in how many classes h w was seen, and k(h)
+the sum of these; t_c(w): number of different words seen before w in the
 class; rest: the mass that discounts leave; S: counts of w in all documents of
 both kinds, labelled or not. An expression that a class has seldom seen so
-costs what it costs in the corpus, in both classes, and doesn't tip the scale.
+costs what it costs in both, or in the corpus, and doesn't tip the scale: words
+seen after h once, in one class, differ by a factor under 2 between the classes.
 A text's evidence is a mean over all its words of what the log ratio toxic :
 ordinary exceeds CLEAR by, zero where it doesn't (smaller and negative ratios
 mirror the languages and topics of the sample). So a text repeated has the
@@ -142,7 +145,8 @@ class Model:
     executors need not have this module.
 
     words and pairs are sorted hashes; word_p and rest (by class) follow words,
-    direct follows pairs, with one more value for what isn't listed."""
+    direct follows pairs, with one more value for what isn't listed. direct
+    holds both counted terms of a pair, rest what both levels leave."""
 
     def __init__(self, arrays: dict | None = None):
         vars(self).update(arrays or {})
@@ -212,8 +216,8 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc
     order = np.argsort(words)
     m.words, column = words[order], lambda name: by_word[name].to_numpy()[order]
     shared = np.append(column("n") + 1, 1) / (size.n + possible)
-    # Between a class's bigrams and its words stand the bigrams of both classes.
-    n_both = np.maximum(column("n_ordinary") + column("n_toxic"), 1)
+    # Between a class's bigrams and its words stand the bigrams of both, counted once a class.
+    n_both = np.maximum(column("after_ordinary") + column("after_toxic"), 1)
     rest_both = np.where(column("after") > 0, DISCOUNT * column("after") / n_both, 1)
     m.word_p, m.rest, n_before, rests = [], [], [], []
     for k in kinds:
@@ -236,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc
         keys.append(key[order])
         before = find(m.words, part["before"].to_numpy().view(np.uint64))
         if len(key):
-            both = (part["ordinary"].to_numpy() + part["toxic"].to_numpy() - DISCOUNT) / n_both[before]
+            both = (sum((part[k].to_numpy() > 0).astype(np.int64) for k in kinds) - DISCOUNT) / n_both[before]
             for c, k in enumerate(kinds):
                 own = np.maximum(part[k].to_numpy() - DISCOUNT, 0) / n_before[c][before]
                 direct[c].append((own + rests[c][before] * both)[order].astype(np.float32))

@@ -103,6 +103,22 @@ def test_model_against_plain_counts(spark):
     # Slots are shared by chance now and then, so compare the bulk.
     assert np.quantile(np.abs(got / np.array(want) - 1), 0.9) < 1e-3
 
+    both, words, d = Counter([*pairs[0], *pairs[1]]), text.split(), toxicity.DISCOUNT
+    after = [Counter() for _ in range(3)], [Counter() for _ in range(3)]
+    for i, counts in enumerate((pairs[0], pairs[1], both)):
+        for (h, _), n in counts.items():
+            after[0][i][h] += n
+            after[1][i][h] += 1
+    def level(i, counts, h, w, below):
+        n = after[0][i][h]
+        return max(counts[h, w] - d, 0) / n + d * after[1][i][h] / n * below if n else below
+    plain = [[level(c, pairs[c], h, w, level(2, both, h, w, below)) for c, below in enumerate(lower)]
+             for h, w, lower in zip([None, *words], words, want, strict=False)]
+    (_, slots, before, keys), = toxicity.word_pairs([text.encode()])
+    at, pair = toxicity.find(model.words, before), toxicity.find(model.pairs, keys)
+    got = np.stack([model.direct[c][pair] + model.rest[c][at] * model.word[c][slots] for c in (0, 1)], 1)
+    assert np.quantile(np.abs(got / np.array(plain) - 1), 0.9) < 1e-3
+
 
 def test_repeating_a_text_leaves_its_verdict(spark):
     docs, labels = corpus()
