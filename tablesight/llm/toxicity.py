@@ -169,10 +169,15 @@ class Model:
         for first, words, before, pairs in word_pairs(texts):
             k = len(first) - 1
             word, before, pair = find(self.words, words), find(self.words, before), find(self.pairs, pairs)
-            logs = [np.log(self.direct[c][pair] + self.rest[c][before] * self.word_p[c][word]) for c in (0, 1)]
+            ratio = np.log(self.direct[1][pair] + self.rest[1][before] * self.word_p[1][word])
+            ratio -= np.log(self.direct[0][pair] + self.rest[0][before] * self.word_p[0][word])
+            del words, pairs, word, before, pair
             n = np.diff(first)
-            for to, values in ((out, np.maximum(logs[1] - logs[0] - CLEAR, 0)), (plain, logs[1] - logs[0])):
-                total = np.concatenate([[0], np.cumsum(values, dtype=np.float64)])[first]
+            for to in (plain, out):
+                if to is out:
+                    ratio -= CLEAR
+                    np.maximum(ratio, 0, out=ratio)
+                total = np.concatenate([[0], np.cumsum(ratio, dtype=np.float64)])[first]
                 to[at:at + k] = np.diff(total) / np.maximum(n, 1)
             n_words[at:at + k] = n
             at += k
