@@ -28,7 +28,13 @@ TABLES, PROBES = 6, 3
 #: Rows that cells are fitted on.
 SAMPLE = 2_000
 #: Bytes of the vectors of a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
+#: Cells that compare more than this share of all pairs lose neighbours for little.
+WORTH = 0.5
+#: A table without cells is cut into so many blocks at least, of so many rows at least.
+SPREAD, SPREAD_ROWS = 4, 4096
+#: Distances held at a time, and columns whose least one is looked at first.
+PART, GROUP = 4 << 20, 64
 
 
 def euclidean(a: str, b: str) -> F.Column:
@@ -118,28 +124,94 @@ class Hashing:
 
 def nearest(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and squared distances of the k rows of ``y`` nearest to each of
-    ``x``, nearest first, ties by place; ``x`` is taken in parts of bounded size."""
-    k, places, away = min(k, len(y)), [], []
-    square = (y * y).sum(1)
-    step = max(1, (4 << 20) // max(len(y), 1))
+    ``x``, nearest first, ties by place. Vectors holding NaN or infinity come
+    last; everything else goes through ``_nearest_finite``."""
+    x, y, k = x.astype(np.float64), y.astype(np.float64), min(k, len(y))
+    places, away = np.zeros((len(x), k), np.int64), np.zeros((len(x), k))
+    if not len(x) or not k:
+        return places, away
+    with np.errstate(over="ignore", invalid="ignore"):
+        whole = np.isfinite(y).all(1)
+        centre = y[whole].mean(0) if whole.any() else np.zeros(y.shape[1])
+        base, asks = (np.isfinite(((v - centre) ** 2).sum(1)) for v in (y, x))
+        if base.sum() < k or not y.shape[1]:
+            asks[:] = False
+        odd = np.flatnonzero(~asks)
+        step = max(1, PART // len(y))
+        for rows in (odd[i:i + step] for i in range(0, len(odd), step)):
+            places[rows], away[rows] = _by_sorting(x[rows], y, k)
+    if asks.any():
+        base = np.flatnonzero(base)
+        # Of equal vectors the first k stand before all others: those are left out.
+        _, same = np.unique(np.ascontiguousarray(y[base]).view(np.dtype((np.void, y.shape[1] * 8))).ravel(), return_inverse=True)
+        base = base[pd.Series(same).groupby(same).cumcount().to_numpy() < k]
+        found, away[asks] = _nearest_finite(x[asks], y[base], k, centre)
+        places[asks] = base[found]
+    return places, away
+
+
+def _by_sorting(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    d = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0)
+    order = np.argsort(d, axis=1, kind="stable")[:, :k]
+    # Near zero the product form is inexact: exact differences for those kept.
+    exact = ((x[:, None, :] - y[order]) ** 2).sum(2)
+    by = np.argsort(exact, axis=1, kind="stable")
+    return np.take_along_axis(order, by, 1), np.take_along_axis(exact, by, 1)
+
+
+def _nearest_finite(x: np.ndarray, y: np.ndarray, k: int, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``nearest`` of finite vectors, exact: products in single precision give
+    lower bounds of all distances, and only pairs whose bound is not above the
+    k-th smallest upper bound are compared in double precision. Where single
+    precision leaves too many of them, a part is taken in double."""
+    size = max(float(np.sqrt(max(((v - centre) ** 2).sum(1).max() for v in (x, y)))), 1e-150)
+    u, v = (x - centre) / size, (y - centre) / size
+    sides = {}
+    n, width = len(y), y.shape[1]
+    groups = -(-n // GROUP)
+    step = max(1, PART // (groups * GROUP))
+    places, away = [], []
     for i in range(0, len(x), step):
-        part = x[i:i + step]
-        d = np.maximum((part * part).sum(1)[:, None] + square - 2 * part @ y.T, 0)
-        order = np.argsort(d, axis=1, kind="stable")[:, :k]
-        # Near zero the product form is inexact: exact differences for those kept.
-        exact = ((part[:, None, :] - y[order]) ** 2).sum(2)
-        by = np.argsort(exact, axis=1, kind="stable")
-        places.append(np.take_along_axis(order, by, 1))
-        away.append(np.take_along_axis(exact, by, 1))
+        for kind in (np.float32, np.float64):
+            if kind not in sides:
+                # (-2 u, 1) . (v, |v|^2) is the distance less |u|^2; |v|^2 is lessened by the error bound.
+                error = (width + 8) * float(np.finfo(kind).eps)
+                square = np.full(groups * GROUP, 16.0)
+                square[:n] = (v * v).sum(1)
+                right = np.zeros((groups * GROUP, width + 1), kind)
+                right[:n, :width], right[:, width] = v, square * (1 - error)
+                sides[kind] = error, square, np.ascontiguousarray(right.T)
+            error, square, right = sides[kind]
+            part = u[i:i + step]
+            low = np.hstack([-2 * part, np.ones((len(part), 1))]).astype(kind) @ right
+            # Group g holds the columns g, g + groups, g + 2 groups ...
+            cube = low.reshape(len(part), GROUP, groups)
+            least = cube.min(1)
+            some = np.argpartition(least, min(k, groups) - 1, axis=1)[:, :k]
+            columns = np.arange(GROUP) * groups + some[:, :, None]
+            high = (np.take_along_axis(low, columns.reshape(len(part), -1), 1) + 2 * error * square[columns].reshape(len(part), -1)).astype(np.float64)
+            limit = np.partition(high, k - 1, axis=1)[:, k - 1] + 2 * error * (part * part).sum(1) + float(np.finfo(kind).tiny) * 256
+            row, group = np.nonzero(least <= limit[:, None])
+            at, member = np.nonzero(cube[row, :, group] <= limit[row, None])
+            row, place = row[at], member * groups + group[at]
+            if kind is np.float64 or len(row) <= 8 * (k + 8) * len(part):
+                break
+        mine = x[i:i + step]
+        d = np.concatenate([((mine[row[j:j + 65536]] - y[place[j:j + 65536]]) ** 2).sum(1) for j in range(0, len(row), 65536)])
+        order = np.lexsort((place, d, row))
+        order = order[np.searchsorted(row[order], np.arange(len(part)))[:, None] + np.arange(k)]
+        places.append(place[order])
+        away.append(d[order])
     return np.concatenate(places), np.concatenate(away)
 
 
 def fit_hashing(sample: np.ndarray, k: int, recall: float = 0.95) -> tuple[Hashing, float]:
     """Of several numbers of projections and widths those that compare the
     fewest pairs and still find ``recall`` of the k nearest, measured on a
-    bounded sample; with it the share of pairs. In a larger table neighbours
-    are nearer, so they are found rather more often. Where no cells do (vectors
-    about as far from all others) one bucket remains: an exact search."""
+    bounded sample; with it the share of pairs, counted in every table that
+    compares them. In a larger table neighbours are nearer, so they are found
+    rather more often. Where no cells spare half the work (vectors about as far
+    from all others) one bucket remains: an exact search."""
     best = (Hashing(0, 1.0), 1.0)
     queries = sample[:256]
     if len(sample) <= k + 1:
@@ -150,12 +222,12 @@ def fit_hashing(sample: np.ndarray, k: int, recall: float = 0.95) -> tuple[Hashi
         for times in (1.0, 2.0, 4.0, 8.0):
             h = Hashing(projections, float(scale * times))
             base, probes = h.cells(sample, 0), h.cells(queries, PROBES)
-            met = np.zeros((len(queries), len(sample)), bool)
+            met, share = np.zeros((len(queries), len(sample)), bool), 0.0
             for t in range(TABLES):
-                for p in range(probes.shape[2]):
-                    met |= probes[:, t, p, None] == base[None, :, t, 0]
-            share = float(met.mean())
-            if share < best[1] and np.take_along_axis(met, places, 1).mean() >= recall:
+                here = (probes[:, t, :, None] == base[None, None, :, t, 0]).any(1)
+                met |= here
+                share += float(here.mean())
+            if share < min(best[1], WORTH) and np.take_along_axis(met, places, 1).mean() >= recall:
                 best = (h, share)
     return best
 
@@ -172,7 +244,9 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, query_id: str = "query
     in blocks of bounded bytes; a block returns each query's k nearest, not
     pairs. Distances are exact; neighbours that share no cell are missed.
     """
-    take = lambda df, i: df.select(F.col(i).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    # Vectors travel in their own precision and are compared in double.
+    kind = "array<float>" if {dict(df.dtypes)[vector] for df in (queries, base)} == {"array<float>"} else "array<double>"
+    take = lambda df, i: df.select(F.col(i).cast("long").alias("id"), F.col(vector).cast(kind).alias("v")).filter("v IS NOT NULL")
     q, b = take(queries, query_id), take(base, base_id)
     # At most SAMPLE rows, chosen by a hash of the id.
     sample = [r["v"] for r in b.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()]
@@ -181,6 +255,9 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, query_id: str = "query
     rows = max(256, BLOCK_BYTES // (8 * max(1, len(sample[0]) if sample else 1)))
 
     def keyed(df: DataFrame, probes: int) -> DataFrame:
+        if not hashing.projections:
+            return df.select(F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("cell"), "id", "v")
+
         def run(batches):
             for batch in batches:
                 for i in range(0, batch.num_rows, 4096):
@@ -191,14 +268,15 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, query_id: str = "query
                     flat = pd.DataFrame({"row": np.repeat(np.arange(n), t * p), "t": np.tile(np.repeat(np.arange(t), p), n), "cell": cells.ravel()}).drop_duplicates()
                     yield pa.RecordBatch.from_arrays([pa.array(flat["t"].to_numpy(np.int64)), pa.array(flat["cell"].to_numpy()),
                                                       *(part.column(c).take(pa.array(flat["row"].to_numpy())) for c in (0, 1))], ["t", "cell", "id", "v"])
-        return df.mapInArrow(run, "t long, cell long, id long, v array<double>")
+        return df.mapInArrow(run, f"t long, cell long, id long, v {kind}")
 
     q, b = keyed(q, PROBES), keyed(b, 0)
     if hashing.projections:
         q, b = materialize(q, "knn-queries"), materialize(b, "knn-base")
     counts = lambda df, n: df.groupBy("t", "cell").agg(F.count(F.lit(1)).alias(n))
-    parts = counts(q, "nq").join(counts(b, "nb"), ["t", "cell"]).select(
-        "t", "cell", F.ceil(F.col("nq") / rows).alias("nq"), F.ceil(F.col("nb") / rows).alias("nb"))
+    least = 1 if hashing.projections else SPREAD
+    blocks = lambda n: F.greatest(F.ceil(F.col(n) / rows), F.least(F.lit(least).cast("long"), F.ceil(F.col(n) / SPREAD_ROWS))).alias(n)
+    parts = counts(q, "nq").join(counts(b, "nb"), ["t", "cell"]).select("t", "cell", blocks("nq"), blocks("nb"))
     parts = materialize(parts, "knn-buckets")
 
     def placed(df: DataFrame, own: str, other: str) -> DataFrame:
@@ -219,8 +297,8 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, query_id: str = "query
     pairs = both.groupBy("t", "cell", "q", "b").applyInPandas(compare, "query_id long, id long, distance double")
     if exclude_self:
         pairs = pairs.filter("query_id <> id")
-    # A pair may meet in several tables.
-    pairs = pairs.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
+    # A pair may meet in several tables. Dealt once, by query, for this and for the ranks.
+    pairs = pairs.repartition("query_id").groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
