@@ -429,6 +429,9 @@ def train_summary(df: DataFrame, model_type: str, target: str | None = None, **k
         target = infer_target(df, kw.get("split_key"))
     kind = kw.pop("kind", None) or (target_kind(df, target) if target else "clustering")
     _, pred = train(df, model_type, target, kind=kind, **kw)
+    if kind != "clustering":
+        # Every metric reads the predictions: each row is predicted once.
+        pred = materialize(pred, "predictions")
     parts = [evaluate(pred, kind, which).withColumn("split", F.lit(which)) for which in ("train", "test")]
     counts = pred.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
     return (parts[0].unionByName(parts[1]).join(counts, "split")

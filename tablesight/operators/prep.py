@@ -124,9 +124,15 @@ KNUTH = 2654435761
 
 def split_bucket(key: str, salt: int = 0, dt: T.DataType | None = None) -> F.Column:
     """Bucket 0..9999 of a key, reproducible in any SQL engine for integer
-    keys: ((key + salt) * 2654435761) mod 2^32 mod 10000, in exact decimal
-    arithmetic. Other key types use xxhash64."""
-    if dt is None or isinstance(dt, T.IntegralType):
+    keys: ((key + salt) * 2654435761) mod 2^32 mod 10000, exact: in 64-bit
+    integers by halves of 16 bits, or in decimals if the type is not known.
+    Other key types use xxhash64."""
+    if isinstance(dt, T.IntegralType):
+        k = F.pmod(F.pmod(col(key).cast("long"), F.lit(2 ** 32)) + F.lit(salt % 2 ** 32), F.lit(2 ** 32))
+        high = F.shiftleft((F.shiftright(k, 16) * F.lit(KNUTH)).bitwiseAND(F.lit(0xFFFF).cast("long")), 16)
+        both = high + k.bitwiseAND(F.lit(0xFFFF).cast("long")) * F.lit(KNUTH)
+        return F.pmod(both.bitwiseAND(F.lit(2 ** 32 - 1)), F.lit(10000).cast("long")).cast("int")
+    if dt is None:
         k = (col(key).cast("decimal(38,0)") + F.lit(salt)) * F.lit(KNUTH)
         return F.pmod(F.pmod(k, F.lit(2 ** 32)), F.lit(10000)).cast("int")
     return F.pmod(F.xxhash64(col(key), F.lit(salt)), F.lit(10000)).cast("int")
