@@ -248,6 +248,8 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, query_id: str = "query
     kind = "array<float>" if {dict(df.dtypes)[vector] for df in (queries, base)} == {"array<float>"} else "array<double>"
     take = lambda df, i: df.select(F.col(i).cast("long").alias("id"), F.col(vector).cast(kind).alias("v")).filter("v IS NOT NULL")
     q, b = take(queries, query_id), take(base, base_id)
+    if exclude_self:
+        q, b = q.filter("id IS NOT NULL"), b.filter("id IS NOT NULL")
     # At most SAMPLE rows, chosen by a hash of the id.
     sample = [r["v"] for r in b.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()]
     if hashing is None:
@@ -290,9 +292,19 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, query_id: str = "query
         x, y = pdf[asks], pdf[~asks].sort_values("id")
         if not len(x) or not len(y):
             return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-        ids = y["id"].to_numpy()
-        places, away = nearest(np.stack(x["v"].to_numpy()), np.stack(y["v"].to_numpy()), k + bool(exclude_self))
-        return pd.DataFrame({"query_id": np.repeat(x["id"].to_numpy(), places.shape[1]), "id": ids[places.ravel()], "distance": np.sqrt(away.ravel())})
+        ids, own = y["id"].to_numpy(), x["id"].to_numpy()
+        x, y = np.stack(x["v"].to_numpy()), np.stack(y["v"].to_numpy())
+        want, todo, out = k + bool(exclude_self), np.arange(len(x)), []
+        while len(todo):
+            places, away = nearest(x[todo], y, want)
+            found = ids[places]
+            # Ids may repeat: more rows are taken until there are k others.
+            ordered = np.sort(found, axis=1)
+            others = 1 + (ordered[:, 1:] != ordered[:, :-1]).sum(1) - (bool(exclude_self) & (found == own[todo, None]).any(1))
+            done = (others >= k) | (want >= len(y))
+            out.append(pd.DataFrame({"query_id": np.repeat(own[todo[done]], places.shape[1]), "id": found[done].ravel(), "distance": np.sqrt(away[done].ravel())}))
+            todo, want = todo[~done], 2 * want
+        return pd.concat(out)
 
     pairs = both.groupBy("t", "cell", "q", "b").applyInPandas(compare, "query_id long, id long, distance double")
     if exclude_self:

@@ -133,3 +133,20 @@ def test_nearest_does_not_sort_all_distances(monkeypatch):
     monkeypatch.setattr(N, "_by_sorting", None)
     x = np.random.default_rng(5).normal(size=(2000, 64))
     assert (N.nearest(x, x, 2)[0][:, 0] == np.arange(2000)).all()
+
+
+def test_repeated_and_null_ids_crowd_nobody_out(spark):
+    """Rows three times, one id of many vectors, null ids: five others each, at the least distance to any row of an id."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 3))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] * 3 + [(7, (x[8] + rng.normal(size=3) * .001).tolist()) for _ in range(30)] + [(None, x[9].tolist())] * 9
+    got = N.knn_approx(spark.createDataFrame(rows, "id long, embedding array<double>"), 5).collect()
+    away = {}
+    for i, v in rows:
+        for j, w in rows:
+            if i is not None and j is not None and i != j:
+                d = np.linalg.norm(np.subtract(v, w))
+                away[i, j] = min(d, away.get((i, j), d))
+    for i in range(40):
+        want = sorted((away[i, j], j) for j in range(40) if j != i)[:5]
+        assert [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == i] == [j for _, j in want]
