@@ -1,5 +1,9 @@
 """Embedding near-dedup against all pairs."""
 
+import contextlib
+import os
+import threading
+
 import numpy as np
 import pytest
 
@@ -111,3 +115,58 @@ def test_recall_on_the_table(spark):
     assert sum(r[1] for r in found) >= 0.9 * sum(r[1] for r in want)
     with pytest.raises(AttributeError):
         embeddings.near_duplicates(None)
+
+
+def test_ids_that_repeat(spark):
+    """Rows of one id with other vectors, or with none, count for themselves."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (3, [0.1, 1.0]), (3, None), (4, [-1.0, 0.0]), (None, [1.0, 0.0])]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_passes_rounds_and_blocks_count_each_pair_once(spark, monkeypatch):
+    """A few rows a pass, leaves split in several rounds, large leaves in blocks
+    and a group whose members share earlier leaves: counts are those of all pairs."""
+    for name, value in (("SAMPLE", 64), ("LEAF", 30), ("SPLIT", 60), ("SPLIT_SAMPLE", 64), ("BLOCK", 40), ("PASS_COPIES", 0.5), ("PASS_BYTES", 1)):
+        monkeypatch.setattr(embeddings, name, value, raising=False)
+    c = np.random.default_rng(8)
+    center = c.standard_normal(24)
+    rows = [(i, (center + 0.01 * c.standard_normal(24)).tolist()) for i in range(200)]
+    rows += [(200 + i, v) for i, v in clusters(9, 240)]
+    want, got = brute(rows), run(spark, rows)
+    assert [g for g in got if g[0] < 200] == [w for w in want if w[0] < 200]
+    assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
+    assert sum(g[1] for g in got) >= 0.97 * sum(w[1] for w in want)
+
+
+def test_disk_is_a_small_multiple_of_the_vectors(spark, monkeypatch):
+    """Shuffle files and tables of a call, at their largest, however many leaves a vector is in."""
+    monkeypatch.setattr(embeddings, "PASS_BYTES", 1 << 20, raising=False)
+    n, d = 12_000, 64
+    x = np.random.default_rng(3).standard_normal((n, d)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").coalesce(4)
+    folders = [str(f) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    folders.append(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+
+    def used():
+        total = 0
+        for folder in folders:
+            for at, _, names in os.walk(folder):
+                for name in names:
+                    with contextlib.suppress(OSError):
+                        total += os.lstat(f"{at}/{name}").st_size
+        return total
+
+    start, most, done = used(), [0], threading.Event()
+
+    def watch():
+        while not done.wait(0.05):
+            most[0] = max(most[0], used() - start)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        assert embeddings.near_duplicates(df).count() == n
+    finally:
+        done.set()
+        watcher.join()
+    assert most[0] <= 4 * x.nbytes
