@@ -40,13 +40,13 @@ TREES = 6
 #: so many bytes of them.
 SAMPLE = 16_384
 SAMPLE_BYTES = 64 << 20
-#: A tree is split while a leaf holds more than 2 * LEAF or SPLIT rows of the
-#: table, on the first sample only where MIN_LEAF of its rows go to either side.
+#: A tree is split while a leaf holds more than 2 * LEAF rows of the table, on
+#: the first sample only where MIN_LEAF of its rows go to either side.
 LEAF = 512
 MIN_LEAF = 32
 SPLIT = 2_048
-#: Leaves that are still larger are split by SPLIT_DEPTH levels in a round,
-#: fitted on about SPLIT_SAMPLE of their rows.
+#: Leaves that then have more than SPLIT rows are split by SPLIT_DEPTH levels
+#: in a round, fitted on about SPLIT_SAMPLE of their rows.
 SPLIT_SAMPLE = 512
 SPLIT_DEPTH = 4
 #: A node takes the best of TRIES directions of its tree's POOL, by the pairs
@@ -94,7 +94,7 @@ def fit(shadow: np.ndarray, rows: float, own: float, limit: int, least: int, dep
             if size[-1] <= limit:
                 continue
             if level == depth or len(members) < least:
-                column[-1] = -2
+                column[-1] = -2 if size[-1] > SPLIT else -1
                 continue
             start = level * TRIES % shadow.shape[1]
             some = shadow[members, start:start + TRIES]
@@ -493,7 +493,9 @@ def _near_duplicates(vectors: DataFrame, least_cosine: float, id_col: str, vec_c
 
         def shadows(some, trees):
             for i in range(0, len(some), ROWS):
-                x = np.rint(unit_rows(raw[some[i:i + ROWS]]) * UNIT)
+                x = unit_rows(raw[some[i:i + ROWS]])
+                x32[some[i:i + ROWS]] = x
+                x = np.rint(x * UNIT)
                 for t in trees:
                     if t not in pools:
                         pools[t] = directions(size, t)
@@ -518,8 +520,6 @@ def _near_duplicates(vectors: DataFrame, least_cosine: float, id_col: str, vec_c
             return best
 
         found = []
-        for i in range(0, len(raw), ROWS):
-            x32[i:i + ROWS] = unit_rows(raw[i:i + ROWS])
         for i, _, shadow in shadows(np.arange(len(raw)), [tree]):
             row, leaf = descend(known, shadow, top, spill(size), known["leaves"])
             found.append((row + i, leaf))
