@@ -59,7 +59,7 @@ WORTH = 0.8
 BLOCK = 16_384
 BLOCK_BYTES = 6 << 20
 #: A pass deals out so many times the bytes of the vectors, or so many bytes.
-PASS_COPIES = 1.5
+PASS_COPIES = 2
 PASS_BYTES = 128 << 20
 SPILL = 0.158
 SEED = 7
@@ -69,10 +69,11 @@ UNIT = 2.0 ** 25
 ROWS = 4_096
 
 
-def directions(size: int, tree: int) -> np.ndarray:
-    """The pool of directions of a tree over vectors of ``size`` components."""
+def directions(size: int, tree: int, levels: int = POOL) -> np.ndarray:
+    """The pool of directions of a tree over vectors of ``size`` components, as
+    far as its first levels need it."""
     d = np.random.default_rng([SEED, size, tree]).standard_normal((size, POOL))
-    return np.rint(d / np.linalg.norm(d, axis=0) * UNIT)
+    return np.ascontiguousarray(np.rint(d / np.linalg.norm(d, axis=0) * UNIT)[:, :max(1, levels * TRIES)])
 
 
 def spill(size: int) -> float:
@@ -116,7 +117,7 @@ class Forest:
     right one follows it; -1 for leaves), the parent, about how many rows of
     the table it holds, and whether these are to be split on."""
 
-    KINDS = {"tree": "i2", "level": "i4", "column": "i2", "threshold": "f8", "left": "i8", "parent": "i8", "rows": "f8", "open": "?", "size": "i8"}
+    KINDS = {"tree": "i2", "level": "i2", "column": "i2", "threshold": "f8", "left": "i4", "parent": "i4", "rows": "f4", "open": "?", "size": "i4"}
 
     def __init__(self):
         self.nodes = {k: np.zeros(0, kind) for k, kind in self.KINDS.items()}
@@ -162,7 +163,7 @@ class Forest:
         place[order] = np.arange(len(order))
         self.nodes = {k: v[order] for k, v in self.nodes.items()}
         for k in ("left", "parent"):
-            self.nodes[k] = np.where(self.nodes[k] >= 0, place[self.nodes[k]], -1)
+            self.nodes[k] = np.where(self.nodes[k] >= 0, place[self.nodes[k]], -1).astype(self.KINDS[k])
         self.roots = {size: [int(place[r]) for r in roots] for size, roots in self.roots.items()}
 
     def above(self, some: np.ndarray) -> np.ndarray:
@@ -196,9 +197,18 @@ def descend(forest: dict, shadow: np.ndarray, start: int, own: float, stop: np.n
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
     """Usable vectors at length 1 in double precision."""
-    x = x.astype(np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    single, x = x.dtype.itemsize == 4, x.astype(np.float64)
+    if not single:
+        # Else squares may overflow.
+        x /= np.abs(x).max(axis=1, keepdims=True)
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    return x
+
+
+def whole(x: np.ndarray) -> np.ndarray:
+    """Unit vectors in whole numbers of 1 / UNIT, in their place."""
+    x *= UNIT
+    return np.rint(x, out=x)
 
 
 def usable_rows(x: np.ndarray) -> np.ndarray:
@@ -206,8 +216,11 @@ def usable_rows(x: np.ndarray) -> np.ndarray:
     non-finite components, zero, or longer than a double can say."""
     if not x.size:
         return np.zeros(0, np.int64)
-    x = x.astype(np.float64)
+    single, x = x.dtype.itemsize == 4, x.astype(np.float64)
     with np.errstate(all="ignore"):
+        if single:
+            square = np.einsum("ij,ij->i", x, x)
+            return np.flatnonzero(np.isfinite(square) & (square > 0))
         most = np.abs(x).max(axis=1)
         long = np.linalg.norm(x / np.where(most > 0, most, 1)[:, None], axis=1) * most
     return np.flatnonzero(np.isfinite(x).all(axis=1) & (long > 0) & np.isfinite(long))
@@ -250,12 +263,12 @@ def margin(size: int) -> float:
 def tiles(known: np.ndarray, split: int | None):
     """Places (i, j) of the squares of a matrix that hold each pair of rows
     once, or each pair across ``split``, but those among ``known`` rows only."""
-    n = len(known)
+    n, some = len(known), known.any()
     for i in range(0, n if split is None else split, 256):
         a = slice(i, min(i + 256, n if split is None else split))
         for j in range(i if split is None else split, n, 2_048):
             b = slice(j, min(j + 2_048, n))
-            if not (known[a].all() and known[b].all()):
+            if not (some and known[a].all() and known[b].all()):
                 yield a, b
 
 
@@ -322,8 +335,8 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = 0.95, id_col: str
 
     The upper levels of the trees are fitted on the driver on SAMPLE vectors,
     the levels below in Spark on samples of each leaf, in rounds. The driver
-    and each Python worker hold the forest: some 30 bytes for a node of about
-    a thousand rows. Every vector is indexed. A task gets the rows of a node of
+    and each Python worker hold the forest: some 25 bytes for each leaf of about
+    a thousand rows and each node above. Every vector is indexed. A task gets the rows of a node of
     at most two blocks and goes down to the leaves itself; leaves of more rows
     that lie too close to part are compared block by block in separate tasks.
     A pair that meets in several leaves is counted in the first of them only;
@@ -383,7 +396,7 @@ def _near_duplicates(vectors: DataFrame, least_cosine: float, id_col: str, vec_c
     sample = classes.filter(drawn < few / n).select("raw").collect() if forest.nodes["open"].any() else []
     grown = []
     for size in sorted({len(r[0]) // width for r in sample}):
-        x = np.rint(unit_rows(np.stack([np.frombuffer(r[0], kind) for r in sample if len(r[0]) == width * size])) * UNIT)
+        x = whole(unit_rows(np.stack([np.frombuffer(r[0], kind) for r in sample if len(r[0]) == width * size])))
         grown += [(root, *fit(x @ directions(size, t), sizes[size], spill(size), limit, 2 * MIN_LEAF, 64))
                   for t, root in enumerate(forest.roots[size]) if forest.nodes["open"][root]]
     del sample
@@ -393,7 +406,7 @@ def _near_duplicates(vectors: DataFrame, least_cosine: float, id_col: str, vec_c
         known, pools = sent.value, {}
         for batch in batches:
             for part, size, x in same_length(batch, kind):
-                u, x = part.column("u").to_numpy(), np.rint(x * UNIT)
+                u, x = part.column("u").to_numpy(), whole(x)
                 for t, root in enumerate(known["roots"][size]):
                     if not known["live"][root]:
                         continue
@@ -404,7 +417,7 @@ def _near_duplicates(vectors: DataFrame, least_cosine: float, id_col: str, vec_c
                     taken = u[row] < known["rate"][leaf]
                     row, leaf = row[taken], leaf[taken]
                     columns = (known["level"][leaf][:, None] * TRIES + np.arange(SPLIT_DEPTH * TRIES)) % POOL
-                    yield pa.RecordBatch.from_arrays([pa.array(leaf), binary(shadow[row[:, None], columns].astype("f4"))], ["leaf", "shadow"])
+                    yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), binary(shadow[row[:, None], columns].astype("f4"))], ["leaf", "shadow"])
 
     def refit(table):
         known, leaf = sent.value, table.column("leaf")[0].as_py()
@@ -453,12 +466,12 @@ def _near_duplicates(vectors: DataFrame, least_cosine: float, id_col: str, vec_c
         stop[known["top"]] = True
         for batch in batches:
             for part, size, x in same_length(batch, kind):
-                x, key = np.rint(x * UNIT), mix(part.column("node").to_numpy().view(np.uint64))
+                x, key = whole(x), mix(part.column("node").to_numpy().view(np.uint64))
                 for t, root in enumerate(known["roots"][size]):
                     if not known["live"][root]:
                         continue
                     if (size, t) not in pools:
-                        pools[size, t] = directions(size, t)
+                        pools[size, t] = directions(size, t, known["levels"])
                     row, at = descend(known, x @ pools[size, t], root, spill(size), stop, known["live"])
                     at = np.searchsorted(known["top"], at)
                     # Each row goes to the tasks of its block and each other block.
@@ -495,10 +508,10 @@ def _near_duplicates(vectors: DataFrame, least_cosine: float, id_col: str, vec_c
             for i in range(0, len(some), ROWS):
                 x = unit_rows(raw[some[i:i + ROWS]])
                 x32[some[i:i + ROWS]] = x
-                x = np.rint(x * UNIT)
+                x = whole(x)
                 for t in trees:
                     if t not in pools:
-                        pools[t] = directions(size, t)
+                        pools[t] = directions(size, t, known["depth"])
                     yield i, t, x @ pools[t]
 
         def together(own, here):
@@ -569,7 +582,8 @@ def _near_duplicates(vectors: DataFrame, least_cosine: float, id_col: str, vec_c
     tables = [spark.createDataFrame([], "node long, n long, root long")]
     for start, end in zip(starts[:-1], starts[1:], strict=True) if total else ():
         own = slice(*np.searchsorted(first, [start, max(start, end - 1)], "right") - [1, 0])
-        sent = spark.sparkContext.broadcast(forest.plain(top=top, blocks=blocks, first=first, leaves=leaves, live=forest.above(top[own])) | {"from": start, "to": end})
+        sent = spark.sparkContext.broadcast(forest.plain(top=top, blocks=blocks, first=first, leaves=leaves, live=forest.above(top[own]), levels=int(nodes["level"][top].max()),
+                                                      depth=int(nodes["level"].max())) | {"from": start, "to": end})
         dealt = classes.select("node", "copies", "raw").mapInArrow(deal, "task long, node long, copies long, raw binary")
         tables.append(scratch.put(dealt.groupBy("task").applyInArrow(compare, "node long, n long, root long")))
         sent.destroy()
